@@ -21,6 +21,7 @@ import base64
 import hashlib
 from collections.abc import Iterable, Iterator
 
+import pandas as pd
 import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
@@ -305,9 +306,7 @@ class Coder:
         ranks, pattern = self.ranks, self.pattern
 
         @F.pandas_udf(T.ArrayType(T.IntegerType()))
-        def encoded(batches: Iterator) -> Iterator:
-            import pandas as pd
-
+        def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             pieces, split, _ = _coder(ranks, pattern)
             for texts in batches:
                 yield pd.Series([[int(i) for part in _stretches(t or "", split) for p in part for i in pieces[p].split()] for t in texts])
@@ -319,9 +318,7 @@ class Coder:
         ranks = self.ranks
 
         @F.pandas_udf(T.StringType())
-        def decoded(batches: Iterator) -> Iterator:
-            import pandas as pd
-
+        def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             tokens = {i: t for t, i in ranks.value["ranks"].items()}
             for column in batches:
                 yield pd.Series(["".join(decode_stream(x if x is not None else (), tokens)) for x in column])
@@ -336,9 +333,7 @@ class Coder:
         ranks, pattern = self.ranks, self.pattern
 
         @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
-        def coded(batches: Iterator) -> Iterator:
-            import pandas as pd
-
+        def coded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             pieces, split, tokens = _coder(ranks, pattern)
             for texts in batches:
                 yield pd.DataFrame([_digests(t or "", pieces, split, tokens) for t in texts], columns=["n_tokens", "ids_sha256", "decoded_sha256"])

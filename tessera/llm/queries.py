@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm import quality
 from tessera.llm.bpe import Coder
 from tessera.llm.common import table
 
@@ -15,5 +16,10 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None
     return coder.round_trip(table(spark, sf_dir, "documents", "doc_id", "text")).drop("text")
 
 
-QUERIES = {"op1_byte_bpe": op1_byte_bpe}
-ORACLES: dict[str, str] = {}
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return judged.select("doc_id", *quality.FEATURES, "base_failed", "failed_rules", "kept")
+
+
+QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op5_quality_rules": op5_quality_rules}
+ORACLES = {"op5_quality_rules": quality.ORACLE}
