@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import quality
+from tessera.llm import quality, secret_scan, url_rules, warc
 from tessera.llm.bpe import Coder
-from tessera.llm.common import table
+from tessera.llm.common import shared_dir, table
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
@@ -16,10 +18,36 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None
     return coder.round_trip(table(spark, sf_dir, "documents", "doc_id", "text")).drop("text")
 
 
+def op2_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_archive(table(spark, sf_dir, "pages"), path, "page_id", "url", "html")
+    stored = warc.read_payloads(spark, path).select("digest", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"))
+    records = warc.with_payloads(warc.read_headers(spark, path), stored)
+    return records.select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("key"), (F.col("quality") == 0).alias("bad"))
+    judged = url_rules.judge(table(spark, sf_dir, "pages", "page_id", "url"), labels)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "mined_rule")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents", "doc_id", "text"))
     return judged.select("doc_id", *quality.FEATURES, "base_failed", "failed_rules", "kept")
 
 
-QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op5_quality_rules": op5_quality_rules}
-ORACLES = {"op5_quality_rules": quality.ORACLE}
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
+    base = F.filter("secret_spans", lambda s: s["kind"] < secret_scan.BASE)
+    count = lambda k: F.size(F.filter("secret_spans", lambda s: s["kind"] == k)).cast("long")
+    return found.select(
+        "doc_id",
+        *(count(k).alias(f"n_{secret_scan.RULES[k].kind}") for k in range(secret_scan.BASE)),
+        F.sha2(secret_scan.listed(base), 256).alias("base_sha256"),
+        secret_scan.listed(F.col("secret_spans")).alias("spans"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_warc_archive, op4_url_filter, op5_quality_rules, op10_secret_scan)}
+ORACLES = {"op2_warc_archive": warc.ORACLE, "op5_quality_rules": quality.ORACLE, "op10_secret_scan": secret_scan.ORACLE}
