@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import quality, secret_scan, url_rules, warc
+from tessera.llm import ngram_join, quality, secret_scan, url_rules, warc
 from tessera.llm.bpe import Coder
 from tessera.llm.common import shared_dir, table
 
@@ -26,6 +26,10 @@ def op2_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("key"), (F.col("quality") == 0).alias("bad"))
     judged = url_rules.judge(table(spark, sf_dir, "pages", "page_id", "url"), labels)
@@ -49,5 +53,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_warc_archive, op4_url_filter, op5_quality_rules, op10_secret_scan)}
-ORACLES = {"op2_warc_archive": warc.ORACLE, "op5_quality_rules": quality.ORACLE, "op10_secret_scan": secret_scan.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_warc_archive, op3_ngram_jaccard, op4_url_filter, op5_quality_rules, op10_secret_scan)}
+ORACLES = {"op2_warc_archive": warc.ORACLE, "op3_ngram_jaccard": ngram_join.ORACLE, "op5_quality_rules": quality.ORACLE, "op10_secret_scan": secret_scan.ORACLE}
