@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ngram_join, quality, secret_scan, url_rules, warc
+from tessera.llm import license_scan, ngram_join, quality, secret_scan, url_rules, warc
 from tessera.llm.bpe import Coder
 from tessera.llm.common import shared_dir, table
 
@@ -41,6 +41,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality.FEATURES, "base_failed", "failed_rules", "kept")
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select("doc_id", F.size("licenses").cast("long").alias("n_lines"), license_scan.listed(F.col("licenses")).alias("licenses"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
     base = F.filter("secret_spans", lambda s: s["kind"] < secret_scan.BASE)
@@ -53,5 +58,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_warc_archive, op3_ngram_jaccard, op4_url_filter, op5_quality_rules, op10_secret_scan)}
-ORACLES = {"op2_warc_archive": warc.ORACLE, "op3_ngram_jaccard": ngram_join.ORACLE, "op5_quality_rules": quality.ORACLE, "op10_secret_scan": secret_scan.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_warc_archive, op3_ngram_jaccard, op4_url_filter, op5_quality_rules, op7_license_scan, op10_secret_scan)}
+ORACLES = {"op2_warc_archive": warc.ORACLE, "op3_ngram_jaccard": ngram_join.ORACLE, "op5_quality_rules": quality.ORACLE, "op7_license_scan": license_scan.ORACLE, "op10_secret_scan": secret_scan.ORACLE}
