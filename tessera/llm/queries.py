@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontam, license_scan, ngram_join, quality, secret_scan, url_rules, warc
+from tessera.llm import decontam, license_scan, ngram_join, quality, secret_scan, toxicity, url_rules, warc
 from tessera.llm.bpe import Coder
 from tessera.llm.common import shared_dir, table
 
@@ -50,6 +50,14 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "toxic")
+    held_out = toxicity.fold(F.col("doc_id")) == 0
+    model = toxicity.train(docs.filter(~held_out), labels.filter(~held_out))
+    scored = model.score(docs).withColumn("held_out", held_out)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
     base = F.filter("secret_spans", lambda s: s["kind"] < secret_scan.BASE)
@@ -62,5 +70,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_warc_archive, op3_ngram_jaccard, op4_url_filter, op5_quality_rules, op7_license_scan, op8_decontamination, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_warc_archive, op3_ngram_jaccard, op4_url_filter, op5_quality_rules, op7_license_scan, op8_decontamination, op9_toxicity, op10_secret_scan)}
 ORACLES = {"op2_warc_archive": warc.ORACLE, "op3_ngram_jaccard": ngram_join.ORACLE, "op5_quality_rules": quality.ORACLE, "op7_license_scan": license_scan.ORACLE, "op10_secret_scan": secret_scan.ORACLE}
