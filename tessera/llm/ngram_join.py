@@ -14,9 +14,10 @@ Steps, each over all documents:
    cells only order the shingles, so collisions cost time, never results).
 2. Keys. Inside a task, documents with an equal key and like size are chained and one of them goes on;
    the shuffle sees a key once for each task and size. Chains give candidate families.
-3. Inside a family, one document of each distinct set is compared with all others of like size, in blocks: a
-   parity bitmap bounds the symmetric difference from below, and exact sets decide. Only links that
-   join two parts leave a block, so no list of pairs arises.
+3. Inside a family, one document of each distinct set is compared with all others of like size, in blocks:
+   first by parity bitmaps of a few bits a shingle, which bound the symmetric difference from below and
+   so break families up without losing a link, then, in what is left, by the sets themselves. Only
+   links that join two parts leave a block, so no list of pairs arises.
 4. Components of the links, carried to all documents by digest.
 
 Shingles are 64-bit hashes; two texts would have to collide in them to change a result. Null texts count as
@@ -51,6 +52,8 @@ FREQUENT, OVER_MEAN = 32, 4
 GROUP = 8
 #: Documents in a block of a family.
 BLOCK = 256
+#: More members than this are joined with their texts by a shuffle, fewer are broadcast (three numbers each).
+BROADCAST_ROWS = 500_000
 #: Keys that a task holds before it passes them on.
 HELD = 1_000_000
 
@@ -63,25 +66,26 @@ def _sets(batch: pa.RecordBatch, k: int) -> Iterator[np.ndarray]:
 
 
 def _statistics(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray, int]:
-    """(id, n, hi, lo) of every row, written; the scale of each count cell; the scale of frequent shingles."""
+    """(id, n, hi, lo, bits) of every row, written; the scale of each count cell; the scale of frequent shingles."""
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(CELLS, np.int64)
         for batch in batches:
-            n, digests = [], []
+            n, digests, bits = [], [], []
             for own in _sets(batch, k):
                 n.append(len(own))
+                bits.append(bitmap(own).tobytes())
                 digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
                 np.add.at(counts, (own & np.uint64(CELLS - 1)).astype(np.int64), 1)
             halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
             empty = pa.nulls(batch.num_rows, pa.int32()), pa.nulls(batch.num_rows, pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), *empty], _STATS)
+            yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(bits, pa.binary()), *empty], _STATS)
         if counts.any():
             parts = [(i, zlib.compress(counts[i * _SLICE : (i + 1) * _SLICE].astype(np.uint32).tobytes(), 1)) for i in range(CELLS // _SLICE)]
-            none = [pa.nulls(len(parts), pa.int64())] * 4
+            none = [*[pa.nulls(len(parts), pa.int64())] * 4, pa.nulls(len(parts), pa.binary())]
             yield pa.RecordBatch.from_arrays([*none, pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts], pa.binary())], _STATS)
 
-    found = written(docs.mapInArrow(measured, "id long, n long, hi long, lo long, slice int, cells binary"), "shingle-sets")
+    found = written(docs.mapInArrow(measured, "id long, n long, hi long, lo long, bits binary, slice int, cells binary"), "shingle-sets")
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
@@ -98,10 +102,10 @@ def _statistics(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray, int]:
     for row in slices:
         scale[row["slice"] * _SLICE : (row["slice"] + 1) * _SLICE] = np.frombuffer(row["scale"], np.uint8)
     mean = sum(row["total"] for row in slices) / CELLS
-    return found.filter("slice IS NULL").select("id", "n", "hi", "lo"), scale, round(_STEPS * math.log2(max(FREQUENT, OVER_MEAN * mean) + 1))
+    return found.filter("slice IS NULL").select("id", "n", "hi", "lo", "bits"), scale, round(_STEPS * math.log2(max(FREQUENT, OVER_MEAN * mean) + 1))
 
 
-_STATS = ["id", "n", "hi", "lo", "slice", "cells"]
+_STATS = ["id", "n", "hi", "lo", "bits", "slice", "cells"]
 
 
 class Threshold:
@@ -202,101 +206,135 @@ def _candidate_edges(docs: DataFrame, k: int, scale: np.ndarray, frequent: int,
     return chained.filter("a IS NOT NULL").select("a", F.col("doc").alias("b"))
 
 
-def _bitmap(own: np.ndarray, bits: int) -> np.ndarray:
-    """Parity bitmap: differing bits never outnumber the symmetric difference."""
-    odd = np.bincount((own >> np.uint64(20)).astype(np.int64) & (bits - 1), minlength=bits) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+def bitmap(own: np.ndarray) -> np.ndarray:
+    """Parity bitmap of a set, of 2 to 4 bits a shingle: differing bits never outnumber the symmetric difference."""
+    width = 64 << (2 * len(own) // 64).bit_length()
+    odd = np.bincount((own >> np.uint64(20)).astype(np.int64) & (width - 1), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
 
 
-def block_links(docs: np.ndarray, side: np.ndarray, sets: list[np.ndarray], threshold: Threshold) -> list[tuple[int, int]]:
-    """Links that connect what is linked among the sets of two blocks (side 0 and 1; side 2: one block, all pairs)."""
-    n = np.array([len(s) for s in sets], np.int64)
-    order = np.lexsort((docs, n))
-    docs, side, sets, n = docs[order], side[order], [sets[i] for i in order], n[order]
-    parent = list(range(len(sets)))
+def _folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """A bitmap brought to fewer words: parities add up."""
+    while len(bits) > words:
+        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+    return bits
 
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
+
+class Block:
+    """Sets of one block (side 2), or of two (sides 0 and 1) of which only pairs across count."""
+
+    def __init__(self, docs: list[int], side: list[int], n: list[int], bits: list[np.ndarray], threshold: Threshold):
+        order = np.lexsort((docs, n))
+        self.order, self.docs, self.side, self.n = order, np.array(docs, np.int64)[order], np.array(side)[order], np.array(n, np.int64)[order]
+        self.bits, self.threshold = [bits[i] for i in order], threshold
+        self.parent = list(range(len(order)))
+
+    def root(self, i: int) -> int:
+        while self.parent[i] != i:
+            self.parent[i] = self.parent[self.parent[i]]
+            i = self.parent[i]
         return i
 
-    width, maps = 0, None
-    until = np.searchsorted(n, 100 * n // threshold.percent, side="right")
-    links = []
-    for i in range(len(sets)):
-        j = np.arange(i + 1, until[i])
-        j = j[(side[j] != side[i]) | (side[j] == 2)]
-        if len(j) > 4:
-            if (wide := 64 << (4 * int(n[i]) // 64).bit_length()) != width:
-                # Sizes rise, so these bitmaps serve all sets up to twice this size and their partners.
-                width, first = wide, i
-                last = np.searchsorted(n, 100 * wide // threshold.percent, side="right")
-                maps = np.stack([_bitmap(s, wide) for s in sets[first:last]])
-            apart = np.bitwise_count(maps[j - first] ^ maps[i - first]).sum(1)
-            j = j[apart <= threshold.most_apart(n[i], n[j])]
-        for x in j.tolist():
-            a, b = root(i), root(x)
-            if a == b:
+    def maybe(self) -> Iterator[tuple[int, int]]:
+        """Pairs, the smaller set first, that sizes and bitmaps let pass."""
+        until = np.searchsorted(self.n, 100 * self.n // self.threshold.percent, side="right")
+        words, first, maps = 0, 0, None
+        for i in range(len(self.n)):
+            j = np.arange(i + 1, until[i])
+            j = j[(self.side[j] != self.side[i]) | (self.side[j] == 2)]
+            if not len(j):
                 continue
-            small, large = sets[i], sets[x]
-            at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-            if threshold.links(len(small), len(large), int((large[at] == small).sum())):
-                parent[b] = a
-                links.append((int(docs[i]), int(docs[x])))
-    return links
+            if len(self.bits[i]) != words:
+                # Sizes rise, so the maps of this width serve all that follow with it, and their partners.
+                words, first = len(self.bits[i]), i
+                same = next((x for x in range(i, len(self.n)) if len(self.bits[x]) != words), len(self.n))
+                maps = np.stack([_folded(b, words) for b in self.bits[i : until[same - 1]]])
+            apart = np.bitwise_count(maps[j - first] ^ maps[i - first]).sum(1)
+            for x in j[apart <= self.threshold.most_apart(self.n[i], self.n[j])].tolist():
+                yield i, x
 
+    def spanning(self, linked) -> list[tuple[int, int]]:
+        """Links (of those for which ``linked`` holds) that connect what all of them connect."""
+        links = []
+        for i, x in self.maybe():
+            a, b = self.root(i), self.root(x)
+            if a != b and linked(i, x):
+                self.parent[b] = a
+                links.append((int(self.docs[i]), int(self.docs[x])))
+        return links
 
-def _verified_links(docs: DataFrame, members: DataFrame, k: int, threshold: Threshold) -> DataFrame:
-    """(a, b) among the members (id, family, blocks) of candidate families."""
 
-    def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = pa.array([s.tobytes() for s in _sets(batch, k)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("family"), batch.column("blocks"), batch.column("block"), own], ["id", "family", "blocks", "block", "own"])
+def exact_links(block: Block, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    sets = [sets[i] for i in block.order]
 
+    def linked(i: int, x: int) -> bool:
+        small, large = sets[i], sets[x]
+        at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+        return block.threshold.links(len(small), len(large), int((large[at] == small).sum()))
+
+    return block.spanning(linked)
+
+
+def _in_blocks(members: DataFrame, value: str, threshold: Threshold, exact: bool) -> DataFrame:
+    """(a, b) between members (id, family, blocks, n, ``value``: bitmap or set) of the same family."""
     placed = members.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    sets = docs.join(placed, "id").select("id", "family", "blocks", "block", "text").mapInArrow(as_sets, "id long, family long, blocks int, block int, own binary")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    paired = sets.withColumn("other", other).select("family", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "id", "own")
+    paired = placed.withColumn("other", other).select("family", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "id", F.col(value).alias("value"), "n")
+
+    def finish(now: tuple, held: list) -> pa.RecordBatch:
+        _, x, y = now
+        values = [np.frombuffer(h[2], np.uint64) for h in held]
+        block = Block([h[1] for h in held], [2 if x == y else int(h[0] == y) for h in held], [h[3] for h in held], [bitmap(v) for v in values] if exact else values, threshold)
+        links = exact_links(block, values) if exact else block.spanning(lambda i, x: True)
+        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in links], pa.int64()), pa.array([p[1] for p in links], pa.int64())], ["a", "b"])
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
-
-        def finish() -> pa.RecordBatch:
-            _, x, y = now
-            side = np.array([2 if x == y else int(h[0] == y) for h in held])
-            links = block_links(np.array([h[1] for h in held], np.int64), side, [np.frombuffer(h[2], np.uint64) for h in held], threshold)
-            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in links], pa.int64()), pa.array([p[1] for p in links], pa.int64())], ["a", "b"])
-
         for batch in batches:
-            for family, x, y, block, doc, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for family, x, y, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (family, x, y) != now:
                     if len(held) > 1:
-                        yield finish()
+                        yield finish(now, held)
                     now, held = (family, x, y), []
-                held.append((block, doc, own))
+                held.append(row)
         if len(held) > 1:
-            yield finish()
+            yield finish(now, held)
 
     return paired.repartition("family", "x", "y").sortWithinPartitions("family", "x", "y").mapInArrow(compared, "a long, b long")
 
 
+def _members(sets: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, family, blocks) of the sets (id) in the components of ``edges`` that hold two of them or more; written."""
+    family = written(components(edges).select(F.col("node").alias("id"), F.col("component").alias("family")), "families")
+    distinct = written(sets.select("id").join(family, "id"), "members")
+    sizes = written(distinct.groupBy("family").agg(F.count("*").alias("m")).filter("m > 1"), "sizes")
+    return written(distinct.join(sizes, "family").select("id", "family", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "members")
+
+
+def _with_sets(docs: DataFrame, members: DataFrame, k: int) -> DataFrame:
+    """The members with their sets (``own``), made anew from the texts."""
+
+    def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = list(_sets(batch, k))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "family", "blocks")), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "family", "blocks", "n", "own"])
+
+    chosen = F.broadcast(members) if members.count() <= BROADCAST_ROWS else members
+    return docs.join(chosen, "id").select("id", "family", "blocks", "text").mapInArrow(as_sets, "id long, family long, blocks int, n long, own binary")
+
+
 def link(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
     """(``key``, n_shingles, component_id) of every row of ``docs``; ``key`` is whole numbers."""
     small_batches(docs.sparkSession, 512)
     threshold = Threshold(percent)
     source = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     stats, scale, frequent = _statistics(source, k)
-    family = written(components(_candidate_edges(source, k, scale, frequent, threshold)), "families")
-
     # One document of each distinct set; families with one set need no comparison.
     classes = written(stats.filter("n > 0 AND id IS NOT NULL").groupBy("hi", "lo").agg(F.min("id").alias("id")), "sets")
-    distinct = written(classes.select("id").join(family.withColumnRenamed("node", "id"), "id").select("id", F.col("component").alias("family")), "members")
-    sizes = written(distinct.groupBy("family").agg(F.count("*").alias("m")).filter("m > 1"), "sizes")
-    members = written(distinct.join(sizes, "family").select("id", "family", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "members")
-
-    links = written(_verified_links(source, members, k, threshold), "links")
+    candidates = _members(classes, _candidate_edges(source, k, scale, frequent, threshold))
+    near = _in_blocks(stats.select("id", "n", "bits").join(candidates, "id"), "bits", threshold, exact=False)
+    likely = _members(classes, near)
+    links = written(_in_blocks(_with_sets(source, likely, k), "own", threshold, exact=True), "links")
     linked = components(links).withColumnRenamed("node", "id")
     placed = written(classes.join(linked, "id", "left").select("hi", "lo", F.coalesce("component", "id").alias("component")), "placed")
     own = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
