@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontam, license_scan, ngram_join, quality, secret_scan, toxicity, url_rules, warc
+from tessera.llm import ctw, decontam, license_scan, ngram_join, quality, secret_scan, toxicity, url_rules, warc
 from tessera.llm.bpe import Coder
 from tessera.llm.common import shared_dir, table
 
@@ -41,6 +41,13 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality.FEATURES, "base_failed", "failed_rules", "kept")
 
 
+def op6_ctw_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    held_out = lambda key: F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 1
+    model, counts = ctw.train(docs.filter(~held_out(F.col("doc_id"))).select("text"))
+    return ctw.score(docs, model, counts).withColumn("held_out", held_out(F.col("doc_id")))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
     return found.select("doc_id", F.size("licenses").cast("long").alias("n_lines"), license_scan.listed(F.col("licenses")).alias("licenses"))
@@ -70,5 +77,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_warc_archive, op3_ngram_jaccard, op4_url_filter, op5_quality_rules, op7_license_scan, op8_decontamination, op9_toxicity, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_warc_archive, op3_ngram_jaccard, op4_url_filter, op5_quality_rules, op6_ctw_score, op7_license_scan, op8_decontamination, op9_toxicity, op10_secret_scan)}
 ORACLES = {"op2_warc_archive": warc.ORACLE, "op3_ngram_jaccard": ngram_join.ORACLE, "op5_quality_rules": quality.ORACLE, "op7_license_scan": license_scan.ORACLE, "op10_secret_scan": secret_scan.ORACLE}
