@@ -1,14 +1,53 @@
-"""The corpus pipeline: documents through the stages, each written and read again."""
+"""The corpus pipeline: documents through quality rules, deduplication, decontamination, redaction and tokens."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tessera.llm import decontam, ngram_join, quality, secret_scan
+from tessera.llm.bpe import Coder
 from tessera.llm.common import table, written
 
-STAGES: list = []
 
-#: SQL can't express the byte-level BPE of the last stage; the tests hold the stages against brute force.
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules reject go."""
+    return quality.keep_good(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays: five-word shingles, a similarity of 0.8 or more."""
+    return ngram_join.keep_one(docs, k=5, percent=80)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold an item of the benchmark go."""
+    return decontam.drop_leaking(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in the texts are replaced by a mark; n_chars is counted again."""
+    return secret_scan.redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document with its token ids, their number, and whether decoding them gives its text again."""
+    coder = Coder(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    coded = coder.decode(coder.encode(docs, ids="ids"), "ids", "_decoded")
+    return coded.withColumns({"n_tokens": F.size("ids").cast("long"), "decoded_ok": F.coalesce("text", F.lit("")) == F.col("_decoded")}).drop("_decoded")
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("secret_redaction", secret_redaction),
+    ("byte_bpe", byte_bpe),
+]
+
+#: SQL can't express the alignment of the third stage nor the byte-level BPE of the last; the tests hold
+#: the stages against brute force.
 ORACLE_SQL = None
 
 

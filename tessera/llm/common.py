@@ -8,6 +8,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: White space of the word pattern ``[^\x20\x09-\x0D]+`` (ASCII only, so bytes suffice).
 SPACE = np.zeros(256, bool)
@@ -52,6 +53,18 @@ def drop_written(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: More ids than this are joined by a shuffle, fewer are broadcast.
+BROADCAST_IDS = 500_000
+
+
+def without(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows of ``docs`` whose ``key`` isn't in the one column of ``ids``; rows with a null key stay."""
+    ids = written(ids.toDF("_drop").filter("_drop IS NOT NULL").distinct(), "ids")
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return docs.join(ids, F.col(key) == F.col("_drop"), "left_anti")
+
+
 def small_batches(spark: SparkSession, rows: int = 1024) -> None:
     """Bound the rows of one Arrow batch, so that a batch of long texts fits a worker's memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import shingle_hashes, small_batches, text_bytes, word_hashes, written
+from tessera.llm.common import shingle_hashes, small_batches, text_bytes, without, word_hashes
 
 SEED_WORDS = 3
 LEAST_SEEDS = 8
@@ -215,5 +215,4 @@ def _block_leaks(source: DataFrame, items: DataFrame, n_docs: int, threshold: fl
 
 def drop_leaking(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """The rows of ``docs`` whose id holds no item; rows with a null id stay."""
-    bad = written(leaks(docs, items, key, text, **how).select(F.col(key).alias("_drop")).distinct(), "leaks")
-    return docs.join(bad, F.col(key) == F.col("_drop"), "left_anti")
+    return without(docs, leaks(docs, items, key, text, **how).select(key), key)

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import mix, shingle_hashes, small_batches, text_bytes, word_hashes, written
+from tessera.llm.common import mix, shingle_hashes, small_batches, text_bytes, without, word_hashes, written
 from tessera.llm.components import components
 
 #: Cells of the count table; one byte each is broadcast.
@@ -342,9 +342,13 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, p
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
-    """The rows of ``docs`` whose id is the least of its component; repeated rows of it and null ids stay."""
-    out = link(docs, key, text, k, percent).filter(F.col(key) != F.col("component_id")).select(F.col(key).alias("_drop")).distinct()
-    return docs.join(written(out, "copies"), F.col(key) == F.col("_drop"), "left_anti")
+    """One row of ``docs`` for each component: that of the least id. Rows with a null id stay."""
+    kept = without(docs, link(docs, key, text, k, percent).filter(F.col(key) != F.col("component_id")).select(key), key)
+    again = written(kept.groupBy(key).agg(F.count("*").alias("n")).filter(F.col(key).isNotNull() & (F.col("n") > 1)).select(key), "repeated")
+    if again.isEmpty():
+        return kept
+    # Rows that repeat an id are few or equal; only they are shuffled.
+    return without(kept, again, key).unionByName(kept.join(again, key, "left_semi").dropDuplicates([key]))
 
 
 ORACLE = r"""
