@@ -1,43 +1,67 @@
-"""Connected components of an edge table."""
+"""Connected components of an edge table, by contraction."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import drop_written, written
 
+#: Nodes that a task holds before it passes their trees on.
+HELD = 2_000_000
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root) of the trees that a task's own edges make; a root is the least node of its tree and has a row."""
+    parent: dict[int, int] = {}
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    def trees() -> pa.RecordBatch:
+        nodes = list(parent)
+        return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(i) for i in nodes], pa.int64())], ["node", "root"])
+
+    for batch in batches:
+        for a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            parent.setdefault(a, a)
+            parent.setdefault(b, b)
+            a, b = root(a), root(b)
+            parent[max(a, b)] = min(a, b)
+        if len(parent) >= HELD:
+            yield trees()
+            parent.clear()
+    yield trees()
+
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component): the least node that each node of ``edges`` (a, b: long) is connected with.
-
-    Alternates the large-star and small-star steps (Kiveris et al., "Connected Components in
-    MapReduce and Beyond") until nothing changes: a logarithmic number of rounds, each a grouped
-    minimum, which is combined before the shuffle, and a join with it. Both sides of the joins are tables in
-    the shared folder: adaptive execution can then split the key of a large component's centre, and a
-    lost executor costs one step at most. Loops, repeated edges and edges with a null end are
-    allowed and count for nothing; a node without other neighbours has no row.
+    """(node, component): the least node that each node of ``edges`` (a, b: long) is connected with; written.
+
+    Each task first joins its own edges to trees, so a node leaves a task once, however many edges it
+    has. Where trees of several tasks share a node, their roots are linked; these fewer links are
+    solved the same way until no task shares any, and the labels are carried back. The grouping by node sees a
+    node at most once for each task; the joins by root have tables on both sides, so adaptive execution
+    can split a large component. Every step is written to the shared folder, so a lost
+    executor costs one step at most. Loops, repeated edges and edges with a null end count for nothing;
+    a node without other neighbours has no row.
     """
-    now = written(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    mark = None
-    while (seen := _mark(now)) != mark:
-        mark = seen
-        # Large star: every larger neighbour goes to the least of the neighbourhood.
-        turned = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = written(turned.groupBy("a").agg(F.min("b").alias("least")), "least")
-        # A node's smaller neighbours have it among their larger ones, so each edge is met from its smaller end.
-        large = written(now.select(F.col("a").alias("b"), F.col("b").alias("a")).join(least, "a").select(F.col("b").alias("a"), F.least("least", "a").alias("b")).distinct(), "edges")
-        # Small star: every smaller neighbour and the node itself go to the least of them.
-        own = written(large.groupBy("a").agg(F.min("b").alias("least")), "least")
-        down = large.join(own, "a").select(F.col("b").alias("a"), F.col("least").alias("b")).filter("a != b")
-        small = written(down.unionByName(own.select("a", F.col("least").alias("b"))).distinct(), "edges")
-        for used in (now, least, large, own):
-            drop_written(used)
-        now = small
-    # At rest every node has one edge, to its component's least node.
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
-
-
-def _mark(edges: DataFrame) -> tuple:
-    """A checksum of a set of edges."""
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a").cast("decimal(20,0)"))).first())
+    return _contracted(edges.select("a", "b").filter("a != b"))
+
+
+def _contracted(edges: DataFrame) -> DataFrame:
+    forest = edges.mapInArrow(_forest, "node long, root long")
+    met = written(forest.groupBy("node").agg(F.min("root").alias("low"), F.collect_set("root").alias("roots")), "trees")
+    between = met.filter(F.size("roots") > 1).select(F.explode("roots").alias("a"), F.col("low").alias("b")).filter("a != b")
+    if between.isEmpty():
+        return met.select("node", F.col("low").alias("component"))
+    above = _contracted(between).withColumnRenamed("node", "low")
+    out = written(met.select("node", "low").join(above, "low", "left").select("node", F.coalesce("component", "low").alias("component")), "components")
+    drop_written(met)
+    drop_written(above)
+    return out
