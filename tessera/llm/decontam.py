@@ -1,7 +1,7 @@
 """Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment scores them.
 
 Words are lower-cased runs without ASCII blanks and punctuation. The seeds of a test item are its word
-trigrams; of these its rarest half stays (by the number of training documents that hold them, at least
+trigrams; of these its rarest three quarters stay (by the number of training documents that hold them, at least
 ``LEAST_SEEDS``), and every one that few documents hold. The choice is made inside each item, so a passage that
 a large part of the corpus holds keeps its seeds. Where a document holds two seeds of an item close
 together (one, if the item has no more), the words around them are aligned with the whole item. The score
@@ -28,8 +28,8 @@ from tessera.llm.common import shingle_hashes, small_batches, text_bytes, withou
 
 SEED_WORDS = 3
 LEAST_SEEDS = 8
-#: A seed that no more than this share of the documents holds is always kept.
-RARE_SHARE = 0.001
+#: A seed that no more than so many documents hold, or this share of them, is always kept.
+RARE_DOCUMENTS, RARE_SHARE = 100, 0.001
 #: The least share of a perfect alignment.
 THRESHOLD = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -113,7 +113,7 @@ def _block(ids: list[int], texts: list[str], kept: dict[int, set[int]] | None =
 
 
 def _chosen(block: Block, held: dict[int, int], n_docs: int) -> dict[int, set[int]]:
-    """For each item its rare seeds: the rarest half, at least LEAST_SEEDS, and all that few documents hold."""
+    """For each item its rare seeds: the rarest three quarters, at least LEAST_SEEDS, and all that few documents hold."""
     own: dict[int, set[int]] = {i: set() for i in range(len(block.ids))}
     for s, seed in enumerate(block.seeds.tolist()):
         for i in set(block.item[block.starts[s] : block.starts[s + 1]].tolist()):
@@ -121,8 +121,8 @@ def _chosen(block: Block, held: dict[int, int], n_docs: int) -> dict[int, set[in
     chosen = {}
     for i, seeds in own.items():
         ranked = sorted(seeds, key=lambda x: (held.get(x, 0), x))
-        keep = max(LEAST_SEEDS, -(-len(ranked) // 2))
-        chosen[i] = set(ranked[:keep]) | {x for x in ranked if held.get(x, 0) <= RARE_SHARE * n_docs}
+        keep = max(LEAST_SEEDS, -(-3 * len(ranked) // 4))
+        chosen[i] = set(ranked[:keep]) | {x for x in ranked if held.get(x, 0) <= max(RARE_DOCUMENTS, RARE_SHARE * n_docs)}
     return chosen
 
 
