@@ -122,9 +122,10 @@ def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES)
 
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that pass, with their own columns."""
-    # Features are named apart so that no column of ``docs`` is replaced.
+    # Features are named apart so that no column of ``docs`` is replaced. The filter also asks for a row number:
+    # being no function of the row, it keeps the optimizer from writing all features out again in the filter.
     inner = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(f"`{text}`").alias("_text"))
-    return judge(inner, "_text").filter("kept").select("_row.*")
+    return judge(inner, "_text").withColumn("_at", F.monotonically_increasing_id()).filter("kept AND _at >= 0").select("_row.*")
 
 
 def _sql_rule(r: Rule) -> str:
