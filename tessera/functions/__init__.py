@@ -1 +1 @@
-"""See the modules of this folder."""
+"""Column functions: exact money, durations, dates, text keys, redaction and hashes. No user functions."""

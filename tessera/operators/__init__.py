@@ -1 +1 @@
-"""See the modules of this folder."""
+"""Operators from DataFrames to DataFrames: overlays, matching, reconciliation, loads, cash and reports."""
