@@ -10,7 +10,7 @@ are indexed singly. A pair over the threshold shares an indexed key.
 
 Steps, each over all documents:
 
-1. Sizes, set digests and a table of hashed shingle counts of a fixed size (a one-row count-min sketch; its
+1. Sizes, set digests and a table of hashed shingle counts of bounded size (a one-row count-min sketch; its
    cells only order the shingles, so collisions cost time, never results).
 2. Keys. Inside a task, documents with an equal key and like size are chained and one of them goes on;
    the shuffle sees a key once for each task and size. Chains give candidate families.
@@ -41,9 +41,9 @@ from pyspark.sql import functions as F
 from tessera.llm.common import mix, shingle_hashes, small_batches, text_bytes, without, word_hashes, written
 from tessera.llm.components import components
 
-#: Cells of the count table; one byte each is broadcast.
-CELLS = 1 << 22
-_SLICE = 1 << 12
+#: Cells of the count table for each document, and the least and largest number of cells; one byte each is broadcast.
+CELLS_PER_DOCUMENT, LEAST_CELLS, MOST_CELLS = 64, 1 << 20, 1 << 26
+_SLICE = 1 << 14
 #: Steps of the count scale for each doubling.
 _STEPS = 8
 #: A shingle is frequent from this count on, or from this many times the mean of a cell.
@@ -68,20 +68,24 @@ def _sets(batch: pa.RecordBatch, k: int) -> Iterator[np.ndarray]:
 def _statistics(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray, int]:
     """(id, n, hi, lo, bits) of every row, written; the scale of each count cell; the scale of frequent shingles."""
 
+    cells = min(MOST_CELLS, max(LEAST_CELLS, 1 << (CELLS_PER_DOCUMENT * docs.count()).bit_length()))
+
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(CELLS, np.int64)
+        counts = np.zeros(cells, np.uint32)
         for batch in batches:
             n, digests, bits = [], [], []
             for own in _sets(batch, k):
                 n.append(len(own))
                 bits.append(bitmap(own).tobytes())
                 digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
-                np.add.at(counts, (own & np.uint64(CELLS - 1)).astype(np.int64), 1)
+                np.add.at(counts, (own & np.uint64(cells - 1)).astype(np.int64), 1)
             halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
             empty = pa.nulls(batch.num_rows, pa.int32()), pa.nulls(batch.num_rows, pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(bits, pa.binary()), *empty], _STATS)
         if counts.any():
-            parts = [(i, zlib.compress(counts[i * _SLICE : (i + 1) * _SLICE].astype(np.uint32).tobytes(), 1)) for i in range(CELLS // _SLICE)]
+            # Byte by byte of the counts: the high ones are nearly all zero.
+            planes = lambda x: x.view(np.uint8).reshape(-1, 4).T.tobytes()
+            parts = [(i, zlib.compress(planes(counts[i * _SLICE : (i + 1) * _SLICE]), 1)) for i in range(cells // _SLICE)]
             none = [*[pa.nulls(len(parts), pa.int64())] * 4, pa.nulls(len(parts), pa.binary())]
             yield pa.RecordBatch.from_arrays([*none, pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts], pa.binary())], _STATS)
 
@@ -90,18 +94,18 @@ def _statistics(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray, int]:
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for i, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for i, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 total.setdefault(i, np.zeros(_SLICE, np.int64))
-                total[i] += np.frombuffer(zlib.decompress(cells), np.uint32)
+                total[i] += np.frombuffer(zlib.decompress(part), np.uint8).reshape(4, -1).T.copy().view(np.uint32)[:, 0]
         scale = [np.round(_STEPS * np.log2(x + 1)).astype(np.uint8).tobytes() for x in total.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(scale, pa.binary()), pa.array([int(x.sum()) for x in total.values()], pa.int64())], ["slice", "scale", "total"])
 
-    # CELLS bytes in all, whatever the data.
+    # A byte a cell in all.
     slices = found.filter("slice IS NOT NULL").select("slice", "cells").repartition("slice").mapInArrow(summed, "slice int, scale binary, total long").collect()
-    scale = np.zeros(CELLS, np.uint8)
+    scale = np.zeros(cells, np.uint8)
     for row in slices:
         scale[row["slice"] * _SLICE : (row["slice"] + 1) * _SLICE] = np.frombuffer(row["scale"], np.uint8)
-    mean = sum(row["total"] for row in slices) / CELLS
+    mean = sum(row["total"] for row in slices) / cells
     return found.filter("slice IS NULL").select("id", "n", "hi", "lo", "bits"), scale, round(_STEPS * math.log2(max(FREQUENT, OVER_MEAN * mean) + 1))
 
 
