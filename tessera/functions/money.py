@@ -40,7 +40,7 @@ def scale_of(text: Column) -> Column:
 
 def brl_cents(text: Column) -> Column:
     """Cents of an unsigned amount written grouped, with a comma or with a point; null where it is none."""
-    bare = F.regexp_replace(F.trim(text), r"^R\$\s*", "")
+    bare = F.regexp_replace(text, r"(?i)R\$|\s", "")
     digits = (
         F.when(bare.rlike(r"^\d{1,3}(\.\d{3})+(,\d{1,2})?$"), F.replace(F.replace(bare, F.lit("."), F.lit("")), F.lit(","), F.lit(".")))
         .when(bare.rlike(r"^\d+,\d{1,2}$"), F.replace(bare, F.lit(","), F.lit(".")))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.storage import drop_written, written
+
 #: What decisions a conflict allows.
 ALLOWED = {"PROTECTED_LAYER": ("link", "keep", "reject"), "DISREGARDED": ("reject",), "NO_CANDIDATE": ("link", "create", "reject"), "MULTIPLE": ("link", "create", "reject"), "DUPLICATE_TARGET": ("link", "create", "reject")}
 #: Keys of payloads that matching reserves.
@@ -140,3 +142,58 @@ def metrics(records: DataFrame, classified: DataFrame, value: str, record_value:
     created = classified.filter("category = 'created'").select(F.col(value).alias("value"))
     both = kept.unionByName(created)
     return both.agg(F.count("*").alias("n_sources"), F.count("value").alias("n_values"), F.sum("value").alias("total"))
+
+
+def fold_decisions(lines: DataFrame, decisions: DataFrame, records: DataFrame, matches: DataFrame, last: int) -> DataFrame:
+    """Lines after every revision of decisions up to ``last``, in their order.
+
+    The order matters: a decision stands only if its line waits in a conflict then, and a target that an
+    accepted line took makes the next one on it a conflict. Each revision is one step over all lines; a
+    revision holds one decision a line (the later by id).
+    """
+    state = written(classify(lines, matches, records), "fold").withColumn("decided_at", F.lit(0))
+    held = records.select(F.col("record").alias("target"), F.col("state").alias("_state"))
+    for revision in range(1, last + 1):
+        now = resolve_decisions(decisions.filter(F.col("revision") == revision)).select("line", F.col("outcome").alias("_outcome"), F.col("record").alias("_record"))
+        open_ = check_decisions(now.select("line", F.col("_outcome").alias("outcome"), "_record"), state).filter("verdict = 'applied'").select("line", F.col("outcome").alias("_outcome"), "_record")
+        out = state.join(open_, "line", "left")
+        hit = F.col("_outcome").isNotNull()
+        target = F.when(F.col("_outcome") == "link", F.col("_record")).when(F.col("_outcome") == "create", None).otherwise(F.col("target"))
+        out = out.withColumns({"target": F.when(hit, target).otherwise(F.col("target")), "outcome": F.when(hit, F.col("_outcome")).otherwise(F.col("outcome")), "decided_at": F.when(hit, revision).otherwise(F.col("decided_at"))})
+        # What a link leads to must be there and not be disregarded; otherwise the conflict stays.
+        out = out.join(held, "target", "left")
+        category = F.when(F.col("_outcome") == "reject", "rejected").when(F.col("_outcome") == "keep", "kept").when(F.col("_outcome") == "create", "created").when(F.coalesce(F.col("_state"), F.lit("")) == "active", "updated").otherwise("conflict")
+        conflict = F.when((F.col("_outcome") == "link") & F.col("_state").isNull(), "NO_CANDIDATE").when((F.col("_outcome") == "link") & (F.col("_state") == "disregarded"), "DISREGARDED")
+        out = out.withColumns({"category": F.when(hit, category).otherwise(F.col("category")), "conflict": F.when(hit, conflict).otherwise(F.col("conflict"))})
+        # Members of a bucket: accepted lines, and lines that wait in it already.
+        member = (F.col("category").isin("unchanged", "updated", "kept") | (F.col("conflict") == "DUPLICATE_TARGET")) & F.col("target").isNotNull()
+        twice = out.filter(member).groupBy("target").agg(F.count("*").alias("_n")).filter("_n > 1")
+        out = out.join(twice, "target", "left")
+        clash = member & F.col("_n").isNotNull()
+        out = out.withColumns({"conflict": F.when(clash, "DUPLICATE_TARGET").otherwise(F.col("conflict")), "category": F.when(clash, "conflict").otherwise(F.col("category"))})
+        before, state = state, written(out.drop("_outcome", "_record", "_state", "_n"), "fold")
+        if revision > 1:
+            drop_written(before)
+    return state
+
+
+def decision_delta(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Lines on which two materialisations differ: (line, from_category, to_category, from_target, to_target)."""
+    side = lambda df, p: df.select("line", *(F.col(c).alias(f"{p}_{c}") for c in ("category", "target")))
+    both = side(before, "from").join(side(after, "to"), "line", "full")
+    return both.filter(~F.struct("from_category", "from_target").eqNullSafe(F.struct("to_category", "to_target")))
+
+
+def apply_gates(classified: DataFrame, base_version: int, current_version: int) -> DataFrame:
+    """(gate, holds) that must all hold before a batch is applied."""
+    accepted = F.col("category").isin("unchanged", "updated", "kept")
+    targets = classified.filter(accepted & F.col("target").isNotNull()).groupBy("target").count().filter("count > 1")
+    waiting = classified.agg((F.count_if(F.col("category") == "conflict") == 0).alias("holds")).select(F.lit("nothing_waits").alias("gate"), "holds")
+    unique = targets.agg((F.count("*") == 0).alias("holds")).select(F.lit("unique_targets").alias("gate"), "holds")
+    version = classified.sparkSession.range(1).select(F.lit("base_version").alias("gate"), F.lit(base_version == current_version).alias("holds"))
+    return waiting.unionByName(unique).unionByName(version)
+
+
+def append_events(ledger: DataFrame, made: DataFrame) -> DataFrame:
+    """Events of a batch that the ledger doesn't hold yet: a replayed batch appends none."""
+    return made.dropDuplicates(["event_id"]).join(ledger.select("event_id"), "event_id", "left_anti")

@@ -1 +1 @@
-"""See the modules of this folder."""
+"""Sources and sinks. A file is read by one task under a budget; what a file breaks becomes a row with an issue."""
