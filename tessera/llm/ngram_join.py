@@ -11,7 +11,9 @@ are indexed singly. A pair over the threshold shares an indexed key.
 Steps, each over all documents:
 
 1. Sizes, set digests and a table of hashed shingle counts of bounded size (a one-row count-min sketch; its
-   cells only order the shingles, so collisions cost time, never results).
+   cells order the shingles, so collisions cost time, never results). A cell that one document alone
+   reached proves its shingles to be in no other: they make no key, and a document with more of them than
+   ``slack`` has no partner and no keys at all.
 2. Keys. Inside a task, documents with an equal key and like size are chained and one of them goes on;
    the shuffle sees a key once for each task and size. Chains give candidate families.
 3. Inside a family, one document of each distinct set is compared with all others of like size, in blocks:
@@ -41,11 +43,14 @@ from pyspark.sql import functions as F
 from tessera.llm.common import mix, shingle_hashes, small_batches, text_bytes, without, word_hashes, written
 from tessera.llm.components import components
 
-#: Cells of the count table for each document, and the least and largest number of cells; one byte each is broadcast.
-CELLS_PER_DOCUMENT, LEAST_CELLS, MOST_CELLS = 64, 1 << 20, 1 << 26
+#: Cells of the count table for each document, and the least and largest number of cells; a byte each in a task and in the broadcast.
+CELLS_PER_DOCUMENT, LEAST_CELLS, MOST_CELLS = 256, 1 << 20, 1 << 27
+#: A task counts no further than this in a cell.
+MOST_COUNT = 255
 _SLICE = 1 << 14
-#: Steps of the count scale for each doubling.
+#: Steps of the count scale for each doubling, and the scale of a count of one.
 _STEPS = 8
+ALONE = _STEPS
 #: A shingle is frequent from this count on, or from this many times the mean of a cell.
 FREQUENT, OVER_MEAN = 32, 4
 #: Frequent shingles of a prefix that share a group, about.
@@ -71,21 +76,22 @@ def _statistics(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray, int]:
     cells = min(MOST_CELLS, max(LEAST_CELLS, 1 << (CELLS_PER_DOCUMENT * docs.count()).bit_length()))
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(cells, np.uint32)
+        counts = np.zeros(cells, np.uint8)
         for batch in batches:
             n, digests, bits = [], [], []
             for own in _sets(batch, k):
                 n.append(len(own))
                 bits.append(bitmap(own).tobytes())
                 digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
-                np.add.at(counts, (own & np.uint64(cells - 1)).astype(np.int64), 1)
+                # A document counts once in a cell, whichever of its shingles meet there.
+                at = (own & np.uint64(cells - 1)).astype(np.int64)
+                counts[at] = np.minimum(counts[at], MOST_COUNT - 1) + 1
             halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
             empty = pa.nulls(batch.num_rows, pa.int32()), pa.nulls(batch.num_rows, pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(bits, pa.binary()), *empty], _STATS)
         if counts.any():
-            # Byte by byte of the counts: the high ones are nearly all zero.
-            planes = lambda x: x.view(np.uint8).reshape(-1, 4).T.tobytes()
-            parts = [(i, zlib.compress(planes(counts[i * _SLICE : (i + 1) * _SLICE]), 1)) for i in range(cells // _SLICE)]
+            reached = np.flatnonzero(counts.reshape(-1, _SLICE).any(1)).tolist()
+            parts = [(i, zlib.compress(counts[i * _SLICE : (i + 1) * _SLICE].tobytes(), 1)) for i in reached]
             none = [*[pa.nulls(len(parts), pa.int64())] * 4, pa.nulls(len(parts), pa.binary())]
             yield pa.RecordBatch.from_arrays([*none, pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts], pa.binary())], _STATS)
 
@@ -95,8 +101,8 @@ def _statistics(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray, int]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for i, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                total.setdefault(i, np.zeros(_SLICE, np.int64))
-                total[i] += np.frombuffer(zlib.decompress(part), np.uint8).reshape(4, -1).T.copy().view(np.uint32)[:, 0]
+                total.setdefault(i, np.zeros(_SLICE, np.int32))
+                total[i] += np.frombuffer(zlib.decompress(part), np.uint8)
         scale = [np.round(_STEPS * np.log2(x + 1)).astype(np.uint8).tobytes() for x in total.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(scale, pa.binary()), pa.array([int(x.sum()) for x in total.values()], pa.int64())], ["slice", "scale", "total"])
 
@@ -144,10 +150,10 @@ def keys(own: np.ndarray, scale: np.ndarray, frequent: int, threshold: Threshold
     slack = threshold.slack(len(own))
     level = scale[(own & np.uint64(len(scale) - 1)).astype(np.int64)]
     order = np.argsort(level, kind="stable")
-    ordered, rare = own[order], int((level < frequent).sum())
+    ordered, alone, rare = own[order], int((level <= ALONE).sum()), int((level < frequent).sum())
     if rare > slack:
-        return ordered[: slack + 1]
-    found, rest = [ordered[:rare]], ordered[rare:]
+        return ordered[alone : slack + 1]
+    found, rest = [ordered[alone:rare]], ordered[rare:]
     for size in threshold.classes(len(own)):
         groups = max(1, ((1 << (size - 1)) * (100 - threshold.percent) // 100) // GROUP)
         group = mix(rest) % np.uint64(groups)
@@ -194,6 +200,8 @@ def _candidate_edges(docs: DataFrame, k: int, scale: np.ndarray, frequent: int,
                 if doc is None or not len(own):
                     continue
                 found = keys(own, shared.value, frequent, threshold)
+                if not len(found):
+                    continue
                 held.append((found, doc, threshold.size_bin(len(own))))
                 count += len(found)
                 if count >= HELD:

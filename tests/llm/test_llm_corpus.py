@@ -92,13 +92,23 @@ def test_ngram_keys_meet_for_every_linked_pair():
         shared = len(np.intersect1d(base, other))
         if not len(other) or not threshold.links(len(base), len(other), shared):
             continue
-        scale = rng.choice([8, 60], 1 << 10, p=(p := rng.random()) * np.array([1, -1]) + np.array([0, 1])).astype(np.uint8)
+        scale = rng.choice([ngram_join.ALONE + 5, 60], 1 << 10, p=(p := rng.random()) * np.array([1, -1]) + np.array([0, 1])).astype(np.uint8)
         a, b = (ngram_join.keys(x, scale, 40, threshold) for x in (base, other))
         assert len(np.intersect1d(a, b)), (len(base), len(other), shared)
         assert abs(threshold.size_bin(len(base)) - threshold.size_bin(len(other))) <= 1
         assert len(a) <= 16 * len(base) + 16
 
 
+def test_ngram_shingles_of_one_document_make_no_keys():
+    threshold, own = ngram_join.Threshold(85), np.arange(100, dtype=np.uint64)
+    scale = np.full(128, ngram_join.ALONE + 5, np.uint8)
+    assert len(ngram_join.keys(own, scale, 40, threshold)) == 16
+    scale[:10] = ngram_join.ALONE
+    assert len(ngram_join.keys(own, scale, 40, threshold)) == 6
+    scale[:16] = ngram_join.ALONE
+    assert not len(ngram_join.keys(own, scale, 40, threshold))
+
+
 def test_keep_one(spark):
     texts = near_copies(random.Random(9), 60)
     kept = ngram_join.keep_one(frame(spark, texts))
