@@ -119,3 +119,64 @@ def sheet_sum(rows: DataFrame, group: str, text: str) -> DataFrame:
     sums = rows.groupBy(group).agg(F.sum(value).cast("decimal(38,16)").alias("_sum"), scale.alias("scale"), F.count(value).alias("n"))
     shown = F.col("_sum").cast("string")
     return sums.select(group, F.when(F.col("scale") == 0, F.regexp_replace(shown, r"\..*$", "")).otherwise(F.substring(shown, F.lit(1), F.length(shown) - 16 + F.col("scale"))).alias("total"), "scale", "n")
+
+
+def accumulate(before: DataFrame | None, rows: DataFrame, field: str, text: str) -> DataFrame:
+    """A running total by field that new rows are merged into: total, n_sources, n_values, and how many values have each scale.
+
+    What is kept is a few rows a field, so a new batch is added without reading the old ones again.
+    """
+    value = F.col(text).try_cast("decimal(38,16)")
+    scale = F.when(value.isNotNull(), F.length(F.regexp_extract(F.col(text), r"\.(\d*)$", 1)))
+    new = rows.select(F.col(field).alias("field"), scale.alias("scale"), value.alias("total"), F.lit(1).cast("long").alias("n"))
+    held = new if before is None else new.unionByName(before)
+    return held.groupBy("field", "scale").agg(F.sum("total").cast("decimal(38,16)").alias("total"), F.sum("n").alias("n"))
+
+
+def accumulated(state: DataFrame) -> DataFrame:
+    """(field, total, n_sources, n_values, scales) of an accumulator's rows; ``scales`` is a map from scale to count."""
+    scales = F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("scale").isNotNull(), F.struct("scale", "n")))))
+    return state.groupBy("field").agg(F.sum("total").cast("decimal(38,16)").alias("total"), F.sum("n").alias("n_sources"), F.coalesce(F.sum(F.when(F.col("scale").isNotNull(), F.col("n"))), F.lit(0).cast("long")).alias("n_values"), scales.alias("scales"))
+
+
+def references(notes: DataFrame, owner_declared: str, owner_audited: str, value: str, related: str) -> DataFrame:
+    """(owner, basis, n, total, related): what notes declare for a project and what the audit found; only audited notes have a related value."""
+    declared = notes.groupBy(F.col(owner_declared).alias("owner")).agg(F.count("*").alias("n"), F.sum(value).alias("total")).withColumn("basis", F.lit("declared")).withColumn("related", F.lit(None).cast(notes.schema[related].dataType))
+    audited = notes.groupBy(F.col(owner_audited).alias("owner")).agg(F.count("*").alias("n"), F.sum(value).alias("total"), F.sum(related).alias("related")).withColumn("basis", F.lit("audited"))
+    return declared.unionByName(audited, allowMissingColumns=True).filter("owner IS NOT NULL")
+
+
+def affected(key: str, **roles: tuple[DataFrame, str]) -> DataFrame:
+    """The distinct owners that any of several roles names."""
+    rows = [df.select(F.col(c).alias(key)) for df, c in roles.values()]
+    return reduce(lambda a, b: a.unionByName(b), rows).filter(F.col(key).isNotNull()).distinct()
+
+
+def same_sets(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """One row: whether two lists hold the same keys, each once: numbers, distinct numbers, and keys that only one side has."""
+    sides = left.select(F.col(key).alias("k"), F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(right.select(F.col(key).alias("k"), F.lit(0).alias("l"), F.lit(1).alias("r")))
+    by_key = sides.groupBy("k").agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
+    counts = by_key.agg(*(F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(n) for c, n in (("l", "n_left"), ("r", "n_right"))), F.count_if((F.col("l") > 0) & (F.col("r") == 0)).alias("only_left"), F.count_if((F.col("l") == 0) & (F.col("r") > 0)).alias("only_right"), F.count_if((F.col("l") > 1) | (F.col("r") > 1)).alias("repeated"))
+    return counts.withColumn("same", (F.col("only_left") == 0) & (F.col("only_right") == 0) & (F.col("repeated") == 0))
+
+
+def shape(uploads: DataFrame, kind: str, owner: str, expected: dict[str, dict[str, int]], part: str) -> DataFrame:
+    """(owner, kind, part, n, expected) of uploads whose parts aren't there in the exact number that their kind asks for."""
+    rules = [(k, p, n) for k, parts in expected.items() for p, n in parts.items()]
+    asked = uploads.sparkSession.createDataFrame(rules, f"{kind} string, {part} string, expected long")
+    found = uploads.groupBy(owner, kind, part).agg(F.count("*").alias("n"))
+    wanted = uploads.select(owner, kind).distinct().join(F.broadcast(asked), kind)  # a handful of rules
+    both = wanted.join(found, [owner, kind, part], "full")
+    zero = F.lit(0).cast("long")
+    return both.select(owner, kind, part, F.coalesce("n", zero).alias("n"), F.coalesce("expected", zero).alias("expected")).filter(F.col("n") != F.col("expected"))
+
+
+def verify_snapshots(snapshots: DataFrame, content: str, hashes: tuple[str, ...], columns: dict[str, str]) -> DataFrame:
+    """``snapshots`` with ``issue``: hash (no stored hash fits the content) or columns (a column differs from the content's JSON)."""
+    own = F.sha2(F.col(content), 256)
+    fits, same = F.lit(False), F.lit(True)
+    for h in hashes:
+        fits = fits | F.coalesce(F.col(h) == own, F.lit(False))
+    for c, path in columns.items():
+        same = same & F.col(c).cast("string").eqNullSafe(F.get_json_object(content, path))
+    return snapshots.withColumn("issue", F.when(~fits, "hash").when(~same, "columns"))

@@ -265,3 +265,88 @@ def affected_owners(spark, sf_dir):
     # One shuffle: each row carries its side, and rows of both sides are no difference.
     sides = before.withColumn("_side", F.lit(1)).unionByName(after.withColumn("_side", F.lit(2)))
     return sides.groupBy("o_orderkey", "o_custkey").agg(F.min("_side").alias("a"), F.max("_side").alias("b")).filter("a = b").select("o_custkey").distinct()
+
+
+@query(f"""
+WITH t AS (SELECT l_returnflag AS field, CASE WHEN l_linenumber = 7 THEN NULL WHEN l_linenumber % 2 = 0 THEN CAST(CAST({cents_sql("l_extendedprice")} // 100 AS BIGINT) AS VARCHAR) ELSE CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR) END AS v, l_linenumber FROM lineitem)
+SELECT field, CAST(sum(CAST(v AS DECIMAL(18,2))) * 100 AS BIGINT) AS cents, count(*) AS n_sources, count(v) AS n_values, count(v) FILTER (l_linenumber % 2 = 0) AS n_whole FROM t GROUP BY 1
+""")
+def running_metrics(spark, sf_dir):
+    """Two batches merged into one accumulator give what all rows at once give."""
+    lines = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_returnflag", "l_extendedprice")
+    price = F.col("l_extendedprice").cast("decimal(18,2)")
+    text = F.when(F.col("l_linenumber") == 7, None).when(F.col("l_linenumber") % 2 == 0, F.call_function("div", cents("l_extendedprice"), F.lit(100)).cast("string")).otherwise(price.cast("string"))
+    rows = lines.select("l_orderkey", F.col("l_returnflag").alias("field"), text.alias("v"))
+    first = report.accumulate(None, rows.filter("l_orderkey % 2 = 0"), "field", "v")
+    both = report.accumulated(report.accumulate(first, rows.filter("l_orderkey % 2 = 1"), "field", "v"))
+    return both.select("field", (F.col("total") * 100).cast("long").alias("cents"), "n_sources", "n_values", F.coalesce(F.try_element_at("scales", F.lit(0)), F.lit(0).cast("long")).alias("n_whole"))
+
+
+@query(f"""
+WITH n AS (SELECT o_custkey AS d, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey + 1 END AS a, {cents_sql("o_totalprice")} AS v, CASE WHEN o_orderkey % 2 = 0 THEN {cents_sql("o_totalprice")} // 2 END AS r FROM orders)
+SELECT d AS owner, 'declared' AS basis, count(*) AS n, CAST(sum(v) AS BIGINT) AS total, CAST(NULL AS BIGINT) AS related FROM n GROUP BY 1 UNION ALL SELECT a, 'audited', count(*), CAST(sum(v) AS BIGINT), CAST(sum(r) AS BIGINT) FROM n WHERE a IS NOT NULL GROUP BY 1
+""")
+def financial_references(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_totalprice")
+    k = F.col("o_orderkey")
+    notes = orders.select(F.col("o_custkey").alias("d"), F.when(k % 3 == 0, F.col("o_custkey") + 1).alias("a"), cents("o_totalprice").alias("v"), F.when(k % 2 == 0, F.call_function("div", cents("o_totalprice"), F.lit(2))).alias("r"))
+    return report.references(notes, "d", "a", "v", "r")
+
+
+@query("""
+SELECT DISTINCT k AS owner FROM (SELECT o_custkey AS k FROM orders WHERE o_orderkey % 50 = 0 UNION ALL SELECT user_id FROM events WHERE event_type = 'error' AND event_id % 3 = 0 UNION ALL SELECT CASE WHEN c_custkey % 7 = 0 THEN c_custkey END FROM customer) WHERE k IS NOT NULL
+""")
+def affected_roles(spark, sf_dir):
+    """Owners that a note's tombstone touches in any of its roles."""
+    return report.affected(
+        "owner",
+        declared=(table(spark, sf_dir, "orders", "o_orderkey", "o_custkey").filter("o_orderkey % 50 = 0"), "o_custkey"),
+        candidate=(table(spark, sf_dir, "events", "user_id", "event_id", "event_type").filter("event_type = 'error' AND event_id % 3 = 0"), "user_id"),
+        linked=(table(spark, sf_dir, "customer", "c_custkey").select(F.when(F.col("c_custkey") % 7 == 0, F.col("c_custkey")).alias("k")), "k"),
+    )
+
+
+@query("""
+WITH l AS (SELECT l_orderkey AS k FROM lineitem WHERE l_linenumber = 1), r AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 61 <> 0)
+SELECT (SELECT count(*) FROM l) AS n_left, (SELECT count(*) FROM r) AS n_right, (SELECT count(*) FROM (SELECT k FROM l EXCEPT SELECT k FROM r)) AS only_left, (SELECT count(*) FROM (SELECT k FROM r EXCEPT SELECT k FROM l)) AS only_right,
+ (SELECT count(DISTINCT k) FROM (SELECT k FROM l GROUP BY 1 HAVING count(*) > 1 UNION ALL SELECT k FROM r GROUP BY 1 HAVING count(*) > 1)) AS repeated, false AS same
+""")
+def locator_sets(spark, sf_dir):
+    left = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber").filter("l_linenumber = 1").select(F.col("l_orderkey").alias("k"))
+    right = table(spark, sf_dir, "orders", "o_orderkey").filter("o_orderkey % 61 != 0").select(F.col("o_orderkey").alias("k"))
+    return report.same_sets(left, right, "k")
+
+
+@query("""
+WITH u AS (SELECT user_id, CASE WHEN user_id % 2 = 0 THEN 'sheet' ELSE 'pdf' END AS kind, event_type AS part FROM events), e(kind, part, expected) AS (VALUES ('sheet', 'view', 2), ('sheet', 'click', 1), ('pdf', 'view', 1)),
+w AS (SELECT DISTINCT user_id, u.kind, e.part, expected FROM u JOIN e ON e.kind = u.kind), f AS (SELECT user_id, kind, part, count(*) AS n FROM u GROUP BY ALL)
+SELECT coalesce(w.user_id, f.user_id) AS user_id, coalesce(w.kind, f.kind) AS kind, coalesce(w.part, f.part) AS part, coalesce(n, 0) AS n, CAST(coalesce(expected, 0) AS BIGINT) AS expected FROM w FULL JOIN f ON w.user_id = f.user_id AND w.part = f.part WHERE coalesce(n, 0) <> coalesce(expected, 0)
+""")
+def upload_shape(spark, sf_dir):
+    """Uploads whose parts aren't there in the number that their kind asks for."""
+    events = table(spark, sf_dir, "events", "user_id", "event_type")
+    uploads = events.select("user_id", F.when(F.col("user_id") % 2 == 0, "sheet").otherwise("pdf").alias("kind"), F.col("event_type").alias("part"))
+    return report.shape(uploads, "kind", "user_id", {"sheet": {"view": 2, "click": 1}, "pdf": {"view": 1}}, "part")
+
+
+@query("""
+SELECT c_custkey, CASE WHEN c_custkey % 9 = 0 THEN 'hash' WHEN c_custkey % 5 = 0 THEN 'columns' END AS issue FROM customer
+""")
+def snapshot_integrity(spark, sf_dir):
+    """Published rows against their snapshots: some hashes and some columns were tampered with."""
+    customer = table(spark, sf_dir, "customer", "c_custkey", "c_name", "c_mktsegment")
+    k = F.col("c_custkey")
+    content = F.to_json(F.struct(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment")))
+    held = customer.select("c_custkey", content.alias("content"), F.when(k % 5 == 0, "other").otherwise(F.col("c_mktsegment")).alias("segment"))
+    stored = held.select("*", F.when(k % 3 == 0, None).otherwise(F.sha2("content", 256)).alias("canonical"), F.when(k % 9 == 0, F.lit("0")).otherwise(F.sha2("content", 256)).alias("legacy"))
+    # A row of either hash is whole; those divisible by 9 have neither.
+    return report.verify_snapshots(stored, "content", ("canonical", "legacy"), {"segment": "$.segment"}).select("c_custkey", "issue")
+
+
+@query("""
+SELECT o_custkey, string_agg(DISTINCT o_orderpriority, '|' ORDER BY o_orderpriority) AS priorities, CAST(count(DISTINCT o_orderstatus) AS BIGINT) AS n_status, bool_or(o_orderstatus = 'F') AS any_f, bool_and(o_orderstatus = 'O') AS all_o FROM orders GROUP BY 1
+""")
+def ordered_lists(spark, sf_dir):
+    """Distinct values of a group in order (they are few, whatever the number of rows), and its flags."""
+    orders = table(spark, sf_dir, "orders", "o_custkey", "o_orderpriority", "o_orderstatus")
+    return orders.groupBy("o_custkey").agg(F.array_join(F.sort_array(F.collect_set("o_orderpriority")), "|").alias("priorities"), F.count_distinct("o_orderstatus").alias("n_status"), F.bool_or(F.col("o_orderstatus") == "F").alias("any_f"), F.bool_and(F.col("o_orderstatus") == "O").alias("all_o"))
