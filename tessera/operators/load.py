@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import money, times
+from tessera.storage import written
 
 
 def validate(rows: DataFrame, key: str, order: str, required: tuple[str, ...], dates: tuple[str, ...] = (), amounts: tuple[str, ...] = (), lengths: dict[str, int] | None = None) -> DataFrame:
@@ -131,9 +132,10 @@ def first_spellings(names: DataFrame, name: str, order: str) -> DataFrame:
 def ordered_ids(rows: DataFrame, order: list[str], prefix: str, code: str = "code") -> DataFrame:
     """Public codes ``PRE-001`` by a total order.
 
-    Ranks within ranges of the first key, plus the sizes of the ranges before: no task sorts all rows.
+    Ranks within ranges of the first key, plus the sizes of the ranges before: no task sorts all rows. The ranges are
+    drawn from a sample, so they are written once and not drawn again.
     """
-    ranged = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    ranged = written(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
     within = ranged.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
     sizes = within.groupBy("_part").agg(F.count("*").alias("_size"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row a range

@@ -23,10 +23,11 @@ def identity_match(lines: DataFrame, records: DataFrame, line: str, record: str,
     whole = filled[0]
     for f in filled[1:]:
         whole = whole & f
-    # The listed ids are the first of a rank, so no list grows with the number of candidates.
-    rank = Window.partitionBy(*fields).orderBy(record)
-    ranked = records.filter(whole).select(*fields, record).distinct().withColumn("_rank", F.row_number().over(rank))
-    groups = ranked.groupBy(*fields).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.col("_rank") <= listed, F.col(record)))).alias("ids"))
+    # The listed ids are the first of a rank; each task drops the others before the shuffle, so no group is gathered whole.
+    known = records.filter(whole).select(*fields, record).distinct()
+    counts = known.groupBy(*fields).agg(F.count("*").alias("n"))
+    first = known.withColumn("_rank", F.row_number().over(Window.partitionBy(*fields).orderBy(record))).filter(F.col("_rank") <= listed)
+    groups = counts.join(first.groupBy(*fields).agg(F.array_sort(F.collect_list(record)).alias("ids")), fields)
     joined = lines.join(groups, fields, "left")
     n = F.coalesce("n", F.lit(0))
     return joined.select(

@@ -6,7 +6,7 @@ Records: record, payload, provenance, layer (1 source, 2 adjustment, 3 decision)
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.storage import drop_written, written
@@ -135,9 +135,8 @@ def events(classified: DataFrame, observation: str) -> DataFrame:
 
 def metrics(records: DataFrame, classified: DataFrame, value: str, record_value: str) -> DataFrame:
     """Totals over effective records and accepted lines: a line replaces its record's value, the first line of a record counts."""
-    first = Window.partitionBy("target").orderBy("line")
     accepted = classified.filter(F.col("category").isin("unchanged", "updated"))
-    chosen = accepted.withColumn("_n", F.row_number().over(first)).filter("_n = 1").select(F.col("target").alias("record"), F.col(value).alias("_line"))
+    chosen = accepted.groupBy(F.col("target").alias("record")).agg(F.min_by(value, "line").alias("_line"))
     kept = records.filter("state = 'active'").join(chosen, "record", "left").select(F.coalesce("_line", record_value).alias("value"))
     created = classified.filter("category = 'created'").select(F.col(value).alias("value"))
     both = kept.unionByName(created)
