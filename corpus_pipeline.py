@@ -34,8 +34,7 @@ def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document with its token ids, their number, and whether decoding them gives its text again."""
     coder = Coder(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    coded = coder.decode(coder.encode(docs, ids="ids"), "ids", "_decoded")
-    return coded.withColumns({"n_tokens": F.size("ids").cast("long"), "decoded_ok": F.coalesce("text", F.lit("")) == F.col("_decoded")}).drop("_decoded")
+    return coder.encode_checked(docs).withColumn("n_tokens", F.size("ids").cast("long"))
 
 
 STAGES = [

@@ -7,8 +7,9 @@ der Merwe, "Formalizing BPE Tokenization"). This makes a nondeterministic transd
 the last token and the bytes read of the next one, and a token is emitted when its bytes are
 complete. :class:`Transducer` determinises it lazily. A deterministic state holds all live
 hypotheses with the tokens on which they still differ; what all agree on is emitted, so output
-lags by a bounded number of bytes. Transitions are kept in a table that is emptied when it is
-full, as lazy automata in regular-expression engines do, so memory doesn't grow with the corpus.
+lags by a bounded number of bytes. Transitions are kept in a table of bounded size, for the first bytes
+of a piece, where pieces meet; what the table lacks is simulated on the hypotheses themselves, as lazy
+automata in regular-expression engines do. So memory doesn't grow with the corpus.
 
 Texts: null counts as empty; an empty text has no tokens. Row order, repeated rows and extra columns
 don't matter: only the text column is read and every input row gives one output row. An empty
@@ -19,8 +20,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark import Broadcast
@@ -30,10 +33,12 @@ from pyspark.sql import types as T
 
 from tessera.llm.common import small_batches
 
-#: Entries of the tables that a worker keeps; full tables are emptied, which changes no result.
-MAX_TRANSITIONS = 400_000
-MAX_PAIRS = 400_000
-MAX_PIECES = 600_000
+#: Entries of the tables that a worker keeps; what they lack is computed, so their sizes change no result. Of pieces two such tables are kept.
+MAX_TRANSITIONS = 100_000
+MAX_PAIRS = 200_000
+MAX_PIECES = 100_000
+#: Bytes of a piece whose transitions are kept, and pending tokens from which a simulated piece looks for those that are certain.
+DEEP, LAG = 6, 8
 #: Pieces longer than this are encoded each time instead of being kept.
 MAX_PIECE = 64
 _NEVER = float("inf")
@@ -53,28 +58,30 @@ class Transducer:
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.head: dict[int, list[tuple[bytes, float]]] = {}
         self.tail: dict[int, list[tuple[bytes, float]]] = {}
-        self.nodes: list[dict[int, int]] = [{}]
-        self.token_at: list[int] = [-1]
+        # A trie: (node, byte) -> node, the token that ends in a node, and whether a node has others below.
+        self.child: dict[int, int] = {}
+        self.token_at, self.inner = array("i", [-1]), bytearray(1)
         for token, rank in ranks.items():
             node = 0
             for byte in token:
-                if byte not in self.nodes[node]:
-                    self.nodes[node][byte] = len(self.nodes)
-                    self.nodes.append({})
+                self.inner[node] = 1
+                below = self.child.setdefault(node << 8 | byte, len(self.token_at))
+                if below == len(self.token_at):
                     self.token_at.append(-1)
-                node = self.nodes[node][byte]
+                    self.inner.append(0)
+                node = below
             # A token that merging can't make (it never arises as a whole) is never emitted.
             if self._grown(token, rank):
                 self.token_at[node] = rank
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self._reset()
 
     def _reset(self) -> None:
+        # A state is its hypotheses: (pending tokens, last token, node), by the place where their next token begins.
         start = (((), -1, 0),)
-        self.states = [start]
-        self.number = {start: 0}
-        self.steps: list[dict[int, tuple[tuple[int, ...], int]]] = [{}]
-        self.size = 0
+        self.states, self.number = [start], {start: 0}
+        self.steps: dict[int, tuple[tuple[int, ...], int]] = {}
+        self.missed = 0
 
     def _grown(self, token: bytes, rank: int) -> bool:
         """Whether merging makes the whole token of its bytes, the pair of least rank first.
@@ -105,7 +112,7 @@ class Transducer:
         """
         if left < 0:
             return True
-        known = self.pairs.get((left, right))
+        known = self.pairs.get(left << 32 | right)
         if known is None:
             if len(self.pairs) >= MAX_PAIRS:
                 self.pairs.clear()
@@ -123,68 +130,93 @@ class Transducer:
                     i += 1
                 else:
                     j += 1
-            self.pairs[left, right] = known
+            self.pairs[left << 32 | right] = known
         return known
 
-    def step(self, state: int, byte: int) -> tuple[tuple[int, ...], int]:
-        """The tokens that all live hypotheses agree on after one more byte, and the next state."""
-        live = []
-        for pending, last, node in self.states[state]:
-            node = self.nodes[node].get(byte, -1)
-            if node < 0:
+    def moved(self, hypotheses: Iterable[tuple], byte: int) -> list[tuple]:
+        """The hypotheses that live after one more byte; the one of whole tokens comes last."""
+        live, whole = [], None
+        for pending, last, node in hypotheses:
+            node = self.child.get(node << 8 | byte)
+            if node is None:
                 continue
             token = self.token_at[node]
-            if token >= 0 and self.follows(last, token):
-                live.append(((*pending, token), token, 0))
-            if self.nodes[node]:
+            if token >= 0 and whole is None and self.follows(last, token):
+                whole = (*pending, token), token, 0
+            if self.inner[node]:
                 live.append((pending, last, node))
-        agreed = 0
+        if whole is not None:
+            live.append(whole)
+        return live
+
+    @staticmethod
+    def agreed(live: list[tuple]) -> int:
+        """The number of first pending tokens that all hypotheses have."""
         first = live[0][0]
-        while all(len(h[0]) > agreed and h[0][agreed] == first[agreed] for h in live) and agreed < len(first):
-            agreed += 1
-        found = tuple(sorted((pending[agreed:], last, node) for pending, last, node in live))
-        return first[:agreed], self._numbered(found)
-
-    def _numbered(self, hypotheses: tuple) -> int:
-        if hypotheses not in self.number:
-            self.number[hypotheses] = len(self.states)
-            self.states.append(hypotheses)
-            self.steps.append({})
-        return self.number[hypotheses]
+        n = min(len(h[0]) for h in live)
+        return next((i for i in range(n) if any(h[0][i] != first[i] for h in live)), n)
+
+    def step(self, state: int, byte: int) -> tuple[tuple[int, ...], int]:
+        """The tokens that all live hypotheses agree on after one more byte, and the next state."""
+        live = self.moved(self.states[state], byte)
+        certain = self.agreed(live)
+        found = tuple((pending[certain:], last, node) for pending, last, node in live)
+        number = self.number.setdefault(found, len(self.states))
+        if number == len(self.states):
+            self.states.append(found)
+        return live[0][0][:certain], number
 
     def encode(self, chunks: Iterable[bytes]) -> Iterator[int]:
         """Ids of one piece that arrives in chunks; ids leave as soon as they are certain."""
-        state = 0
+        if self.missed > 4 * MAX_TRANSITIONS:
+            self._reset()
+        state, depth, live = 0, 0, None
         for chunk in chunks:
             for byte in chunk:
-                known = self.steps[state].get(byte)
-                if known is None:
-                    if self.size >= MAX_TRANSITIONS:
-                        now = self.states[state]
-                        self._reset()
-                        state = self._numbered(now)
-                    known = self.steps[state][byte] = self.step(state, byte)
-                    self.size += 1
-                out, state = known
-                if out:
-                    yield from out
-        for pending, _, node in self.states[state]:
+                if live is None:
+                    known = self.steps.get(state << 8 | byte)
+                    if known is None and depth < DEEP:
+                        if len(self.steps) < MAX_TRANSITIONS:
+                            known = self.steps[state << 8 | byte] = self.step(state, byte)
+                        else:
+                            self.missed += 1
+                    if known is not None:
+                        out, state = known
+                        depth += 1
+                        if out:
+                            yield from out
+                        continue
+                    live = self.states[state]
+                live = self.moved(live, byte)
+                if len(live) == 1 or len(live[0][0]) > LAG:
+                    certain = self.agreed(live)
+                    yield from live[0][0][:certain]
+                    live = [(pending[certain:], last, node) for pending, last, node in live]
+        for pending, _, node in live if live is not None else self.states[state]:
             if node == 0:  # the one hypothesis that ends with a whole token
                 yield from pending
                 return
 
 
 class Pieces(dict):
-    """Piece of text -> its ids in decimal, joined by a space; filled by the transducer on demand."""
+    """Piece of text -> its ids in decimal, joined by a space; filled by the transducer on demand.
+
+    A full table becomes the older one, of which pieces that come again are taken over; so frequent
+    pieces stay, and two tables bound the memory.
+    """
 
     def __init__(self, transducer: Transducer):
         super().__init__()
         self.transducer = transducer
+        self.older: dict[str, str] = {}
 
     def __missing__(self, piece: str) -> str:
-        ids = " ".join(map(str, self.transducer.encode([piece.encode()])))
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = " ".join(map(str, self.transducer.encode([piece.encode()])))
         if len(piece) <= MAX_PIECE:
             if len(self) >= MAX_PIECES:
+                self.older = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
@@ -313,6 +345,18 @@ class Coder:
 
         return docs.withColumn(ids, encoded(F.col(text)))
 
+    def encode_checked(self, docs: DataFrame, text: str = "text", ids: str = "ids", ok: str = "decoded_ok") -> DataFrame:
+        """``docs`` with the token ids of each text and whether decoding them gives it again, in one pass of one worker."""
+        ranks, pattern = self.ranks, self.pattern
+
+        @F.pandas_udf("ids array<int>, ok boolean")
+        def coded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            pieces, split, tokens = _coder(ranks, pattern)
+            for texts in batches:
+                yield pd.DataFrame([_checked(t or "", pieces, split, tokens) for t in texts], columns=["ids", "ok"])
+
+        return docs.withColumn("_coded", coded(F.col(text))).withColumns({ids: F.col("_coded.ids"), ok: F.col("_coded.ok")}).drop("_coded")
+
     def decode(self, docs: DataFrame, ids: str = "ids", text: str = "decoded") -> DataFrame:
         """``docs`` with the text of each id column (null ids: empty); ill-formed bytes give U+FFFD."""
         ranks = self.ranks
@@ -341,6 +385,17 @@ class Coder:
         return docs.withColumn("_coded", coded(F.col(text))).withColumns({c: F.col(f"_coded.{c}") for c in ("n_tokens", "ids_sha256", "decoded_sha256")}).drop("_coded")
 
 
+def _checked(text: str, pieces: Pieces, split: regex.Pattern, tokens: dict[str, bytes]) -> tuple[np.ndarray, bool]:
+    """Ids of a text, and whether they decode to it; blocks of text are compared as they leave the decoder."""
+    found, at, ok, stream = [], 0, True, Utf8Stream()
+    for part in _stretches(text, split):
+        ids = " ".join(map(pieces.__getitem__, part)).split()
+        found.append(np.array(ids, np.int32))
+        back = stream.feed(b"".join(map(tokens.__getitem__, ids)))
+        ok, at = ok and text.startswith(back, at), at + len(back)
+    return np.concatenate(found), ok and at == len(text) and not stream.end()
+
+
 def _digests(text: str, pieces: Pieces, split: regex.Pattern, tokens: dict[str, bytes]) -> tuple[int, str, str]:
     n, ids_hash, text_hash, stream = 0, hashlib.sha256(), hashlib.sha256(), Utf8Stream()
     for part in _stretches(text, split):

@@ -75,6 +75,8 @@ def test_round_trip_query(spark, reference):
         assert row["n_tokens"] == len(ids)
         assert row["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert row["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+    checked = coder.encode_checked(docs).collect()
+    assert all(r["decoded_ok"] and list(r["ids"]) == reference.encode_ordinary(r["text"] or "") for r in checked)
     both = coder.decode(coder.encode(docs, ids="tokens"), "tokens", "again").collect()
     assert all((r["text"] or "") == r["again"] and list(r["tokens"]) == reference.encode_ordinary(r["text"] or "") for r in both)
     assert coder.round_trip(docs.limit(0)).count() == 0
