@@ -11,9 +11,10 @@ are indexed singly. A pair over the threshold shares an indexed key.
 Steps, each over all documents:
 
 1. Sizes, set digests and a table of hashed shingle counts of bounded size (a one-row count-min sketch; its
-   cells order the shingles, so collisions cost time, never results). A cell that one document alone
-   reached proves its shingles to be in no other: they make no key, and a document with more of them than
-   ``slack`` has no partner and no keys at all.
+   cells order the shingles, so collisions cost time, never results). Half of all shingles, by their hash, are
+   counted: that fills the cells less, and is far more than the prefixes need; the others come last. A
+   cell that one document alone reached proves its shingles to be in no other: they make no key, and a
+   document with more of them than ``slack`` has no partner and no keys at all.
 2. Keys. Inside a task, documents with an equal key and like size are chained and one of them goes on;
    the shuffle sees a key once for each task and size. Chains give candidate families.
 3. Inside a family, one document of each distinct set is compared with all others of like size, in blocks:
@@ -48,15 +49,15 @@ CELLS_PER_DOCUMENT, LEAST_CELLS, MOST_CELLS = 256, 1 << 20, 1 << 27
 #: A task counts no further than this in a cell.
 MOST_COUNT = 255
 _SLICE = 1 << 14
-#: Steps of the count scale for each doubling, and the scale of a count of one.
+#: Steps of the count scale for each doubling, the scale of a count of one, and that of shingles that aren't counted.
 _STEPS = 8
-ALONE = _STEPS
+ALONE, UNCOUNTED = _STEPS, 255
 #: A shingle is frequent from this count on, or from this many times the mean of a cell.
 FREQUENT, OVER_MEAN = 32, 4
 #: Frequent shingles of a prefix that share a group, about.
 GROUP = 8
-#: Documents in a block of a family.
-BLOCK = 256
+#: Documents in a block of a family, and how many times as many where bitmaps stand for the sets.
+BLOCK, BITMAPS = 256, 4
 #: More members than this are joined with their texts by a shuffle, fewer are broadcast (three numbers each).
 BROADCAST_ROWS = 500_000
 #: Keys that a task holds before it passes them on.
@@ -70,6 +71,24 @@ def _sets(batch: pa.RecordBatch, k: int) -> Iterator[np.ndarray]:
         yield np.unique(hashes[begin[i] : begin[i + 1]])
 
 
+def _counted(own: np.ndarray) -> np.ndarray:
+    """Which of some shingles are counted: every other one, by a bit that chooses no cell."""
+    return own >> np.uint64(63) == 0
+
+
+def _packed(cells: np.ndarray) -> bytes:
+    """A slice of counts as gaps between the cells that aren't zero, and their counts: its size follows their number."""
+    at = np.flatnonzero(cells)
+    gaps = np.diff(at, prepend=0).astype(np.uint16)
+    return zlib.compress((gaps & 255).astype(np.uint8).tobytes() + (gaps >> 8).astype(np.uint8).tobytes() + cells[at].tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The cells and counts of a packed slice."""
+    low, high, counts = np.frombuffer(zlib.decompress(data), np.uint8).reshape(3, -1)
+    return np.cumsum(low + high.astype(np.int64) * 256), counts
+
+
 def _statistics(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray, int]:
     """(id, n, hi, lo, bits) of every row, written; the scale of each count cell; the scale of frequent shingles."""
 
@@ -84,14 +103,14 @@ def _statistics(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray, int]:
                 bits.append(bitmap(own).tobytes())
                 digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
                 # A document counts once in a cell, whichever of its shingles meet there.
-                at = (own & np.uint64(cells - 1)).astype(np.int64)
+                at = (own[_counted(own)] & np.uint64(cells - 1)).astype(np.int64)
                 counts[at] = np.minimum(counts[at], MOST_COUNT - 1) + 1
             halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
             empty = pa.nulls(batch.num_rows, pa.int32()), pa.nulls(batch.num_rows, pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(bits, pa.binary()), *empty], _STATS)
         if counts.any():
             reached = np.flatnonzero(counts.reshape(-1, _SLICE).any(1)).tolist()
-            parts = [(i, zlib.compress(counts[i * _SLICE : (i + 1) * _SLICE].tobytes(), 1)) for i in reached]
+            parts = [(i, _packed(counts[i * _SLICE : (i + 1) * _SLICE])) for i in reached]
             none = [*[pa.nulls(len(parts), pa.int64())] * 4, pa.nulls(len(parts), pa.binary())]
             yield pa.RecordBatch.from_arrays([*none, pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts], pa.binary())], _STATS)
 
@@ -102,7 +121,8 @@ def _statistics(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray, int]:
         for batch in batches:
             for i, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 total.setdefault(i, np.zeros(_SLICE, np.int32))
-                total[i] += np.frombuffer(zlib.decompress(part), np.uint8)
+                at, more = _unpacked(part)
+                total[i][at] += more
         scale = [np.round(_STEPS * np.log2(x + 1)).astype(np.uint8).tobytes() for x in total.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(scale, pa.binary()), pa.array([int(x.sum()) for x in total.values()], pa.int64())], ["slice", "scale", "total"])
 
@@ -148,7 +168,7 @@ class Threshold:
 def keys(own: np.ndarray, scale: np.ndarray, frequent: int, threshold: Threshold) -> np.ndarray:
     """The index keys of one sorted set: rare shingles of its prefix, and pairs of frequent ones."""
     slack = threshold.slack(len(own))
-    level = scale[(own & np.uint64(len(scale) - 1)).astype(np.int64)]
+    level = np.where(_counted(own), scale[(own & np.uint64(len(scale) - 1)).astype(np.int64)], UNCOUNTED)
     order = np.argsort(level, kind="stable")
     ordered, alone, rare = own[order], int((level <= ALONE).sum()), int((level < frequent).sum())
     if rare > slack:
@@ -315,12 +335,12 @@ def _in_blocks(members: DataFrame, value: str, threshold: Threshold, exact: bool
     return paired.repartition("family", "x", "y").sortWithinPartitions("family", "x", "y").mapInArrow(compared, "a long, b long")
 
 
-def _members(sets: DataFrame, edges: DataFrame) -> DataFrame:
+def _members(sets: DataFrame, edges: DataFrame, block: int) -> DataFrame:
     """(id, family, blocks) of the sets (id) in the components of ``edges`` that hold two of them or more; written."""
     family = written(components(edges).select(F.col("node").alias("id"), F.col("component").alias("family")), "families")
     distinct = written(sets.select("id").join(family, "id"), "members")
     sizes = written(distinct.groupBy("family").agg(F.count("*").alias("m")).filter("m > 1"), "sizes")
-    return written(distinct.join(sizes, "family").select("id", "family", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "members")
+    return written(distinct.join(sizes, "family").select("id", "family", F.ceil(F.col("m") / block).cast("int").alias("blocks")), "members")
 
 
 def _with_sets(docs: DataFrame, members: DataFrame, k: int) -> DataFrame:
@@ -343,9 +363,9 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, p
     stats, scale, frequent = _statistics(source, k)
     # One document of each distinct set; families with one set need no comparison.
     classes = written(stats.filter("n > 0 AND id IS NOT NULL").groupBy("hi", "lo").agg(F.min("id").alias("id")), "sets")
-    candidates = _members(classes, _candidate_edges(source, k, scale, frequent, threshold))
+    candidates = _members(classes, _candidate_edges(source, k, scale, frequent, threshold), BITMAPS * BLOCK)
     near = _in_blocks(stats.select("id", "n", "bits").join(candidates, "id"), "bits", threshold, exact=False)
-    likely = _members(classes, near)
+    likely = _members(classes, near, BLOCK)
     links = written(_in_blocks(_with_sets(source, likely, k), "own", threshold, exact=True), "links")
     linked = components(links).withColumnRenamed("node", "id")
     placed = written(classes.join(linked, "id", "left").select("hi", "lo", F.coalesce("component", "id").alias("component")), "placed")
