@@ -233,6 +233,23 @@ def test_next_byte_probabilities_add_up():
     assert np.allclose((10 ** ctw.weigh(kept).log10.astype(float)).sum(1), 1, atol=1e-4)
 
 
+@pytest.mark.parametrize("share", [ctw.GRAM_SHARE, 0.01])
+def test_every_context_is_a_node(spark, monkeypatch, share):
+    """Scores by tables equal those of the whole tree in memory, also of contexts that hold one byte of many."""
+    monkeypatch.setattr(ctw, "GRAM_SHARE", share, raising=False)
+    monkeypatch.setattr(ctw, "CHUNK", 50, raising=False)
+    texts = ["aaaaaaaaaa" * 800] * 20 + ["zebra quickly", "the cat sat on the mat", "", "é naïve", "the zebra"]
+    held_out = ["zebra quickly", "zebras quit", "never seen 123", ""]
+    # frame() repeats the first text once.
+    model = ctw.weigh(contexts_of([*texts, texts[0]], ctw.DEPTH)[1])
+    depth, counts = ctw.train(frame(spark, texts).filter("doc_id < 100").select("text"))
+    for shown in (texts, held_out):
+        docs = spark.createDataFrame(list(enumerate(shown)), "doc_id long, text string")
+        got = {r["doc_id"]: r["score"] for r in ctw.score(docs, depth, counts).collect()}
+        want = model.score(*common.text_bytes(pa.array(shown)))
+        assert len(got) == len(shown) and all(got[i] == pytest.approx(want[i], rel=1e-4) for i in got)
+
+
 @pytest.mark.parametrize("share", [ctw.WORD_SHARE, 0.05])
 def test_scores(spark, monkeypatch, share):
     monkeypatch.setattr(ctw, "WORD_SHARE", share)
