@@ -99,6 +99,45 @@ def listed(licenses: Column) -> Column:
     return F.array_join(F.transform(licenses, lambda x: F.concat_ws(":", x["line"].cast("string"), x["name"], x["score"].cast("string"))), ",")
 
 
+def passages(docs: DataFrame, text: str = "text", templates: tuple[Template, ...] = TEMPLATES, percent: int = THRESHOLD) -> DataFrame:
+    """``docs`` with ``passages``: (first word from 0, last word, name, thousandths) of each notice anywhere in the text.
+
+    The text is one sequence of words, so notices may be wrapped over lines or stand inside longer ones. Of a template all
+    windows in its range of sizes count that begin and end with one of its bigrams (others never score higher). Of windows that
+    overlap the highest coefficient wins, then the earlier, shorter one, then the template's name.
+    """
+    ordered = sorted(templates, key=lambda t: t.name)
+    sets = [bigrams(t.text) for t in ordered]
+    one = lambda rank, g: F.struct(F.lit(-rank).alias("rank"), F.lit(ordered[rank].name).alias("name"), F.array(*map(F.lit, g)).alias("own"), *(F.lit(x).alias(c) for c, x in zip(("low", "high"), bounds(len(g), percent), strict=True)))
+    known, every = F.array(*(one(rank, g) for rank, g in enumerate(sets))), F.array(*(F.lit(x) for x in sorted(set().union(*sets))))
+    words = F.array_remove(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), _BREAK), "")
+    pairs = F.when(F.size("_words") >= 2, F.transform(F.sequence(F.lit(0), F.size("_words") - 2), lambda i: F.concat_ws(" ", F.get("_words", i), F.get("_words", i + 1))))
+    cut = docs.withColumn("_words", words).withColumn("_grams", F.coalesce(pairs, F.array().cast("array<string>"))).drop("_words")
+    near = cut.withColumn("_near", F.array_intersect("_grams", every))
+    common = lambda grams, t: F.size(F.array_intersect(grams, t["own"]))
+    # No window has more common bigrams than the text.
+    likely = near.withColumn("_likely", F.filter(known, lambda t: 200 * common(F.col("_near"), t) >= percent * (common(F.col("_near"), t) + F.size(t["own"])))).drop("_near")
+
+    def window(t: Column, start: Column, end: Column) -> Column:
+        grams = F.array_distinct(F.slice("_grams", start + 1, end - start + 1))
+        k, both = common(grams, t), F.size(grams) + F.size(t["own"])
+        return F.when(200 * k >= percent * both, F.struct(F.floor(2000 * k / both).cast("int").alias("score"), (-start).alias("start"), (-end).alias("end"), t["rank"].alias("rank"), t["name"].alias("name")))
+
+    def windows(t: Column) -> Column:
+        within = lambda i: F.array_contains(t["own"], F.get("_grams", i))
+        last = F.size("_grams") - 1
+        starts = F.filter(F.sequence(F.lit(0), last), lambda i: within(i) & (i + t["low"] - 1 <= last))
+        ends = lambda i: F.filter(F.sequence(i + t["low"] - 1, F.least(i + t["high"] - 1, last)), within)
+        return F.flatten(F.transform(starts, lambda i: F.array_compact(F.transform(ends(i), lambda e: window(t, i, e)))))
+
+    best = likely.withColumn("_windows", F.sort_array(F.flatten(F.transform("_likely", windows)), asc=False))
+    # The last word of a window is that of its last bigram.
+    overlap = lambda a, b: (-a["start"] <= 1 - b["end"]) & (-b["start"] <= 1 - a["end"])
+    kept = F.aggregate("_windows", F.filter("_windows", lambda _: F.lit(False)), lambda acc, x: F.when(F.exists(acc, lambda a: overlap(a, x)), acc).otherwise(F.concat(acc, F.array(x))))
+    shown = F.transform(kept, lambda x: F.struct((-x["start"]).alias("first"), (1 - x["end"]).alias("last"), x["name"].alias("name"), x["score"].alias("score")))
+    return best.withColumn("passages", F.array_sort(shown)).drop("_grams", "_likely", "_windows")
+
+
 ORACLE = rf"""
 WITH t(name, rank, grams) AS (VALUES {", ".join(f"('{t.name}', {i}, {bigrams(t.text)!r})" for i, t in enumerate(sorted(TEMPLATES, key=lambda t: t.name)))}),
 l AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS line, unnest(l) AS t FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)),

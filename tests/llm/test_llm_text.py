@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 
 import public_tokenizers
 import pytest
@@ -192,3 +193,14 @@ def test_licence_lines(spark):
     for row in license_scan.scan(edge_docs(spark, texts)).collect():
         assert [tuple(x) for x in row["licenses"]] == brute_licenses(row["text"])
     assert license_scan.scan(edge_docs(spark, texts).limit(0)).count() == 0
+
+
+def test_wrapped_and_embedded_notices(spark):
+    mit = next(t.text for t in license_scan.TEMPLATES if t.text.startswith("Permission"))
+    wrapped = "\n".join(textwrap.wrap(mit, 72))
+    docs = edge_docs(spark, ["Copyright 2024 Foo. Released under the MIT License.", f"Some prose.\n{wrapped}\nAnd more prose.", "The cat sat on the mat.", "Released under the MIT License. And again: released under the\nMIT License."])
+    got = {r["doc_id"]: [tuple(x) for x in r["passages"]] for r in license_scan.passages(docs).collect()}
+    assert got[0] == [(3, 7, "mit", 1000)]
+    assert got[1] == [(2, 1 + len(mit.split()), "mit", 1000)]
+    assert got[2] == got[901] == got[902] == got[900] == []
+    assert got[3] == [(0, 4, "mit", 1000), (7, 11, "mit", 1000)]
