@@ -49,3 +49,14 @@ def test_library_stands_alone():
     for path in root.rglob("*.py"):
         if "llm" not in path.relative_to(root).parts:
             assert "tessera.llm" not in path.read_text(), path
+
+
+def test_lineage_has_every_order(spark, tmp_path):
+    keys = [*range(1, 200), *range(3990, 4130), *range(9001, 9101)]
+    spark.createDataFrame([(k,) for k in keys], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    want, known = {}, set(keys)
+    for k in sorted(keys):
+        up = k - 1 if k % 40 != 1 and k - 1 in known else None
+        want[k] = (want[up][0], want[up][1] + 1) if up else (k, 0)
+    rows = plans.QUERIES["whole_lineage"](spark, str(tmp_path)).collect()
+    assert len(rows) == len(keys) and {r["node"]: (r["root"], r["depth"]) for r in rows} == want
