@@ -129,8 +129,8 @@ def first_spellings(names: DataFrame, name: str, order: str) -> DataFrame:
     return kept.groupBy(F.lower(name).alias("name_key")).agg(F.min_by(name, order).alias(name))
 
 
-def ordered_ids(rows: DataFrame, order: list[str], prefix: str, code: str = "code") -> DataFrame:
-    """Public codes ``PRE-001`` by a total order.
+def numbered(rows: DataFrame, order: list[str | Column], number: str) -> DataFrame:
+    """``rows`` with their places from 1 by a total order.
 
     Ranks within ranges of the first key, plus the sizes of the ranges before: no task sorts all rows. The ranges are
     drawn from a sample, so they are written once and not drawn again.
@@ -139,6 +139,11 @@ def ordered_ids(rows: DataFrame, order: list[str], prefix: str, code: str = "cod
     within = ranged.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
     sizes = within.groupBy("_part").agg(F.count("*").alias("_size"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row a range
-    number = F.col("_n") + F.col("_before")
+    return within.join(F.broadcast(before.select("_part", "_before")), "_part").withColumn(number, F.col("_n") + F.col("_before")).drop("_part", "_n", "_before")
+
+
+def ordered_ids(rows: DataFrame, order: list[str], prefix: str, code: str = "code") -> DataFrame:
+    """Public codes ``PRE-001`` by a total order."""
+    number = F.col("_number")
     shown = F.concat(F.lit(f"{prefix}-"), F.when(number < 1000, F.lpad(number.cast("string"), 3, "0")).otherwise(number.cast("string")))
-    return within.join(F.broadcast(before.select("_part", "_before")), "_part").withColumn(code, shown).drop("_part", "_n", "_before")
+    return numbered(rows, order, "_number").withColumn(code, shown).drop("_number")

@@ -60,3 +60,10 @@ def test_lineage_has_every_order(spark, tmp_path):
         want[k] = (want[up][0], want[up][1] + 1) if up else (k, 0)
     rows = plans.QUERIES["whole_lineage"](spark, str(tmp_path)).collect()
     assert len(rows) == len(keys) and {r["node"]: (r["root"], r["depth"]) for r in rows} == want
+
+
+def test_order_has_every_place(spark, duck):
+    sql = plans.ORACLES["official_order"].replace("QUALIFY place <= 1000", "")
+    want = duck.execute(sql).fetchall()
+    got = [(r["o_orderkey"], r["place"]) for r in plans.QUERIES["whole_order"](spark, SF).collect()]
+    assert len(want) > 1000 and sorted(got) == sorted(want)
