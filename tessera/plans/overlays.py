@@ -78,10 +78,15 @@ def temporal_span_asof(spark, sf_dir):
 
 
 def ledger(spark, sf_dir):
+    """The ledger without each fourth user, as the SQL has it."""
+    return whole_ledger(spark, sf_dir).filter(F.col("record") % 4 != 0)
+
+
+def whole_ledger(spark, sf_dir):
     """Events read as a ledger: three layers by type, records by user."""
     events = table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "value")
     layer = F.when(F.col("event_id") % 5 == 0, 3).when(F.col("event_id") % 3 == 0, 2).otherwise(1)
-    return events.select(F.col("user_id").alias("record"), F.date_trunc("day", "ts").alias("instant"), layer.alias("precedence"), "event_id", F.col("event_type").alias("payload"), F.when(F.col("event_id") % 11 == 0, "disregarded").otherwise("active").alias("state"), F.col("event_id").alias("version")).filter(F.col("user_id") % 4 != 0)
+    return events.select(F.col("user_id").alias("record"), F.date_trunc("day", "ts").alias("instant"), layer.alias("precedence"), "event_id", F.col("event_type").alias("payload"), F.when(F.col("event_id") % 11 == 0, "disregarded").otherwise("active").alias("state"), F.col("event_id").alias("version"))
 
 
 LEDGER = """
@@ -113,6 +118,19 @@ def resolve_effective(spark, sf_dir):
     return overlay.resolve(overlay.reduce_projection(events), events)
 
 
+@query()
+def whole_projection(spark, sf_dir):
+    """The projection of all records; the SQL of ``reduce_projection`` leaves out a quarter."""
+    return overlay.reduce_projection(whole_ledger(spark, sf_dir))
+
+
+@query()
+def whole_effective(spark, sf_dir):
+    """The payloads in force of all records; the SQL of ``resolve_effective`` leaves out a quarter."""
+    events = whole_ledger(spark, sf_dir)
+    return overlay.resolve(overlay.reduce_projection(events), events)
+
+
 @query("""
 WITH RECURSIVE p AS (SELECT o_orderkey AS node, CASE WHEN o_orderkey % 40 <> 1 AND o_orderkey > 1 THEN o_orderkey - 1 END AS up FROM orders WHERE o_orderkey <= 4000),
 known AS (SELECT node, CASE WHEN up IN (SELECT node FROM p) THEN up END AS up FROM p),
