@@ -7,9 +7,9 @@ der Merwe, "Formalizing BPE Tokenization"). This makes a nondeterministic transd
 the last token and the bytes read of the next one, and a token is emitted when its bytes are
 complete. :class:`Transducer` determinises it lazily. A deterministic state holds all live
 hypotheses with the tokens on which they still differ; what all agree on is emitted, so output
-lags by a bounded number of bytes. Transitions are kept in a table of bounded size, for the first bytes
-of a piece, where pieces meet; what the table lacks is simulated on the hypotheses themselves, as lazy
-automata in regular-expression engines do. So memory doesn't grow with the corpus.
+lags by a bounded number of bytes. Known transitions are sorted arrays, and many pieces of text walk them
+side by side, a byte a step; what the arrays lack is worked out on the hypotheses and kept. Full tables are
+emptied, so memory doesn't grow with the corpus.
 
 Texts: null counts as empty; an empty text has no tokens. Row order, repeated rows and extra columns
 don't matter: only the text column is read and every input row gives one output row. An empty
@@ -22,25 +22,25 @@ import base64
 import hashlib
 from array import array
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tessera.llm.common import small_batches
+from tessera.llm.common import small_batches, with_fields
 
-#: Entries of the tables that a worker keeps; what they lack is computed, so their sizes change no result. Of pieces two such tables are kept.
-MAX_TRANSITIONS = 100_000
+#: Entries of the tables that a worker keeps; what they lack is computed, so their sizes change no result.
+MAX_STATES = 300_000
 MAX_PAIRS = 200_000
-MAX_PIECES = 100_000
-#: Bytes of a piece whose transitions are kept, and pending tokens from which a simulated piece looks for those that are certain.
-DEEP, LAG = 6, 8
-#: Pieces longer than this are encoded each time instead of being kept.
-MAX_PIECE = 64
+MAX_PIECES = 200_000
+#: Bytes up to which a piece walks with others and is kept; longer ones are read as a stream, with memory for the lag only.
+MAX_PIECE = 1 << 12
+#: Pieces whose ids are written out at once.
+CHUNK = 300_000
 _NEVER = float("inf")
 
 
@@ -50,12 +50,17 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, filter(None, map(bytes.strip, f)))}
 
 
+def gathered(pool: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The stretches ``pool[start : start + length]``, one after the other."""
+    shift = start - (np.cumsum(length) - length)
+    return pool[np.repeat(shift, length) + np.arange(int(length.sum()))]
+
+
 class Transducer:
     """Bytes to token ids by lazily built deterministic states."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.tokens = {rank: token for token, rank in ranks.items()}
         self.head: dict[int, list[tuple[bytes, float]]] = {}
         self.tail: dict[int, list[tuple[bytes, float]]] = {}
         # A trie: (node, byte) -> node, the token that ends in a node, and whether a node has others below.
@@ -77,11 +82,27 @@ class Transducer:
         self._reset()
 
     def _reset(self) -> None:
-        # A state is its hypotheses: (pending tokens, last token, node), by the place where their next token begins.
-        start = (((), -1, 0),)
+        # A state is its hypotheses, by the place where their next token begins, in packed form.
+        start = self._packed([((), -1, 0)])
         self.states, self.number = [start], {start: 0}
-        self.steps: dict[int, tuple[tuple[int, ...], int]] = {}
-        self.missed = 0
+        # Emitted runs of tokens; run 0 is empty.
+        self.runs, self.run_number = [()], {(): 0}
+        # Transitions, sorted by state << 8 | byte: the next state and the run emitted; and the run that ends each state.
+        self.known, self.next, self.emits = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.ends: dict[int, int] = {}
+
+    @staticmethod
+    def _packed(live: list[tuple]) -> bytes:
+        return array("i", [x for pending, last, node in live for x in (len(pending), *pending, last, node)]).tobytes()
+
+    def hypotheses(self, state: int) -> list[tuple]:
+        """(pending tokens, last token, node) of each hypothesis of a state."""
+        flat, at, live = array("i", self.states[state]), 0, []
+        while at < len(flat):
+            end = at + 1 + flat[at]
+            live.append((tuple(flat[at + 1 : end]), flat[end], flat[end + 1]))
+            at = end + 2
+        return live
 
     def _grown(self, token: bytes, rank: int) -> bool:
         """Whether merging makes the whole token of its bytes, the pair of least rank first.
@@ -156,70 +177,121 @@ class Transducer:
         n = min(len(h[0]) for h in live)
         return next((i for i in range(n) if any(h[0][i] != first[i] for h in live)), n)
 
-    def step(self, state: int, byte: int) -> tuple[tuple[int, ...], int]:
-        """The tokens that all live hypotheses agree on after one more byte, and the next state."""
-        live = self.moved(self.states[state], byte)
-        certain = self.agreed(live)
-        found = tuple((pending[certain:], last, node) for pending, last, node in live)
-        number = self.number.setdefault(found, len(self.states))
-        if number == len(self.states):
-            self.states.append(found)
-        return live[0][0][:certain], number
-
     def encode(self, chunks: Iterable[bytes]) -> Iterator[int]:
         """Ids of one piece that arrives in chunks; ids leave as soon as they are certain."""
-        if self.missed > 4 * MAX_TRANSITIONS:
-            self._reset()
-        state, depth, live = 0, 0, None
+        live: list[tuple] = [((), -1, 0)]
         for chunk in chunks:
             for byte in chunk:
-                if live is None:
-                    known = self.steps.get(state << 8 | byte)
-                    if known is None and depth < DEEP:
-                        if len(self.steps) < MAX_TRANSITIONS:
-                            known = self.steps[state << 8 | byte] = self.step(state, byte)
-                        else:
-                            self.missed += 1
-                    if known is not None:
-                        out, state = known
-                        depth += 1
-                        if out:
-                            yield from out
-                        continue
-                    live = self.states[state]
                 live = self.moved(live, byte)
-                if len(live) == 1 or len(live[0][0]) > LAG:
-                    certain = self.agreed(live)
+                certain = self.agreed(live)
+                if certain:
                     yield from live[0][0][:certain]
                     live = [(pending[certain:], last, node) for pending, last, node in live]
-        for pending, _, node in live if live is not None else self.states[state]:
+        for pending, _, node in live:
             if node == 0:  # the one hypothesis that ends with a whole token
                 yield from pending
-                return
 
+    def _run(self, tokens: tuple[int, ...]) -> int:
+        number = self.run_number.setdefault(tokens, len(self.runs))
+        if number == len(self.runs):
+            self.runs.append(tokens)
+        return number
+
+    def _learn(self, wanted: np.ndarray) -> None:
+        """Work out transitions (sorted, none of them known)."""
+        to, run = np.zeros(len(wanted), np.int32), np.zeros(len(wanted), np.int32)
+        state, hypotheses = -1, []
+        for i, key in enumerate(wanted.tolist()):
+            if key >> 8 != state:
+                state = key >> 8
+                hypotheses = self.hypotheses(state)
+            live = self.moved(hypotheses, key & 255)
+            certain = self.agreed(live)
+            found = self._packed([(pending[certain:], last, node) for pending, last, node in live])
+            number = self.number.setdefault(found, len(self.states))
+            if number == len(self.states):
+                self.states.append(found)
+            to[i], run[i] = number, self._run(live[0][0][:certain])
+        at = np.searchsorted(self.known, wanted)
+        self.known, self.next, self.emits = np.insert(self.known, at, wanted), np.insert(self.next, at, to), np.insert(self.emits, at, run)
+
+    def _end(self, state: int) -> int:
+        """The run of a state's hypothesis that ends with a whole token."""
+        if state not in self.ends:
+            self.ends[state] = self._run(next((pending for pending, _, node in self.hypotheses(state) if node == 0), ()))
+        return self.ends[state]
+
+    def encode_all(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces, one piece after the other, and their number for each piece."""
+        if len(self.states) > MAX_STATES:
+            self._reset()
+        length = np.array([len(p) for p in pieces], np.int64)
+        data, begin = np.frombuffer(b"".join(pieces), np.uint8), np.cumsum(length) - length
+        order = np.argsort(-length, kind="stable")
+        state, done = np.zeros(len(pieces), np.int64), []
+        live = int((length > 0).sum())
+        for step in range(int(length.max(initial=0))):
+            while live and length[order[live - 1]] <= step:
+                live = int(np.searchsorted(-length[order], -step, side="left"))
+            now = order[:live]
+            asked = state[now] << 8 | data[begin[now] + step]
+            at = np.minimum(np.searchsorted(self.known, asked), max(0, len(self.known) - 1))
+            lacking = self.known[at] != asked if len(self.known) else np.ones(live, bool)
+            if lacking.any():
+                self._learn(np.unique(asked[lacking]))
+                at = np.searchsorted(self.known, asked)
+            state[now] = self.next[at]
+            run = self.emits[at]
+            told = np.flatnonzero(run)
+            done.append((now[told], run[told]))
+        ends, which = np.unique(state, return_inverse=True)
+        done.append((np.arange(len(pieces)), np.array([self._end(s) for s in ends.tolist()], np.int32)[which]))
+        piece, run = np.concatenate([x[0] for x in done]), np.concatenate([x[1] for x in done])
+        by = np.argsort(piece, kind="stable")
+        piece, run = piece[by], run[by]
+        used, run = np.unique(run, return_inverse=True)
+        tokens = [self.runs[r] for r in used.tolist()]
+        n = np.array([len(t) for t in tokens], np.int64)
+        pool = np.array([i for t in tokens for i in t], np.int32)
+        return gathered(pool, (np.cumsum(n) - n)[run], n[run]), np.bincount(piece, n[run], minlength=len(pieces)).astype(np.int64)
 
-class Pieces(dict):
-    """Piece of text -> its ids in decimal, joined by a space; filled by the transducer on demand.
 
-    A full table becomes the older one, of which pieces that come again are taken over; so frequent
-    pieces stay, and two tables bound the memory.
-    """
+class Pieces(dict):
+    """Piece of text -> its number, and the ids of each number; filled by the transducer, many pieces at a time."""
 
     def __init__(self, transducer: Transducer):
         super().__init__()
         self.transducer = transducer
-        self.older: dict[str, str] = {}
-
-    def __missing__(self, piece: str) -> str:
-        ids = self.older.get(piece)
-        if ids is None:
-            ids = " ".join(map(str, self.transducer.encode([piece.encode()])))
-        if len(piece) <= MAX_PIECE:
-            if len(self) >= MAX_PIECES:
-                self.older = dict(self)
-                self.clear()
-            self[piece] = ids
-        return ids
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.new: list[bytes] = []
+        self.start, self.length, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def __missing__(self, piece: str) -> int:
+        data = piece.encode()
+        number = self[piece] = len(self.start) + len(self.new)
+        self.new.append(data)
+        return number
+
+    def numbers(self, part: list[str]) -> np.ndarray:
+        """The numbers of some pieces; new ones have ids after :meth:`fill`."""
+        return np.fromiter(map(self.__getitem__, part), np.int64, len(part))
+
+    def fill(self) -> None:
+        """Encode the new pieces."""
+        if not self.new:
+            return
+        short = [p for p in self.new if len(p) <= MAX_PIECE]
+        ids, n = self.transducer.encode_all(short)
+        if len(short) < len(self.new):
+            cut = np.split(ids, np.cumsum(n)[:-1]) if len(short) else []
+            part = iter(cut)
+            every = [next(part) if len(p) <= MAX_PIECE else np.fromiter(self.transducer.encode([p]), np.int32) for p in self.new]
+            ids, n = np.concatenate(every), np.array([len(x) for x in every], np.int64)
+        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(n) - n])
+        self.length, self.ids, self.new = np.concatenate([self.length, n]), np.concatenate([self.ids, ids]), []
 
 
 #: Well-formed UTF-8 as an automaton: state -> (first byte, last byte, next state). State 0 is "whole".
@@ -293,17 +365,20 @@ def decode_stream(ids: Iterable[int], tokens: dict[int, bytes], block: int = 409
     yield stream.end()
 
 
-_CODERS: dict[tuple[int, str], tuple[Pieces, regex.Pattern, dict[str, bytes]]] = {}
+def _pool(values: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte strings one after the other, where each starts, and its length."""
+    n = np.array([len(v) for v in values], np.int64)
+    return np.frombuffer(b"".join(values), np.uint8), np.cumsum(n) - n, n
 
 
-def _coder(ranks: Broadcast, pattern: str) -> tuple[Pieces, regex.Pattern, dict[str, bytes]]:
-    """A worker's tables, built once and used by all its tasks."""
-    key = (ranks.value["key"], pattern)
-    if key not in _CODERS:
-        _CODERS.clear()
-        transducer = Transducer(ranks.value["ranks"])
-        _CODERS[key] = Pieces(transducer), regex.compile(pattern), {str(i): t for i, t in transducer.tokens.items()}
-    return _CODERS[key]
+@dataclass
+class Part:
+    """A stretch of one text: its number in the batch, its token ids, these in decimal after a blank each, and what they decode to."""
+
+    text: int
+    ids: np.ndarray
+    decimals: memoryview
+    decoded: memoryview
 
 
 #: A text is cut into stretches of about this many characters, at the ends of pieces.
@@ -324,6 +399,87 @@ def _stretches(text: str, pattern: regex.Pattern) -> Iterator[list[str]]:
     yield held
 
 
+class Worker:
+    """A worker's tables: pieces with their ids, and for each token its bytes and its id in decimal after a blank."""
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str):
+        self.pieces, self.split = Pieces(Transducer(ranks)), regex.compile(pattern)
+        tokens = {i: t for t, i in ranks.items()}
+        self.tokens = _pool([tokens.get(i, b"") for i in range(max(tokens) + 1)])
+        self.decimals = _pool([b" %d" % i for i in range(max(tokens) + 1)])
+
+    def parts(self, texts: list[str | None]) -> Iterator[Part]:
+        """All texts in order, in stretches of bounded size; a text without tokens has none."""
+        held, count = [], 0
+        for i, text in enumerate(texts):
+            for part in _stretches(text or "", self.split):
+                if part:
+                    held.append((i, self.pieces.numbers(part)))
+                    count += len(part)
+                if count >= CHUNK:
+                    yield from self._written(held)
+                    held, count = [], 0
+        if held:
+            yield from self._written(held)
+
+    def _written(self, held: list[tuple[int, np.ndarray]]) -> Iterator[Part]:
+        pieces = self.pieces
+        pieces.fill()
+        number = np.concatenate([x[1] for x in held])
+        length = pieces.length[number]
+        ids = gathered(pieces.ids, pieces.start[number], length)
+        if len(pieces) > MAX_PIECES:
+            pieces.forget()
+        cut = np.concatenate([[0], np.cumsum(length)])[np.cumsum([0, *(len(x[1]) for x in held)])]
+        views, cuts = [], []
+        for pool, start, n in (self.decimals, self.tokens):
+            views.append(memoryview(gathered(pool, start[ids], n[ids])))
+            cuts.append(np.concatenate([[0], np.cumsum(n[ids])])[cut].tolist())
+        cut = cut.tolist()
+        for j, (text, _) in enumerate(held):
+            yield Part(text, ids[cut[j] : cut[j + 1]], *(view[c[j] : c[j + 1]] for view, c in zip(views, cuts, strict=True)))
+
+    def digests(self, texts: list[str | None]) -> tuple[list[int], list[str], list[str]]:
+        """For each text the number of its tokens, and SHA-256 of its ids and of what these decode to."""
+        count = [0] * len(texts)
+        ids_hash, text_hash, stream = ([make() for _ in texts] for make in (hashlib.sha256, hashlib.sha256, Utf8Stream))
+        for part in self.parts(texts):
+            i = part.text
+            ids_hash[i].update(part.decimals[count[i] == 0 :])
+            text_hash[i].update(stream[i].feed(bytes(part.decoded)).encode())
+            count[i] += len(part.ids)
+        for h, s in zip(text_hash, stream, strict=True):
+            h.update(s.end().encode())
+        return count, [h.hexdigest() for h in ids_hash], [h.hexdigest() for h in text_hash]
+
+    def encoded(self, texts: list[str | None]) -> tuple[pa.ListArray, list[bool]]:
+        """The ids of each text, and whether they decode to it; stretches are compared as they leave the decoder."""
+        count, at, ok = [0] * len(texts), [0] * len(texts), [True] * len(texts)
+        stream, values = [Utf8Stream() for _ in texts], []
+        for part in self.parts(texts):
+            i = part.text
+            back = stream[i].feed(bytes(part.decoded))
+            ok[i] = ok[i] and texts[i].startswith(back, at[i])
+            at[i] += len(back)
+            count[i] += len(part.ids)
+            values.append(part.ids)
+        offsets = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
+        whole = [x and y == len(t or "") and not s.end() for x, y, t, s in zip(ok, at, texts, stream, strict=True)]
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*values, np.zeros(0, np.int32)]))), whole
+
+
+_WORKERS: dict[tuple[str, str], Worker] = {}
+
+
+def _worker(ranks: Broadcast, pattern: str) -> Worker:
+    """A worker's tables, built once and used by all its tasks."""
+    key = (ranks.value["key"], pattern)
+    if key not in _WORKERS:
+        _WORKERS.clear()
+        _WORKERS[key] = Worker(ranks.value["ranks"], pattern)
+    return _WORKERS[key]
+
+
 class Coder:
     """Encodes and decodes texts with one vocabulary (``ranks`` broadcast: bounded by the vocabulary)."""
 
@@ -337,11 +493,10 @@ class Coder:
         """``docs`` with a column of token ids for each text; no shuffle."""
         ranks, pattern = self.ranks, self.pattern
 
-        @F.pandas_udf(T.ArrayType(T.IntegerType()))
-        def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            pieces, split, _ = _coder(ranks, pattern)
+        @F.arrow_udf("array<int>")
+        def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             for texts in batches:
-                yield pd.Series([[int(i) for part in _stretches(t or "", split) for p in part for i in pieces[p].split()] for t in texts])
+                yield _worker(ranks, pattern).encoded(texts.to_pylist())[0]
 
         return docs.withColumn(ids, encoded(F.col(text)))
 
@@ -349,62 +504,37 @@ class Coder:
         """``docs`` with the token ids of each text and whether decoding them gives it again, in one pass of one worker."""
         ranks, pattern = self.ranks, self.pattern
 
-        @F.pandas_udf("ids array<int>, ok boolean")
-        def coded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-            pieces, split, tokens = _coder(ranks, pattern)
+        @F.arrow_udf("ids array<int>, ok boolean")
+        def coded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             for texts in batches:
-                yield pd.DataFrame([_checked(t or "", pieces, split, tokens) for t in texts], columns=["ids", "ok"])
+                found, whole = _worker(ranks, pattern).encoded(texts.to_pylist())
+                yield pa.StructArray.from_arrays([found, pa.array(whole, pa.bool_())], ["ids", "ok"])
 
-        return docs.withColumn("_coded", coded(F.col(text))).withColumns({ids: F.col("_coded.ids"), ok: F.col("_coded.ok")}).drop("_coded")
+        return with_fields(docs, coded(F.col(text)), {ids: "ids", ok: "ok"})
 
     def decode(self, docs: DataFrame, ids: str = "ids", text: str = "decoded") -> DataFrame:
         """``docs`` with the text of each id column (null ids: empty); ill-formed bytes give U+FFFD."""
         ranks = self.ranks
 
-        @F.pandas_udf(T.StringType())
-        def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        @F.arrow_udf("string")
+        def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             tokens = {i: t for t, i in ranks.value["ranks"].items()}
             for column in batches:
-                yield pd.Series(["".join(decode_stream(x if x is not None else (), tokens)) for x in column])
+                yield pa.array(["".join(decode_stream(x if x is not None else (), tokens)) for x in column.to_pylist()], pa.string())
 
         return docs.withColumn(text, decoded(F.col(ids)))
 
     def round_trip(self, docs: DataFrame, text: str = "text") -> DataFrame:
         """``docs`` with n_tokens, ids_sha256 and decoded_sha256, by one pass over each text.
 
-        The ids themselves don't leave the worker: they are hashed, decoded and dropped in blocks.
+        The ids themselves don't leave the worker: they are hashed, decoded and dropped in stretches.
         """
         ranks, pattern = self.ranks, self.pattern
 
-        @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
-        def coded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-            pieces, split, tokens = _coder(ranks, pattern)
+        @F.arrow_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+        def coded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             for texts in batches:
-                yield pd.DataFrame([_digests(t or "", pieces, split, tokens) for t in texts], columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-
-        return docs.withColumn("_coded", coded(F.col(text))).withColumns({c: F.col(f"_coded.{c}") for c in ("n_tokens", "ids_sha256", "decoded_sha256")}).drop("_coded")
-
-
-def _checked(text: str, pieces: Pieces, split: regex.Pattern, tokens: dict[str, bytes]) -> tuple[np.ndarray, bool]:
-    """Ids of a text, and whether they decode to it; blocks of text are compared as they leave the decoder."""
-    found, at, ok, stream = [], 0, True, Utf8Stream()
-    for part in _stretches(text, split):
-        ids = " ".join(map(pieces.__getitem__, part)).split()
-        found.append(np.array(ids, np.int32))
-        back = stream.feed(b"".join(map(tokens.__getitem__, ids)))
-        ok, at = ok and text.startswith(back, at), at + len(back)
-    return np.concatenate(found), ok and at == len(text) and not stream.end()
-
-
-def _digests(text: str, pieces: Pieces, split: regex.Pattern, tokens: dict[str, bytes]) -> tuple[int, str, str]:
-    n, ids_hash, text_hash, stream = 0, hashlib.sha256(), hashlib.sha256(), Utf8Stream()
-    for part in _stretches(text, split):
-        if not part:
-            continue
-        joined = " ".join(map(pieces.__getitem__, part))
-        ids = joined.split()
-        ids_hash.update((" " * (n > 0) + joined).encode())
-        n += len(ids)
-        text_hash.update(stream.feed(b"".join(map(tokens.__getitem__, ids))).encode())
-    text_hash.update(stream.end().encode())
-    return n, ids_hash.hexdigest(), text_hash.hexdigest()
+                n, ids, back = _worker(ranks, pattern).digests(texts.to_pylist())
+                yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], ["n_tokens", "ids_sha256", "decoded_sha256"])
+
+        return with_fields(docs, coded(F.col(text)), {c: c for c in ("n_tokens", "ids_sha256", "decoded_sha256")})

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.storage import drop_written, shared_dir, written
@@ -32,6 +32,20 @@ def without(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return docs.join(ids, F.col(key) == F.col("_drop"), "left_anti")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def with_fields(df: DataFrame, made: Column, fields: dict[str, str]) -> DataFrame:
+    """``df`` with columns from the fields of a struct that is computed once."""
+    held = free_name(df, "_made")
+    return df.withColumn(held, made).withColumns({c: F.col(held)[f] for c, f in fields.items()}).drop(held)
+
+
 def small_batches(spark: SparkSession, rows: int = 1024) -> None:
     """Bound the rows of one Arrow batch, so that a batch of long texts fits a worker's memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -41,18 +41,38 @@ ALPHABET = ["a", "the", " ", "\n", "é", "😀", "1", "!", "中", "ß", "  ", "\
 
 
 def test_transducer_gives_the_tokens_of_plain_merging(vocabulary, reference):
-    pieces, split = bpe.Pieces(bpe.Transducer(vocabulary)), regex.compile(public_tokenizers.PATTERN)
+    transducer, split = bpe.Transducer(vocabulary), regex.compile(public_tokenizers.PATTERN)
     for text in [*random_texts(1, 400, ALPHABET), "a" * 5000, " " * 700 + "x", "é" * 300]:
-        assert [int(i) for p in split.findall(text) for i in pieces[p].split()] == reference.encode_ordinary(text)
+        pieces = [p.encode() for p in split.findall(text)]
+        assert transducer.encode_all(pieces)[0].tolist() == reference.encode_ordinary(text)
+        assert [i for p in pieces for i in transducer.encode([p])] == reference.encode_ordinary(text)
 
 
 def test_transducer_waits_for_few_tokens_and_survives_a_full_table(vocabulary, reference, monkeypatch):
-    monkeypatch.setattr(bpe, "MAX_TRANSITIONS", 50)
+    monkeypatch.setattr(bpe, "MAX_STATES", 50)
     monkeypatch.setattr(bpe, "MAX_PAIRS", 20)
     transducer = bpe.Transducer(vocabulary)
     for word in ["aaaaaaaaaaaaaaaaaaaaaaaaaaa", " internationalisation", "ththatthether" * 40]:
         assert list(transducer.encode([word[:5].encode(), word[5:].encode()])) == reference.encode_ordinary(word)
-    assert max(len(pending) for state in transducer.states for pending, _, _ in state) < 12
+        assert transducer.encode_all([word.encode(), b"", word[:3].encode()])[1].sum() == len(reference.encode_ordinary(word)) + len(reference.encode_ordinary(word[:3]))
+    assert max(len(pending) for state in range(len(transducer.states)) for pending, _, _ in transducer.hypotheses(state)) < 12
+
+
+def test_worker_writes_long_texts_in_stretches(vocabulary, reference, monkeypatch):
+    """Results don't depend on the sizes of tables and stretches."""
+    monkeypatch.setattr(bpe, "CHUNK", 7)
+    monkeypatch.setattr(bpe, "STRETCH", 40)
+    monkeypatch.setattr(bpe, "MAX_PIECES", 5)
+    monkeypatch.setattr(bpe, "MAX_PIECE", 9)
+    worker = bpe.Worker(vocabulary, public_tokenizers.PATTERN)
+    texts = [*random_texts(9, 60, ALPHABET), None, "", "a" * 300]
+    count, ids, back = worker.digests(texts)
+    found, whole = worker.encoded(texts)
+    for i, text in enumerate(texts):
+        own = reference.encode_ordinary(text or "")
+        assert (count[i], found[i].as_py(), whole[i]) == (len(own), own, True)
+        assert ids[i] == hashlib.sha256(" ".join(map(str, own)).encode()).hexdigest()
+        assert back[i] == hashlib.sha256((text or "").encode()).hexdigest()
 
 
 def test_utf8_stream_holds_back_unfinished_characters():
