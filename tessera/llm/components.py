@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import drop_written, written
 
-#: Nodes that a task holds before it passes their trees on.
-HELD = 2_000_000
+#: Edges that a task gets, about, and nodes that it holds before it passes their trees on.
+EDGES, HELD = 200_000, 2_000_000
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -51,13 +51,20 @@ def components(edges: DataFrame) -> DataFrame:
     executor costs one step at most. Loops, repeated edges and edges with a null end count for nothing;
     a node without other neighbours has no row.
     """
-    return _contracted(edges.select("a", "b").filter("a != b"))
+    return _contracted(written(edges.select("a", "b").filter("a != b"), "edges"))
 
 
 def _contracted(edges: DataFrame) -> DataFrame:
-    forest = edges.mapInArrow(_forest, "node long, root long")
+    # The fewer links are left, the fewer tasks share them, so that the last ones meet in one.
+    tasks = -(-edges.count() // EDGES)
+    forest = edges.coalesce(max(1, tasks)).mapInArrow(_forest, "node long, root long")
+    if tasks <= 1:
+        out = written(forest.withColumnRenamed("root", "component"), "components")
+        drop_written(edges)
+        return out
     met = written(forest.groupBy("node").agg(F.min("root").alias("low"), F.collect_set("root").alias("roots")), "trees")
-    between = met.filter(F.size("roots") > 1).select(F.explode("roots").alias("a"), F.col("low").alias("b")).filter("a != b")
+    drop_written(edges)
+    between = written(met.filter(F.size("roots") > 1).select(F.explode("roots").alias("a"), F.col("low").alias("b")).filter("a != b"), "edges")
     if between.isEmpty():
         return met.select("node", F.col("low").alias("component"))
     above = _contracted(between).withColumnRenamed("node", "low")

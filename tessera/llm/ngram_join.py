@@ -16,12 +16,18 @@ Steps, each over all documents:
    cell that one document alone reached proves its shingles to be in no other: they make no key, and a
    document with more of them than ``slack`` has no partner and no keys at all.
 2. Keys. Inside a task, documents with an equal key and like size are chained and one of them goes on;
-   the shuffle sees a key once for each task and size. Chains give candidate families.
-3. Inside a family, one document of each distinct set is compared with all others of like size, in blocks:
-   first by parity bitmaps of a few bits a shingle, which bound the symmetric difference from below and
-   so break families up without losing a link, then, in what is left, by the sets themselves. Only
-   links that join two parts leave a block, so no list of pairs arises.
-4. Components of the links, carried to all documents by digest.
+   the shuffle sees a key once for each task and size. Chains give candidate pairs of distinct sets, a few for
+   each set, however many share a key.
+3. Parity bitmaps of a few bits a shingle bound the symmetric difference of a pair from below; what they let pass
+   is compared set by set. The links join their documents to parts, so a family of near copies costs work in
+   proportion to its members.
+4. Parts that a chain leads out of may still be linked across. Parts that chains connect make a family. Documents of its
+   largest part meet only those of its other parts, in blocks of both, and their sets are compared where these
+   are of parts that no link has joined yet. A family with many documents outside its largest part is compared key by key instead: under each key
+   documents of different parts are held against each other by bitmaps. Of two parts
+   a task names up to ``TRIALS`` pairs, which are compared set by set; only if it had more to name, and
+   these have not joined the parts, all of them are named in a second round. So no link is lost and no list of all pairs arises.
+5. Components of the links, carried to all documents by digest.
 
 Shingles are 64-bit hashes; two texts would have to collide in them to change a result. Null texts count as
 empty; documents without words have size 0 and no links. Repeated rows fall into one set and get the
@@ -31,14 +37,16 @@ gets its size and a null component. Extra columns are left out; an empty table g
 
 from __future__ import annotations
 
+import collections
 import hashlib
 import math
+import sys
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import mix, shingle_hashes, small_batches, text_bytes, without, word_hashes, written
@@ -56,9 +64,11 @@ ALONE, UNCOUNTED = _STEPS, 255
 FREQUENT, OVER_MEAN = 32, 4
 #: Frequent shingles of a prefix that share a group, about.
 GROUP = 8
-#: Documents in a block of a family, and how many times as many where bitmaps stand for the sets.
-BLOCK, BITMAPS = 256, 4
-#: More members than this are joined with their texts by a shuffle, fewer are broadcast (three numbers each).
+#: Documents of a block, and pairs of two parts that a task names in the first round.
+BLOCK, TRIALS = 256, 16
+#: Families with more documents outside their largest part are compared by keys.
+OTHERS = 4096
+#: More documents than this are joined with their texts by a shuffle, fewer are broadcast (two numbers each).
 BROADCAST_ROWS = 500_000
 #: Keys that a task holds before it passes them on.
 HELD = 1_000_000
@@ -71,6 +81,10 @@ def _sets(batch: pa.RecordBatch, k: int) -> Iterator[np.ndarray]:
         yield np.unique(hashes[begin[i] : begin[i + 1]])
 
 
+def _digest(own: np.ndarray) -> bytes:
+    return hashlib.blake2b(own.tobytes(), digest_size=16).digest()
+
+
 def _counted(own: np.ndarray) -> np.ndarray:
     """Which of some shingles are counted: every other one, by a bit that chooses no cell."""
     return own >> np.uint64(63) == 0
@@ -100,21 +114,23 @@ def _statistics(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray, int]:
             n, digests, bits = [], [], []
             for own in _sets(batch, k):
                 n.append(len(own))
-                bits.append(bitmap(own).tobytes())
-                digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
+                bits.append(bitmap(own).view(np.int64))
+                digests.append(_digest(own))
                 # A document counts once in a cell, whichever of its shingles meet there.
                 at = (own[_counted(own)] & np.uint64(cells - 1)).astype(np.int64)
                 counts[at] = np.minimum(counts[at], MOST_COUNT - 1) + 1
             halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
             empty = pa.nulls(batch.num_rows, pa.int32()), pa.nulls(batch.num_rows, pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(bits, pa.binary()), *empty], _STATS)
+            width = np.concatenate([[0], np.cumsum([len(b) for b in bits])]).astype(np.int32)
+            maps = pa.ListArray.from_arrays(pa.array(width), pa.array(np.concatenate([*bits, np.zeros(0, np.int64)])))
+            yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), maps, *empty], _STATS)
         if counts.any():
             reached = np.flatnonzero(counts.reshape(-1, _SLICE).any(1)).tolist()
             parts = [(i, _packed(counts[i * _SLICE : (i + 1) * _SLICE])) for i in reached]
-            none = [*[pa.nulls(len(parts), pa.int64())] * 4, pa.nulls(len(parts), pa.binary())]
+            none = [*[pa.nulls(len(parts), pa.int64())] * 4, pa.nulls(len(parts), pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*none, pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts], pa.binary())], _STATS)
 
-    found = written(docs.mapInArrow(measured, "id long, n long, hi long, lo long, bits binary, slice int, cells binary"), "shingle-sets")
+    found = written(docs.mapInArrow(measured, "id long, n long, hi long, lo long, bits array<long>, slice int, cells binary"), "shingle-sets")
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
@@ -194,7 +210,7 @@ def keys(own: np.ndarray, scale: np.ndarray, frequent: int, threshold: Threshold
 
 
 def _candidate_edges(docs: DataFrame, k: int, scale: np.ndarray, frequent: int, threshold: Threshold) -> DataFrame:
-    """(a, b): chains through documents that share a key and have sizes of neighbouring bins."""
+    """(a, b): chains through sets (first halves of their digests) that share a key and have sizes of neighbouring bins."""
     shared = docs.sparkSession.sparkContext.broadcast(scale)
 
     def combined(held: list[tuple[np.ndarray, int, int]]) -> pa.RecordBatch:
@@ -222,7 +238,7 @@ def _candidate_edges(docs: DataFrame, k: int, scale: np.ndarray, frequent: int,
                 found = keys(own, shared.value, frequent, threshold)
                 if not len(found):
                     continue
-                held.append((found, doc, threshold.size_bin(len(own))))
+                held.append((found, int.from_bytes(_digest(own)[:8], sys.byteorder, signed=True), threshold.size_bin(len(own))))
                 count += len(found)
                 if count >= HELD:
                     yield combined(held)
@@ -235,7 +251,7 @@ def _candidate_edges(docs: DataFrame, k: int, scale: np.ndarray, frequent: int,
     by_key = Window.partitionBy("key").orderBy("size", "doc")
     before = F.lag(F.struct("size", "doc")).over(by_key)
     chained = postings.withColumn("before", before).withColumn("a", F.when(F.col("size") < 0, F.col("key")).when((F.col("before.size") >= 0) & (F.col("before.size") >= F.col("size") - 1), F.col("before.doc")))
-    return chained.filter("a IS NOT NULL").select("a", F.col("doc").alias("b"))
+    return chained.filter("a IS NOT NULL AND a != doc").select("a", F.col("doc").alias("b")).distinct()
 
 
 def bitmap(own: np.ndarray) -> np.ndarray:
@@ -252,107 +268,255 @@ def _folded(bits: np.ndarray, words: int) -> np.ndarray:
     return bits
 
 
-class Block:
-    """Sets of one block (side 2), or of two (sides 0 and 1) of which only pairs across count."""
-
-    def __init__(self, docs: list[int], side: list[int], n: list[int], bits: list[np.ndarray], threshold: Threshold):
-        order = np.lexsort((docs, n))
-        self.order, self.docs, self.side, self.n = order, np.array(docs, np.int64)[order], np.array(side)[order], np.array(n, np.int64)[order]
-        self.bits, self.threshold = [bits[i] for i in order], threshold
-        self.parent = list(range(len(order)))
-
-    def root(self, i: int) -> int:
-        while self.parent[i] != i:
-            self.parent[i] = self.parent[self.parent[i]]
-            i = self.parent[i]
-        return i
-
-    def maybe(self) -> Iterator[tuple[int, int]]:
-        """Pairs, the smaller set first, that sizes and bitmaps let pass."""
-        until = np.searchsorted(self.n, 100 * self.n // self.threshold.percent, side="right")
-        words, first, maps = 0, 0, None
-        for i in range(len(self.n)):
-            j = np.arange(i + 1, until[i])
-            j = j[(self.side[j] != self.side[i]) | (self.side[j] == 2)]
-            if not len(j):
-                continue
-            if len(self.bits[i]) != words:
-                # Sizes rise, so the maps of this width serve all that follow with it, and their partners.
-                words, first = len(self.bits[i]), i
-                same = next((x for x in range(i, len(self.n)) if len(self.bits[x]) != words), len(self.n))
-                maps = np.stack([_folded(b, words) for b in self.bits[i : until[same - 1]]])
-            apart = np.bitwise_count(maps[j - first] ^ maps[i - first]).sum(1)
-            for x in j[apart <= self.threshold.most_apart(self.n[i], self.n[j])].tolist():
-                yield i, x
-
-    def spanning(self, linked) -> list[tuple[int, int]]:
-        """Links (of those for which ``linked`` holds) that connect what all of them connect."""
-        links = []
-        for i, x in self.maybe():
-            a, b = self.root(i), self.root(x)
-            if a != b and linked(i, x):
-                self.parent[b] = a
-                links.append((int(self.docs[i]), int(self.docs[x])))
-        return links
+def _apart(a: Column, b: Column) -> Column:
+    """The differing bits of two bitmaps, the wider one folded."""
+
+    def folded(x: Column, other: Column) -> Column:
+        half = F.when(F.size(x) > F.size(other), F.transform(F.slice(x, 1, F.size(other)), lambda v, i: v.bitwiseXOR(F.get(x, i + F.size(other)))))
+        return F.coalesce(half, x)
+
+    return F.aggregate(F.zip_with(folded(a, b), folded(b, a), lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda total, n: total + n)
 
 
-def exact_links(block: Block, sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    sets = [sets[i] for i in block.order]
+def _likely(n: Column, m: Column, a: Column, b: Column, percent: int) -> Column:
+    """Whether sizes and bitmaps of two sets let them link; one folding suffices, as sizes that link differ less than twofold."""
+    most = n + m - 2 * F.ceil(percent * (n + m) / (100 + percent))
+    sizes = F.least(n, m) * 100 >= percent * F.greatest(n, m)
+    return sizes & (F.greatest(F.size(a), F.size(b)) <= 2 * F.least(F.size(a), F.size(b))) & (_apart(a, b) <= most)
 
-    def linked(i: int, x: int) -> bool:
-        small, large = sets[i], sets[x]
-        at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-        return block.threshold.links(len(small), len(large), int((large[at] == small).sum()))
 
-    return block.spanning(linked)
+def _with_text(source: DataFrame, members: DataFrame, *columns: str) -> DataFrame:
+    """The rows of ``source`` (id, text) of the members (written), with columns of these."""
+    members = members.select("id", *columns)
+    chosen = F.broadcast(members) if members.count() <= BROADCAST_ROWS else members
+    return source.join(chosen, "id").select("id", "text", *columns)
+
+
+def _verified(source: DataFrame, pairs: DataFrame, k: int, threshold: Threshold) -> DataFrame:
+    """Those of the pairs (a, b; written) whose sets link; written. A set is sent to each ``a`` that asks for it."""
+    asked = pairs.select("a", F.explode(F.array("a", "b")).alias("id")).distinct()
+    members = written(asked.groupBy("id").agg(F.collect_set("a").alias("groups")), "asked")
+
+    def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([s.tobytes() for s in _sets(batch, k)], pa.binary()), batch.column("groups")], ["id", "own", "groups"])
 
+    sent = _with_text(source, members, "groups").mapInArrow(as_sets, "id long, own binary, groups array<long>").select("id", "own", F.explode("groups").alias("a"))
 
-def _in_blocks(members: DataFrame, value: str, threshold: Threshold, exact: bool) -> DataFrame:
-    """(a, b) between members (id, family, blocks, n, ``value``: bitmap or set) of the same family."""
-    placed = members.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    paired = placed.withColumn("other", other).select("family", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "id", F.col(value).alias("value"), "n")
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, centres = None, []
+        for batch in batches:
+            links = []
+            for a, node, value in zip(*(batch.column(c).to_pylist() for c in ("a", "id", "own")), strict=True):
+                own = np.frombuffer(value, np.uint64)
+                if a != now:
+                    now, centres = a, []
+                if node == a:  # these come first; one, but for rows that share an id
+                    centres.append(own)
+                elif any(threshold.links(len(c), len(own), shared(c, own)) for c in centres):
+                    links.append((a, node))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], ["a", "b"])
+
+    by_centre = sent.repartition("a").sortWithinPartitions("a", F.col("id") != F.col("a"))
+    return written(by_centre.mapInArrow(compared, "a long, b long").distinct(), "links")
+
+
+def shared(a: np.ndarray, b: np.ndarray) -> int:
+    """The size of the intersection of two sorted sets."""
+    small, large = (a, b) if len(a) <= len(b) else (b, a)
+    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+    return int((large[at] == small).sum()) if len(large) else 0
+
+
+def maybe(n: np.ndarray, part: np.ndarray, side: np.ndarray, bits: list[np.ndarray], threshold: Threshold) -> Iterator[tuple[int, int]]:
+    """Places of two sets of different parts that sizes and bitmaps let link.
+
+    Sets of side 0 meet only those of side 1; those of side 2 meet one another.
+    """
+    order = np.argsort(n, kind="stable")
+    n, part, side, bits = n[order], part[order], side[order], [bits[i] for i in order]
+    until = np.searchsorted(n, 100 * n // threshold.percent, side="right")
+    words, first, maps = 0, 0, None
+    for i in range(len(n)):
+        j = np.arange(i + 1, until[i])
+        j = j[((side[j] != side[i]) | (side[j] == 2)) & (part[j] != part[i])]
+        if not len(j):
+            continue
+        if len(bits[i]) != words:
+            # Sizes rise, so the maps of this width serve all that follow with it, and their partners.
+            words, first = len(bits[i]), i
+            same = next((x for x in range(i, len(n)) if len(bits[x]) != words), len(n))
+            maps = np.stack([_folded(b, words) for b in bits[i : until[same - 1]]])
+        apart = np.bitwise_count(maps[j - first] ^ maps[i - first]).sum(1)
+        for x in order[j[apart <= threshold.most_apart(n[i], n[j])]].tolist():
+            yield int(order[i]), x
+
+
+def named(pairs: Iterator[tuple[int, int]], part: np.ndarray, trials: int | None) -> tuple[list[tuple[int, int]], bool]:
+    """Up to ``trials`` of the pairs for each two parts; whether there are more."""
+    found, count, more = [], collections.Counter(), False
+    for i, x in pairs:
+        parts = min(part[i], part[x]), max(part[i], part[x])
+        count[parts] += 1
+        if trials is None or count[parts] <= trials:
+            found.append((i, x))
+        else:
+            more = True
+    return found, more
+
+
+def joining(pairs: Iterator[tuple[int, int]], part: np.ndarray, sets: list[np.ndarray], threshold: Threshold) -> list[tuple[int, int]]:
+    """Links among the pairs that join parts not joined before."""
+    parent = {p: p for p in part.tolist()}
+
+    def root(p: int) -> int:
+        while parent[p] != p:
+            parent[p] = parent[parent[p]]
+            p = parent[p]
+        return p
+
+    links = []
+    for i, x in pairs:
+        a, b = root(int(part[i])), root(int(part[x]))
+        if a != b and threshold.links(len(sets[i]), len(sets[x]), shared(sets[i], sets[x])):
+            parent[b] = a
+            links.append((i, x))
+    return links
+
+
+def _postings(source: DataFrame, members: DataFrame, k: int, scale: np.ndarray, frequent: int, threshold: Threshold) -> DataFrame:
+    """(key, id) of the members (id; written); written."""
+    held = source.sparkSession.sparkContext.broadcast(scale)
 
-    def finish(now: tuple, held: list) -> pa.RecordBatch:
-        _, x, y = now
-        values = [np.frombuffer(h[2], np.uint64) for h in held]
-        block = Block([h[1] for h in held], [2 if x == y else int(h[0] == y) for h in held], [h[3] for h in held], [bitmap(v) for v in values] if exact else values, threshold)
-        links = exact_links(block, values) if exact else block.spanning(lambda i, x: True)
-        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in links], pa.int64()), pa.array([p[1] for p in links], pa.int64())], ["a", "b"])
+    def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(keys(own, held.value, frequent, threshold)) if len(own) else np.zeros(0, np.uint64) for own in _sets(batch, k)]
+            ids = np.repeat(batch.column("id").to_numpy(), [len(f) for f in found])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64)), pa.array(ids)], ["key", "id"])
+
+    return written(_with_text(source, members).mapInArrow(indexed, "key long, id long"), "postings")
+
+
+def _dealt(placed: DataFrame) -> DataFrame:
+    """(group, x, y, side, id): the rows (group, id, part) of each group of several parts, dealt to pairs of blocks.
+
+    A group of up to ``BLOCK`` rows is one block. In a larger one the rows of its largest part aren't compared among
+    themselves: they go to as many places as the others have blocks, so that a part that most rows are of costs work in proportion.
+    """
+    shares = written(placed.groupBy("group", "part").agg(F.count("*").alias("own")), "shares")
+    sums = shares.groupBy("group").agg(F.sum("own").alias("m"), F.max("own").alias("most"), F.max_by("part", F.struct("own", "part")).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
+    large = F.col("m") > BLOCK
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    asked = written(sums.select("group", F.when(large, F.col("main")).alias("main"), F.when(large, blocks(F.col("most"))).otherwise(0).alias("mains"), F.when(large, blocks(F.col("m") - F.col("most"))).otherwise(1).alias("others")), "asked")
+    rows = placed.join(F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked, "group")
+    is_main = F.coalesce(F.col("part") == F.col("main"), F.lit(False))
+    own = F.pmod(F.xxhash64("id"), F.when(is_main, F.col("mains")).otherwise(F.col("others"))).cast("int")
+    every = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    # Blocks of the main part have numbers below 0; they meet the other blocks, and these one another.
+    of_main = F.transform(every(F.col("others")), lambda y: F.struct((-1 - own).alias("x"), y.alias("y"), F.lit(0).alias("side")))
+    with_main = F.transform(every(F.col("mains")), lambda x: F.struct((-1 - x).alias("x"), own.alias("y"), F.lit(1).alias("side")))
+    with_other = F.transform(every(F.col("others")), lambda y: F.struct(F.least(own, y).alias("x"), F.greatest(own, y).alias("y"), F.when(own == y, 2).otherwise((own > y).cast("int")).alias("side")))
+    met = F.explode(F.when(is_main, of_main).otherwise(F.concat(with_main, with_other))).alias("at")
+    return rows.select("group", "id", "part", met).select("group", "at.x", "at.y", "at.side", "id", "part")
+
+
+def _each_block(dealt: DataFrame, value: str, pairs_of: Callable[[list], list[tuple]]) -> DataFrame:
+    """(a, b), written: what ``pairs_of`` gives for the rows [side, id, part, ``value``] of each block against a block."""
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
+
+        def out(pairs: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
+
         for batch in batches:
-            for family, x, y, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (family, x, y) != now:
+            pairs = []
+            for group, x, y, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (group, x, y) != now:
                     if len(held) > 1:
-                        yield finish(now, held)
-                    now, held = (family, x, y), []
+                        pairs += pairs_of(held)
+                    now, held = (group, x, y), []
                 held.append(row)
+            yield out(pairs)
         if len(held) > 1:
-            yield finish(now, held)
+            yield out(pairs_of(held))
 
-    return paired.repartition("family", "x", "y").sortWithinPartitions("family", "x", "y").mapInArrow(compared, "a long, b long")
+    sent = dealt.select("group", "x", "y", "side", "id", "part", value)
+    return written(sent.repartition("group", "x", "y").sortWithinPartitions("group", "x", "y").mapInArrow(compared, "a long, b long").distinct(), "pairs")
 
 
-def _members(sets: DataFrame, edges: DataFrame, block: int) -> DataFrame:
-    """(id, family, blocks) of the sets (id) in the components of ``edges`` that hold two of them or more; written."""
-    family = written(components(edges).select(F.col("node").alias("id"), F.col("component").alias("family")), "families")
-    distinct = written(sets.select("id").join(family, "id"), "members")
-    sizes = written(distinct.groupBy("family").agg(F.count("*").alias("m")).filter("m > 1"), "sizes")
-    return written(distinct.join(sizes, "family").select("id", "family", F.ceil(F.col("m") / block).cast("int").alias("blocks")), "members")
+def _columns(held: list) -> tuple[np.ndarray, list[int], np.ndarray]:
+    return np.array([h[0] for h in held]), [h[1] for h in held], np.array([h[2] for h in held], np.int64)
 
 
-def _with_sets(docs: DataFrame, members: DataFrame, k: int) -> DataFrame:
-    """The members with their sets (``own``), made anew from the texts."""
+def _in_families(source: DataFrame, members: DataFrame, k: int, threshold: Threshold) -> DataFrame:
+    """(a, b): links that join all parts of a family (id, part, family) that links join."""
 
     def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = list(_sets(batch, k))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "family", "blocks")), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "family", "blocks", "n", "own"])
-
-    chosen = F.broadcast(members) if members.count() <= BROADCAST_ROWS else members
-    return docs.join(chosen, "id").select("id", "family", "blocks", "text").mapInArrow(as_sets, "id long, family long, blocks int, n long, own binary")
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _PLACE), pa.array([s.tobytes() for s in _sets(batch, k)], pa.binary())], [*_PLACE, "own"])
+
+    def links_of(held: list) -> list[tuple[int, int]]:
+        side, ids, part = _columns(held)
+        sets = [np.frombuffer(h[3], np.uint64) for h in held]
+        pairs = maybe(np.array([len(x) for x in sets], np.int64), part, side, [bitmap(x) for x in sets], threshold)
+        return [(ids[i], ids[x]) for i, x in joining(pairs, part, sets, threshold)]
+
+    dealt = written(_dealt(members.withColumnRenamed("family", "group")), "dealt")
+    texts = _with_text(source, dealt, *_PLACE[:4], "part")
+    return _each_block(texts.mapInArrow(as_sets, "group long, x int, y int, side int, id long, part long, own binary"), "own", links_of)
+
+
+_PLACE = ("group", "x", "y", "side", "id", "part")
+
+
+def _by_keys(postings: DataFrame, members: DataFrame, sets: DataFrame, threshold: Threshold, trials: int | None) -> DataFrame:
+    """(a, b): pairs that :func:`named` gives under each key (key, id) of the members (id, part); nulls where a key has more."""
+
+    def pairs_of(held: list) -> list[tuple]:
+        side, ids, part = _columns(held)
+        pairs = maybe(np.array([h[3]["n"] for h in held], np.int64), part, side, [np.array(h[3]["bits"], np.int64).view(np.uint64) for h in held], threshold)
+        found, more = named(pairs, part, trials)
+        return [*((min(ids[i], ids[x]), max(ids[i], ids[x])) for i, x in found), *[(None, None)] * more]
+
+    dealt = _dealt(postings.join(members.select("id", "part"), "id").select(F.col("key").alias("group"), "id", "part"))
+    return _each_block(dealt.join(sets.select("id", F.struct("n", "bits").alias("map")), "id"), "map", pairs_of)
+
+
+def _parts(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, part) of all nodes (id): the component of each, or itself."""
+    linked = components(links)
+    return nodes.join(linked, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("part"))
+
+
+def _links(source: DataFrame, sets: DataFrame, chains: DataFrame, k: int, scale: np.ndarray, frequent: int, threshold: Threshold) -> DataFrame:
+    """(a, b): links between distinct sets (hi, lo, id, n, bits) that join all that links join. ``chains``: (a, b) by ``hi``."""
+    # Of two sets with an equal half of a digest both are meant: a pair too many does no harm.
+    end = lambda side: sets.select(F.col("hi").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "bits")))
+    met = chains.join(end("a"), "a").join(end("b"), "b").filter("id_a != id_b")
+    pairs = written(met.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), _likely(F.col("n_a"), F.col("n_b"), F.col("bits_a"), F.col("bits_b"), threshold.percent).alias("likely")), "candidates")
+    links = _verified(source, pairs.filter("likely").select("a", "b"), k, threshold)
+    nodes = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "nodes")
+    parts = written(_parts(nodes, links), "parts")
+    # A part is open if a chain leads out of it; open parts that chains connect are a family.
+    side = lambda c: parts.select(F.col("id").alias(c), F.col("part").alias(f"part_{c}"))
+    crossing = pairs.join(side("a"), "a").join(side("b"), "b").select(F.col("part_a").alias("a"), F.col("part_b").alias("b"))
+    families = components(crossing).select(F.col("node").alias("part"), F.col("component").alias("family"))
+    members = written(parts.join(families, "part").select("id", "part", "family"), "open")
+    sums = members.groupBy("family", "part").agg(F.count("*").alias("own")).groupBy("family").agg((F.sum("own") - F.max("own")).alias("others"))
+    wide = written(sums.filter(F.col("others") > OTHERS).select("family"), "wide")
+    links = links.unionByName(_in_families(source, members.join(wide, "family", "left_anti"), k, threshold))
+    if wide.isEmpty():
+        return links
+    members, trials = written(members.join(wide, "family", "left_semi"), "wide-members"), TRIALS
+    postings = _postings(source, members, k, scale, frequent, threshold)
+    while True:
+        met = _by_keys(postings, members, sets, threshold, trials)
+        links = links.unionByName(_verified(source, met.filter("a IS NOT NULL"), k, threshold))
+        if met.filter("a IS NULL").isEmpty():
+            return links
+        # Parts that are still apart are compared again, now in full.
+        members, trials = written(_parts(members.select("id"), links), "wide-members"), None
 
 
 def link(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
@@ -361,14 +525,10 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, p
     threshold = Threshold(percent)
     source = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     stats, scale, frequent = _statistics(source, k)
-    # One document of each distinct set; families with one set need no comparison.
-    classes = written(stats.filter("n > 0 AND id IS NOT NULL").groupBy("hi", "lo").agg(F.min("id").alias("id")), "sets")
-    candidates = _members(classes, _candidate_edges(source, k, scale, frequent, threshold), BITMAPS * BLOCK)
-    near = _in_blocks(stats.select("id", "n", "bits").join(candidates, "id"), "bits", threshold, exact=False)
-    likely = _members(classes, near, BLOCK)
-    links = written(_in_blocks(_with_sets(source, likely, k), "own", threshold, exact=True), "links")
-    linked = components(links).withColumnRenamed("node", "id")
-    placed = written(classes.join(linked, "id", "left").select("hi", "lo", F.coalesce("component", "id").alias("component")), "placed")
+    # One document stands for each distinct set.
+    sets = written(stats.filter("n > 0 AND id IS NOT NULL").groupBy("hi", "lo").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bits").alias("bits")), "sets")
+    linked = components(_links(source, sets, _candidate_edges(source, k, scale, frequent, threshold), k, scale, frequent, threshold)).withColumnRenamed("node", "id")
+    placed = written(sets.join(linked, "id", "left").select("hi", "lo", F.coalesce("component", "id").alias("component")), "placed")
     own = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
     return stats.join(placed, ["hi", "lo"], "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), own).alias("component_id"))
 

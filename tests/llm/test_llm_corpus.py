@@ -67,10 +67,12 @@ def near_copies(rng, n, edits=4):
     return out
 
 
-@pytest.mark.parametrize(("frequent", "block", "k", "percent"), [(32, 256, 4, 85), (3, 8, 4, 85), (2, 5, 5, 80)])
-def test_ngram_join_loses_no_link(spark, monkeypatch, frequent, block, k, percent):
+@pytest.mark.parametrize(("frequent", "block", "trials", "others", "k", "percent"), [(32, 256, 16, 4096, 4, 85), (3, 8, 1, 4096, 4, 85), (3, 8, 1, 2, 4, 85), (2, 5, 0, 0, 5, 80)])
+def test_ngram_join_loses_no_link(spark, monkeypatch, frequent, block, trials, others, k, percent):
+    monkeypatch.setattr(ngram_join, "OTHERS", others)
     monkeypatch.setattr(ngram_join, "FREQUENT", frequent)
     monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "TRIALS", trials)
     texts = near_copies(random.Random(frequent), 220)
     got = {(r["doc_id"]): r for r in ngram_join.link(frame(spark, texts), k=k, percent=percent).collect()}
     for i, c in enumerate(linked(texts, k, percent)):
@@ -109,6 +111,43 @@ def test_ngram_shingles_of_one_document_make_no_keys():
     assert not len(ngram_join.keys(own, scale, 40, threshold))
 
 
+def test_ngram_join_in_a_family_of_thousands(spark, monkeypatch):
+    """2,000 near copies of one text, some beyond the threshold: links grow with the documents, and none is lost."""
+    rng = random.Random(21)
+    base = [f"b{rng.randrange(10**6)}" for _ in range(120)]
+    texts = []
+    for _ in range(2000):
+        w = list(base)
+        for at in rng.sample(range(120), rng.choice([0, 1, 2, 3, 9])):
+            w[at] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    counted, plain = [], ngram_join.components
+
+    def counting(edges):
+        counted.append(edges.count())
+        return plain(edges)
+
+    monkeypatch.setattr(ngram_join, "components", counting)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r["component_id"] for r in ngram_join.link(docs).orderBy("doc_id").collect()]
+    sets = [shingles(t, 4) for t in texts]
+    parent = list(range(2000))
+
+    def root(i):
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for i in range(2000):
+        for j in range(i):
+            a, b = root(i), root(j)
+            if a != b and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                parent[max(a, b)] = min(a, b)
+    assert got == [root(i) for i in range(2000)]
+    assert max(counted) < 20 * 2000
+
+
 def test_keep_one(spark):
     texts = near_copies(random.Random(9), 60)
     kept = ngram_join.keep_one(frame(spark, texts))
