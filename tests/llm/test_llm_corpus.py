@@ -1,6 +1,7 @@
 """N-gram join, decontamination, context-tree weighting, toxicity and URL rules against brute force."""
 
 import collections
+import itertools
 import math
 import random
 import re
@@ -334,6 +335,44 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.train(docs.limit(0), known).score(docs).count() == docs.count()
 
 
+def test_label_model_finds_chances_and_correlations():
+    """Votes drawn from known chances, two voters of one mind: the fit sees no labels and finds both."""
+    rng = np.random.default_rng(3)
+    n, share = 60_000, 0.2
+    y = rng.random(n) < share
+    toxic, clean = np.array([0.5, 0.4, 0.3, 0.6, 0.05, 0.1]), np.array([0.02, 0.05, 0.01, 0.1, 0.2, 0.3])
+    votes = np.where(y[:, None], rng.random((n, 6)) < toxic, rng.random((n, 6)) < clean)
+    votes = np.column_stack([votes, votes[:, 0] & (rng.random(n) < 0.9)])
+    sign = np.array([1, 1, 1, 1, -1, -1, 1])
+    both = (votes[:, :, None] & votes[:, None, :]).sum(0).astype(float)
+    clique = toxicity.cliques(both, n, share, sign)
+    assert clique[0] == clique[6] and len(set(clique)) == 6
+    heard = toxicity._by_clique(votes, clique)
+    meant = np.array([sign[clique == c][0] for c in range(6)])
+    a, c = toxicity.chances((heard[:, :, None] & heard[:, None, :]).sum(0).astype(float), n, share, meant)
+    for v in range(6):
+        assert a[clique[v]] == pytest.approx(toxic[v], abs=0.04) and c[clique[v]] == pytest.approx(clean[v], abs=0.02)
+
+
+def test_posterior_by_the_definition():
+    model = toxicity.LabelModel(np.array([0, 1, 1, -1]), 0.25, np.array([0.6, 0.3]), np.array([0.1, 0.4]), 0.07)
+    for votes in itertools.product([0, 1], repeat=4):
+        heard = [votes[0], max(votes[1], votes[2])]
+        joint = lambda prior, chance: prior * math.prod(p for p, h in zip(chance, heard, strict=True) if h)
+        a, b = joint(0.25, model.toxic), joint(0.75, model.clean)
+        assert model.posterior(np.array([votes]))[0] == pytest.approx(a / (a + b) if any(heard) else 0.07)
+
+
+def test_voters_and_their_votes():
+    mined = toxicity._hashes(["zot", "idiot"])
+    voters = toxicity.choose_voters(mined, np.array([1, -1]))
+    texts = ["You are such an IDIOT!", "zot, thanks", None, "", "WHAT A LOUD LONG LINE THIS IS", "wow!! so", "you", "idiot", "grüß ! !"]
+    got = [{voters.names[j] for j in np.flatnonzero(row)} for row in voters.votes(pa.array(texts))]
+    name = {h: f"mined_{h:016x}" for h in mined.tolist()}
+    listed = {f"insults_{lang}" for lang, words in toxicity.INSULTS.items() if "idiot" in words}
+    assert got == [listed | {name[int(mined[1])], "you_insult"}, {name[int(mined[0])], "polite_en"}, set(), set(), {"shouting"}, {"exclaiming"}, set(), listed | {name[int(mined[1])]}, set()]
+
+
 def test_url_parts_and_rules(spark):
     urls = {
         1: "http://Spam.Example.ORG/es/1", 2: "https://example.org/en/17?x", 3: "no scheme", 4: None, 5: "http://a.com/fr/x#y", 6: "http://b.com/de/1",
