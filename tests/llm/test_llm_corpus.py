@@ -402,5 +402,41 @@ def test_mined_url_rules(spark):
     assert all(got[i] == ("block" if re.search("bets|pills", u) else "allow") for i, u in urls)
 
 
+def plain_tokens(url):
+    host = re.match(r"(?s)^.*?://([^/?#]*)", url)[1].lower()
+    rest = re.match(r"(?s)^.*?://[^/?#]*(.*)$", url.lower())[1]
+    return {"scheme:" + url.lower().split("://")[0], *(f"host:{x}" for x in host.split(".")), *(f"digits:{len(w)}" if w.isdigit() else f"word:{w}" for w in re.findall("[a-z0-9_-]+", rest))}
+
+
+def test_mined_rules_block_what_all_frequent_sets_block(spark):
+    """Verdicts equal those of every token set of up to four tokens, with ties, shared and null ids, and a URL of 30 tokens."""
+    rng = random.Random(31)
+    long = "http://long.net/" + "/".join(f"t{i}" for i in range(30))
+    urls = [(i, f"http://{rng.choice('abc')}.net/{rng.choice('de')}/{rng.choice('fg')}/{rng.choice('hi')}") for i in range(400)]
+    bad = {i: ("/d/" in u and "/f/" in u) if rng.random() < 0.9 else rng.random() < 0.5 for i, u in urls}
+    urls += [(i, long) for i in range(400, 440)]
+    bad |= {i: i % 2 == 0 for i in range(400, 440)}
+    urls += [(500, "http://z.net/good"), (500, urls[1][1]), (None, urls[2][1]), (None, "http://z.net/good"), (501, long)]
+    labels = [*bad.items(), (None, True), (0, bad[0])]
+    pages = spark.createDataFrame(urls, "page_id long, url string")
+    got = url_rules.judge(pages, spark.createDataFrame(labels, "key long, bad boolean"), host_rules=(), min_support=0.03, min_confidence=0.55).collect()
+    baskets = [(plain_tokens(u), bad[i]) for i, u in urls if i in bad]
+    least = max(0.03 * len(baskets), url_rules.MIN_COUNT)
+    count, hits = collections.Counter(), collections.Counter()
+    for tokens, b in baskets:
+        for size in range(1, 5):
+            for subset in itertools.combinations(sorted(tokens) if len(tokens) < 20 else [], size):
+                count[subset] += 1
+                hits[subset] += b
+    rules = [set(x) for x in count if hits[x] >= least and hits[x] >= 0.55 * count[x]]
+    assert any(len(r) > 1 for r in rules)
+    for r in got:
+        if "long" not in r["url"]:
+            assert (r["verdict"] == "block") == any(rule <= plain_tokens(r["url"]) for rule in rules), r
+        else:
+            assert r["verdict"] == "allow"
+    assert len(got) == len(urls)
+
+
 def test_every_operator_has_one_query():
     assert sorted(int(re.match(r"op(\d+)_", name)[1]) for name in queries.QUERIES) == list(range(1, 11))
