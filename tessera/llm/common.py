@@ -40,6 +40,17 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def inner(docs: DataFrame, **columns: Column) -> DataFrame:
+    """``row`` (all columns of ``docs`` as a struct) and the given columns: names made below can't clash with those of ``docs``."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *(c.alias(name) for name, c in columns.items()))
+
+
+def outer(df: DataFrame, docs: DataFrame, *results: str) -> DataFrame:
+    """The columns of ``docs`` again, and the results in place of columns of these names (in any case)."""
+    taken = {r.lower() for r in results}
+    return df.select(*(F.col("row")[c].alias(c) for c in docs.columns if c.lower() not in taken), *results)
+
+
 def with_fields(df: DataFrame, made: Column, fields: dict[str, str]) -> DataFrame:
     """``df`` with columns from the fields of a struct that is computed once."""
     held = free_name(df, "_made")

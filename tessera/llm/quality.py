@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WORD_BREAK
+from tessera.llm.common import WORD_BREAK, inner, outer
 
 SYMBOLS = r"#*$%&|<>"
 
@@ -59,8 +59,8 @@ _ALL = (*FEATURES, "n_lines", "n_stop_words", "n_shout_words")
 def features(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the counted features of each text (long), in place of columns of these names."""
     stop = sorted({w for words in STOP_WORDS.values() for w in words})
-    content = F.coalesce(F.col(text), F.lit(""))
-    split = docs.withColumns({"_words": F.array_remove(F.split(content, WORD_BREAK), ""), "_lines": F.filter(F.split(content, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))})
+    content = F.col("text")
+    split = inner(docs, text=F.coalesce(F.col(text), F.lit(""))).withColumns({"_words": F.array_remove(F.split(content, WORD_BREAK), ""), "_lines": F.filter(F.split(content, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))})
     n = F.size("_words")
     window = lambda i: F.xxhash64(*(F.get("_words", i + k) for k in range(3)))
     counted = split.withColumns(
@@ -87,7 +87,7 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
         lambda a, p: F.struct(p.alias("last"), (a["total"] + F.least(F.lit(3), p - a["last"])).alias("total")),
         lambda a: a["total"],
     )
-    return places.withColumns(
+    counts = places.withColumns(
         {
             "n_words": n.cast("long"),
             "word_chars": F.col("_chars"),
@@ -98,7 +98,8 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
             "n_stop_words": F.col("_stops"),
             "n_shout_words": F.col("_shouts"),
         }
-    ).drop("_words", "_lines", "_windows", "_symbols", "_chars", "_stops", "_shouts", "_repeated_lines")
+    )
+    return outer(counts, docs, *_ALL)
 
 
 def _passes(rule: Rule) -> Column:

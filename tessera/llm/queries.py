@@ -49,14 +49,15 @@ def op6_ctw_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = license_scan.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
-    return found.select("doc_id", F.size("licenses").cast("long").alias("n_lines"), license_scan.listed(F.col("licenses")).alias("licenses"))
-
-
-def op7_license_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = license_scan.passages(table(spark, sf_dir, "documents", "doc_id", "text"))
-    spans = F.transform("passages", lambda x: F.concat_ws(":", F.concat_ws("-", x["first"].cast("string"), x["last"].cast("string")), x["name"], x["score"].cast("string")))
-    return found.select("doc_id", F.size("passages").cast("long").alias("n_passages"), F.array_join(spans, ",").alias("passages"))
+    lines = license_scan.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
+    found = license_scan.passages(lines)
+    return found.select(
+        "doc_id",
+        F.size("licenses").cast("long").alias("n_lines"),
+        license_scan.listed(F.col("licenses")).alias("licenses"),
+        F.size("passages").cast("long").alias("n_passages"),
+        license_scan.listed_passages(F.col("passages")).alias("passages"),
+    )
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,5 +84,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_warc_archive, op3_ngram_jaccard, op4_url_filter, op5_quality_rules, op6_ctw_score, op7_license_scan, op7_license_passages, op8_decontamination, op9_toxicity, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_warc_archive, op3_ngram_jaccard, op4_url_filter, op5_quality_rules, op6_ctw_score, op7_license_scan, op8_decontamination, op9_toxicity, op10_secret_scan)}
 ORACLES = {"op2_warc_archive": warc.ORACLE, "op3_ngram_jaccard": ngram_join.ORACLE, "op5_quality_rules": quality.ORACLE, "op7_license_scan": license_scan.ORACLE, "op10_secret_scan": secret_scan.ORACLE}

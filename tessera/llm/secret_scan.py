@@ -23,7 +23,7 @@ import re._parser as rp
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import written
+from tessera.llm.common import inner, outer, written
 
 
 @dataclass(frozen=True)
@@ -121,11 +121,13 @@ def candidates(docs: DataFrame, key: str, text: str, rules: tuple[Rule, ...] = R
     return clauses.groupBy("_key").agg(F.collect_set("rule").alias("_rules"))
 
 
-def _joined(docs: DataFrame, found: DataFrame, key: str) -> DataFrame:
+def _joined(docs: DataFrame, found: DataFrame, key: str, text: str) -> DataFrame:
+    """(row, text, rules) of every row."""
     found = written(found, "secret-candidates")
     if found.count() <= BROADCAST_ROWS:
         found = F.broadcast(found)
-    return docs.join(found, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
+    rows = inner(docs, key=F.col(key), text=F.coalesce(F.col(text), F.lit("")))
+    return rows.join(found, F.col("key").eqNullSafe(F.col("_key")), "left").drop("_key")
 
 
 _SPANS = "array<struct<start:int,kind:int,end:int>>"
@@ -149,8 +151,8 @@ def _placed(r: int, rule: Rule) -> Column:
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` with ``secret_spans``: an array of (start, kind number, end), by start, then kind."""
-    found = _joined(docs, candidates(docs, key, text, rules), key)
-    content = F.coalesce(F.col(text), F.lit(""))
+    found = _joined(docs, candidates(docs, key, text, rules), key, text)
+    content = F.col("text")
     columns: dict[str, Column] = {}
     for r, rule in enumerate(rules):
         asked = F.array_contains("_rules", r) if trigram_query(rule.pattern) else F.lit(True)
@@ -162,7 +164,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple[
         }
     cut = found.withColumns(columns)
     spans = [_placed(r, rule) for r, rule in enumerate(rules)]
-    return cut.withColumn("secret_spans", F.sort_array(F.concat(*spans))).drop("_rules", *columns)
+    return outer(cut.withColumn("secret_spans", F.sort_array(F.concat(*spans))), docs, "secret_spans")
 
 
 def listed(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
@@ -186,7 +188,7 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", mark: str =
         ),
         lambda a: F.concat(F.array_join(a["out"], ""), F.col(text).substr(a["at"] + 1, F.length(text))),
     )
-    return found.withColumn(text, F.when(F.size("secret_spans") > 0, built).otherwise(F.col(text))).drop("secret_spans")
+    return found.withColumn(text, F.when(F.size("secret_spans") > 0, built).otherwise(F.col(text))).select(docs.columns)
 
 
 def _any_case(pattern: str) -> str:

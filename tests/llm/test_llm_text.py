@@ -12,13 +12,14 @@ import tiktoken
 
 from tessera.llm import bpe, license_scan, quality, secret_scan, warc
 
-SCHEMA = "doc_id long, text string, n_words string, ids string"
+SCHEMA = "doc_id long, text string, n_words string, ids string, _words string, _rules string, row string, _key string"
 
 
 def edge_docs(spark, texts):
     """Texts with nulls, empties, repeats, a null id and columns whose names clash with results."""
     rows = [(i, t, "x", "y") for i, t in enumerate(texts)]
     rows += [(900, None, "x", "y"), (901, "", None, None), (0, texts[0], "x", "y"), (None, texts[0], "x", "y"), (902, " \t\n\x0b", "x", "y")]
+    rows = [(*r, "a", "b", "c", "d") for r in rows]
     return spark.createDataFrame(rows, SCHEMA)
 
 
@@ -119,7 +120,7 @@ def test_quality_counts(spark):
         assert row["base_failed"] == (row["n_words"] < 50 or 100 * row["n_repeat_words"] > 50 * row["n_words"])
         assert not (row["kept"] and row["base_failed"])
     assert quality.judge(edge_docs(spark, texts).limit(0)).count() == 0
-    assert quality.keep_good(edge_docs(spark, texts)).columns == ["doc_id", "text", "n_words", "ids"]
+    assert quality.keep_good(edge_docs(spark, texts)).columns == SCHEMA.replace(" long", "").replace(" string", "").split(", ")
 
 
 def test_archive_gives_the_original_records(spark, tmp_path):
@@ -167,7 +168,7 @@ def test_secret_spans(spark):
     for row in secret_scan.scan(edge_docs(spark, texts)).collect():
         assert [tuple(s) for s in row["secret_spans"]] == brute_spans(row["text"] or ""), row["text"]
     clean = secret_scan.redact(edge_docs(spark, texts))
-    assert clean.columns == ["doc_id", "text", "n_words", "ids"]
+    assert clean.columns == SCHEMA.replace(" long", "").replace(" string", "").split(", ")
     for row in clean.filter("doc_id < 900 AND doc_id > 0").collect():
         expected, at = "", 0
         for start, _, end in brute_spans(texts[row["doc_id"]]):
