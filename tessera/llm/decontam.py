@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -83,6 +84,7 @@ class Block:
     needed: np.ndarray
 
     def __post_init__(self) -> None:
+        self.lengths = np.array([len(w) for w in self.words], np.int64)
         self.filter = np.zeros(1 << 20, bool)
         self.filter[(self.seeds & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
 
@@ -135,7 +137,7 @@ def _document_leaks(words: np.ndarray, at: np.ndarray, seed: np.ndarray, block:
     place, item, seed = np.repeat(at, times), block.item[index], np.repeat(seed, times)
     order = np.lexsort((place, item))
     place, item, seed = place[order], item[order], seed[order]
-    length = np.array([len(w) for w in block.words])[item]
+    length = block.lengths[item]
     new = np.concatenate([[True], (item[1:] != item[:-1]) | (place[1:] - place[:-1] > length[1:])])
     starts = np.append(np.flatnonzero(new), len(item))
     best: dict[int, tuple[float, int, int]] = {}
@@ -166,10 +168,7 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     numbered = asked.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(n_blocks)))
     n_docs = source.count()
     found = [_block_leaks(source, numbered.filter(F.col("block") == b), n_docs, threshold) for b in range(n_blocks)]
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out.withColumnsRenamed({"id": key, "item": item_key})
+    return reduce(DataFrame.unionByName, found).withColumnsRenamed({"id": key, "item": item_key})
 
 
 def _block_leaks(source: DataFrame, items: DataFrame, n_docs: int, threshold: float) -> DataFrame:

@@ -68,6 +68,7 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
             "_symbols": F.length(F.regexp_replace(content, rf"[^{SYMBOLS}]+", "")).cast("long"),
             "_chars": F.length(F.array_join("_words", "")).cast("long"),
             "_stops": F.size(F.filter("_words", lambda w: F.lower(w).isin(stop))).cast("long"),
+            # Capitals that end in two or more punctuation marks ("BUY!!", "WOW!?").
             "_shouts": F.size(F.filter("_words", lambda w: w.rlike(r"^\p{Lu}+\p{P}+\p{P}$"))).cast("long"),
             "_repeated_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
             "_windows": F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), window)),
@@ -123,10 +124,10 @@ def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES)
 
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that pass, with their own columns."""
-    # Features are named apart so that no column of ``docs`` is replaced. The filter also asks for a row number:
-    # being no function of the row, it keeps the optimizer from writing all features out again in the filter.
-    inner = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(f"`{text}`").alias("_text"))
-    return judge(inner, "_text").withColumn("_at", F.monotonically_increasing_id()).filter("kept AND _at >= 0").select("_row.*")
+    # The filter also asks for a row number. It holds for every row, but being no function of the row it is a barrier: the
+    # optimizer would else push the filter below the features and write all of them out a second time in it.
+    judged = judge(inner(docs, text=F.col(text)))
+    return outer(judged.withColumn("place", F.monotonically_increasing_id()).filter("kept AND place >= 0"), docs)
 
 
 def _sql_rule(r: Rule) -> str:
