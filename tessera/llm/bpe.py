@@ -40,7 +40,7 @@ MAX_PIECES = 200_000
 #: Bytes up to which a piece walks with others and is kept; longer ones are read as a stream, with memory for the lag only.
 MAX_PIECE = 1 << 12
 #: Pieces whose ids are written out at once.
-CHUNK = 300_000
+CHUNK = 100_000
 _NEVER = float("inf")
 
 
@@ -52,8 +52,10 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 def gathered(pool: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """The stretches ``pool[start : start + length]``, one after the other."""
-    shift = start - (np.cumsum(length) - length)
-    return pool[np.repeat(shift, length) + np.arange(int(length.sum()))]
+    kind = np.int32 if len(pool) < 1 << 30 and length.sum() < 1 << 30 else np.int64
+    at = np.repeat((start - (np.cumsum(length) - length)).astype(kind), length)
+    at += np.arange(len(at), dtype=kind)
+    return pool[at]
 
 
 class Transducer:
@@ -485,7 +487,7 @@ class Coder:
 
     def __init__(self, spark: SparkSession, path: str, pattern: str):
         ranks = read_ranks(path)
-        small_batches(spark, 512)
+        small_batches(spark)
         self.ranks = spark.sparkContext.broadcast({"ranks": ranks, "key": hashlib.sha256(repr(sorted(ranks.items())).encode()).hexdigest()})
         self.pattern = pattern
 

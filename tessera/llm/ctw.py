@@ -325,7 +325,7 @@ def weigh(contexts: list[tuple[np.ndarray, np.ndarray]]) -> Model:
 
 def train(texts: DataFrame, depth: int = DEPTH) -> tuple[int, DataFrame]:
     """The depth, and the counts of a ``text`` column from which texts are scored (kind, key, n)."""
-    small_batches(texts.sparkSession, 512)
+    small_batches(texts.sparkSession)
     return depth, _count(texts, depth)
 
 

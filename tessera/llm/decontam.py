@@ -161,7 +161,7 @@ def _document_leaks(words: np.ndarray, at: np.ndarray, seed: np.ndarray, block:
 def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(``key``, ``item_key``, score, first_word, end_word) of the items that documents hold, from ``threshold`` on."""
     spark = docs.sparkSession
-    small_batches(spark, 512)
+    small_batches(spark)
     source = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     asked = items.select(F.col(item_key).cast("long").alias("id"), F.col(item_text).alias("text")).filter("id IS NOT NULL AND text IS NOT NULL").distinct()
     n_blocks = max(1, -(-asked.count() // BLOCK_ITEMS))
