@@ -34,9 +34,9 @@ from pyspark.sql import functions as F
 from tessera.llm.common import small_batches, with_fields
 
 #: Entries of the tables that a worker keeps; what they lack is computed, so their sizes change no result.
-MAX_STATES = 300_000
-MAX_PAIRS = 200_000
-MAX_PIECES = 200_000
+MAX_STATES = 160_000
+MAX_PAIRS = 100_000
+MAX_PIECES = 100_000
 #: Bytes up to which a piece walks with others and is kept; longer ones are read as a stream, with memory for the lag only.
 MAX_PIECE = 1 << 12
 #: Pieces whose ids are written out at once.

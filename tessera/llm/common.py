@@ -57,7 +57,7 @@ def with_fields(df: DataFrame, made: Column, fields: dict[str, str]) -> DataFram
     return df.withColumn(held, made).withColumns({c: F.col(held)[f] for c, f in fields.items()}).drop(held)
 
 
-def small_batches(spark: SparkSession, rows: int = 256, size: int = 1 << 20) -> None:
+def small_batches(spark: SparkSession, rows: int = 256, size: int = 1 << 19) -> None:
     """Bound the rows and bytes of one Arrow batch, so that a batch of long texts fits a worker's memory.
 
     Frames are lazy and read these settings of the session when they run, so they stay set.
