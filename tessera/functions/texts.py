@@ -2,59 +2,87 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Latin letters with marks and what they are without.
-MARKED = "áàâãäåéèêëíìîïóòôõöúùûüçñýÿ"
-PLAIN = "aaaaaaeeeeiiiiooooouuuucnyy"
+#: White space of a source text, without the line's own escapes: a class for both engines.
+SPACE = r"[\t-\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+MARKS = r"[\x{300}-\x{36F}]"
+
+
+def _folding() -> tuple[str, str]:
+    """All letters that canonical decomposition gives as one letter and combining marks, and these letters."""
+    pairs = [(chr(c), re.sub("[\u0300-\u036f]", "", unicodedata.normalize("NFD", chr(c)))) for c in range(0xC0, 0x10000) if not 0xAC00 <= c < 0xE000]
+    pairs = [(c, base) for c, base in pairs if len(base) == 1 and base != c]
+    return "".join(c for c, _ in pairs), "".join(base for _, base in pairs)
+
+
+MARKED, PLAIN = _folding()
 
-#: Patterns and tokens of personal data, in the order in which they are replaced.
+#: What stands for personal data, and the patterns of such, in the order in which they are replaced.
+OMITTED = "[dado pessoal omitido]"
 PERSONAL = (
-    (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[e-mail]"),
-    (r"\b\d{2}\.?\d{3}\.?\d{3}/?\d{4}-?\d{2}\b", "[CNPJ]"),
-    (r"\b\d{3}\.?\d{3}\.?\d{3}-?\d{2}\b", "[CPF]"),
-    (r"\(?\b\d{2}\)?\s?9?\d{4}-\d{4}\b", "[telefone]"),
+    r"(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}",
+    r"\b\d{3}\.?\d{3}\.?\d{3}-?\d{2}\b",
+    r"\b\d{2}\.?\d{3}\.?\d{3}\/?\d{4}-?\d{2}\b",
+    r"\(?\d{2}\)?" + SPACE + r"?9?\d{4}-?\d{4}\b",
 )
-#: Places in file systems.
-PATHS = ((r"(?i)file://[^\s\"'<>]+", "[path]"), (r"\b[A-Za-z]:\\[^\s\"'<>]+", "[path]"), (r"(^|[\s\"'(=])/(?:home|Users|tmp|var|etc|root|mnt|opt)/[^\s\"'<>]*", "$1[path]"))
+#: What stands for a place in a file system, where such places begin, and the control characters that go.
+OMITTED_PATH = "[caminho local omitido]"
+ROOT = r"(?:file:\/\/)?(?:\/(?:Users|home)\/[^\/\s]+\/|\/(?:tmp|private|Volumes|var(?:\/folders|\/tmp)?|opt|srv|mnt)\/|[A-Za-z]:\\|\\\\[^\\\s]+\\)"
+CONTROLS = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
+#: What a spreadsheet passes over before a formula.
+UNSEEN = r"[\x00-\x20\x{A0}\x{1680}\x{2000}-\x{200B}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+#: An invoice number with or without its kind.
+INVOICE = r"^(?:(?:nfs[ -]*e|nfse)\s*[:#-]?\s*)?(\d+)$"
+
+
+def folded(text: Column) -> Column:
+    """Without marks: letters are decomposed and their combining marks go."""
+    return F.regexp_replace(F.translate(text, MARKED, PLAIN), MARKS, "")
+
+
+def trimmed(text: Column) -> Column:
+    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
 
 
 def header_key(text: Column) -> Column:
     """Without marks, trimmed, lower case."""
-    return F.translate(F.lower(F.trim(text)), MARKED, PLAIN)
+    return F.lower(trimmed(folded(text)))
 
 
 def title_key(text: Column) -> Column:
     """A title for comparison: like a header, and each run of blanks as one."""
-    return F.regexp_replace(header_key(text), r"\s+", " ")
+    return trimmed(F.regexp_replace(F.lower(folded(text)), f"{SPACE}+", " "))
 
 
 def invoice_key(text: Column) -> Column:
-    """An invoice number for comparison: ``NFS-e 007`` and ``7`` are the same; other texts lower-cased, trimmed."""
-    bare = F.regexp_replace(F.trim(text), r"(?i)^nfs-?e\s*", "")
-    digits = F.ltrim(bare, F.lit("0"))
-    return F.when(bare.rlike(r"^\d+$"), F.when(digits == "", "0").otherwise(digits)).otherwise(F.lower(F.trim(text)))
+    """An invoice number for comparison: ``NFS-e: 007`` and ``7`` are the same; other texts lower-cased, each run of blanks as one."""
+    bare = F.regexp_replace(F.lower(trimmed(text)), f"{SPACE}+", " ")
+    number = F.regexp_extract(bare, INVOICE, 1)
+    digits = F.ltrim(number, F.lit("0"))
+    return F.when(number == "", bare).when(digits == "", "0").otherwise(digits)
 
 
 def redact_personal(text: Column) -> Column:
-    for pattern, token in PERSONAL:
-        text = F.regexp_replace(text, pattern, token)
+    for pattern in PERSONAL:
+        text = F.regexp_replace(text, pattern, OMITTED.replace("$", r"\$"))
     return text
 
 
 def redact_paths(text: Column) -> Column:
-    """Paths become a token, control characters blanks."""
-    for pattern, token in PATHS:
-        text = F.regexp_replace(text, pattern, token)
-    return F.regexp_replace(text, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", " ")
+    """Places in file systems become a token, first those that end in a file's ending (blanks are part of them); control characters go."""
+    ended = F.regexp_replace(text, rf"(?i){ROOT}[^\r\n,;]*?\.[A-Za-z0-9]{{1,10}}(?=\s|[),;]|\z)", OMITTED_PATH)
+    return F.regexp_replace(F.regexp_replace(ended, rf"(?i){ROOT}[^\s<>\"]+", OMITTED_PATH), CONTROLS, "")
 
 
 def csv_cell(text: Column) -> Column:
-    """A quoted cell that no spreadsheet runs as a formula: line breaks to blanks, a quote before ``= + - @``."""
-    flat = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\r\n]+", " ")
-    seen = F.regexp_replace(flat, r"^[\s\x{200B}\x{FEFF}\x00-\x1F]+", "")
-    safe = F.when(seen.rlike(r"^[=+\-@]"), F.concat(F.lit("'"), flat)).otherwise(flat)
+    """A quoted cell that no spreadsheet runs as a formula: places go, line breaks become blanks, a quote stands before ``= + - @``."""
+    flat = F.regexp_replace(redact_paths(F.coalesce(text, F.lit(""))), r"\r?\n", " ")
+    safe = F.when(flat.rlike(rf"^{UNSEEN}*[=+\-@]"), F.concat(F.lit("'"), flat)).otherwise(flat)
     return F.concat(F.lit('"'), F.replace(safe, F.lit('"'), F.lit('""')), F.lit('"'))
 
 

@@ -20,6 +20,11 @@ def source_duration(text: Column) -> Column:
     return F.when(bare.rlike(r"^\d{1,9}$"), a * 60).when(bare.rlike(r"^\d{1,9}:[0-5]\d$"), a * 60 + b).when(bare.rlike(r"^\d{1,9}:[0-5]\d:[0-5]\d$"), a * 3600 + b * 60 + c)
 
 
+def typed_duration(text: Column, unit: Column) -> Column:
+    """Seconds of a source's duration with its unit: of ``minutes`` only whole numbers count, of any other the clock too."""
+    return F.when(unit.eqNullSafe(F.lit("minutes")), F.when(F.trim(text).rlike(r"^\d{1,9}$"), F.trim(text).try_cast("long") * 60)).otherwise(source_duration(text))
+
+
 def owner_duration(text: Column) -> Column:
     """Seconds of an owner's input: ``a:b`` are hours and minutes, ``a:b:c`` hours, minutes, seconds."""
     bare = F.trim(text)

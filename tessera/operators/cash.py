@@ -71,9 +71,21 @@ def closing(entries: DataFrame, reviews: DataFrame, basis: DataFrame) -> DataFra
 
 
 def portfolio(closed: DataFrame) -> DataFrame:
-    """One row: sums of what is known, and a result only if every scope is closed at the same cutoff."""
-    same = F.bool_and("closed") & (F.count_distinct("cutoff") == 1) & (F.count("cutoff") == F.count("*"))
-    return closed.agg(*(F.sum(c).alias(c) for c in ("incurred", "paid", "received", "pending")), F.when(same, F.sum("result")).alias("result"), F.count("*").alias("n_scopes"), F.count_if("closed").alias("n_closed"))
+    """One row: sums of what is known, and a result only if every scope is closed at the same cutoff.
+
+    What is outstanding is told only if it is known of every scope, at the same cutoff; coverage (received of paid) only beside a result.
+    """
+    same = (F.count_distinct("cutoff") == 1) & (F.count("cutoff") == F.count("*"))
+    ready = F.bool_and("closed") & same
+    coverage = F.when(ready & (F.sum("paid") > 0) & F.sum("received").isNotNull(), percent(F.sum("received"), F.sum("paid")))
+    return closed.agg(
+        *(F.sum(c).alias(c) for c in ("incurred", "paid", "received", "pending")),
+        F.when(same & (F.count("outstanding") == F.count("*")), F.sum("outstanding")).alias("outstanding"),
+        F.when(ready, F.sum("result")).alias("result"),
+        coverage.alias("coverage"),
+        F.count("*").alias("n_scopes"),
+        F.count_if("closed").alias("n_closed"),
+    )
 
 
 def contract_balance(contracts: DataFrame, total: str, receipts: str) -> DataFrame:

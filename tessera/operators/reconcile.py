@@ -6,7 +6,9 @@ Records: record, payload, provenance, layer (1 source, 2 adjustment, 3 decision)
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.storage import drop_written, written
@@ -108,6 +110,34 @@ def resolve_decisions(decisions: DataFrame) -> DataFrame:
     return decisions.groupBy("line").agg(best.alias("_d"), F.max("revision").alias("revision")).select("line", "_d.outcome", "_d.record", "revision")
 
 
+def decisions_for(lines: DataFrame, decisions: DataFrame) -> DataFrame:
+    """(line, outcome, record, revision, by) for lines (line, observation, locator) that a decision reaches.
+
+    Decisions (observation, locator, outcome, record, revision, decision_id) are found by observation and locator, and where there is
+    none by observation alone; of several that of the highest revision counts, of equal ones the later. A null locator is an empty one.
+    """
+    best = F.max_by(F.struct("outcome", "record", "revision"), F.struct(F.coalesce("revision", F.lit(0)), "decision_id"))
+    placed = decisions.withColumn("locator", F.coalesce("locator", F.lit("")))
+    exact = placed.groupBy("observation", "locator").agg(best.alias("_exact"))
+    whole = placed.groupBy("observation").agg(best.alias("_whole"))
+    found = lines.select("line", "observation", F.coalesce("locator", F.lit("")).alias("locator")).join(exact, ["observation", "locator"], "left").join(whole, "observation", "left")
+    chosen = F.coalesce("_exact", "_whole")
+    return found.filter(chosen.isNotNull()).select("line", chosen["outcome"].alias("outcome"), chosen["record"].alias("record"), chosen["revision"].alias("revision"), F.when(F.col("_exact").isNotNull(), "locator").otherwise("observation").alias("by"))
+
+
+def typed_diffs(pairs: DataFrame, key: str, kinds: dict[str, tuple[str, str]]) -> DataFrame:
+    """(key, place, field, before, after, kind, source) of all kinds of content of a record, in the order of field, then of kind.
+
+    ``kinds``: payload, decimal-source, duration-source, each with its columns before and after (maps); ``source`` names
+    the kind, ``kind`` what happened. A kind whose map appears or goes while it is empty has the field ``*``.
+    """
+    parts = [field_diffs(pairs, key, *columns).withColumns({"source": F.lit(name), "_rank": F.lit(rank)}) for rank, (name, columns) in enumerate(kinds.items())]
+    every = reduce(DataFrame.unionByName, parts)
+    # The diffs of one record are few: as many as it has fields.
+    place = F.row_number().over(Window.partitionBy(key).orderBy("field", "_rank"))
+    return every.select(key, place.cast("long").alias("place"), "field", "before", "after", "kind", "source")
+
+
 def check_decisions(decisions: DataFrame, classified: DataFrame) -> DataFrame:
     """Decisions with ``verdict``: applied, not_pending (no conflict waits), or not_allowed for the conflict's code."""
     open_lines = classified.select("line", "conflict")

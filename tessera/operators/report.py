@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.times import typed_duration
+from tessera.operators.load import numbered
+
 
 def monthly_trend(rows: DataFrame, date: str, value: str, most: int = 240) -> DataFrame:
     """(month, total): months from the first to the last with a total other than zero; those between without rows are zero.
@@ -42,11 +45,20 @@ def keyset_page(rows: DataFrame, key: str, after: Column | None, size: int) -> D
     return page.withColumn("has_more", F.count("*").over(Window.partitionBy(F.lit(0))) > size).orderBy(key).limit(size)
 
 
+#: Rows that one task may sort for a page.
+NEAR = 10_000
+
+
 def offset_page(rows: DataFrame, order: list[Column], page: int, size: int = 100) -> DataFrame:
-    """A page by number (from 1), clamped to the last one; the last page is the last rows from its begin."""
-    total = rows.count()
-    last = max(1, -(-total // size))
-    return rows.orderBy(*order).offset((min(max(1, page), last) - 1) * size).limit(size)
+    """A page by number (from 1), clamped to the last one; the last page is the last rows from its begin.
+
+    A page near the begin is a bounded top-k. For any other the rows are numbered in parallel ranges, so that no task gets all rows before it.
+    """
+    last = max(1, -(-rows.count() // size))
+    begin = (min(max(1, page), last) - 1) * size
+    if begin + size <= NEAR:
+        return rows.orderBy(*order).offset(begin).limit(size)
+    return numbered(rows, order, "_place").filter(F.col("_place").between(begin + 1, begin + size)).drop("_place")
 
 
 def guarded(rows: DataFrame, most: int) -> DataFrame:
@@ -121,6 +133,12 @@ def sheet_sum(rows: DataFrame, group: str, text: str) -> DataFrame:
     return sums.select(group, F.when(F.col("scale") == 0, F.regexp_replace(shown, r"\..*$", "")).otherwise(F.substring(shown, F.lit(1), F.length(shown) - 16 + F.col("scale"))).alias("total"), "scale", "n")
 
 
+def duration_sum(rows: DataFrame, group: str, text: str, unit: str) -> DataFrame:
+    """Exact sums of durations in seconds, how many values they add up, and how many texts were no duration of their unit."""
+    seconds = typed_duration(F.col(text), F.col(unit))
+    return rows.groupBy(group).agg(F.sum(seconds).alias("seconds"), F.count(seconds).alias("n"), F.count_if(F.col(text).isNotNull() & seconds.isNull()).alias("n_invalid"))
+
+
 def accumulate(before: DataFrame | None, rows: DataFrame, field: str, text: str) -> DataFrame:
     """A running total by field that new rows are merged into: total, n_sources, n_values, and how many values have each scale.
 

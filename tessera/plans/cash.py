@@ -79,7 +79,8 @@ def cash_closing(spark, sf_dir):
 
 
 @query(CLOSING + """SELECT scope % 3 = 0 AS third, CAST(sum(incurred) AS BIGINT) AS incurred, CAST(sum(paid) AS BIGINT) AS paid, CAST(sum(received) AS BIGINT) AS received, CAST(sum(pending) AS BIGINT) AS pending,
-CAST(CASE WHEN bool_and(closed) AND count(DISTINCT cutoff) = 1 AND count(cutoff) = count(*) THEN sum(result) END AS BIGINT) AS result, count(*) AS n_scopes, count(*) FILTER (closed) AS n_closed FROM c GROUP BY 1""")
+CAST(CASE WHEN count(DISTINCT cutoff) = 1 AND count(cutoff) = count(*) AND count(outstanding) = count(*) THEN sum(outstanding) END AS BIGINT) AS outstanding,
+CAST(CASE WHEN bool_and(closed) AND count(DISTINCT cutoff) = 1 AND count(cutoff) = count(*) THEN sum(result) END AS BIGINT) AS result, CASE WHEN bool_and(closed) AND count(DISTINCT cutoff) = 1 AND count(cutoff) = count(*) AND sum(paid) > 0 THEN ((sum(received) * 10000 + sum(paid) // 2) // sum(paid)) // 100 || ',' || lpad(CAST(((sum(received) * 10000 + sum(paid) // 2) // sum(paid)) % 100 AS VARCHAR), 2, '0') || '%' END AS coverage, count(*) AS n_scopes, count(*) FILTER (closed) AS n_closed FROM c GROUP BY 1""")
 def cash_portfolio(spark, sf_dir):
     """Two portfolios of scopes; neither has a result while one of its scopes is open."""
     scopes = closed(spark, sf_dir)
@@ -87,11 +88,20 @@ def cash_portfolio(spark, sf_dir):
     return cash.portfolio(scopes.filter(third)).withColumn("third", F.lit(True)).unionByName(cash.portfolio(scopes.filter(~third)).withColumn("third", F.lit(False)))
 
 
-@query(CLOSING + """SELECT CAST(sum(result) AS BIGINT) AS result, CAST(sum(incurred) AS BIGINT) AS incurred, count(*) AS n FROM c WHERE closed AND cutoff = '2024-01-31'""")
+@query(CLOSING + """SELECT CAST(sum(result) AS BIGINT) AS result, CAST(sum(incurred) AS BIGINT) AS incurred, CAST(CASE WHEN count(outstanding) = count(*) THEN sum(outstanding) END AS BIGINT) AS outstanding,
+CASE WHEN sum(paid) > 0 THEN ((sum(received) * 10000 + sum(paid) // 2) // sum(paid)) // 100 || ',' || lpad(CAST(((sum(received) * 10000 + sum(paid) // 2) // sum(paid)) % 100 AS VARCHAR), 2, '0') || '%' END AS coverage, count(*) AS n
+FROM c WHERE closed AND cutoff = '2024-01-31'""")
 def cash_portfolio_closed(spark, sf_dir):
-    """A portfolio of closed scopes of one cutoff has a result."""
+    """A portfolio of closed scopes of one cutoff has a result and a coverage."""
     whole = closed(spark, sf_dir).filter("closed AND cutoff = date'2024-01-31'")
-    return cash.portfolio(whole).select("result", "incurred", F.col("n_scopes").alias("n"))
+    return cash.portfolio(whole).select("result", "incurred", "outstanding", "coverage", F.col("n_scopes").alias("n"))
+
+
+@query(CLOSING + """SELECT CAST(sum(outstanding) AS BIGINT) AS outstanding, count(*) AS n FROM c WHERE outstanding IS NOT NULL AND cutoff = '2024-01-31'""")
+def cash_portfolio_outstanding(spark, sf_dir):
+    """A portfolio whose scopes all know what is outstanding, at one cutoff, knows it too."""
+    known = closed(spark, sf_dir).filter("outstanding IS NOT NULL AND cutoff = date'2024-01-31'")
+    return cash.portfolio(known).select("outstanding", F.col("n_scopes").alias("n"))
 
 
 def notes(spark, sf_dir):

@@ -78,11 +78,6 @@ def temporal_span_asof(spark, sf_dir):
 
 
 def ledger(spark, sf_dir):
-    """The ledger without each fourth user, as the SQL has it."""
-    return whole_ledger(spark, sf_dir).filter(F.col("record") % 4 != 0)
-
-
-def whole_ledger(spark, sf_dir):
     """Events read as a ledger: three layers by type, records by user."""
     events = table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "value")
     layer = F.when(F.col("event_id") % 5 == 0, 3).when(F.col("event_id") % 3 == 0, 2).otherwise(1)
@@ -92,7 +87,7 @@ def whole_ledger(spark, sf_dir):
 LEDGER = """
 WITH l AS (
   SELECT user_id AS record, date_trunc('day', ts) AS instant, CASE WHEN event_id % 5 = 0 THEN 3 WHEN event_id % 3 = 0 THEN 2 ELSE 1 END AS p, event_id, event_type AS payload,
-    CASE WHEN event_id % 11 = 0 THEN 'disregarded' ELSE 'active' END AS state FROM events WHERE user_id % 4 <> 0
+    CASE WHEN event_id % 11 = 0 THEN 'disregarded' ELSE 'active' END AS state FROM events
 ), r AS (
   SELECT *, row_number() OVER (PARTITION BY record ORDER BY p DESC, instant DESC, event_id DESC) AS top,
     row_number() OVER (PARTITION BY record, p ORDER BY instant DESC, event_id DESC) AS last_of_layer,
@@ -118,32 +113,13 @@ def resolve_effective(spark, sf_dir):
     return overlay.resolve(overlay.reduce_projection(events), events)
 
 
-@query()
-def whole_projection(spark, sf_dir):
-    """The projection of all records; the SQL of ``reduce_projection`` leaves out a quarter."""
-    return overlay.reduce_projection(whole_ledger(spark, sf_dir))
-
-
-@query()
-def whole_effective(spark, sf_dir):
-    """The payloads in force of all records; the SQL of ``resolve_effective`` leaves out a quarter."""
-    events = whole_ledger(spark, sf_dir)
-    return overlay.resolve(overlay.reduce_projection(events), events)
-
-
 @query("""
-WITH RECURSIVE p AS (SELECT o_orderkey AS node, CASE WHEN o_orderkey % 40 <> 1 AND o_orderkey > 1 THEN o_orderkey - 1 END AS up FROM orders WHERE o_orderkey <= 4000),
+WITH RECURSIVE p AS (SELECT o_orderkey AS node, CASE WHEN o_orderkey % 40 <> 1 AND o_orderkey > 1 THEN o_orderkey - 1 END AS up FROM orders),
 known AS (SELECT node, CASE WHEN up IN (SELECT node FROM p) THEN up END AS up FROM p),
 t AS (SELECT node, node AS root, 0 AS depth FROM known WHERE up IS NULL UNION ALL SELECT k.node, t.root, t.depth + 1 FROM known k JOIN t ON k.up = t.node)
 SELECT node, root, depth FROM t
 """)
 def recursive_lineage(spark, sf_dir):
-    return order_lineage(table(spark, sf_dir, "orders", "o_orderkey").filter("o_orderkey <= 4000"))
-
-
-@query()
-def whole_lineage(spark, sf_dir):
-    """The lineage of all orders; the SQL of the query above is capped."""
     return order_lineage(table(spark, sf_dir, "orders", "o_orderkey"))
 
 
@@ -155,35 +131,37 @@ def order_lineage(orders):
 
 
 NAMES = """
-WITH titles AS (SELECT p_brand AS name, min(p_partkey) AS owner FROM part WHERE p_partkey % 2 = 0 GROUP BY 1 UNION ALL SELECT p_type, p_partkey FROM part WHERE p_partkey <= 40),
-aliases AS (SELECT p_brand AS name, p_partkey AS owner FROM part WHERE p_partkey % 50 = 1 UNION ALL SELECT p_type, p_partkey FROM part WHERE p_partkey BETWEEN 41 AND 90),
+WITH p AS (SELECT p_partkey AS owner, p_brand AS brand, p_type || '#' || (p_partkey // 5) AS kind FROM part),
+titles AS (SELECT brand AS name, min(owner) AS owner FROM p WHERE owner % 2 = 0 GROUP BY 1 UNION ALL SELECT kind, owner FROM p WHERE owner % 3 = 0),
+aliases AS (SELECT brand AS name, owner FROM p WHERE owner % 50 = 1 UNION ALL SELECT kind, owner FROM p WHERE owner % 4 = 1),
 t AS (SELECT name, owner, 0 AS tier FROM titles UNION ALL SELECT name, owner, 1 FROM aliases),
 b AS (SELECT name, tier, min(owner) AS lo, max(owner) AS hi FROM t GROUP BY name, tier),
 m AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY tier) AS rn FROM b),
-n AS (SELECT DISTINCT p_brand AS name FROM part UNION SELECT DISTINCT p_type FROM part)
+n AS (SELECT DISTINCT brand AS name FROM p UNION SELECT DISTINCT kind FROM p)
 SELECT n.name, CASE WHEN lo = hi THEN lo END AS owner, tier FROM n LEFT JOIN m ON m.name = n.name AND rn = 1
 """
 
 
 @query(NAMES)
 def alias_resolution(spark, sf_dir):
-    part = table(spark, sf_dir, "part", "p_partkey", "p_brand", "p_type")
-    pick = lambda df, c: df.select(F.col(c).alias("name"), F.col("p_partkey").alias("owner"))
-    brand_titles = part.filter("p_partkey % 2 = 0").groupBy(F.col("p_brand").alias("name")).agg(F.min("p_partkey").alias("owner"))
-    titles = brand_titles.unionByName(pick(part.filter("p_partkey <= 40"), "p_type"))
-    aliases = pick(part.filter("p_partkey % 50 = 1"), "p_brand").unionByName(pick(part.filter("p_partkey BETWEEN 41 AND 90"), "p_type"))
-    names = part.select(F.col("p_brand").alias("name")).union(part.select("p_type")).distinct()
+    """Names by title, then by alias; where a tier has a name several times, no owner is told."""
+    kind = F.concat(F.col("p_type"), F.lit("#"), F.call_function("div", F.col("p_partkey"), F.lit(5)).cast("string"))
+    part = table(spark, sf_dir, "part", "p_partkey", "p_brand", "p_type").select(F.col("p_partkey").alias("owner"), F.col("p_brand").alias("brand"), kind.alias("kind"))
+    pick = lambda rule, c: part.filter(rule).select(F.col(c).alias("name"), "owner")
+    titles = pick("owner % 2 = 0", "brand").groupBy("name").agg(F.min("owner").alias("owner")).unionByName(pick("owner % 3 = 0", "kind"))
+    aliases = pick("owner % 50 = 1", "brand").unionByName(pick("owner % 4 = 1", "kind"))
+    names = part.select(F.col("brand").alias("name")).union(part.select("kind")).distinct()
     return matching.resolve_names(names, titles, aliases, "name", "owner")
 
 
 @query("""
-WITH a AS (SELECT p_partkey, translate(lower(trim(p_name)), 'áàâãäåéèêëíìîïóòôõöúùûüçñýÿ', 'aaaaaaeeeeiiiiooooouuuucnyy') AS k FROM part),
-b AS (SELECT p_partkey AS other, translate(lower(trim('  ' || upper(replace(replace(p_name, 'a', 'á'), 'e', 'ê')) || ' ')), 'áàâãäåéèêëíìîïóòôõöúùûüçñýÿ', 'aaaaaaeeeeiiiiooooouuuucnyy') AS k FROM part WHERE p_partkey % 3 = 0)
-SELECT p_partkey, count(*) AS n_titles, min(other) AS first_other FROM a JOIN b ON regexp_replace(a.k, '\\s+', ' ', 'g') = regexp_replace(b.k, '\\s+', ' ', 'g') GROUP BY p_partkey
+WITH a AS (SELECT p_partkey, trim(regexp_replace(lower(strip_accents(p_name)), '\\s+', ' ', 'g')) AS k FROM part),
+b AS (SELECT p_partkey AS other, trim(regexp_replace(lower(strip_accents('  ' || upper(replace(replace(replace(p_name, 'a', 'á'), 'e', 'ê'), 's', 'š')) || ' ')), '\\s+', ' ', 'g')) AS k FROM part WHERE p_partkey % 3 = 0)
+SELECT p_partkey, count(*) AS n_titles, min(other) AS first_other FROM a JOIN b ON a.k = b.k GROUP BY p_partkey
 """)
 def normalized_title_join(spark, sf_dir):
     part = table(spark, sf_dir, "part", "p_partkey", "p_name")
-    marked = F.concat(F.lit("  "), F.upper(F.replace(F.replace("p_name", F.lit("a"), F.lit("á")), F.lit("e"), F.lit("ê"))), F.lit(" "))
+    marked = F.concat(F.lit("  "), F.upper(F.replace(F.replace(F.replace("p_name", F.lit("a"), F.lit("á")), F.lit("e"), F.lit("ê")), F.lit("s"), F.lit("š"))), F.lit(" "))
     # One row a title on the right: what the join would multiply is counted first.
     right = part.filter("p_partkey % 3 = 0").groupBy(texts.title_key(marked).alias("key")).agg(F.count("*").alias("n_titles"), F.min("p_partkey").alias("first_other"))
     return part.select("p_partkey", texts.title_key(F.col("p_name")).alias("key")).join(right, "key").select("p_partkey", "n_titles", "first_other")

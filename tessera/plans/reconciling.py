@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tessera.operators import matching, reconcile
+from tessera.operators import matching, reconcile, report
 from tessera.plans.registry import query, table
 
 PAYLOAD = "map('status', o_orderstatus, 'priority', o_orderpriority, 'total', cast(cast(o_totalprice AS decimal(18,2)) AS string))"
@@ -26,13 +26,13 @@ def batch_decisions(spark, sf_dir):
     """Events read as decisions on lines, two revisions of some."""
     events = table(spark, sf_dir, "events", "event_id", "event_type")
     outcome = F.when(F.col("event_type") == "error", "reject").when(F.col("event_type") == "signup", "keep").when(F.col("event_type") == "click", "create").otherwise("link")
-    line = F.col("event_id") % 3001
+    line = F.call_function("div", F.col("event_id"), F.lit(4)) * 3
     rows = events.filter(F.col("event_id") % 3 == 0).select("event_id", F.when(line % 5 == 0, line + 1).otherwise(line).alias("line"), outcome.alias("outcome"))
     return rows.select(F.col("event_id").alias("decision_id"), "line", "outcome", F.when(F.col("outcome") == "link", F.col("line")).when(F.col("outcome") == "keep", F.col("line")).alias("record"), (F.col("event_id") % 4).alias("revision"))
 
 
 DECIDED = """
-de AS (SELECT event_id, event_id % 3001 AS l0, CASE event_type WHEN 'error' THEN 'reject' WHEN 'signup' THEN 'keep' WHEN 'click' THEN 'create' ELSE 'link' END AS outcome FROM events WHERE event_id % 3 = 0),
+de AS (SELECT event_id, (event_id // 4) * 3 AS l0, CASE event_type WHEN 'error' THEN 'reject' WHEN 'signup' THEN 'keep' WHEN 'click' THEN 'create' ELSE 'link' END AS outcome FROM events WHERE event_id % 3 = 0),
 dr AS (SELECT event_id, CASE WHEN l0 % 5 = 0 THEN l0 + 1 ELSE l0 END AS line, outcome, event_id % 4 AS revision FROM de),
 dec AS (SELECT line, outcome, CASE WHEN outcome IN ('link', 'keep') THEN line END AS record, revision FROM (SELECT *, row_number() OVER (PARTITION BY line ORDER BY revision DESC, event_id DESC) AS rn FROM dr) WHERE rn = 1)
 """
@@ -113,12 +113,11 @@ def decision_resolution(spark, sf_dir):
     return reconcile.resolve_decisions(batch_decisions(spark, sf_dir))
 
 
-@query(classified_sql(NO_DECISIONS) + """, d0 AS (SELECT event_id % 3001 AS l0, event_type FROM events WHERE event_id % 3 = 0 AND event_id < 3001), d1 AS (SELECT CASE WHEN l0 % 5 = 0 THEN l0 + 1 ELSE l0 END AS line, CASE event_type WHEN 'error' THEN 'reject' WHEN 'signup' THEN 'keep' WHEN 'click' THEN 'create' ELSE 'link' END AS outcome FROM d0)
+@query(classified_sql(NO_DECISIONS) + """, d0 AS (SELECT (event_id // 4) * 3 AS l0, event_type FROM events WHERE event_id % 3 = 0), d1 AS (SELECT CASE WHEN l0 % 5 = 0 THEN l0 + 1 ELSE l0 END AS line, CASE event_type WHEN 'error' THEN 'reject' WHEN 'signup' THEN 'keep' WHEN 'click' THEN 'create' ELSE 'link' END AS outcome FROM d0)
 SELECT verdict, count(*) AS n FROM (SELECT CASE WHEN c.conflict IS NULL THEN 'not_pending'
  WHEN (c.conflict = 'PROTECTED_LAYER' AND d1.outcome IN ('link', 'keep', 'reject')) OR (c.conflict = 'DISREGARDED' AND d1.outcome = 'reject') OR (c.conflict IN ('NO_CANDIDATE', 'MULTIPLE', 'DUPLICATE_TARGET') AND d1.outcome IN ('link', 'create', 'reject')) THEN 'applied' ELSE 'not_allowed' END AS verdict FROM d1 LEFT JOIN c USING (line)) GROUP BY verdict""")
 def decision_verdicts(spark, sf_dir):
-    decisions = batch_decisions(spark, sf_dir).filter("decision_id < 3001")
-    return reconcile.check_decisions(decisions, classified(spark, sf_dir, False)[1]).groupBy("verdict").agg(F.count("*").alias("n"))
+    return reconcile.check_decisions(batch_decisions(spark, sf_dir), classified(spark, sf_dir, False)[1]).groupBy("verdict").agg(F.count("*").alias("n"))
 
 
 @query("""
@@ -164,3 +163,58 @@ def identity_match(spark, sf_dir):
 @query("SELECT c_nationkey, c_mktsegment, count(*) AS n, min(c_custkey) AS first_id, max(c_custkey) AS last_id FROM customer GROUP BY 1, 2 HAVING count(*) > 1")
 def duplicate_keys(spark, sf_dir):
     return matching.duplicated(table(spark, sf_dir, "customer"), ["c_nationkey", "c_mktsegment"], "c_custkey")
+
+
+@query("""
+WITH d AS (SELECT event_id, user_id AS observation, CASE WHEN event_id % 3 = 0 THEN '' ELSE 'L' || event_id % 4 END AS locator, event_type AS outcome, event_id % 5 AS revision FROM events),
+x AS (SELECT *, row_number() OVER (PARTITION BY observation, locator ORDER BY revision DESC, event_id DESC) AS rn, row_number() OVER (PARTITION BY observation ORDER BY revision DESC, event_id DESC) AS rw FROM d),
+l AS (SELECT o_orderkey AS line, o_custkey AS observation, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE 'L' || o_orderkey % 6 END AS locator FROM orders)
+SELECT line, coalesce(e.outcome, w.outcome) AS outcome, CASE WHEN e.event_id IS NOT NULL THEN e.event_id ELSE w.event_id END AS record, coalesce(e.revision, w.revision) AS revision, CASE WHEN e.event_id IS NOT NULL THEN 'locator' ELSE 'observation' END AS by
+FROM l LEFT JOIN x e ON e.observation = l.observation AND e.locator = l.locator AND e.rn = 1 LEFT JOIN x w ON w.observation = l.observation AND w.rw = 1 WHERE w.event_id IS NOT NULL
+""")
+def decision_fallback(spark, sf_dir):
+    """Decisions by observation and locator, else by observation."""
+    events, orders = table(spark, sf_dir, "events", "event_id", "user_id", "event_type"), table(spark, sf_dir, "orders", "o_orderkey", "o_custkey")
+    e, k = F.col("event_id"), F.col("o_orderkey")
+    locator = F.when(e % 3 != 0, F.concat(F.lit("L"), (e % 4).cast("string")))
+    decisions = events.select(F.col("user_id").alias("observation"), locator.alias("locator"), F.col("event_type").alias("outcome"), e.alias("record"), (e % 5).alias("revision"), e.alias("decision_id"))
+    lines = orders.select(k.alias("line"), F.col("o_custkey").alias("observation"), F.when(k % 5 != 0, F.concat(F.lit("L"), (k % 6).cast("string"))).alias("locator"))
+    return reconcile.decisions_for(lines, decisions)
+
+
+@query("""
+WITH p AS (SELECT p_partkey AS k, p_brand AS b, CASE WHEN p_partkey % 3 = 0 THEN p_brand || '!' ELSE p_brand END AS b2, CAST(p_size AS VARCHAR) AS s FROM part),
+d AS (
+  SELECT k, 'brand' AS field, b AS before, b2 AS after, 'changed' AS kind, 'payload' AS source, 0 AS r FROM p WHERE b <> b2
+  UNION ALL SELECT k, 'brand', s, s || '.0', 'changed', 'decimal-source', 1 FROM p WHERE k % 4 = 0
+  UNION ALL SELECT k, 'size', s, NULL, 'removed', 'decimal-source', 1 FROM p WHERE k % 4 = 1
+  UNION ALL SELECT k, '*', NULL, NULL, 'whole', 'duration-source', 2 FROM p WHERE k % 5 = 0
+  UNION ALL SELECT k, 'time', NULL, s, 'added', 'duration-source', 2 FROM p WHERE k % 5 = 1
+)
+SELECT k, row_number() OVER (PARTITION BY k ORDER BY field, r) AS place, field, before, after, kind, source FROM d
+""")
+def typed_field_diffs(spark, sf_dir):
+    """Differences of payloads and of both kinds of provenance, in their order."""
+    k, b, size = F.col("p_partkey"), F.col("p_brand"), F.col("p_size").cast("string")
+    none, one = F.create_map().cast("map<string,string>"), lambda name, v: F.create_map(F.lit(name), v)
+    pairs = table(spark, sf_dir, "part", "p_partkey", "p_brand", "p_size").select(
+        k.alias("k"), one("brand", b).alias("p0"), one("brand", F.when(k % 3 == 0, F.concat(b, F.lit("!"))).otherwise(b)).alias("p1"),
+        F.when(k % 4 == 0, one("brand", size)).when(k % 4 == 1, one("size", size)).otherwise(none).alias("d0"), F.when(k % 4 == 0, one("brand", F.concat(size, F.lit(".0")))).otherwise(none).alias("d1"),
+        F.when(k % 5 != 0, none).alias("t0"), F.when(k % 5 == 1, one("time", size)).otherwise(none).alias("t1"),
+    )
+    return reconcile.typed_diffs(pairs, "k", {"payload": ("p0", "p1"), "decimal-source": ("d0", "d1"), "duration-source": ("t0", "t1")})
+
+
+@query("""
+WITH t AS (SELECT l_orderkey AS k, CASE l_linenumber % 4 WHEN 0 THEN CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) WHEN 1 THEN CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) || ':05' WHEN 2 THEN '1:00:' || lpad(CAST(CAST(l_quantity AS INTEGER) % 60 AS VARCHAR), 2, '0') ELSE 'x' END AS v,
+  CASE WHEN l_linenumber % 3 = 0 THEN 'minutes' ELSE 'clock' END AS u, CAST(l_quantity AS INTEGER) AS q, l_linenumber % 4 AS n FROM lineitem),
+s AS (SELECT k, CASE WHEN n = 0 THEN q * 60 WHEN u = 'minutes' THEN NULL WHEN n = 1 THEN q * 60 + 5 WHEN n = 2 THEN 3600 + q % 60 END AS seconds FROM t)
+SELECT k, CAST(sum(seconds) AS BIGINT) AS seconds, count(seconds) AS n, count(*) FILTER (seconds IS NULL) AS n_invalid FROM s GROUP BY k
+""")
+def duration_sums(spark, sf_dir):
+    """Exact sums of durations by unit."""
+    lines = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_quantity")
+    n, q = F.col("l_linenumber"), F.col("l_quantity").cast("int")
+    text = F.when(n % 4 == 0, q.cast("string")).when(n % 4 == 1, F.concat(q.cast("string"), F.lit(":05"))).when(n % 4 == 2, F.concat(F.lit("1:00:"), F.lpad((q % 60).cast("string"), 2, "0"))).otherwise("x")
+    rows = lines.select(F.col("l_orderkey").alias("k"), text.alias("v"), F.when(n % 3 == 0, "minutes").otherwise("clock").alias("u"))
+    return report.duration_sum(rows, "k", "v", "u")

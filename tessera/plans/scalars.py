@@ -139,34 +139,45 @@ def invoice_number_key(spark, sf_dir):
 
 
 @query(r"""
-SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[e-mail]', 'g'), '\b\d{2}\.?\d{3}\.?\d{3}/?\d{4}-?\d{2}\b', '[CNPJ]', 'g'), '\b\d{3}\.?\d{3}\.?\d{3}-?\d{2}\b', '[CPF]', 'g'), '\(?\b\d{2}\)?\s?9?\d{4}-\d{4}\b', '[telefone]', 'g')) AS redacted FROM documents
+SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}', '[dado pessoal omitido]', 'gi'), '\b\d{3}\.?\d{3}\.?\d{3}-?\d{2}\b', '[dado pessoal omitido]', 'g'),
+  '\b\d{2}\.?\d{3}\.?\d{3}/?\d{4}-?\d{2}\b', '[dado pessoal omitido]', 'g'), '\(?\d{2}\)?[\s\x{A0}\x{3000}]?9?\d{4}-?\d{4}\b', '[dado pessoal omitido]', 'g')) AS redacted FROM documents
 """)
 def redact_pii(spark, sf_dir):
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return docs.select("doc_id", F.md5(texts.redact_personal(F.col("text"))).alias("redacted"))
 
 
+def public_sql(v):
+    """SQL of a public text: places that end in a file's ending, other places, control characters."""
+    root = r"(?:file://)?(?:/(?:Users|home)/[^/\s]+/|/(?:tmp|private|Volumes|var(?:/folders|/tmp)?|opt|srv|mnt)/|[A-Za-z]:\\|\\\\[^\\\s]+\\)"
+    ended = rf"regexp_replace({v}, '{root}[^\r\n,;]*?\.[A-Za-z0-9]{{1,10}}(\s|[),;]|$)', '[caminho local omitido]\1', 'gi')"
+    return rf"regexp_replace(regexp_replace({ended}, '{root}[^\s<>\"]+', '[caminho local omitido]', 'gi'), '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g')"
+
+
 @query(r"""
-WITH t AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN url || ' C:\Users\x.txt' WHEN 1 THEN '(/home/a/b c' || url WHEN 2 THEN 'file://' || url ELSE url || chr(7) || '/tmp' END AS v FROM pages)
-SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(v, '(?i)file://[^\s"''<>]+', '[path]', 'g'), '\b[A-Za-z]:\\[^\s"''<>]+', '[path]', 'g'), '(^|[\s"''(=])/(?:home|Users|tmp|var|etc|root|mnt|opt)/[^\s"''<>]*', '\1[path]', 'g'), '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', ' ', 'g') AS shown FROM t
+WITH t AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN url || ' C:\Users\x.txt' WHEN 1 THEN '(/home/a/b c.pdf), ' || url WHEN 2 THEN 'file:///Volumes/X/y ' || url WHEN 3 THEN '\\host\share\z d.xlsx' ELSE url || chr(7) || '/tmp/q' END AS v FROM pages)
+SELECT page_id, """ + public_sql("v") + """ AS shown FROM t
 """)
 def redact_paths(spark, sf_dir):
     pages = table(spark, sf_dir, "pages", "page_id", "url")
-    v, url = F.col("page_id") % 4, F.col("url")
-    text = F.when(v == 0, F.concat(url, F.lit(" C:\\Users\\x.txt"))).when(v == 1, F.concat(F.lit("(/home/a/b c"), url)).when(v == 2, F.concat(F.lit("file://"), url)).otherwise(F.concat(url, F.lit("\x07/tmp")))
+    v, url = F.col("page_id") % 5, F.col("url")
+    text = (
+        F.when(v == 0, F.concat(url, F.lit(" C:\\Users\\x.txt"))).when(v == 1, F.concat(F.lit("(/home/a/b c.pdf), "), url)).when(v == 2, F.concat(F.lit("file:///Volumes/X/y "), url))
+        .when(v == 3, F.lit("\\\\host\\share\\z d.xlsx")).otherwise(F.concat(url, F.lit("\x07/tmp/q")))
+    )
     return pages.select("page_id", texts.redact_paths(text).alias("shown"))
 
 
 @query(r"""
-WITH t AS (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN '=' || text WHEN 1 THEN text || chr(10) || '"end"' ELSE ' -' || text END AS v FROM conversations),
-f AS (SELECT *, regexp_replace(coalesce(v, ''), '[\r\n]+', ' ', 'g') AS flat FROM t)
-SELECT conv_id, turn, '"' || replace(CASE WHEN regexp_matches(flat, '^[\s\x00-\x1F]*[=+\-@]') THEN '''' || flat ELSE flat END, '"', '""') || '"' AS cell FROM f
+WITH t AS (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN '=' || text WHEN 1 THEN text || chr(10) || '"end"' WHEN 2 THEN ' -' || text ELSE chr(160) || chr(8203) || '@' || text END AS v FROM conversations),
+f AS (SELECT *, regexp_replace(""" + public_sql("coalesce(v, '')") + r""", '\r?\n', ' ', 'g') AS flat FROM t)
+SELECT conv_id, turn, '"' || replace(CASE WHEN regexp_matches(flat, '^[\x00-\x20\x{A0}\x{1680}\x{2000}-\x{200B}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]*[=+\-@]') THEN chr(39) || flat ELSE flat END, '"', '""') || '"' AS cell FROM f
 """)
 def csv_guard(spark, sf_dir):
     """Cells that no spreadsheet runs as a formula."""
     rows = table(spark, sf_dir, "conversations", "conv_id", "turn", "text")
-    v, t = F.col("turn") % 3, F.col("text")
-    text = F.when(v == 0, F.concat(F.lit("="), t)).when(v == 1, F.concat(t, F.lit('\n"end"'))).otherwise(F.concat(F.lit(" -"), t))
+    v, t = F.col("turn") % 4, F.col("text")
+    text = F.when(v == 0, F.concat(F.lit("="), t)).when(v == 1, F.concat(t, F.lit('\n"end"'))).when(v == 2, F.concat(F.lit(" -"), t)).otherwise(F.concat(F.lit("\u00a0\u200b@"), t))
     return rows.select("conv_id", "turn", texts.csv_cell(text).alias("cell"))
 
 

@@ -22,10 +22,11 @@ def values(spark, f, cases, kind="string"):
         (times.source_duration, {"90": 5400, "59:59": 3599, "1:00:30": 3630, "1:60": None, "": None, None: None}),
         (times.owner_duration, {"90": None, "59:59": 59 * 3600 + 59 * 60, "1:00:30": 3630, "1:60": None, None: None}),
         (lambda c: times.mixed_date(c).cast("string"), {"22/08/2024": "2024-08-22", "45526": "2024-08-22", "2024-08-22": "2024-08-22", "31/02/2024": None, "2024-02-31": None, "1": None, "": None, None: None}),
-        (texts.invoice_key, {"NFS-e 007": "7", "nfse 0": "0", "NFSe": "nfse", " Ab ": "ab", "000": "0", None: None}),
-        (texts.title_key, {"  Ação  Ímpar ": "acao impar", "": "", None: None}),
-        (texts.csv_cell, {"=1": "\"'=1\"", "​@x": "\"'​@x\"", 'a"b\r\nc': '"a""b c"', "": '""', None: '""'}),
-        (texts.redact_personal, {"a@b.co 11.222.333/0001-44": "[e-mail] [CNPJ]", "111.222.333-44 (11) 91234-5678": "[CPF] [telefone]", None: None}),
+        (texts.invoice_key, {"NFS-e 007": "7", "nfse 0": "0", "NFSe": "nfse", " Ab ": "ab", "000": "0", "NFS e: 007": "7", "nfs-e #12": "12", "NFSE - 3": "3", "NFSE -- 3": "nfse -- 3", "a  b\tc": "a b c", "nfs 1": "nfs 1", None: None}),
+        (texts.title_key, {"  Ação  Ímpar ": "acao impar", "Šabăc ő ą e\u0301 \u1ea5": "sabac o a e a", "\u00a0x\u2003y\ufeff": "x y", "": "", None: None}),
+        (texts.csv_cell, {"\u00a0=1+1": "\"'\u00a0=1+1\"", "\u3000@x": "\"'\u3000@x\"", "\u2028-2": "\"'\u2028-2\"", "\x07+1": "\"'+1\"", "see /Users/jo/My file.pdf, end": '"see [caminho local omitido], end"', "=1": "\"'=1\"", "​@x": "\"'​@x\"", 'a"b\r\nc': '"a""b c"', "": '""', None: '""'}),
+        (texts.redact_personal, {"a@b.co 11.222.333/0001-44": " ".join([texts.OMITTED] * 2), "111.222.333-44 (11) 91234-5678": " ".join([texts.OMITTED] * 2), "(11) 912345678": texts.OMITTED, "11 1234-5678.": texts.OMITTED + ".", "A.B+c@D-e.ORG": texts.OMITTED, "12": "12", None: None}),
+        (texts.redact_paths, {"/Users/jo/My file.pdf": texts.OMITTED_PATH, "x file:///home/a/b c": f"x {texts.OMITTED_PATH} c", "/Volumes/A b/c": f"{texts.OMITTED_PATH} b/c", "\\\\host\\x y.doc; z": f"{texts.OMITTED_PATH}; z", "c:\\a b.txt)": f"{texts.OMITTED_PATH})", "/var/folders/q\x07r": texts.OMITTED_PATH, "a\x07b\tc": "ab\tc", "/home": "/home", None: None}),
         (texts.html_text, {"<a b=\"c\">'&": "&lt;a b=&quot;c&quot;&gt;&#39;&amp;", None: None}),
         (texts.utf16_length, {"a😀": 3, "": 0, None: None}),
         (labels.whole, {"12.00": "12", "1.5": None, " 7 ": "7", None: None}),
