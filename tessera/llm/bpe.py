@@ -34,9 +34,11 @@ from pyspark.sql import functions as F
 from tessera.llm.common import small_batches, with_fields
 
 #: Entries of the tables that a worker keeps; what they lack is computed, so their sizes change no result.
-MAX_STATES = 160_000
+MAX_STATES = 200_000
 MAX_PAIRS = 100_000
-MAX_PIECES = 100_000
+MAX_PIECES = 150_000
+#: New transitions from which on they join the large table.
+RECENT = 16_000
 #: Bytes up to which a piece walks with others and is kept; longer ones are read as a stream, with memory for the lag only.
 MAX_PIECE = 1 << 12
 #: Pieces whose ids are written out at once.
@@ -90,7 +92,8 @@ class Transducer:
         # Emitted runs of tokens; run 0 is empty.
         self.runs, self.run_number = [()], {(): 0}
         # Transitions, sorted by state << 8 | byte: the next state and the run emitted; and the run that ends each state.
-        self.known, self.next, self.emits = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        # New ones gather in a small table of the same form beside the large one, so that few insertions move much.
+        self.large, self.recent = ((np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)) for _ in range(2))
         self.ends: dict[int, int] = {}
 
     @staticmethod
@@ -214,8 +217,30 @@ class Transducer:
             if number == len(self.states):
                 self.states.append(found)
             to[i], run[i] = number, self._run(live[0][0][:certain])
-        at = np.searchsorted(self.known, wanted)
-        self.known, self.next, self.emits = np.insert(self.known, at, wanted), np.insert(self.next, at, to), np.insert(self.emits, at, run)
+        self.recent = self._merged(self.recent, (wanted, to, run))
+
+    @staticmethod
+    def _merged(table: tuple[np.ndarray, ...], more: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+        at = np.searchsorted(table[0], more[0])
+        return tuple(np.insert(old, at, new) for old, new in zip(table, more, strict=True))
+
+    def _moves(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next state and the run emitted for each state << 8 | byte."""
+        to, run, left = np.zeros(len(asked), np.int32), np.zeros(len(asked), np.int32), np.arange(len(asked))
+        for last in (False, True):
+            known, states, runs = self.recent if last else self.large
+            wanted = asked[left]
+            at = np.minimum(np.searchsorted(known, wanted), max(0, len(known) - 1))
+            here = known[at] == wanted if len(known) else np.zeros(len(left), bool)
+            if last and not here.all():
+                self._learn(np.unique(wanted[~here]))
+                known, states, runs = self.recent
+                at, here = np.searchsorted(known, wanted), np.ones(len(left), bool)
+            to[left[here]], run[left[here]] = states[at[here]], runs[at[here]]
+            left = left[~here]
+            if not len(left):
+                break
+        return to, run
 
     def _end(self, state: int) -> int:
         """The run of a state's hypothesis that ends with a whole token."""
@@ -227,6 +252,8 @@ class Transducer:
         """The ids of all pieces, one piece after the other, and their number for each piece."""
         if len(self.states) > MAX_STATES:
             self._reset()
+        elif len(self.recent[0]) > RECENT:
+            self.large, self.recent = self._merged(self.large, self.recent), tuple(x[:0] for x in self.recent)
         length = np.array([len(p) for p in pieces], np.int64)
         data, begin = np.frombuffer(b"".join(pieces), np.uint8), np.cumsum(length) - length
         order = np.argsort(-length, kind="stable")
@@ -236,14 +263,7 @@ class Transducer:
             while live and length[order[live - 1]] <= step:
                 live = int(np.searchsorted(-length[order], -step, side="left"))
             now = order[:live]
-            asked = state[now] << 8 | data[begin[now] + step]
-            at = np.minimum(np.searchsorted(self.known, asked), max(0, len(self.known) - 1))
-            lacking = self.known[at] != asked if len(self.known) else np.ones(live, bool)
-            if lacking.any():
-                self._learn(np.unique(asked[lacking]))
-                at = np.searchsorted(self.known, asked)
-            state[now] = self.next[at]
-            run = self.emits[at]
+            state[now], run = self._moves(state[now] << 8 | data[begin[now] + step])
             told = np.flatnonzero(run)
             done.append((now[told], run[told]))
         ends, which = np.unique(state, return_inverse=True)
