@@ -88,10 +88,15 @@ def portfolio(closed: DataFrame) -> DataFrame:
     )
 
 
-def contract_balance(contracts: DataFrame, total: str, receipts: str) -> DataFrame:
-    """``contracts`` with ``balance``: the total less receipts (array of cents, voided) that aren't voided."""
-    paid = F.aggregate(F.filter(receipts, lambda r: ~r["voided"]), F.lit(0).cast("long"), lambda a, r: a + r["cents"])
-    return contracts.withColumn("balance", F.col(total) - F.coalesce(paid, F.lit(0)))
+def contract_balance(contracts: DataFrame, key: str, total: str, receipts: DataFrame) -> DataFrame:
+    """``contracts`` with ``balance``: the total less the receipts (key, cents, voided) that aren't voided.
+
+    Receipts are summed before the join, so a contract with very many sends one row a task. A receipt
+    whose ``voided`` or ``cents`` is null counts nothing; a contract without receipts keeps its total.
+    """
+    paid = receipts.filter(~F.col("voided")).groupBy(F.col(key).alias("_contract")).agg(F.sum("cents").alias("_paid"))
+    joined = contracts.join(paid, contracts[key] == paid["_contract"], "left")
+    return joined.withColumn("balance", F.col(total) - F.coalesce("_paid", F.lit(0))).drop("_contract", "_paid")
 
 
 def note_payments(notes: DataFrame, payments: DataFrame) -> DataFrame:

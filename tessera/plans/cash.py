@@ -145,10 +145,9 @@ def contract_balance(spark, sf_dir):
     """Orders as contracts, their lines as receipts, every third of them voided."""
     cents = lambda c: (F.col(c).cast("decimal(18,2)") * 100).cast("long")
     lines = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_extendedprice")
-    receipts = lines.groupBy("l_orderkey").agg(F.collect_list(F.struct(cents("l_extendedprice").alias("cents"), (F.col("l_linenumber") % 3 == 0).alias("voided"))).alias("receipts"))
+    receipts = lines.select(F.col("l_orderkey").alias("o_orderkey"), cents("l_extendedprice").alias("cents"), (F.col("l_linenumber") % 3 == 0).alias("voided"))
     contracts = table(spark, sf_dir, "orders", "o_orderkey", "o_totalprice").select("o_orderkey", cents("o_totalprice").alias("total"))
-    joined = contracts.join(receipts, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    return cash.contract_balance(joined, "total", F.col("receipts")).select("o_orderkey", "balance")
+    return cash.contract_balance(contracts, "o_orderkey", "total", receipts).select("o_orderkey", "balance")
 
 
 @query("""
