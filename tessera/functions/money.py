@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.texts import SPACE
+
 UNKNOWN = "Não informado"
 #: Source amounts: up to 14 digits before the point and 16 after it.
 SOURCE = "decimal(30,16)"
@@ -38,15 +40,45 @@ def scale_of(text: Column) -> Column:
     return F.length(F.regexp_extract(text, r"\.(\d*)$", 1))
 
 
-def brl_cents(text: Column) -> Column:
-    """Cents of an unsigned amount written grouped, with a comma or with a point; null where it is none."""
-    bare = F.regexp_replace(text, r"(?i)R\$|\s", "")
-    digits = (
-        F.when(bare.rlike(r"^\d{1,3}(\.\d{3})+(,\d{1,2})?$"), F.replace(F.replace(bare, F.lit("."), F.lit("")), F.lit(","), F.lit(".")))
-        .when(bare.rlike(r"^\d+,\d{1,2}$"), F.replace(bare, F.lit(","), F.lit(".")))
-        .when(bare.rlike(r"^\d+(\.\d{1,2})?$"), bare)
+def _point(bare: Column, fraction: int) -> Column:
+    """Unsigned digits with a point, of an amount written grouped, with a comma or with a point; null where it is none."""
+    end = rf"\d{{1,{fraction}}}"
+    return (
+        F.when(bare.rlike(rf"^\d{{1,3}}(\.\d{{3}})+(,{end})?$"), F.replace(F.replace(bare, F.lit("."), F.lit("")), F.lit(","), F.lit(".")))
+        .when(bare.rlike(rf"^\d+(,{end})?$"), F.replace(bare, F.lit(","), F.lit(".")))
+        .when(bare.rlike(rf"^\d+\.{end}$"), bare)
     )
-    return F.when(F.length(F.regexp_replace(digits, r"\D", "")) <= 18, (digits.try_cast("decimal(20,2)") * 100).cast("long"))
+
+
+def _bare(text: Column) -> Column:
+    return F.regexp_replace(text, rf"(?i)R\$|{SPACE}", "")
+
+
+def brl_cents(text: Column) -> Column:
+    """Cents, decimal(24,0), of an unsigned amount written in any way; null where it is none or has more than 24 digits."""
+    return (_point(_bare(text), 2).try_cast("decimal(36,2)") * 100).try_cast("decimal(24,0)")
+
+
+def brl_decimal(text: Column, signed: bool, whole: int, fraction: int) -> Column:
+    """An amount as a decimal text: no leading zeros, at least one digit after the point; null where it is none or too large."""
+    bare = _bare(text)
+    minus = F.startswith(bare, F.lit("-"))
+    point = _point(F.regexp_replace(bare, "^-", ""), fraction)
+    digits = F.regexp_replace(F.substring_index(point, ".", 1), r"^0+(?=\d)", "")
+    after = F.when(F.contains(point, F.lit(".")), F.substring_index(point, ".", -1)).otherwise("0")
+    fits = (F.length(digits) <= whole) & (F.lit(signed) | ~minus)
+    return F.when(fits, F.concat(F.when(minus, "-").otherwise(""), digits, F.lit("."), after))
+
+
+def adjustment_decimal(mode: Column, text: Column) -> Column:
+    """A signed amount of 14 and 16 digits where ``mode`` is ``present``; null where it is ``missing``."""
+    return F.when(mode == "present", brl_decimal(text, True, 14, 16))
+
+
+def fiscal_decimal(text: Column) -> Column:
+    """An unsigned amount of 18 and 2 digits, always two after the point."""
+    made = brl_decimal(text, False, 18, 2)
+    return F.concat(made, F.when(made.rlike(r"\.\d$"), "0").otherwise(""))
 
 
 def brl(value: Column, minus: str = "-") -> Column:

@@ -7,6 +7,7 @@ import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space of a source text, without the line's own escapes: a class for both engines.
 SPACE = r"[\t-\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
@@ -102,6 +103,45 @@ def canonical_map(payload: Column) -> Column:
     return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(payload))))
 
 
+def json_text(text: Column) -> Column:
+    """A JSON string with the shortest escapes; other control characters as four lower-case hex digits."""
+    for sign, name in (("\\", "\\\\"), ('"', '\\"'), ("\b", "\\b"), ("\t", "\\t"), ("\n", "\\n"), ("\f", "\\f"), ("\r", "\\r")):
+        text = F.replace(text, F.lit(sign), F.lit(name))
+    full = text
+    for c in sorted(set(range(0x20)) - {8, 9, 10, 12, 13}):
+        full = F.replace(full, F.lit(chr(c)), F.lit(f"\\u{c:04x}"))
+    return F.concat(F.lit('"'), F.when(text.rlike(r"[\x00-\x1F]"), full).otherwise(text), F.lit('"'))
+
+
+def canonical_json(value: Column, kind: T.DataType) -> Column:
+    """Canonical JSON of nested maps, structs and arrays: keys in the order of their UTF-16 units, lists in their own order.
+
+    ``kind`` is the value's type. Texts, booleans, whole numbers and days are leaves; amounts are held as texts, so
+    that no binary fraction is written: any other type raises a TypeError.
+    """
+    if isinstance(kind, T.StringType):
+        made = json_text(value)
+    elif isinstance(kind, T.DateType):
+        made = json_text(value.cast("string"))
+    elif isinstance(kind, (T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        made = value.cast("string")
+    elif isinstance(kind, T.ArrayType):
+        items = F.transform(value, lambda v: canonical_json(v, kind.elementType))
+        made = F.concat(F.lit("["), F.array_join(items, ","), F.lit("]"))
+    elif isinstance(kind, T.MapType) and isinstance(kind.keyType, T.StringType):
+        # The first field sorts, the second is the written member.
+        member = lambda e: F.struct(F.encode(e["key"], "UTF-16BE").alias("k"), F.concat(json_text(e["key"]), F.lit(":"), canonical_json(e["value"], kind.valueType)).alias("m"))
+        members = F.transform(F.array_sort(F.transform(F.map_entries(value), member)), lambda m: m["m"])
+        made = F.concat(F.lit("{"), F.array_join(members, ","), F.lit("}"))
+    elif isinstance(kind, T.StructType):
+        fields = sorted(kind.fields, key=lambda f: f.name.encode("utf-16-be"))
+        members = [F.concat(json_text(F.lit(f.name)), F.lit(":"), canonical_json(value[f.name], f.dataType)) for f in fields]
+        made = F.when(value.isNotNull(), F.concat(F.lit("{"), F.concat_ws(",", *members), F.lit("}")))
+    else:
+        raise TypeError(f"no canonical form of {kind.simpleString()}")
+    return F.coalesce(made, F.lit("null"))
+
+
 def hash_id(prefix: str, key: Column) -> Column:
     """A stable identifier in the form of a UUID, from a SHA-256."""
     return dashed(F.substring(F.sha2(F.concat(F.lit(prefix), key), 256), 1, 32))

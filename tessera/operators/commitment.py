@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,3 +50,61 @@ def proof(nodes: DataFrame, place: int | Column, fan_out: int = FAN_OUT) -> Data
     at = place if isinstance(place, Column) else F.lit(place)
     parent = F.floor(at / F.pow(F.lit(float(fan_out)), F.col("level") + 1))
     return nodes.filter(F.floor(F.col("place") / fan_out) == parent)
+
+
+def balanced(items: DataFrame, key: str, content: str, tag: str) -> DataFrame:
+    """The nodes of the balanced binary tree over items in the order of ``key`` (32 hex digits with or without dashes; distinct).
+
+    The middle item of a range is its root. A node's hash is over ``tag`` with ``/node``, the key's bytes, the hash of
+    ``content``, the hashes of both subtrees (of none: that of ``tag`` with ``/empty``), height, number of items, first and
+    last key. (depth, lo, hi, place, key, hash, height, n, first_key, last_key), in place order from 0.
+
+    Depths are hashed from the deepest up: each is one join of a depth with the one below, and depths halve.
+    """
+    placed = items.select(F.replace(F.lower(F.col(key)), F.lit("-"), F.lit("")).alias("key"), F.sha2(F.col(content), 256).alias("_item"))
+    placed = written(ordered_ids(placed, ["key"], "P").select("key", "_item", (F.substring("code", 3, 20).cast("long") - 1).alias("place")), "placed")
+    n = placed.count()
+    # A place's range is found by halving from the whole: at most as many steps as the tree is high.
+    begin = F.struct(F.lit(0).cast("long").alias("lo"), F.lit(n - 1).cast("long").alias("hi"), F.lit(0).alias("depth"))
+
+    def halve(s, _):
+        mid = F.call_function("div", s["lo"] + s["hi"], F.lit(2))
+        at = F.col("place")
+        return F.struct(F.when(at > mid, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(at < mid, mid - 1).otherwise(s["hi"]).alias("hi"), F.when(at == mid, s["depth"]).otherwise(s["depth"] + 1).alias("depth"))
+
+    steps = F.sequence(F.lit(1), F.lit(max(1, n.bit_length())))
+    level = written(placed.withColumn("_s", F.reduce(steps, begin, halve)).select("*", "_s.lo", "_s.hi", "_s.depth").drop("_s"), "ranges")
+    empty = F.sha2(F.lit(f"{tag}/empty"), 256)
+    below, nodes = None, []
+    for depth in range(n.bit_length() - 1, -1, -1):
+        here = level.filter(F.col("depth") == depth)
+        mid = F.col("place")
+        if below is None:
+            sides = {f"_{s}_{c}": F.lit(None).cast(t) for s in "lr" for c, t in (("hash", "string"), ("height", "int"), ("n", "long"), ("first", "string"), ("last", "string"))}
+            here = here.withColumns(sides)
+        else:
+            for s, lo, hi in (("l", F.col("lo"), mid - 1), ("r", mid + 1, F.col("hi"))):
+                side = below.select(F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.col("hash").alias(f"_{s}_hash"), F.col("height").alias(f"_{s}_height"), F.col("n").alias(f"_{s}_n"), F.col("first_key").alias(f"_{s}_first"), F.col("last_key").alias(f"_{s}_last"))
+                here = here.join(side, (F.col("_lo") == lo) & (F.col("_hi") == hi), "left").drop("_lo", "_hi")
+        zero = F.lit(0)
+        height = F.greatest(F.coalesce("_l_height", zero), F.coalesce("_r_height", zero)) + 1
+        count = F.coalesce("_l_n", zero) + F.coalesce("_r_n", zero) + 1
+        first, final = F.coalesce("_l_first", "key"), F.coalesce("_r_last", "key")
+        made = F.sha2(F.concat(F.lit(f"{tag}/node").cast("binary"), F.unhex("key"), F.unhex("_item"), F.unhex(F.coalesce("_l_hash", empty)), F.unhex(F.coalesce("_r_hash", empty)), F.unhex(F.lpad(F.hex(height), 4, "0")), F.unhex(F.lpad(F.hex(count), 16, "0")), F.unhex(first), F.unhex(final)), 256)
+        below = written(here.select("depth", "lo", "hi", "place", "key", made.alias("hash"), height.alias("height"), count.cast("long").alias("n"), first.alias("first_key"), final.alias("last_key")), "depth")
+        nodes.append(below)
+    return reduce(DataFrame.unionByName, nodes) if nodes else level.select(F.lit(0).alias("depth"), "lo", "hi", "place", "key", F.lit("").alias("hash"), F.lit(0).alias("height"), F.lit(0).cast("long").alias("n"), F.col("key").alias("first_key"), F.col("key").alias("last_key"))
+
+
+def balanced_root(nodes: DataFrame, tag: str) -> DataFrame:
+    """One row (root_hash, n, first_key, last_key, commitment); an empty set has no keys and the hash of ``tag`` with ``/empty``."""
+    top = nodes.filter("depth = 0").agg(*(F.first(c).alias(c) for c in ("hash", "n", "first_key", "last_key")))
+    top = top.select(F.coalesce("hash", F.sha2(F.lit(f"{tag}/empty"), 256)).alias("root_hash"), F.coalesce("n", F.lit(0)).cast("long").alias("n"), "first_key", "last_key")
+    end = lambda c: F.coalesce(F.unhex(F.concat(F.lit("01"), F.col(c))), F.unhex(F.lit("00")))
+    whole = F.concat(F.lit(f"{tag}/root").cast("binary"), F.unhex("root_hash"), F.unhex(F.lpad(F.hex("n"), 16, "0")), end("first_key"), end("last_key"))
+    return top.withColumn("commitment", F.sha2(whole, 256))
+
+
+def balanced_proof(nodes: DataFrame, place: int) -> DataFrame:
+    """The nodes on the way from the root to a place: as many as the tree is high at most."""
+    return nodes.filter(F.lit(place).between(F.col("lo"), F.col("hi")))

@@ -173,37 +173,91 @@ def metrics(records: DataFrame, classified: DataFrame, value: str, record_value:
     return both.agg(F.count("*").alias("n_sources"), F.count("value").alias("n_values"), F.sum("value").alias("total"))
 
 
+def connected(edges: DataFrame) -> DataFrame:
+    """(node, root) of edges (a, b): the smallest node that each can reach. A step halves paths, so steps are logarithmic; no group is gathered."""
+    pairs = written(edges.filter("a != b").select("a", "b").distinct(), "pairs")
+    seen = None
+    while True:
+        both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("_m"))
+        # Neighbours that are larger meet the smallest one, then each node's smaller neighbours meet their smallest.
+        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("_m").alias("b")).distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("_m"))
+        small = large.join(least, "a").filter("b != _m").select(F.col("b").alias("a"), F.col("_m").alias("b")).unionByName(least.select("a", F.col("_m").alias("b"))).distinct()
+        before, pairs = pairs, written(small, "pairs")
+        drop_written(before)
+        now = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if now == seen:
+            return pairs.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(pairs.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
+        seen = now
+
+
+def _decide(state: DataFrame, now: DataFrame, held: DataFrame) -> DataFrame:
+    """``state`` after one decision at most a line: ``now`` (line, outcome, record, revision)."""
+    decided = now.select("line", *(F.col(c).alias(f"_{c}") for c in ("outcome", "record", "revision")))
+    verdicts = check_decisions(decided.select("line", F.col("_outcome").alias("outcome"), "_record", "_revision"), state)
+    open_ = verdicts.filter("verdict = 'applied'").select("line", F.col("outcome").alias("_outcome"), "_record", "_revision")
+    out = state.join(open_, "line", "left")
+    hit = F.col("_outcome").isNotNull()
+    target = F.when(F.col("_outcome") == "link", F.col("_record")).when(F.col("_outcome") == "create", None).otherwise(F.col("target"))
+    out = out.withColumns({"target": F.when(hit, target).otherwise(F.col("target")), "outcome": F.when(hit, F.col("_outcome")).otherwise(F.col("outcome")), "decided_at": F.when(hit, F.col("_revision")).otherwise(F.col("decided_at"))})
+    # What a link leads to must be there and not be disregarded; otherwise the conflict stays.
+    out = out.join(held, "target", "left")
+    category = F.when(F.col("_outcome") == "reject", "rejected").when(F.col("_outcome") == "keep", "kept").when(F.col("_outcome") == "create", "created").when(F.coalesce(F.col("_state"), F.lit("")) == "active", "updated").otherwise("conflict")
+    conflict = F.when((F.col("_outcome") == "link") & F.col("_state").isNull(), "NO_CANDIDATE").when((F.col("_outcome") == "link") & (F.col("_state") == "disregarded"), "DISREGARDED")
+    out = out.withColumns({"category": F.when(hit, category).otherwise(F.col("category")), "conflict": F.when(hit, conflict).otherwise(F.col("conflict"))})
+    # Members of a bucket: accepted lines, and lines that wait in it already.
+    member = (F.col("category").isin("unchanged", "updated", "kept") | (F.col("conflict") == "DUPLICATE_TARGET")) & F.col("target").isNotNull()
+    twice = out.filter(member).groupBy("target").agg(F.count("*").alias("_n")).filter("_n > 1")
+    out = out.join(twice, "target", "left")
+    clash = member & F.col("_n").isNotNull()
+    out = out.withColumns({"conflict": F.when(clash, "DUPLICATE_TARGET").otherwise(F.col("conflict")), "category": F.when(clash, "conflict").otherwise(F.col("category"))})
+    return out.select(*state.columns)
+
+
 def fold_decisions(lines: DataFrame, decisions: DataFrame, records: DataFrame, matches: DataFrame, last: int) -> DataFrame:
-    """Lines after every revision of decisions up to ``last``, in their order.
+    """Lines after every revision of decisions (from 1 up to ``last``), in their order.
 
     The order matters: a decision stands only if its line waits in a conflict then, and a target that an
-    accepted line took makes the next one on it a conflict. Each revision is one step over all lines; a
-    revision holds one decision a line (the later by id).
+    accepted line took makes the next one on it a conflict. A revision holds one decision a line (the later by id).
+
+    Lines act on each other only through records that they share, so the lines are parted by the records that their
+    targets and links connect. All parts take their own next revision in one step: steps are as many as the revisions
+    of the part that has most, and parts that are done leave at steps 1, 2, 4, 8 and so on.
     """
-    state = written(classify(lines, matches, records), "fold").withColumn("decided_at", F.lit(0))
+    start = written(classify(lines, matches, records).withColumn("decided_at", F.lit(0)), "fold")
+    due = decisions.filter(F.col("revision").between(1, last)).groupBy("line", "revision").agg(F.max_by(F.struct("outcome", "record"), "decision_id").alias("_d"))
+    due = written(due.select("line", "revision", "_d.outcome", "_d.record").join(start.select("line", F.col("target").alias("_from")), "line"), "due")
+    if due.isEmpty():
+        return start
+    reach = due.select("line", F.explode(F.array_compact(F.array("_from", F.when(F.col("outcome") == "link", F.col("record"))))).alias("_r")).distinct()
+    low = written(reach.groupBy("line").agg(F.min("_r").alias("_low")), "low")
+    root = connected(reach.join(low, "line").filter("_r > _low").select(F.col("_r").alias("a"), F.col("_low").alias("b")))
+    of_record = reach.select("_r").distinct().join(root, F.col("_r") == F.col("node"), "left").select("_r", F.concat(F.lit("record "), F.coalesce("root", "_r").cast("string")).alias("_part"))
+    of_line = due.select("line").distinct().join(low, "line", "left").join(of_record, F.col("_low") == F.col("_r"), "left")
+    of_line = written(of_line.select("line", F.coalesce("_part", F.concat(F.lit("line "), F.col("line").cast("string"))).alias("_own")), "own")
+    parts = start.join(of_record, F.col("target") == F.col("_r"), "left").join(of_line, "line", "left").select(*start.columns, F.coalesce("_own", "_part").alias("_part"))
+    parts = written(parts, "parts")
+    # A part has at most ``last`` revisions to number.
+    turns = due.join(of_line, "line").select(F.col("_own").alias("_part"), "revision").distinct()
+    turns = written(turns.withColumn("_turn", F.row_number().over(Window.partitionBy("_part").orderBy("revision"))), "turns")
+    due = written(due.join(of_line, "line").withColumnRenamed("_own", "_part").join(turns, ["_part", "revision"]).select("line", "outcome", "record", "revision", "_turn"), "due")
+    ends = written(turns.groupBy("_part").agg(F.max("_turn").alias("_end")), "ends")
     held = records.select(F.col("record").alias("target"), F.col("state").alias("_state"))
-    for revision in range(1, last + 1):
-        now = resolve_decisions(decisions.filter(F.col("revision") == revision)).select("line", F.col("outcome").alias("_outcome"), F.col("record").alias("_record"))
-        open_ = check_decisions(now.select("line", F.col("_outcome").alias("outcome"), "_record"), state).filter("verdict = 'applied'").select("line", F.col("outcome").alias("_outcome"), "_record")
-        out = state.join(open_, "line", "left")
-        hit = F.col("_outcome").isNotNull()
-        target = F.when(F.col("_outcome") == "link", F.col("_record")).when(F.col("_outcome") == "create", None).otherwise(F.col("target"))
-        out = out.withColumns({"target": F.when(hit, target).otherwise(F.col("target")), "outcome": F.when(hit, F.col("_outcome")).otherwise(F.col("outcome")), "decided_at": F.when(hit, revision).otherwise(F.col("decided_at"))})
-        # What a link leads to must be there and not be disregarded; otherwise the conflict stays.
-        out = out.join(held, "target", "left")
-        category = F.when(F.col("_outcome") == "reject", "rejected").when(F.col("_outcome") == "keep", "kept").when(F.col("_outcome") == "create", "created").when(F.coalesce(F.col("_state"), F.lit("")) == "active", "updated").otherwise("conflict")
-        conflict = F.when((F.col("_outcome") == "link") & F.col("_state").isNull(), "NO_CANDIDATE").when((F.col("_outcome") == "link") & (F.col("_state") == "disregarded"), "DISREGARDED")
-        out = out.withColumns({"category": F.when(hit, category).otherwise(F.col("category")), "conflict": F.when(hit, conflict).otherwise(F.col("conflict"))})
-        # Members of a bucket: accepted lines, and lines that wait in it already.
-        member = (F.col("category").isin("unchanged", "updated", "kept") | (F.col("conflict") == "DUPLICATE_TARGET")) & F.col("target").isNotNull()
-        twice = out.filter(member).groupBy("target").agg(F.count("*").alias("_n")).filter("_n > 1")
-        out = out.join(twice, "target", "left")
-        clash = member & F.col("_n").isNotNull()
-        out = out.withColumns({"conflict": F.when(clash, "DUPLICATE_TARGET").otherwise(F.col("conflict")), "category": F.when(clash, "conflict").otherwise(F.col("category"))})
-        before, state = state, written(out.drop("_outcome", "_record", "_state", "_n"), "fold")
-        if revision > 1:
-            drop_written(before)
-    return state
+    done = [parts.filter("_part IS NULL").drop("_part")]
+    state = parts.filter("_part IS NOT NULL").join(ends, "_part").drop("_part")
+    shared = True
+    for turn in range(1, ends.agg(F.max("_end")).first()[0] + 1):
+        after = written(_decide(state, due.filter(F.col("_turn") == turn).drop("_turn"), held), "fold")
+        if not shared:
+            drop_written(state)
+        shared = turn & (turn - 1) == 0
+        if shared:
+            done.append(after.filter(F.col("_end") <= turn).drop("_end"))
+            after = after.filter(F.col("_end") > turn)
+        state = after
+    done.append(state.drop("_end"))
+    return reduce(DataFrame.unionByName, done)
 
 
 def decision_delta(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -98,6 +98,15 @@ def absence_commitment(spark, sf_dir):
     return commitment.root(commitment.tree(absent, "c_custkey"))
 
 
+@query()
+def absence_tree(spark, sf_dir):
+    """The same set under a balanced binary tree, as one commitment (its tree has no SQL)."""
+    customer, orders = table(spark, sf_dir, "customer", "c_custkey", "c_name"), table(spark, sf_dir, "orders", "o_custkey")
+    absent = customer.join(orders, F.col("c_custkey") == F.col("o_custkey"), "left_anti")
+    items = absent.select(F.md5(F.col("c_custkey").cast("string")).alias("record"), F.col("c_name").alias("content"))
+    return commitment.balanced_root(commitment.balanced(items, "record", "content", "absence/v1"), "absence/v1")
+
+
 @query("""
 SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'Forte' WHEN 1 THEN 'Média' WHEN 2 THEN 'Fraca' ELSE 'Sem relação confirmada' END AS relation, CASE WHEN p_partkey % 3 = 0 THEN 'Disponível' ELSE 'Pendente' END AS evidence,
  CASE p_partkey % 4 WHEN 0 THEN true WHEN 1 THEN false END AS eligible FROM part

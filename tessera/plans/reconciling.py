@@ -218,3 +218,40 @@ def duration_sums(spark, sf_dir):
     text = F.when(n % 4 == 0, q.cast("string")).when(n % 4 == 1, F.concat(q.cast("string"), F.lit(":05"))).when(n % 4 == 2, F.concat(F.lit("1:00:"), F.lpad((q % 60).cast("string"), 2, "0"))).otherwise("x")
     rows = lines.select(F.col("l_orderkey").alias("k"), text.alias("v"), F.when(n % 3 == 0, "minutes").otherwise("clock").alias("u"))
     return report.duration_sum(rows, "k", "v", "u")
+
+
+REVISIONS = 1000
+
+
+def revised(spark, sf_dir):
+    """The batch's decisions spread over a thousand revisions."""
+    return batch_decisions(spark, sf_dir).withColumn("revision", 1 + F.col("decision_id") % REVISIONS)
+
+
+@query()
+def decision_fold(spark, sf_dir):
+    """Lines after a thousand revisions of decisions (each depends on those before: no SQL)."""
+    records, lines, matches = batch(spark, sf_dir)
+    return reconcile.fold_decisions(lines, revised(spark, sf_dir), records, matches, REVISIONS).select("line", "outcome", "target", "conflict", "category", "decided_at")
+
+
+@query("SELECT coalesce(a.line, b.line) AS line, a.category AS from_category, b.category AS to_category, a.target AS from_target, b.target AS to_target FROM (" + classified_sql(NO_DECISIONS) + "SELECT line, target, category FROM c) a FULL JOIN (" + classified_sql(DECIDED)
+       + "SELECT line, target, category FROM c) b ON a.line = b.line WHERE a.category IS DISTINCT FROM b.category OR a.target IS DISTINCT FROM b.target")
+def decision_deltas(spark, sf_dir):
+    """What all decisions change in category and target."""
+    return reconcile.decision_delta(classified(spark, sf_dir, False)[1], classified(spark, sf_dir, True)[1])
+
+
+@query(classified_sql(DECIDED) + """SELECT 'nothing_waits' AS gate, count(*) FILTER (category = 'conflict') = 0 AS holds FROM c
+UNION ALL SELECT 'unique_targets', count(*) = 0 FROM (SELECT target FROM c WHERE category IN ('unchanged', 'updated', 'kept') AND target IS NOT NULL GROUP BY target HAVING count(*) > 1) UNION ALL SELECT 'base_version', false""")
+def gate_report(spark, sf_dir):
+    """Which gates hold before the batch is applied on a base that has moved on."""
+    return reconcile.apply_gates(classified(spark, sf_dir, True)[1], 4, 5)
+
+
+@query(classified_sql(DECIDED) + """, e AS (SELECT md5('batch-1:' || line || ':source') AS event_id, line FROM c WHERE category IN ('unchanged', 'updated', 'created', 'kept') UNION ALL SELECT md5('batch-1:' || line || ':audit'), line FROM c WHERE outcome IN ('link', 'keep'))
+SELECT event_id, line FROM e WHERE line % 3 <> 0""")
+def ledger_append(spark, sf_dir):
+    """Events that a replayed batch still has to append: a third is in the ledger, and the batch came twice."""
+    made = reconcile.events(classified(spark, sf_dir, True)[1], "batch-1")
+    return reconcile.append_events(made.filter("line % 3 = 0"), made.unionByName(made)).select("event_id", "line")

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tessera.functions import money, texts, times
+from tessera.functions import labels, money, texts, times
 from tessera.operators import load, report
 from tessera.plans.registry import query, table
 
@@ -111,7 +111,7 @@ def parse_mixed_decimal(spark, sf_dir):
         .otherwise(F.lit("00,50"))
     )
     rows = part.select("p_partkey", text.alias("t"))
-    return rows.select("p_partkey", money.cents(money.spreadsheet_decimal(F.col("t"))).alias("sheet_cents"), money.ledger_decimal(F.col("t")).alias("ledger"), money.brl_cents(F.col("t")).alias("owner_cents"))
+    return rows.select("p_partkey", money.cents(money.spreadsheet_decimal(F.col("t"))).alias("sheet_cents"), money.ledger_decimal(F.col("t")).alias("ledger"), money.brl_cents(F.col("t")).cast("long").alias("owner_cents"))
 
 
 @query("""
@@ -249,3 +249,69 @@ def hours_to_seconds(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_quantity")
     hours = (F.col("l_quantity").cast("decimal(18,2)") * F.lit("0.0375").cast("decimal(5,4)")).cast(money.SOURCE)
     return lines.select("l_orderkey", "l_linenumber", times.hours_to_seconds(hours).alias("seconds"))
+
+
+@query("""
+WITH p AS (SELECT p_partkey AS k, p_partkey % 7 AS v, CAST(CAST(p_retailprice AS DECIMAL(18,2)) * 100 AS BIGINT) AS c FROM part)
+SELECT k AS p_partkey,
+  CASE v WHEN 0 THEN '-' || c // 100 || '.' || lpad(CAST(c % 100 AS VARCHAR), 2, '0') WHEN 1 THEN c // 100 || '.' || c || '0000000000' WHEN 2 THEN c // 100 || '.0' WHEN 3 THEN '123456789012' || lpad(CAST(c % 100 AS VARCHAR), 2, '0') || '.5' WHEN 4 THEN '0.' || c % 10 END AS adjustment,
+  CASE v WHEN 2 THEN c // 100 || '.00' WHEN 3 THEN '123456789012' || lpad(CAST(c % 100 AS VARCHAR), 2, '0') || '.50' WHEN 4 THEN '0.' || c % 10 || '0' WHEN 5 THEN '1234567890123456' || lpad(CAST(c % 100 AS VARCHAR), 2, '0') || '.00' END AS fiscal,
+  CASE v WHEN 2 THEN c // 100 || '00' WHEN 3 THEN '123456789012' || lpad(CAST(c % 100 AS VARCHAR), 2, '0') || '50' WHEN 4 THEN CAST(c % 10 * 10 AS VARCHAR) WHEN 5 THEN '1234567890123456' || lpad(CAST(c % 100 AS VARCHAR), 2, '0') || '00' END AS cents
+FROM p
+""")
+def brl_decimals(spark, sf_dir):
+    """Signed amounts of adjustments, amounts of notes, and cents of up to 24 digits."""
+    part = table(spark, sf_dir, "part", "p_partkey", "p_retailprice")
+    c, v = money.cents(F.col("p_retailprice").cast("decimal(18,2)")), F.col("p_partkey") % 7
+    whole, cents = F.call_function("div", c, F.lit(100)).cast("string"), F.lpad((c % 100).cast("string"), 2, "0")
+    text = (
+        F.when(v == 0, F.concat(F.lit(" R$ -"), whole, F.lit(","), cents))
+        .when(v == 1, F.concat(F.lit("00"), whole, F.lit("."), c.cast("string"), F.lit("0000000000")))
+        .when(v == 2, F.concat(F.lit("0"), whole))
+        .when(v == 3, F.concat(F.lit("12.345.678.901.2"), cents, F.lit(",5")))
+        .when(v == 4, F.concat(F.lit("r$\u00a00,"), (c % 10).cast("string")))
+        .when(v == 5, F.concat(F.lit("1234567890123456"), cents))
+        .otherwise(F.concat(whole, F.lit(",")))
+    )
+    t = F.col("t")
+    rows = part.select("p_partkey", text.alias("t"))
+    return rows.select("p_partkey", money.adjustment_decimal(F.lit("present"), t).alias("adjustment"), money.fiscal_decimal(t).alias("fiscal"), money.brl_cents(t).cast("string").alias("cents"))
+
+
+@query("""
+WITH o AS (SELECT o_orderkey AS k, o_custkey AS c, o_orderpriority AS p, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderstatus END AS s FROM orders)
+SELECT k AS o_orderkey, sha256('{"customer":{"id":' || c || ',"open":' || CASE WHEN k % 2 = 0 THEN 'true' ELSE 'false' END || '},"notes":{"B":["x\\"y","\\u0001\\n"],"a":[' || coalesce('"' || s || '"', 'null') || '],"é":[]},"priority":"' || p || '"}') AS hash FROM o
+""")
+def canonical_nested(spark, sf_dir):
+    """Hashes of nested records, whatever the order in which their parts were named."""
+    orders = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus")
+    k, none = F.col("o_orderkey"), F.array().cast("array<string>")
+    notes = F.create_map(F.lit("é"), none, F.lit("a"), F.array(F.when(k % 3 != 0, F.col("o_orderstatus"))), F.lit("B"), F.array(F.lit('x"y'), F.lit("\x01\n")))
+    rows = orders.select("o_orderkey", F.struct(F.col("o_orderpriority").alias("priority"), notes.alias("notes"), F.struct((k % 2 == 0).alias("open"), F.col("o_custkey").alias("id")).alias("customer")).alias("r"))
+    return rows.select("o_orderkey", F.sha2(texts.canonical_json(F.col("r"), rows.schema["r"].dataType), 256).alias("hash"))
+
+
+@query("""
+SELECT c_custkey, sha256(encode(sha256(c_name)) || '\\x00'::BLOB || encode('header') || '\\x00'::BLOB || encode(CAST(c_custkey % 9 AS VARCHAR)) || '\\x00'::BLOB || encode('situação de ' || lower(c_mktsegment))) AS plain,
+  sha256(encode(sha256(c_name)) || '\\x00'::BLOB || encode('header') || '\\x00'::BLOB || encode(CAST(c_custkey % 9 AS VARCHAR)) || '\\x00'::BLOB || encode('situacao de ' || lower(c_mktsegment))) AS header FROM customer
+""")
+def header_ids(spark, sf_dir):
+    """Identifiers of headers: blanks around, marks and case don't count (``plain`` is the same without folding)."""
+    customer = table(spark, sf_dir, "customer", "c_custkey", "c_name", "c_mktsegment")
+    source, place = F.sha2("c_name", 256), F.col("c_custkey") % 9
+    zero = F.lit(b"\x00")
+    plain = F.concat(source.cast("binary"), zero, F.lit(b"header"), zero, place.cast("string").cast("binary"), zero, F.concat(F.lit("situação de "), F.lower("c_mktsegment")).cast("binary"))
+    label = F.concat(F.lit("  Situac\u0327a\u0303o de "), F.col("c_mktsegment"), F.lit("\u00a0"))
+    return customer.select("c_custkey", F.sha2(plain, 256).alias("plain"), labels.header_id(source, place, label).alias("header"))
+
+
+@query("""
+WITH c AS (SELECT c_custkey, CASE WHEN c_custkey % 11 = 0 THEN 0 ELSE CAST(CAST(c_acctbal AS DECIMAL(18,2)) * 100 AS BIGINT) END AS v FROM customer), m AS (SELECT max(abs(v)) AS most FROM c)
+SELECT c_custkey, CASE WHEN v = 0 THEN 0.0::DOUBLE ELSE round(greatest(1.0::DOUBLE, abs(v) * 100.0::DOUBLE / greatest(1, most)), 6) END AS width FROM c, m
+""")
+def bar_widths(spark, sf_dir):
+    """Widths of bars against the longest one."""
+    customer = table(spark, sf_dir, "customer", "c_custkey", "c_acctbal")
+    rows = customer.select("c_custkey", F.when(F.col("c_custkey") % 11 == 0, 0).otherwise(money.cents(F.col("c_acctbal").cast("decimal(18,2)"))).alias("v"))
+    most = rows.agg(F.max(F.abs("v")).alias("most"))
+    return rows.crossJoin(F.broadcast(most)).select("c_custkey", F.round(labels.bar_width(F.col("v"), F.col("most")), 6).alias("width"))  # one row

@@ -1,5 +1,8 @@
 """Previews, guards, decisions, commitments and streams."""
 
+import hashlib
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,6 +84,84 @@ def test_decisions_fold_in_order(spark):
     assert reconcile.append_events(made, made).count() == 0
 
 
+def plain_fold(lines, decisions, records, last):
+    """``lines``: {line: [category, conflict, target, outcome]}, changed revision by revision; ``records``: {record: state}."""
+    allowed = {"PROTECTED_LAYER": "link keep reject", "DISREGARDED": "reject", "NO_CANDIDATE": "link create reject", "MULTIPLE": "link create reject", "DUPLICATE_TARGET": "link create reject"}
+    for revision in range(1, last + 1):
+        chosen = {}
+        for _, line, outcome, record, r in sorted(decisions):
+            if r == revision and line in lines:
+                chosen[line] = (outcome, record)
+        for line, (outcome, record) in chosen.items():
+            s = lines[line]
+            if s[1] is None or outcome not in allowed[s[1]].split():
+                continue
+            s[3] = outcome
+            s[2] = record if outcome == "link" else None if outcome == "create" else s[2]
+            there = records.get(s[2])
+            s[0] = {"reject": "rejected", "keep": "kept", "create": "created"}.get(outcome) or ("updated" if there == "active" else "conflict")
+            s[1] = None if outcome != "link" else "NO_CANDIDATE" if there is None else "DISREGARDED" if there == "disregarded" else None
+        buckets = {}
+        for s in lines.values():
+            if s[2] is not None and (s[0] in ("unchanged", "updated", "kept") or s[1] == "DUPLICATE_TARGET"):
+                buckets.setdefault(s[2], []).append(s)
+        for members in buckets.values():
+            for s in members if len(members) > 1 else ():
+                s[0], s[1] = "conflict", "DUPLICATE_TARGET"
+    return {k: tuple(v) for k, v in lines.items()}
+
+
+def test_fold_equals_one_revision_after_the_other(spark):
+    """Random decisions over lines that share few records: parts that advance together end as in plain order."""
+    draw = random.Random(5)
+    n, last = 160, 9
+    records = {r: draw.choice(("active", "active", "disregarded")) for r in range(90)}
+    found = {line: draw.choice((None, draw.randrange(100))) for line in range(n)}
+    decisions = [(i, draw.randrange(n + 5), (o := draw.choice(("link", "link", "create", "reject", "keep"))), draw.randrange(95) if o == "link" else None, draw.randrange(last + 2)) for i in range(400)]
+    payload = F.create_map(F.lit("a"), F.lit("x"))
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    held = frame(list(records.items()), "record long, state string").select("record", "state", payload.alias("payload"), F.lit(None).cast("map<string,string>").alias("provenance"), (1 + F.col("record") % 3).cast("int").alias("layer"))
+    lines = frame([(k,) for k in range(n)], "line long").select("line", F.create_map(F.lit("a"), F.when(F.col("line") % 2 == 0, "x").otherwise("y")).alias("payload"), F.lit(None).cast("map<string,string>").alias("provenance"))
+    matches = frame([(k, "none" if r is None else "unique", r) for k, r in found.items()], "line long, match string, record long")
+    given = frame(decisions, "decision_id long, line long, outcome string, record long, revision int")
+    fields = ("category", "conflict", "target", "outcome")
+    begin = {r["line"]: [r[c] for c in fields] for r in reconcile.fold_decisions(lines, given, held, matches, 0).collect()}
+    got = reconcile.fold_decisions(lines, given, held, matches, last).collect()
+    want = plain_fold(begin, decisions, records, last)
+    assert len(got) == n and {r["line"]: tuple(r[c] for c in fields) for r in got} == want
+    assert len({v[1] for v in want.values()}) >= 4
+
+
+def test_connected(spark):
+    """Chains, cycles, a hub and repeated edges; the smallest node of each is its root."""
+    edges = [(i, i + 1) for i in range(40) if i != 20] + [(100, k) for k in range(101, 140)] + [(300, 301), (301, 302), (302, 300), (300, 301), (400, 400)]
+    got = {r["node"]: r["root"] for r in reconcile.connected(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {k: 0 if k <= 20 else 21 for k in range(41)} | {k: 100 for k in range(100, 140)} | {k: 300 for k in (300, 301, 302)}
+    assert reconcile.connected(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 11])
+def test_balanced_commitment(spark, n):
+    items = sorted((hashlib.md5(str(k).encode()).hexdigest(), f"item {k}") for k in range(n))
+    sha = lambda *parts: hashlib.sha256(b"".join(parts)).digest()
+
+    def node(lo, hi):
+        if lo > hi:
+            return sha(b"t/empty"), 0
+        mid = (lo + hi) // 2
+        (left, a), (right, b) = node(lo, mid - 1), node(mid + 1, hi)
+        key = lambda i: bytes.fromhex(items[i][0])
+        return sha(b"t/node", key(mid), sha(items[mid][1].encode()), left, right, (max(a, b) + 1).to_bytes(2, "big"), (hi - lo + 1).to_bytes(8, "big"), key(lo), key(hi)), max(a, b) + 1
+
+    rows = [(f"{k[:8]}-{k[8:12]}-{k[12:16]}-{k[16:20]}-{k[20:]}".upper(), c) for k, c in items]
+    nodes = commitment.balanced(spark.createDataFrame(rows, "id string, content string").repartition(3), "id", "content", "t")
+    top, root = commitment.balanced_root(nodes, "t").first(), node(0, n - 1)[0]
+    ends = b"".join(b"\x01" + bytes.fromhex(items[i][0]) for i in (0, -1)) if n else b"\x00\x00"
+    assert (top["root_hash"], top["n"]) == (root.hex(), n)
+    assert top["commitment"] == sha(b"t/root", root, n.to_bytes(8, "big"), ends).hex()
+    assert nodes.count() == n and (n < 11 or commitment.balanced_proof(nodes, 3).count() <= 4)
+
+
 def test_commitment(spark):
     ids = spark.range(300).select((F.col("id") * 7).alias("id"))
     nodes = commitment.tree(ids, "id", 8)
