@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hmac
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -45,6 +47,30 @@ def keyset_page(rows: DataFrame, key: str, after: Column | None, size: int) -> D
     return page.withColumn("has_more", F.count("*").over(Window.partitionBy(F.lit(0))) > size).orderBy(key).limit(size)
 
 
+def _seal(secret: bytes, bound: dict[str, str], last: str) -> str:
+    return hmac.new(secret, json.dumps([sorted(bound.items()), last]).encode(), "sha256").hexdigest()
+
+
+def cursor(secret: bytes, bound: dict[str, str], last: str) -> str:
+    """A signed place after ``last``, good only for the same ``bound`` (kind, leaf, query, size, epoch)."""
+    return f"{_seal(secret, bound, last)}.{last}"
+
+
+def cursor_place(secret: bytes, bound: dict[str, str], text: str) -> str:
+    """The place of a cursor; one that was changed or belongs to another listing raises an error."""
+    seal, _, last = text.partition(".")
+    if not hmac.compare_digest(seal.encode(), _seal(secret, bound, last).encode()):
+        raise ValueError("the cursor isn't of this listing")
+    return last
+
+
+def member_page(rows: DataFrame, key: str, after: Column | None, size: int) -> DataFrame:
+    """A page by key whose begin must itself be a row of the listing; otherwise an error is raised."""
+    if after is not None and rows.filter(F.col(key) == after).isEmpty():
+        raise ValueError("the cursor's place isn't in the listing")
+    return keyset_page(rows, key, after, size)
+
+
 #: Rows that one task may sort for a page.
 NEAR = 10_000
 

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import commitment, overlay, preview, reconcile
+from tessera.operators import commitment, overlay, preview, reconcile, report
 from tessera.sources import files
 from tessera.streaming import ledger
 
@@ -191,3 +191,18 @@ def test_streams(spark, tmp_path):
     windows = ledger.windowed_totals(stream.withColumn("v", F.lit(1)), "instant", "v", ["record"])
     windows.writeStream.format("memory").queryName("windows").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
     assert spark.table("windows").count() == 4
+
+
+def test_cursors(spark):
+    bound = {"kind": "absence", "leaf": "7", "query": "a.b", "size": "3", "epoch": "1"}
+    text = report.cursor(b"s", bound, "12.5")
+    assert report.cursor_place(b"s", dict(reversed(bound.items())), text) == "12.5"
+    for secret, listing, changed in ((b"t", bound, text), (b"s", bound | {"leaf": "8"}, text), (b"s", bound, text + "0"), (b"s", bound, "é"), (b"s", bound, "")):
+        with pytest.raises(ValueError):
+            report.cursor_place(secret, listing, changed)
+    rows = spark.range(0, 20, 2)
+    page = report.member_page(rows, "id", F.lit(4), 3).collect()
+    assert [r["id"] for r in page] == [6, 8, 10] and all(r["has_more"] for r in page)
+    assert [r["id"] for r in report.member_page(rows, "id", None, 2).collect()] == [0, 2]
+    with pytest.raises(ValueError):
+        report.member_page(rows, "id", F.lit(5), 3)
