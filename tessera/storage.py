@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,12 +26,45 @@ def shared_dir(spark: SparkSession) -> str:
     return set_dir
 
 
+#: Tables that :func:`written` has made inside the innermost :func:`tidied`.
+_made: ContextVar[list[DataFrame] | None] = ContextVar("made", default=None)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    if (made := _made.get()) is not None:
+        made.append(table)
+    return table
+
+
+@contextmanager
+def tidied() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables written inside are deleted at the end, but for those that frames passed to the given function still read.
+
+    These belong to the surrounding ``tidied``, if there is one.
+    """
+    outer, made, kept = _made.get(), [], []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df)
+        return df
+
+    token = _made.set(made)
+    try:
+        yield keep
+    finally:
+        _made.reset(token)
+        folders = lambda df: {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+        read = set().union(*map(folders, kept))
+        for table in made:
+            if not folders(table) & read:
+                drop_written(table)
+            elif outer is not None:
+                outer.append(table)
 
 
 def drop_written(df: DataFrame) -> None:
