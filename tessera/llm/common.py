@@ -7,9 +7,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.storage import drop_written, shared_dir, written
+from tessera.storage import drop_written, shared_dir, tidied, written
 
-__all__ = ["drop_written", "shared_dir", "written"]
+__all__ = ["drop_written", "shared_dir", "tidied", "written"]
 
 #: White space of the word pattern ``[^\x20\x09-\x0D]+`` (ASCII only, so bytes suffice).
 SPACE = np.zeros(256, bool)

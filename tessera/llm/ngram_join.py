@@ -25,8 +25,9 @@ Steps, each over all documents:
    largest part meet only those of its other parts, in blocks of both, and their sets are compared where these
    are of parts that no link has joined yet. A family with many documents outside its largest part is compared key by key instead: under each key
    documents of different parts are held against each other by bitmaps. Of two parts
-   a task names up to ``TRIALS`` pairs, which are compared set by set; only if it had more to name, and
-   these have not joined the parts, all of them are named in a second round. So no link is lost and no list of all pairs arises.
+   a task names up to ``TRIALS`` pairs, which are compared set by set; where it had more to name, parts that these have
+   not joined are compared again with ``MORE`` times as many, until none is left out. So no link is lost, and what a
+   task names grows only for parts that many likely pairs have failed to join.
 5. Components of the links, carried to all documents by digest.
 
 Shingles are 64-bit hashes; two texts would have to collide in them to change a result. Null texts count as
@@ -46,10 +47,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import mix, shingle_hashes, small_batches, text_bytes, without, word_hashes, written
+from tessera.llm.common import mix, shingle_hashes, small_batches, text_bytes, tidied, without, word_hashes, written
 from tessera.llm.components import components
 
 #: Cells of the count table for each document, and the least and largest number of cells; a byte each in a task and in the broadcast.
@@ -64,8 +65,8 @@ ALONE, UNCOUNTED = _STEPS, 255
 FREQUENT, OVER_MEAN = 32, 4
 #: Frequent shingles of a prefix that share a group, about.
 GROUP = 8
-#: Documents of a block, and pairs of two parts that a task names in the first round.
-BLOCK, TRIALS = 256, 16
+#: Documents of a block, pairs of two parts that a task names in the first round, and by how much these rise with each round.
+BLOCK, TRIALS, MORE = 256, 16, 4
 #: Families with more documents outside their largest part are compared by keys.
 OTHERS = 4096
 #: More documents than this are joined with their texts by a shuffle, fewer are broadcast (two numbers each).
@@ -74,14 +75,14 @@ BROADCAST_ROWS = 500_000
 HELD = 1_000_000
 
 
-def _sets(batch: pa.RecordBatch, k: int) -> Iterator[np.ndarray]:
+def sets_of(batch: pa.RecordBatch, k: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text of a batch."""
     hashes, begin = shingle_hashes(*word_hashes(*text_bytes(batch.column("text"))), k)
     for i in range(batch.num_rows):
         yield np.unique(hashes[begin[i] : begin[i + 1]])
 
 
-def _digest(own: np.ndarray) -> bytes:
+def digest(own: np.ndarray) -> bytes:
     return hashlib.blake2b(own.tobytes(), digest_size=16).digest()
 
 
@@ -112,10 +113,10 @@ def _statistics(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray, int]:
         counts = np.zeros(cells, np.uint8)
         for batch in batches:
             n, digests, bits = [], [], []
-            for own in _sets(batch, k):
+            for own in sets_of(batch, k):
                 n.append(len(own))
                 bits.append(bitmap(own).view(np.int64))
-                digests.append(_digest(own))
+                digests.append(digest(own))
                 # A document counts once in a cell, whichever of its shingles meet there.
                 at = (own[_counted(own)] & np.uint64(cells - 1)).astype(np.int64)
                 counts[at] = np.minimum(counts[at], MOST_COUNT - 1) + 1
@@ -151,6 +152,8 @@ def _statistics(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray, int]:
     return found.filter("slice IS NULL").select("id", "n", "hi", "lo", "bits"), scale, round(_STEPS * math.log2(max(FREQUENT, OVER_MEAN * mean) + 1))
 
 
+#: From a sorted set of hashes to the keys that it is indexed by.
+Keys = Callable[[np.ndarray], np.ndarray]
 _STATS = ["id", "n", "hi", "lo", "bits", "slice", "cells"]
 
 
@@ -209,9 +212,14 @@ def keys(own: np.ndarray, scale: np.ndarray, frequent: int, threshold: Threshold
     return np.concatenate(found)
 
 
-def _candidate_edges(docs: DataFrame, k: int, scale: np.ndarray, frequent: int, threshold: Threshold) -> DataFrame:
+def prefix_keys(spark: SparkSession, scale: np.ndarray, frequent: int, threshold: Threshold) -> Keys:
+    """:func:`keys` over a broadcast count table."""
+    held = spark.sparkContext.broadcast(scale)
+    return lambda own: keys(own, held.value, frequent, threshold)
+
+
+def candidate_edges(docs: DataFrame, k: int, find: Keys, threshold: Threshold) -> DataFrame:
     """(a, b): chains through sets (first halves of their digests) that share a key and have sizes of neighbouring bins."""
-    shared = docs.sparkSession.sparkContext.broadcast(scale)
 
     def combined(held: list[tuple[np.ndarray, int, int]]) -> pa.RecordBatch:
         key = np.concatenate([x[0] for x in held])
@@ -232,13 +240,13 @@ def _candidate_edges(docs: DataFrame, k: int, scale: np.ndarray, frequent: int,
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
         for batch in batches:
-            for doc, own in zip(batch.column("id").to_pylist(), _sets(batch, k), strict=True):
+            for doc, own in zip(batch.column("id").to_pylist(), sets_of(batch, k), strict=True):
                 if doc is None or not len(own):
                     continue
-                found = keys(own, shared.value, frequent, threshold)
+                found = find(own)
                 if not len(found):
                     continue
-                held.append((found, int.from_bytes(_digest(own)[:8], sys.byteorder, signed=True), threshold.size_bin(len(own))))
+                held.append((found, int.from_bytes(digest(own)[:8], sys.byteorder, signed=True), threshold.size_bin(len(own))))
                 count += len(found)
                 if count >= HELD:
                     yield combined(held)
@@ -299,7 +307,7 @@ def _verified(source: DataFrame, pairs: DataFrame, k: int, threshold: Threshold)
 
     def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([s.tobytes() for s in _sets(batch, k)], pa.binary()), batch.column("groups")], ["id", "own", "groups"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([s.tobytes() for s in sets_of(batch, k)], pa.binary()), batch.column("groups")], ["id", "own", "groups"])
 
     sent = _with_text(source, members, "groups").mapInArrow(as_sets, "id long, own binary, groups array<long>").select("id", "own", F.explode("groups").alias("a"))
 
@@ -352,13 +360,13 @@ def maybe(n: np.ndarray, part: np.ndarray, side: np.ndarray, bits: list[np.ndarr
             yield int(order[i]), x
 
 
-def named(pairs: Iterator[tuple[int, int]], part: np.ndarray, trials: int | None) -> tuple[list[tuple[int, int]], bool]:
+def named(pairs: Iterator[tuple[int, int]], part: np.ndarray, trials: int) -> tuple[list[tuple[int, int]], bool]:
     """Up to ``trials`` of the pairs for each two parts; whether there are more."""
     found, count, more = [], collections.Counter(), False
     for i, x in pairs:
         parts = min(part[i], part[x]), max(part[i], part[x])
         count[parts] += 1
-        if trials is None or count[parts] <= trials:
+        if count[parts] <= trials:
             found.append((i, x))
         else:
             more = True
@@ -384,13 +392,12 @@ def joining(pairs: Iterator[tuple[int, int]], part: np.ndarray, sets: list[np.nd
     return links
 
 
-def _postings(source: DataFrame, members: DataFrame, k: int, scale: np.ndarray, frequent: int, threshold: Threshold) -> DataFrame:
+def _postings(source: DataFrame, members: DataFrame, k: int, find: Keys) -> DataFrame:
     """(key, id) of the members (id; written); written."""
-    held = source.sparkSession.sparkContext.broadcast(scale)
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.unique(keys(own, held.value, frequent, threshold)) if len(own) else np.zeros(0, np.uint64) for own in _sets(batch, k)]
+            found = [np.unique(find(own)) if len(own) else np.zeros(0, np.uint64) for own in sets_of(batch, k)]
             ids = np.repeat(batch.column("id").to_numpy(), [len(f) for f in found])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64)), pa.array(ids)], ["key", "id"])
 
@@ -454,7 +461,7 @@ def _in_families(source: DataFrame, members: DataFrame, k: int, threshold: Thres
 
     def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _PLACE), pa.array([s.tobytes() for s in _sets(batch, k)], pa.binary())], [*_PLACE, "own"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _PLACE), pa.array([s.tobytes() for s in sets_of(batch, k)], pa.binary())], [*_PLACE, "own"])
 
     def links_of(held: list) -> list[tuple[int, int]]:
         side, ids, part = _columns(held)
@@ -470,7 +477,7 @@ def _in_families(source: DataFrame, members: DataFrame, k: int, threshold: Thres
 _PLACE = ("group", "x", "y", "side", "id", "part")
 
 
-def _by_keys(postings: DataFrame, members: DataFrame, sets: DataFrame, threshold: Threshold, trials: int | None) -> DataFrame:
+def _by_keys(postings: DataFrame, members: DataFrame, sets: DataFrame, threshold: Threshold, trials: int) -> DataFrame:
     """(a, b): pairs that :func:`named` gives under each key (key, id) of the members (id, part); nulls where a key has more."""
 
     def pairs_of(held: list) -> list[tuple]:
@@ -489,7 +496,7 @@ def _parts(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.join(linked, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("part"))
 
 
-def _links(source: DataFrame, sets: DataFrame, chains: DataFrame, k: int, scale: np.ndarray, frequent: int, threshold: Threshold) -> DataFrame:
+def links_between(source: DataFrame, sets: DataFrame, chains: DataFrame, k: int, find: Keys, threshold: Threshold) -> DataFrame:
     """(a, b): links between distinct sets (hi, lo, id, n, bits) that join all that links join. ``chains``: (a, b) by ``hi``."""
     # Of two sets with an equal half of a digest both are meant: a pair too many does no harm.
     end = lambda side: sets.select(F.col("hi").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "bits")))
@@ -509,14 +516,14 @@ def _links(source: DataFrame, sets: DataFrame, chains: DataFrame, k: int, scale:
     if wide.isEmpty():
         return links
     members, trials = written(members.join(wide, "family", "left_semi"), "wide-members"), TRIALS
-    postings = _postings(source, members, k, scale, frequent, threshold)
+    postings = _postings(source, members, k, find)
     while True:
         met = _by_keys(postings, members, sets, threshold, trials)
         links = links.unionByName(_verified(source, met.filter("a IS NOT NULL"), k, threshold))
         if met.filter("a IS NULL").isEmpty():
             return links
-        # Parts that are still apart are compared again, now in full.
-        members, trials = written(_parts(members.select("id"), links), "wide-members"), None
+        # Parts that are still apart are compared again, with more pairs named for each two of them.
+        members, trials = written(_parts(members.select("id"), links), "wide-members"), max(1, MORE * trials)
 
 
 def link(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
@@ -524,18 +531,29 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, p
     small_batches(docs.sparkSession)
     threshold = Threshold(percent)
     source = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    stats, scale, frequent = _statistics(source, k)
+    with tidied() as keep:
+        stats, scale, frequent = _statistics(source, k)
+        return keep(placed(source, stats, k, prefix_keys(docs.sparkSession, scale, frequent, threshold), threshold, key))
+
+
+def placed(source: DataFrame, stats: DataFrame, k: int, find: Keys, threshold: Threshold, key: str) -> DataFrame:
+    """(``key``, n_shingles, component_id) of all ``stats`` (id, n, hi, lo, bits; written); sets that share a key that ``find`` gives are candidates."""
     # One document stands for each distinct set.
     sets = written(stats.filter("n > 0 AND id IS NOT NULL").groupBy("hi", "lo").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bits").alias("bits")), "sets")
-    linked = components(_links(source, sets, _candidate_edges(source, k, scale, frequent, threshold), k, scale, frequent, threshold)).withColumnRenamed("node", "id")
-    placed = written(sets.join(linked, "id", "left").select("hi", "lo", F.coalesce("component", "id").alias("component")), "placed")
+    linked = components(links_between(source, sets, candidate_edges(source, k, find, threshold), k, find, threshold)).withColumnRenamed("node", "id")
+    of_set = written(sets.join(linked, "id", "left").select("hi", "lo", F.coalesce("component", "id").alias("component")), "placed")
     own = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
-    return stats.join(placed, ["hi", "lo"], "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), own).alias("component_id"))
+    return stats.join(of_set, ["hi", "lo"], "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), own).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
     """One row of ``docs`` for each component: that of the least id. Rows with a null id stay."""
-    kept = without(docs, link(docs, key, text, k, percent).filter(F.col(key) != F.col("component_id")).select(key), key)
+    with tidied() as keep:
+        return keep(_one_each(docs, key, link(docs, key, text, k, percent)))
+
+
+def _one_each(docs: DataFrame, key: str, linked: DataFrame) -> DataFrame:
+    kept = without(docs, linked.filter(F.col(key) != F.col("component_id")).select(key), key)
     again = written(kept.groupBy(key).agg(F.count("*").alias("n")).filter(F.col(key).isNotNull() & (F.col("n") > 1)).select(key), "repeated")
     if again.isEmpty():
         return kept
@@ -543,16 +561,21 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int =
     return without(kept, again, key).unionByName(kept.join(again, key, "left_semi").dropDuplicates([key]))
 
 
-ORACLE = r"""
+def oracle(k: int, percent: int) -> str:
+    """:func:`link` by all pairs that share a shingle."""
+    return _ORACLE.replace("{k}", str(k)).replace("{percent}", str(percent))
+
+
+_ORACLE = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
 ), s AS (
-  SELECT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w
+  SELECT doc_id, unnest(CASE WHEN len(w) >= {k} THEN list_distinct(list_transform(range(1, len(w) - {k} + 2), lambda i: array_to_string(w[i:i + {k} - 1], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w
 ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 p AS (
   SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2
 ), e AS (
-  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= {percent} * (x.n + y.n - k)
 ), ab AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT ab.b, r.c FROM r JOIN ab ON ab.a = r.doc_id WHERE r.c < ab.b)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, d.c AS component_id

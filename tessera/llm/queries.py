@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ctw, decontam, license_scan, ngram_join, quality, secret_scan, toxicity, url_rules, warc
+from tessera.llm import centroids, ctw, decontam, license_scan, merkle, near_dedup, ngram_join, quality, secret_scan, toxicity, url_rules, warc
 from tessera.llm.bpe import Coder
 from tessera.llm.common import shared_dir, table
 
@@ -84,5 +84,19 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_warc_archive, op3_ngram_jaccard, op4_url_filter, op5_quality_rules, op6_ctw_score, op7_license_scan, op8_decontamination, op9_toxicity, op10_secret_scan)}
-ORACLES = {"op2_warc_archive": warc.ORACLE, "op3_ngram_jaccard": ngram_join.ORACLE, "op5_quality_rules": quality.ORACLE, "op7_license_scan": license_scan.ORACLE, "op10_secret_scan": secret_scan.ORACLE}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "source", "lang", "n_chars", "text")
+    changed = merkle.changed_case(F.col("doc_id"), F.col("text"))
+    return merkle.manifest(docs, "doc_id", "lang", ["doc_id", "source", "lang", "n_chars", "text"], {"text": changed})
+
+
+def op12_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.link(table(spark, sf_dir, "documents", "doc_id", "text"), k=2, percent=80)
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_warc_archive, op3_ngram_jaccard, op4_url_filter, op5_quality_rules, op6_ctw_score, op7_license_scan, op8_decontamination, op9_toxicity, op10_secret_scan, op11_merkle_manifest, op12_minhash_dedup, op13_centroids)}
+ORACLES = {"op2_warc_archive": warc.ORACLE, "op3_ngram_jaccard": ngram_join.oracle(4, 85), "op5_quality_rules": quality.ORACLE, "op7_license_scan": license_scan.ORACLE, "op10_secret_scan": secret_scan.ORACLE, "op11_merkle_manifest": merkle.ORACLE, "op12_minhash_dedup": near_dedup.ORACLE, "op13_centroids": centroids.ORACLE}
