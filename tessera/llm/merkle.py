@@ -26,7 +26,7 @@ result.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark import RDD, StorageLevel
 from pyspark.sql import Column, DataFrame
@@ -83,13 +83,13 @@ def folded(hash_: bytes, path: tuple) -> str:
     return at
 
 
-def _kept(rdd: RDD) -> RDD:
-    """Computed, and written to the shared folder."""
+def _kept(rdd: RDD, counted: Callable[[tuple], bool]) -> tuple[RDD, int]:
+    """Computed, and written to the shared folder; how many entries are ``counted``."""
     rdd = rdd.persist(StorageLevel.DISK_ONLY)
     rdd.checkpoint()
-    rdd.count()
+    found = rdd.filter(counted).count()
     rdd.unpersist()
-    return rdd
+    return rdd, found
 
 
 def _ranked(leaves: DataFrame) -> tuple[DataFrame, int]:
@@ -125,16 +125,14 @@ def _upward(leaves: RDD, groups: int, count: int) -> list[RDD]:
 
     steps, messages = [], leaves.map(first)
     while True:
+        # Levels shrink: so do the tasks of their supersteps.
         parts = max(1, -(-count // (FAN_OUT * VERTICES)))
-        inbox = _kept(messages.groupByKey(parts).map(gathered))
+        inbox, unfinished = _kept(messages.groupByKey(parts).coalesce(parts).map(gathered), lambda v: v[0] != ROOT)
         steps.append(inbox.filter(lambda v: v[1]).map(hashed))
-        waiting = inbox.filter(lambda v: not v[1])
-        if not waiting.isEmpty():
-            messages = steps[-1].filter(lambda v: v[0] != ROOT).map(message).union(waiting.flatMap(lambda v: [(v[0], c) for c in v[2]]))
-        else:
-            messages = steps[-1].filter(lambda v: v[0] != ROOT).map(message)
-        if messages.isEmpty():
+        if not unfinished:
             return steps
+        # Complete vertices message upward; those that wait send themselves what they have.
+        messages = inbox.flatMap(lambda v: [message(hashed(v))] * (v[0] != ROOT) if v[1] else [(v[0], c) for c in v[2]])
         count = -(-count // FAN_OUT) + groups
 
 
@@ -163,11 +161,11 @@ def _downward(steps: list[RDD]) -> RDD:
         n = vertices.getNumPartitions()
         if paths is None:
             met = vertices.mapValues(lambda v: (v, ((), None, None)))
-            told = _kept(met.flatMap(spread))
+            told, _ = _kept(met.flatMap(spread), lambda t: t[0])
         else:
             # A path whose vertex was complete in an earlier superstep goes on to it.
-            met = vertices.cogroup(paths, n).flatMapValues(lambda x: [(next(iter(x[0]), None), p) for p in x[1]])
-            told = _kept(met.flatMap(lambda e: spread(e) if e[1][0] is not None else [(True, (e[0], e[1][1]))]))
+            met = vertices.cogroup(paths, n).coalesce(n).flatMapValues(lambda x: [(next(iter(x[0]), None), p) for p in x[1]])
+            told, _ = _kept(met.flatMap(lambda e: spread(e) if e[1][0] is not None else [(True, (e[0], e[1][1]))]), lambda t: t[0])
         rows.append(told.filter(lambda t: not t[0]).map(lambda t: t[1]))
         paths = told.filter(lambda t: t[0]).map(lambda t: t[1])
     return rows[0].context.union(rows)
