@@ -6,17 +6,26 @@ Records: record, payload, provenance, layer (1 source, 2 adjustment, 3 decision)
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
+from itertools import groupby
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from tessera.storage import drop_written, written
+from tessera.storage import drop_written, tidied, written
 
 #: What decisions a conflict allows.
 ALLOWED = {"PROTECTED_LAYER": ("link", "keep", "reject"), "DISREGARDED": ("reject",), "NO_CANDIDATE": ("link", "create", "reject"), "MULTIPLE": ("link", "create", "reject"), "DUPLICATE_TARGET": ("link", "create", "reject")}
 #: Keys of payloads that matching reserves.
 RESERVED = ("curso", "trilha")
+#: What a decision changes in a line.
+DECIDED = ("category", "conflict", "target", "outcome", "decided_at")
+#: Lines and decisions of a part that one task folds at most.
+IN_TASK = 400_000
 
 
 def entries(payload: Column) -> Column:
@@ -141,9 +150,7 @@ def typed_diffs(pairs: DataFrame, key: str, kinds: dict[str, tuple[str, str]]) -
 def check_decisions(decisions: DataFrame, classified: DataFrame) -> DataFrame:
     """Decisions with ``verdict``: applied, not_pending (no conflict waits), or not_allowed for the conflict's code."""
     open_lines = classified.select("line", "conflict")
-    fits = F.lit(False)
-    for code, outcomes in ALLOWED.items():
-        fits = fits | ((F.col("conflict") == code) & F.col("outcome").isin(*outcomes))
+    fits = _allowed(F.col("conflict"), F.col("outcome"))
     return decisions.join(open_lines, "line", "left").withColumn("verdict", F.when(F.col("conflict").isNull(), "not_pending").when(fits, "applied").otherwise("not_allowed"))
 
 
@@ -192,44 +199,166 @@ def connected(edges: DataFrame) -> DataFrame:
         seen = now
 
 
-def _decide(state: DataFrame, now: DataFrame, held: DataFrame) -> DataFrame:
-    """``state`` after one decision at most a line: ``now`` (line, outcome, record, revision)."""
-    decided = now.select("line", *(F.col(c).alias(f"_{c}") for c in ("outcome", "record", "revision")))
-    verdicts = check_decisions(decided.select("line", F.col("_outcome").alias("outcome"), "_record", "_revision"), state)
-    open_ = verdicts.filter("verdict = 'applied'").select("line", F.col("outcome").alias("_outcome"), "_record", "_revision")
-    out = state.join(open_, "line", "left")
-    hit = F.col("_outcome").isNotNull()
-    target = F.when(F.col("_outcome") == "link", F.col("_record")).when(F.col("_outcome") == "create", None).otherwise(F.col("target"))
-    out = out.withColumns({"target": F.when(hit, target).otherwise(F.col("target")), "outcome": F.when(hit, F.col("_outcome")).otherwise(F.col("outcome")), "decided_at": F.when(hit, F.col("_revision")).otherwise(F.col("decided_at"))})
-    # What a link leads to must be there and not be disregarded; otherwise the conflict stays.
-    out = out.join(held, "target", "left")
-    category = F.when(F.col("_outcome") == "reject", "rejected").when(F.col("_outcome") == "keep", "kept").when(F.col("_outcome") == "create", "created").when(F.coalesce(F.col("_state"), F.lit("")) == "active", "updated").otherwise("conflict")
-    conflict = F.when((F.col("_outcome") == "link") & F.col("_state").isNull(), "NO_CANDIDATE").when((F.col("_outcome") == "link") & (F.col("_state") == "disregarded"), "DISREGARDED")
-    out = out.withColumns({"category": F.when(hit, category).otherwise(F.col("category")), "conflict": F.when(hit, conflict).otherwise(F.col("conflict"))})
-    # Members of a bucket: accepted lines, and lines that wait in it already.
-    member = (F.col("category").isin("unchanged", "updated", "kept") | (F.col("conflict") == "DUPLICATE_TARGET")) & F.col("target").isNotNull()
-    twice = out.filter(member).groupBy("target").agg(F.count("*").alias("_n")).filter("_n > 1")
-    out = out.join(twice, "target", "left")
-    clash = member & F.col("_n").isNotNull()
-    out = out.withColumns({"conflict": F.when(clash, "DUPLICATE_TARGET").otherwise(F.col("conflict")), "category": F.when(clash, "conflict").otherwise(F.col("category"))})
-    return out.select(*state.columns)
-
-
-def fold_decisions(lines: DataFrame, decisions: DataFrame, records: DataFrame, matches: DataFrame, last: int) -> DataFrame:
-    """Lines after every revision of decisions (from 1 up to ``last``), in their order.
+def _allowed(conflict: Column, outcome: Column) -> Column:
+    fits = F.lit(False)
+    for code, outcomes in ALLOWED.items():
+        fits = fits | ((conflict == code) & outcome.isin(*outcomes))
+    return F.coalesce(fits, F.lit(False))
+
+
+def _folded_part(rows: list[tuple]) -> Iterator[tuple]:
+    """(revision, line, category, conflict, target, outcome, decided_at) of every line that a revision changes in one part.
+
+    ``rows``: (revision, line, outcome, record, state of the record, category, conflict, target); lines first, with a null revision.
+    """
+    lines = {line: [category, conflict, target, outcome, 0] for revision, line, outcome, _, _, category, conflict, target in rows if revision is None}
+    members: dict[int, set[int]] = {}
+    joined = lambda s: s[2] is not None and (s[0] in ("unchanged", "updated", "kept") or s[1] == "DUPLICATE_TARGET")
+    for line, s in lines.items():
+        if joined(s):
+            members.setdefault(s[2], set()).add(line)
+    for revision, same in groupby((r for r in rows if r[0] is not None), lambda r: r[0]):
+        # All decisions of a revision are held against what was before it.
+        stand = [r for r in same if r[2] in ALLOWED.get(lines[r[1]][1], ())]
+        changed = {r[1] for r in stand}
+        for _, line, *_ in stand:
+            members.get(lines[line][2], set()).discard(line)
+        fresh: dict[int, list[int]] = {}
+        for _, line, outcome, record, there, *_ in stand:
+            s = lines[line]
+            s[2] = record if outcome == "link" else None if outcome == "create" else s[2]
+            s[0] = {"reject": "rejected", "keep": "kept", "create": "created"}.get(outcome) or ("updated" if there == "active" else "conflict")
+            s[1] = None if outcome != "link" or there == "active" else "NO_CANDIDATE" if there is None else "DISREGARDED" if there == "disregarded" else None
+            s[3:] = outcome, revision
+            if joined(s):
+                fresh.setdefault(s[2], []).append(line)
+        for target, new in fresh.items():
+            own = members.setdefault(target, set())
+            # Where two or more were before, they are in conflict already.
+            for line in [*new, *(own if len(own) == 1 else ())] if len(own) + len(new) > 1 else ():
+                lines[line][:2] = "conflict", "DUPLICATE_TARGET"
+            changed |= {*new, *own} if len(own) < 2 else set(new)
+            own.update(new)
+        yield from ((revision, line, *lines[line]) for line in changed)
+
+
+def _in_tasks(state: DataFrame, due: DataFrame) -> DataFrame:
+    """Versions of the lines of parts that fit a task: state (with _part) and due (with _part and _there)."""
+    decided = StructType([StructField("revision", IntegerType()), *(state.schema[c] for c in ("line", *DECIDED))])
+
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            out = []
+            for part, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if part != now:
+                    out += _folded_part(held)
+                    now, held = part, []
+                held.append(tuple(row))
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(types)], names=decided.names)
+        out = list(_folded_part(held))
+        yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(types)], names=decided.names)
+
+    types = [to_arrow_type(f.dataType) for f in decided.fields]
+    none = lambda c: F.lit(None).cast("string").alias(c)
+    begin = state.select("_part", F.lit(None).cast("int").alias("revision"), "line", "outcome", F.lit(None).cast(due.schema["record"].dataType).alias("record"), none("_there"), "category", "conflict", "target")
+    steps = due.select("_part", "revision", "line", "outcome", "record", "_there", none("category"), none("conflict"), F.lit(None).cast(state.schema["target"].dataType).alias("target"))
+    rows = begin.unionByName(steps).repartition("_part").sortWithinPartitions("_part", F.col("revision").asc_nulls_first())
+    return rows.mapInArrow(folded, decided)
+
+
+def _in_rounds(state: DataFrame, due: DataFrame, held: DataFrame) -> DataFrame:
+    """Versions of the lines of ``state`` under all decisions of ``due`` (line, outcome, record, revision), buckets apart from each other advancing together.
+
+    A decision has two events: at time 2r it is held against its line's conflict and the line leaves its bucket, at 2r + 1 the
+    line joins a bucket (``link``, ``keep``). An event waits only for earlier ones on its bucket: joins before a line of the
+    bucket is judged or leaves, departures and joins before a line joins. Events of one time on one bucket are of one
+    kind and have no order. So rounds are at most twice the longest chain of decisions on common buckets.
+    """
+    state = written(state, "fold")
+    wait = written(due.select("line", "revision", "outcome", "record").withColumn("_phase", F.lit(0)), "wait")
+    fields = state.columns
+    moving, versions = "moving", []
+    while not wait.isEmpty():
+        head = wait.groupBy("line").agg(F.min_by(F.struct("revision", "outcome", "record", "_phase"), "revision").alias("_d"), F.min(F.when(F.col("outcome") == "keep", F.col("revision"))).alias("_keep"))
+        s = state.join(head, "line", "left")
+        link = F.col("_d.outcome") == "link"
+        first = F.col("_d._phase") == 0
+        links = wait.filter("outcome = 'link'").groupBy(F.col("record").alias("_b")).agg(F.min("revision").alias("_join"))
+        keeps = s.filter("_keep IS NOT NULL AND target IS NOT NULL").groupBy(F.col("target").alias("_b")).agg(F.min("_keep").alias("_join"))
+        leaves = s.filter(first & F.col("target").isNotNull()).groupBy(F.col("target").alias("_b")).agg(F.min("_d.revision").alias("_leave"))
+        none = lambda c: F.lit(None).cast("int").alias(c)
+        events = links.select("_b", "_join", none("_leave")).unionByName(keeps.select("_b", "_join", none("_leave"))).unionByName(leaves.select("_b", none("_join"), "_leave"))
+        clock = events.groupBy("_b").agg(F.min("_join").alias("_join"), F.min("_leave").alias("_leave"))
+        goal = F.when(~first & link, F.col("_d.record")).otherwise(F.col("target"))
+        s = s.withColumn("_goal", goal).join(clock, F.col("_goal") == F.col("_b"), "left")
+        r = F.col("_d.revision")
+        judged = F.coalesce(first & (F.col("_join").isNull() | (F.col("_join") >= r)), F.lit(False))
+        joins = F.coalesce(~first & (F.col("_join").isNull() | (F.col("_join") >= r)) & (F.col("_leave").isNull() | (F.col("_leave") > r)), F.lit(False))
+        s = s.withColumns({"_judged": judged, "_joins": joins, "_fits": _allowed(F.col("conflict"), F.col("_d.outcome"))})
+        s = s.join(held.withColumnRenamed("target", "_record"), (F.col("_d.record") == F.col("_record")) & link & F.col("_joins"), "left")
+        hit = F.col("_judged") & F.col("_fits")
+        own = F.col("_d.outcome")
+        linked = F.when(F.col("_state") == "active", "updated").otherwise("conflict")
+        broken = F.when(F.col("_state").isNull(), "NO_CANDIDATE").when(F.col("_state") == "disregarded", "DISREGARDED")
+        s = s.withColumns({
+            "category": F.when(hit, F.when(own == "reject", "rejected").when(own == "create", "created").otherwise(moving)).when(F.col("_joins"), F.when(link, linked).otherwise("kept")).otherwise(F.col("category")),
+            "conflict": F.when(hit, None).when(F.col("_joins") & link, broken).otherwise(F.col("conflict")),
+            "target": F.when(hit & own.isin("link", "create"), None).when(F.col("_joins") & link, F.col("_d.record")).otherwise(F.col("target")),
+            "outcome": F.when(hit, own).otherwise(F.col("outcome")), "decided_at": F.when(hit, r).otherwise(F.col("decided_at")),
+            "_done": F.when(F.col("_judged"), ~F.col("_fits") | own.isin("reject", "create")).otherwise(F.col("_joins")), "_moves": hit & own.isin("link", "keep"), "_r": r,
+        })
+        after = written(s.select(*fields, "_done", "_moves", "_joins", (F.col("_fits") | F.col("_joins")).alias("_fits"), "_r"), "fold")
+        member = (F.col("category").isin("unchanged", "updated", "kept") | (F.col("conflict") == "DUPLICATE_TARGET")) & F.col("target").isNotNull()
+        # All that join a bucket in one round are of one revision.
+        twice = after.filter(member).groupBy("target").agg(F.count("*").alias("_n"), F.max(F.when(F.col("_joins"), F.col("_r"))).alias("_at")).filter("_n > 1")
+        clash = member & F.col("_n").isNotNull()
+        out = after.join(twice, "target", "left").withColumns({"_turns": clash & ~F.col("category").eqNullSafe("conflict"), "conflict": F.when(clash, "DUPLICATE_TARGET").otherwise(F.col("conflict")), "category": F.when(clash, "conflict").otherwise(F.col("category"))})
+        ends = F.coalesce(F.col("_done") & F.col("_fits"), F.lit(False))
+        versions.append(written(out.filter(ends | F.col("_turns")).select(F.when(ends, F.col("_r")).otherwise(F.col("_at")).cast("int").alias("revision"), "line", *DECIDED), "versions"))
+        left = wait.join(after.filter("_done OR _moves").select("line", F.col("_r").alias("revision"), "_done"), ["line", "revision"], "left").filter("NOT coalesce(_done, false)")
+        before = state, wait
+        wait = written(left.select("line", "revision", "outcome", "record", F.when(F.col("_done").isNotNull(), 1).otherwise(F.col("_phase")).alias("_phase")), "wait")
+        state = written(out.select(*fields), "fold")
+        for table in (*before, after):
+            drop_written(table)
+    return reduce(DataFrame.unionByName, versions)
+
+
+def decision_versions(lines: DataFrame, decisions: DataFrame, records: DataFrame, matches: DataFrame, last: int, in_task: int = IN_TASK) -> DataFrame:
+    """Every version of every line: all as classified, at revision 0, then each line that a revision of decisions (from 1 up to ``last``) changes, in their order.
 
     The order matters: a decision stands only if its line waits in a conflict then, and a target that an
     accepted line took makes the next one on it a conflict. A revision holds one decision a line (the later by id).
 
     Lines act on each other only through records that they share, so the lines are parted by the records that their
-    targets and links connect. All parts take their own next revision in one step: steps are as many as the revisions
-    of the part that has most, and parts that are done leave at steps 1, 2, 4, 8 and so on.
+    targets and links connect. A part of up to ``in_task`` lines and decisions is folded inside a task, whatever its number of
+    revisions; larger ones advance by :func:`_in_rounds`, bucket by bucket.
     """
+    with tidied() as keep:
+        return keep(_versions(lines, decisions, records, matches, last, in_task))
+
+
+def fold_decisions(lines: DataFrame, decisions: DataFrame, records: DataFrame, matches: DataFrame, last: int, in_task: int = IN_TASK) -> DataFrame:
+    """Lines after every revision of decisions: the last of their versions."""
+    versions = decision_versions(lines, decisions, records, matches, last, in_task)
+    return replayed(versions.filter("revision = 0"), versions.filter("revision > 0"), last)
+
+
+def replayed(base: DataFrame, versions: DataFrame, last: int) -> DataFrame:
+    """Lines of a materialisation under the versions (revision, line and what decisions change) up to revision ``last``."""
+    final = versions.filter(F.col("revision") <= last).groupBy("line").agg(F.max_by(F.struct(*DECIDED), "revision").alias("_f"))
+    rest = base.drop("revision")
+    return rest.join(final, "line", "left").select(*(F.when(F.col("_f").isNotNull(), F.col("_f")[c]).otherwise(F.col(c)).alias(c) if c in DECIDED else F.col(c) for c in rest.columns))
+
+
+def _versions(lines: DataFrame, decisions: DataFrame, records: DataFrame, matches: DataFrame, last: int, in_task: int) -> DataFrame:
     start = written(classify(lines, matches, records).withColumn("decided_at", F.lit(0)), "fold")
-    due = decisions.filter(F.col("revision").between(1, last)).groupBy("line", "revision").agg(F.max_by(F.struct("outcome", "record"), "decision_id").alias("_d"))
+    first = start.select(F.lit(0).alias("revision"), *start.columns)
+    due = decisions.filter(F.col("revision").between(1, last)).groupBy("line", F.col("revision").cast("int").alias("revision")).agg(F.max_by(F.struct("outcome", "record"), "decision_id").alias("_d"))
     due = written(due.select("line", "revision", "_d.outcome", "_d.record").join(start.select("line", F.col("target").alias("_from")), "line"), "due")
     if due.isEmpty():
-        return start
+        return first
     reach = due.select("line", F.explode(F.array_compact(F.array("_from", F.when(F.col("outcome") == "link", F.col("record"))))).alias("_r")).distinct()
     low = written(reach.groupBy("line").agg(F.min("_r").alias("_low")), "low")
     root = connected(reach.join(low, "line").filter("_r > _low").select(F.col("_r").alias("a"), F.col("_low").alias("b")))
@@ -238,26 +367,17 @@ def fold_decisions(lines: DataFrame, decisions: DataFrame, records: DataFrame, m
     of_line = written(of_line.select("line", F.coalesce("_part", F.concat(F.lit("line "), F.col("line").cast("string"))).alias("_own")), "own")
     parts = start.join(of_record, F.col("target") == F.col("_r"), "left").join(of_line, "line", "left").select(*start.columns, F.coalesce("_own", "_part").alias("_part"))
     parts = written(parts, "parts")
-    # A part has at most ``last`` revisions to number.
-    turns = due.join(of_line, "line").select(F.col("_own").alias("_part"), "revision").distinct()
-    turns = written(turns.withColumn("_turn", F.row_number().over(Window.partitionBy("_part").orderBy("revision"))), "turns")
-    due = written(due.join(of_line, "line").withColumnRenamed("_own", "_part").join(turns, ["_part", "revision"]).select("line", "outcome", "record", "revision", "_turn"), "due")
-    ends = written(turns.groupBy("_part").agg(F.max("_turn").alias("_end")), "ends")
     held = records.select(F.col("record").alias("target"), F.col("state").alias("_state"))
-    done = [parts.filter("_part IS NULL").drop("_part")]
-    state = parts.filter("_part IS NOT NULL").join(ends, "_part").drop("_part")
-    shared = True
-    for turn in range(1, ends.agg(F.max("_end")).first()[0] + 1):
-        after = written(_decide(state, due.filter(F.col("_turn") == turn).drop("_turn"), held), "fold")
-        if not shared:
-            drop_written(state)
-        shared = turn & (turn - 1) == 0
-        if shared:
-            done.append(after.filter(F.col("_end") <= turn).drop("_end"))
-            after = after.filter(F.col("_end") > turn)
-        state = after
-    done.append(state.drop("_end"))
-    return reduce(DataFrame.unionByName, done)
+    due = due.join(of_line, "line").withColumnRenamed("_own", "_part").join(held.withColumnRenamed("target", "_t"), (F.col("record") == F.col("_t")) & (F.col("outcome") == "link"), "left")
+    due = written(due.select("_part", "line", "outcome", "record", "revision", F.col("_state").alias("_there")), "due")
+    sizes = parts.select("_part").unionByName(due.select("_part")).filter("_part IS NOT NULL").groupBy("_part").agg(F.count("*").alias("_n"))
+    large = written(sizes.filter(F.col("_n") > in_task).select("_part"), "large")
+    small_due, small_state = due.join(large, "_part", "left_anti"), parts.join(large, "_part", "left_anti")
+    changes = _in_tasks(small_state.join(small_due.select("_part").distinct(), "_part", "left_semi"), small_due)
+    if not large.isEmpty():
+        changes = changes.unionByName(_in_rounds(parts.join(large, "_part", "left_semi").select(*start.columns), due.join(large, "_part", "left_semi"), held))
+    # Of what lines are before any decision, later versions repeat only their names.
+    return first.unionByName(written(changes, "versions"), allowMissingColumns=True)
 
 
 def decision_delta(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tessera.operators import matching, reconcile, report
+from tessera.operators import chain, matching, reconcile, report
 from tessera.plans.registry import query, table
 
 PAYLOAD = "map('status', o_orderstatus, 'priority', o_orderpriority, 'total', cast(cast(o_totalprice AS decimal(18,2)) AS string))"
@@ -27,12 +27,12 @@ def batch_decisions(spark, sf_dir):
     events = table(spark, sf_dir, "events", "event_id", "event_type")
     outcome = F.when(F.col("event_type") == "error", "reject").when(F.col("event_type") == "signup", "keep").when(F.col("event_type") == "click", "create").otherwise("link")
     line = F.call_function("div", F.col("event_id"), F.lit(4)) * 3
-    rows = events.filter(F.col("event_id") % 3 == 0).select("event_id", F.when(line % 5 == 0, line + 1).otherwise(line).alias("line"), outcome.alias("outcome"))
+    rows = events.select("event_id", F.when(line % 5 == 0, line + 1).otherwise(line).alias("line"), outcome.alias("outcome"))
     return rows.select(F.col("event_id").alias("decision_id"), "line", "outcome", F.when(F.col("outcome") == "link", F.col("line")).when(F.col("outcome") == "keep", F.col("line")).alias("record"), (F.col("event_id") % 4).alias("revision"))
 
 
 DECIDED = """
-de AS (SELECT event_id, (event_id // 4) * 3 AS l0, CASE event_type WHEN 'error' THEN 'reject' WHEN 'signup' THEN 'keep' WHEN 'click' THEN 'create' ELSE 'link' END AS outcome FROM events WHERE event_id % 3 = 0),
+de AS (SELECT event_id, (event_id // 4) * 3 AS l0, CASE event_type WHEN 'error' THEN 'reject' WHEN 'signup' THEN 'keep' WHEN 'click' THEN 'create' ELSE 'link' END AS outcome FROM events),
 dr AS (SELECT event_id, CASE WHEN l0 % 5 = 0 THEN l0 + 1 ELSE l0 END AS line, outcome, event_id % 4 AS revision FROM de),
 dec AS (SELECT line, outcome, CASE WHEN outcome IN ('link', 'keep') THEN line END AS record, revision FROM (SELECT *, row_number() OVER (PARTITION BY line ORDER BY revision DESC, event_id DESC) AS rn FROM dr) WHERE rn = 1)
 """
@@ -113,7 +113,7 @@ def decision_resolution(spark, sf_dir):
     return reconcile.resolve_decisions(batch_decisions(spark, sf_dir))
 
 
-@query(classified_sql(NO_DECISIONS) + """, d0 AS (SELECT (event_id // 4) * 3 AS l0, event_type FROM events WHERE event_id % 3 = 0), d1 AS (SELECT CASE WHEN l0 % 5 = 0 THEN l0 + 1 ELSE l0 END AS line, CASE event_type WHEN 'error' THEN 'reject' WHEN 'signup' THEN 'keep' WHEN 'click' THEN 'create' ELSE 'link' END AS outcome FROM d0)
+@query(classified_sql(NO_DECISIONS) + """, d0 AS (SELECT (event_id // 4) * 3 AS l0, event_type FROM events), d1 AS (SELECT CASE WHEN l0 % 5 = 0 THEN l0 + 1 ELSE l0 END AS line, CASE event_type WHEN 'error' THEN 'reject' WHEN 'signup' THEN 'keep' WHEN 'click' THEN 'create' ELSE 'link' END AS outcome FROM d0)
 SELECT verdict, count(*) AS n FROM (SELECT CASE WHEN c.conflict IS NULL THEN 'not_pending'
  WHEN (c.conflict = 'PROTECTED_LAYER' AND d1.outcome IN ('link', 'keep', 'reject')) OR (c.conflict = 'DISREGARDED' AND d1.outcome = 'reject') OR (c.conflict IN ('NO_CANDIDATE', 'MULTIPLE', 'DUPLICATE_TARGET') AND d1.outcome IN ('link', 'create', 'reject')) THEN 'applied' ELSE 'not_allowed' END AS verdict FROM d1 LEFT JOIN c USING (line)) GROUP BY verdict""")
 def decision_verdicts(spark, sf_dir):
@@ -235,6 +235,15 @@ def decision_fold(spark, sf_dir):
     return reconcile.fold_decisions(lines, revised(spark, sf_dir), records, matches, REVISIONS).select("line", "outcome", "target", "conflict", "category", "decided_at")
 
 
+@query()
+def decision_fold_hot(spark, sf_dir):
+    """The same thousand revisions where every decision reaches for one of a hundred records: one part holds them all (no SQL)."""
+    records, lines, matches = batch(spark, sf_dir)
+    shared = F.when(F.col("outcome") == "link", 2 + 3 * (F.col("decision_id") % 100)).otherwise(F.col("record"))
+    decisions = revised(spark, sf_dir).withColumn("record", shared)
+    return reconcile.fold_decisions(lines, decisions, records, matches, REVISIONS).select("line", "outcome", "target", "conflict", "category", "decided_at")
+
+
 @query("SELECT coalesce(a.line, b.line) AS line, a.category AS from_category, b.category AS to_category, a.target AS from_target, b.target AS to_target FROM (" + classified_sql(NO_DECISIONS) + "SELECT line, target, category FROM c) a FULL JOIN (" + classified_sql(DECIDED)
        + "SELECT line, target, category FROM c) b ON a.line = b.line WHERE a.category IS DISTINCT FROM b.category OR a.target IS DISTINCT FROM b.target")
 def decision_deltas(spark, sf_dir):
@@ -255,3 +264,64 @@ def ledger_append(spark, sf_dir):
     """Events that a replayed batch still has to append: a third is in the ledger, and the batch came twice."""
     made = reconcile.events(classified(spark, sf_dir, True)[1], "batch-1")
     return reconcile.append_events(made.filter("line % 3 = 0"), made.unionByName(made)).select("event_id", "line")
+
+
+def user_versions(spark, sf_dir):
+    """Users as lines: their last event of each day (a revision) gives category and target; all are idle at revision 0."""
+    e = table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type").withColumn("revision", F.datediff(F.to_date("ts"), F.lit("2023-12-31").cast("date")))
+    last = F.max_by(F.struct(F.col("event_type").alias("category"), (F.col("event_id") % 40).alias("target")), "event_id").alias("_l")
+    days = e.filter("user_id IS NOT NULL AND revision > 0").groupBy("revision", F.col("user_id").alias("line")).agg(last).select("revision", "line", "_l.category", "_l.target")
+    idle = e.filter("user_id IS NOT NULL").select(F.lit(0).alias("revision"), F.col("user_id").alias("line"), F.lit("idle").alias("category"), F.lit(None).cast("long").alias("target")).distinct()
+    return idle.unionByName(days)
+
+
+VERSIONS = """WITH RECURSIVE e AS (SELECT event_id, user_id AS line, event_type, CAST(date_diff('day', DATE '2023-12-31', CAST(ts AS DATE)) AS BIGINT) AS revision FROM events WHERE user_id IS NOT NULL),
+v AS (SELECT DISTINCT CAST(0 AS BIGINT) AS revision, line, 'idle' AS category, CAST(NULL AS BIGINT) AS target FROM e UNION ALL SELECT revision, line, arg_max(event_type, event_id), arg_max(event_id % 40, event_id) FROM e WHERE revision > 0 GROUP BY revision, line),
+w AS (SELECT *, lag(category) OVER o AS fc, lag(target) OVER o AS ft, lag(revision) OVER o AS fr FROM v WINDOW o AS (PARTITION BY line ORDER BY revision)),
+d AS (SELECT revision, line, fc, ft, category AS tc, target AS tt FROM w WHERE fr IS NOT NULL AND (fc IS DISTINCT FROM category OR ft IS DISTINCT FROM target)),
+b AS (SELECT record, revision, sum(x) AS delta FROM (SELECT 0 AS revision, target AS record, 1 AS x FROM v WHERE revision = 0 UNION ALL SELECT revision, ft, -1 FROM d UNION ALL SELECT revision, tt, 1 FROM d) WHERE record IS NOT NULL GROUP BY record, revision HAVING sum(x) <> 0 OR revision = 0),
+n AS (SELECT *, sum(delta) OVER (PARTITION BY record ORDER BY revision) AS n FROM b)
+"""
+
+
+@query(VERSIONS + "SELECT revision, line, fc AS from_category, tc AS to_category, ft AS from_target, tt AS to_target FROM d")
+def revision_deltas(spark, sf_dir):
+    """Lines that each revision changes."""
+    return chain.line_deltas(user_versions(spark, sf_dir), ["category", "target"])
+
+
+@query(VERSIONS + """, s AS (SELECT record, revision, n, lead(revision) OVER o AS nx, lag(revision) OVER o AS pr FROM n WINDOW o AS (PARTITION BY record ORDER BY revision))
+SELECT record, CAST(valid_from AS INTEGER) AS valid_from, CAST(valid_to AS INTEGER) AS valid_to FROM (SELECT record, revision AS valid_from, nx AS valid_to FROM s WHERE n = 0 UNION ALL SELECT record, 0, revision FROM s WHERE pr IS NULL AND revision > 0
+UNION ALL SELECT s_suppkey, 0, NULL FROM supplier WHERE s_suppkey NOT IN (SELECT record FROM n)) WHERE record IN (SELECT s_suppkey FROM supplier)""")
+def absence_spans(spark, sf_dir):
+    """From which revision to which no line is on a supplier."""
+    versions = user_versions(spark, sf_dir)
+    buckets = chain.bucket_deltas(chain.line_deltas(versions, ["category", "target"]), versions.filter("revision = 0"))
+    return chain.absence_spans(buckets, table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("record")))
+
+
+@query(VERSIONS + """, m AS (SELECT revision, metric, sum(x) AS x FROM (SELECT revision, fc AS metric, -1 AS x FROM d WHERE fc IS DISTINCT FROM tc UNION ALL SELECT revision, tc, 1 FROM d WHERE fc IS DISTINCT FROM tc) GROUP BY 1, 2 HAVING sum(x) <> 0),
+t AS (SELECT * FROM m UNION ALL SELECT 0, category, count(*) FROM v WHERE revision = 0 GROUP BY category)
+SELECT revision, metric, CAST(sum(x) OVER (PARTITION BY metric ORDER BY revision) AS BIGINT) AS n FROM t""")
+def metric_history(spark, sf_dir):
+    """Numbers of lines by category after each revision, from the changes alone."""
+    versions = user_versions(spark, sf_dir)
+    base = versions.filter("revision = 0").groupBy(F.col("category").alias("metric")).agg(F.count("*").alias("n"))
+    return chain.totals_at(chain.metric_deltas(chain.line_deltas(versions, ["category", "target"])), base)
+
+
+def part(column):
+    return f"coalesce(length(CAST({column} AS VARCHAR)) || ':' || {column}, '-')"
+
+
+@query(VERSIONS + f""", h AS (SELECT revision, line, sha256({' || '.join(part(c) for c in ('line', 'fc', 'ft', 'tc', 'tt'))}) AS h FROM d),
+g AS (SELECT revision, line // 4096 AS r, count(*) AS n, sha256(string_agg(h, '' ORDER BY line)) AS h FROM h GROUP BY 1, 2),
+k AS (SELECT revision, sum(n) AS n, sha256(string_agg(h, '' ORDER BY r)) AS hash, revision // 1024 AS r FROM g GROUP BY revision),
+u AS (SELECT *, sha256(string_agg(hash, '') OVER (PARTITION BY r ORDER BY revision)) AS run FROM k),
+o AS (SELECT r, arg_max(run, revision) AS run, row_number() OVER (ORDER BY r) AS i FROM u GROUP BY r),
+c AS (SELECT i, r, 'root' AS before, sha256('root' || run) AS chain FROM o WHERE i = 1 UNION ALL SELECT o.i, o.r, c.chain, sha256(c.chain || o.run) FROM c JOIN o ON o.i = c.i + 1)
+SELECT u.revision, CAST(u.n AS BIGINT) AS n, u.hash, sha256(c.before || u.run) AS chain FROM u JOIN c USING (r)""")
+def revision_chain(spark, sf_dir):
+    """Hashes of the revisions and their chain."""
+    deltas = chain.line_deltas(user_versions(spark, sf_dir), ["category", "target"])
+    return chain.chained(chain.revision_hashes(deltas, ["from_category", "from_target", "to_category", "to_target"]), "root")

@@ -111,7 +111,8 @@ def plain_fold(lines, decisions, records, last):
     return {k: tuple(v) for k, v in lines.items()}
 
 
-def test_fold_equals_one_revision_after_the_other(spark):
+@pytest.mark.parametrize("in_task", [10**6, 0])
+def test_fold_equals_one_revision_after_the_other(spark, in_task):
     """Random decisions over lines that share few records: parts that advance together end as in plain order."""
     draw = random.Random(5)
     n, last = 160, 9
@@ -126,9 +127,16 @@ def test_fold_equals_one_revision_after_the_other(spark):
     given = frame(decisions, "decision_id long, line long, outcome string, record long, revision int")
     fields = ("category", "conflict", "target", "outcome")
     begin = {r["line"]: [r[c] for c in fields] for r in reconcile.fold_decisions(lines, given, held, matches, 0).collect()}
-    got = reconcile.fold_decisions(lines, given, held, matches, last).collect()
+    got = reconcile.fold_decisions(lines, given, held, matches, last, in_task).collect()
     want = plain_fold(begin, decisions, records, last)
     assert len(got) == n and {r["line"]: tuple(r[c] for c in fields) for r in got} == want
+    # From the versions of any revision on, the later ones give the same lines.
+    versions = reconcile.decision_versions(lines, given, held, matches, last, in_task).cache()
+    begin = {r["line"]: [r[c] for c in fields] for r in versions.filter("revision = 0").collect()}
+    middle = plain_fold(begin, decisions, records, 4)
+    at = reconcile.replayed(versions.filter("revision = 0"), versions.filter("revision > 0"), 4)
+    assert {r["line"]: tuple(r[c] for c in fields) for r in at.collect()} == middle
+    assert {r["line"]: tuple(r[c] for c in fields) for r in reconcile.replayed(at, versions.filter("revision > 4"), last).collect()} == want
     assert len({v[1] for v in want.values()}) >= 4
 
 
