@@ -1,9 +1,13 @@
 """Matching and reconciliation over orders, customers and events."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from tessera.operators import chain, matching, reconcile, report
+from tessera.operators import chain, matching, reconcile, rederive, report
 from tessera.plans.registry import query, table
+from tessera.sources import commits
+from tessera.storage import shared_dir
 
 PAYLOAD = "map('status', o_orderstatus, 'priority', o_orderpriority, 'total', cast(cast(o_totalprice AS decimal(18,2)) AS string))"
 
@@ -325,3 +329,44 @@ def revision_chain(spark, sf_dir):
     """Hashes of the revisions and their chain."""
     deltas = chain.line_deltas(user_versions(spark, sf_dir), ["category", "target"])
     return chain.chained(chain.revision_hashes(deltas, ["from_category", "from_target", "to_category", "to_target"]), "root")
+
+
+@query(classified_sql(NO_DECISIONS) + """SELECT md5('batch:' || line || ':source') AS event_id, line, CASE WHEN line % 2 = 0 THEN 1 ELSE 2 END AS version FROM c WHERE category <> 'conflict' AND category <> 'rejected'""")
+def applied_batches(spark, sf_dir):
+    """Events of a ledger by the version that added them: two batches, the first sent again on a base that has moved on, the second with events of the first."""
+    lines = classified(spark, sf_dir, False)[1].filter("category != 'conflict'")
+    made, root = reconcile.events(lines, "batch"), f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
+    even, odd = lines.filter("line % 2 = 0"), lines.filter("line % 2 = 1")
+    first = commits.apply(root, "even", 0, even, made.filter("line % 2 = 0"))
+    again = commits.apply(root, "even", 5, even, made.filter("line % 2 = 0"))
+    commits.apply(root, "odd", first.version, odd, made)
+    if not again.reused or again.content != first.content:
+        raise AssertionError("a request that was sent again got another answer")
+    return commits.read_events(spark, root).select("event_id", "line", "version")
+
+
+def submitted(spark, sf_dir):
+    """Orders as lines that match records by customer and date, classified; with what was submitted, some of it wrong by line."""
+    records, lines, _ = batch(spark, sf_dir)
+    orders = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate")
+    keys = lambda name: orders.select(F.col("o_orderkey").alias(name), F.col("o_custkey").alias("customer"), F.to_date("o_orderdate").cast("string").alias("day"))
+    records, lines = records.drop("amount").join(keys("record"), "record"), lines.drop("amount").join(keys("line"), "line")
+    decisions = batch_decisions(spark, sf_dir)
+    matches = matching.identity_match(lines, records, "line", "record", ["customer", "day"])
+    found = reconcile.classify(lines.select("line", "payload", "provenance"), matches.select("line", "match", "record"), records, reconcile.resolve_decisions(decisions))
+    ids = F.md5(F.concat(F.lit("batch:"), F.col("line").cast("string")))
+    whole = found.join(matches.select("line", "n_candidates"), "line").withColumn("observation", ids).select("line", "observation", "match", "n_candidates", "target", "conflict", "category")
+    held = records.select(F.col("record").alias("target"), F.col("payload").alias("before"), F.lit(True).alias("_there"))
+    pairs = whole.select("line", "target").join(lines.select("line", F.col("payload").alias("after")), "line").join(held, "target")
+    diffs = reconcile.field_diffs(pairs, "line", "before", "after").filter("field != '*'")
+    absent = reconcile.absences(records, found)
+    return (lines, records, decisions), (whole, diffs, absent, reconcile.summary(found, absent))
+
+
+@query("SELECT 'none' AS kind, '' AS key WHERE false UNION ALL SELECT 'ids', CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderkey % 5 <> 0 AND o_orderkey % 997 = 3")
+def rederivation(spark, sf_dir):
+    """What a second derivation of the whole batch finds: only the ids that were planted."""
+    evidence, (whole, diffs, absent, summary) = submitted(spark, sf_dir)
+    planted = F.when(F.col("line") % 997 == 3, F.lit("other")).otherwise(F.col("observation"))
+    derived = rederive.derive(*evidence, ["customer", "day"], "batch")
+    return rederive.differences(derived, whole.withColumn("observation", planted), diffs, absent, summary).select("kind", "key")
