@@ -402,6 +402,16 @@ def test_mined_url_rules(spark):
     assert all(got[i] == ("block" if re.search("bets|pills", u) else "allow") for i, u in urls)
 
 
+def test_rules_over_common_tokens_of_long_urls(spark):
+    """URLs of more than twenty tokens that don't fall together; bad exactly where two common ones meet."""
+    rng = random.Random(12)
+    urls = [f"http://s{i % 9}.net/" + "/".join(rng.sample(["aa", "bb"], rng.randrange(3)) + rng.sample([f"w{j}" for j in range(300)], 21)) for i in range(1200)]
+    bad = {i: "/aa" in u and "/bb" in u for i, u in enumerate(urls)}
+    got = url_rules.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), spark.createDataFrame(list(bad.items()), "key long, bad boolean"), host_rules=(), min_support=0.02, min_confidence=0.9).collect()
+    held = {r["page_id"]: r for r in got if r["verdict"] == "block"}
+    assert {i for i, b in bad.items() if b} == set(held) and all(r["mined_rule"] == "word:aa word:bb" for r in held.values())
+
+
 def plain_tokens(url):
     host = re.match(r"(?s)^.*?://([^/?#]*)", url)[1].lower()
     rest = re.match(r"(?s)^.*?://[^/?#]*(.*)$", url.lower())[1]
