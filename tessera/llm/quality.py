@@ -68,8 +68,8 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
             "_symbols": F.length(F.regexp_replace(content, rf"[^{SYMBOLS}]+", "")).cast("long"),
             "_chars": F.length(F.array_join("_words", "")).cast("long"),
             "_stops": F.size(F.filter("_words", lambda w: F.lower(w).isin(stop))).cast("long"),
-            # Capitals that end in two or more punctuation marks ("BUY!!", "WOW!?").
-            "_shouts": F.size(F.filter("_words", lambda w: w.rlike(r"^\p{Lu}+\p{P}+\p{P}$"))).cast("long"),
+            # Words in capitals: with an upper-case letter and no lower-case one.
+            "_shouts": F.size(F.filter("_words", lambda w: w.rlike(r"\p{Lu}") & ~w.rlike(r"\p{Ll}"))).cast("long"),
             "_repeated_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
             "_windows": F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), window)),
         }
@@ -153,7 +153,7 @@ WITH d AS (
     CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words,
     CAST(len(l) AS BIGINT) AS n_lines,
     CAST(len(list_filter(w, lambda x: lower(x) IN ({", ".join(f"'{w}'" for w in sorted({w for words in STOP_WORDS.values() for w in words}))}))) AS BIGINT) AS n_stop_words,
-    CAST(len(list_filter(w, lambda x: regexp_matches(x, '^\p{{Lu}}+\p{{P}}+\p{{P}}$'))) AS BIGINT) AS n_shout_words
+    CAST(len(list_filter(w, lambda x: regexp_matches(x, '\p{{Lu}}') AND NOT regexp_matches(x, '\p{{Ll}}'))) AS BIGINT) AS n_shout_words
   FROM d LEFT JOIN rep USING (doc_id)
 ), v AS (
   SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,

@@ -123,6 +123,15 @@ def test_quality_counts(spark):
     assert quality.keep_good(edge_docs(spark, texts)).columns == SCHEMA.replace(" long", "").replace(" string", "").split(", ")
 
 
+def test_words_in_capitals(spark):
+    """A text mostly in capitals is rejected, with or without punctuation; long texts and long words pass through."""
+    plain = " ".join(f"the word{i} of text{i}, and more" for i in range(40))
+    texts = [plain, plain.upper(), plain.upper() + " " + " ".join(f"the small of and{i}" for i in range(20)), " ".join(f"THE! WORD{i}!! OF" for i in range(40)), "ÄÖ " + plain, "A" * 300_000 + "b " + plain, plain * 200]
+    rows = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [("shouting" in rows[i]["failed_rules"]) for i in range(7)] == [False, True, True, True, False, False, False]
+    assert [rows[i]["n_shout_words"] for i in (0, 1, 4)] == [0, 240, 1] and rows[0]["kept"]
+
+
 def test_archive_gives_the_original_records(spark, tmp_path):
     long, short = "é" * 600, "short"
     rows = [(1, "http://a/\r\nX: y", long), (5, "http://b", long), (3, None, short), (4, "http://c", short), (6, "http://d", None), (None, "http://e", long), (7, "http://f", "WARC/1.1\r\n\r\n" * 200)]
