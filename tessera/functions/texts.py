@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -34,6 +35,15 @@ PERSONAL = (
 #: What stands for a place in a file system, where such places begin, and the control characters that go.
 OMITTED_PATH = "[caminho local omitido]"
 ROOT = r"(?:file:\/\/)?(?:\/(?:Users|home)\/[^\/\s]+\/|\/(?:tmp|private|Volumes|var(?:\/folders|\/tmp)?|opt|srv|mnt)\/|[A-Za-z]:\\|\\\\[^\\\s]+\\)"
+#: The same of the fourth form of publications, one after the other; what follows belongs to a place up to these signs.
+REST = r"""[^\r\n,;"<>)]*"""
+PLACES = (
+    r"(?i)(?:file:\/\/)?\/(?:Users|home)\/[^\/\s]+\/" + REST,
+    r"(?i)(?:file:\/\/)?\/(?:tmp|private|Volumes|var(?:\/folders|\/tmp)?|opt|srv|mnt)\/" + REST,
+    r"(?i)(?:file:\/\/\/)?[A-Za-z]:\/" + REST,
+    r"[A-Za-z]:\\" + REST,
+    r"\\\\[^\\\s]+\\" + REST,
+)
 CONTROLS = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
 #: What a spreadsheet passes over before a formula.
 UNSEEN = r"[\x00-\x20\x{A0}\x{1680}\x{2000}-\x{200B}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
@@ -80,9 +90,19 @@ def redact_paths(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(ended, rf"(?i){ROOT}[^\s<>\"]+", OMITTED_PATH), CONTROLS, "")
 
 
-def csv_cell(text: Column) -> Column:
-    """A quoted cell that no spreadsheet runs as a formula: places go, line breaks become blanks, a quote stands before ``= + - @``."""
-    flat = F.regexp_replace(redact_paths(F.coalesce(text, F.lit(""))), r"\r?\n", " ")
+def redact_places(text: Column) -> Column:
+    """As :func:`redact_paths` in the fourth form of publications: drives with either slash, and places with blanks whether they end in a file's ending or not, go up to the next separator.
+
+    A web address goes from the last letter of its scheme on, as a letter, a colon and a slash begin a drive there.
+    """
+    for pattern in PLACES:
+        text = F.regexp_replace(text, pattern, OMITTED_PATH)
+    return F.regexp_replace(text, CONTROLS, "")
+
+
+def csv_cell(text: Column, redact: Callable[[Column], Column] = redact_paths) -> Column:
+    """A quoted cell that no spreadsheet runs as a formula: places go (by ``redact``), line breaks become blanks, a quote stands before ``= + - @``."""
+    flat = F.regexp_replace(redact(F.coalesce(text, F.lit(""))), r"\r?\n", " ")
     safe = F.when(flat.rlike(rf"^{UNSEEN}*[=+\-@]"), F.concat(F.lit("'"), flat)).otherwise(flat)
     return F.concat(F.lit('"'), F.replace(safe, F.lit('"'), F.lit('""')), F.lit('"'))
 

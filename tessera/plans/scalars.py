@@ -168,6 +168,25 @@ def redact_paths(spark, sf_dir):
     return pages.select("page_id", texts.redact_paths(text).alias("shown"))
 
 
+def places_sql(text):
+    for pattern in texts.PLACES:
+        text = f"regexp_replace({text}, '{pattern}', '{texts.OMITTED_PATH}', 'g')"
+    return f"regexp_replace({text}, '{texts.CONTROLS}', '', 'g')"
+
+
+@query(r"""WITH t AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN url || ' D:/Users/x y' WHEN 1 THEN '(/home/a/b c), ' || url WHEN 2 THEN 'file:///D:/x/y z.pdf; ' || url WHEN 3 THEN '\\host\share\z d <' || url ELSE url || chr(7) || '/tmp/q r' END AS v FROM pages)
+SELECT page_id, """ + places_sql("v") + " AS shown FROM t")
+def redact_places(spark, sf_dir):
+    """Places in file systems by the fourth form of publications."""
+    pages = table(spark, sf_dir, "pages", "page_id", "url")
+    v, url = F.col("page_id") % 5, F.col("url")
+    text = (
+        F.when(v == 0, F.concat(url, F.lit(" D:/Users/x y"))).when(v == 1, F.concat(F.lit("(/home/a/b c), "), url)).when(v == 2, F.concat(F.lit("file:///D:/x/y z.pdf; "), url))
+        .when(v == 3, F.concat(F.lit("\\\\host\\share\\z d <"), url)).otherwise(F.concat(url, F.lit("\x07/tmp/q r")))
+    )
+    return pages.select("page_id", texts.redact_places(text).alias("shown"))
+
+
 @query(r"""
 WITH t AS (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN '=' || text WHEN 1 THEN text || chr(10) || '"end"' WHEN 2 THEN ' -' || text ELSE chr(160) || chr(8203) || '@' || text END AS v FROM conversations),
 f AS (SELECT *, regexp_replace(""" + public_sql("coalesce(v, '')") + r""", '\r?\n', ' ', 'g') AS flat FROM t)

@@ -40,9 +40,8 @@ def maintain_snapshot(events: DataFrame, ledger: str, root: str, checkpoint: str
         try:
             if read_snapshot(spark, root)[1] >= number:
                 return
-        except Exception as missing:  # the first batch finds no folder
-            if number > 0:
-                raise missing
+        except FileNotFoundError:  # no version so far
+            pass
         state = reduce_projection(spark.read.parquet(ledger).filter(F.col("batch") <= number).drop("batch"))
         write_snapshot(state, root, number)
 

@@ -64,3 +64,16 @@ def test_hashes_do_not_depend_on_order(spark):
     assert row["x"] == row["y"]
     ids = values(spark, lambda c: labels.header_id(F.lit("s"), F.lit(1), c), ["Código", " codigo ", "outro"])
     assert ids[0] == ids[1] != ids[2] and len(ids[0]) == 64
+
+
+def test_places_of_the_fourth_form(spark):
+    """Drives with either slash, blanks in places without a file's ending, and what ends a place."""
+    gone = "[caminho local omitido]"
+    cases = {
+        "file:///D:/x/y z.pdf": gone, "see C:/a b/c, then": f"see {gone}, then", "/home/u/a b c (x) y": f"{gone}) y", "\\\\srv\\share\\a b;c": f"{gone};c", "D:\\one two\nnext": f"{gone}\nnext",
+        "file:///Users/ann/My Files": gone, "/VAR/tmp/q r <b>": f"{gone}<b>", "http://a.com/home": f"htt{gone}", "bell\x07": "bell", "": "",
+    }
+    rows = spark.createDataFrame([(k,) for k in cases], "t string").select("t", texts.redact_places(F.col("t")).alias("s"), texts.csv_cell(F.col("t"), texts.redact_places).alias("c")).collect()
+    assert {r["t"]: r["s"] for r in rows} == cases
+    assert all(r["c"].startswith('"') and "/home/u" not in r["c"] for r in rows)
+    assert spark.range(1).select(texts.redact_places(F.lit(None).cast("string")).alias("s")).first()["s"] is None
