@@ -31,7 +31,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import small_batches, with_fields
+from tessera.llm.common import kept_in_worker, small_batches, with_fields
 
 #: Entries of the tables that a worker keeps; what they lack is computed, so their sizes change no result.
 MAX_STATES = 200_000
@@ -490,16 +490,9 @@ class Worker:
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*values, np.zeros(0, np.int32)]))), whole
 
 
-_WORKERS: dict[tuple[str, str], Worker] = {}
-
-
 def _worker(ranks: Broadcast, pattern: str) -> Worker:
-    """A worker's tables, built once and used by all its tasks."""
-    key = (ranks.value["key"], pattern)
-    if key not in _WORKERS:
-        _WORKERS.clear()
-        _WORKERS[key] = Worker(ranks.value["ranks"], pattern)
-    return _WORKERS[key]
+    """A worker's tables, built once and used by all tasks until another operator's begins."""
+    return kept_in_worker("bpe", (ranks.value["key"], pattern), lambda: Worker(ranks.value["ranks"], pattern))
 
 
 class Coder:

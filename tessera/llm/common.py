@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import os
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -66,6 +71,31 @@ def small_batches(spark: SparkSession, rows: int = 256, size: int = 1 << 19) ->
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
+#: What an operator keeps in a Python worker between tasks, by (operator, key).
+_KEPT: dict[tuple[str, object], object] = {}
+
+
+def kept_in_worker(operator: str, key: object, make: Callable[[], object]) -> object:
+    """What ``make`` gives, made once in a worker and used by later tasks of the same operator and key; it replaces all else that is kept."""
+    if (operator, key) not in _KEPT:
+        free_worker()
+        _KEPT[operator, key] = make()
+    return _KEPT[operator, key]
+
+
+def free_worker() -> None:
+    """Give up what other operators keep in this worker, and give the memory back to the machine.
+
+    Spark reuses workers, so tables of one operator would lie beside those of the next. Called as a task begins.
+    """
+    if _KEPT:
+        _KEPT.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if os.name == "posix" and (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)):
+            trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df

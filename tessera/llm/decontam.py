@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import shingle_hashes, small_batches, text_bytes, without, word_hashes
+from tessera.llm.common import free_worker, shingle_hashes, small_batches, text_bytes, without, word_hashes
 
 SEED_WORDS = 3
 LEAST_SEEDS = 8
@@ -178,6 +178,7 @@ def _block_leaks(source: DataFrame, items: DataFrame, n_docs: int, threshold: fl
     whole = spark.sparkContext.broadcast(_block(ids, texts))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker()
         block = whole.value
         counts = np.zeros(len(block.seeds), np.int64)
         for batch in batches:
@@ -193,6 +194,7 @@ def _block_leaks(source: DataFrame, items: DataFrame, n_docs: int, threshold: fl
     rare = spark.sparkContext.broadcast(_block(ids, texts, _chosen(whole.value, n, n_docs)))
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker()
         block = rare.value
         for batch in batches:
             words, first = _words(batch.column("text"))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import mix, small_batches, tidied, written
+from tessera.llm.common import free_worker, mix, small_batches, tidied, written
 from tessera.llm.ngram_join import Threshold, bitmap, digest, oracle, placed, sets_of
 
 #: Coordinates of a band, bands, and coordinates in all.
@@ -75,6 +75,7 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, p
     source = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker()
         for batch in batches:
             n, digests, bits = [], [], []
             for own in sets_of(batch, k):

@@ -50,7 +50,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import mix, shingle_hashes, small_batches, text_bytes, tidied, without, word_hashes, written
+from tessera.llm.common import free_worker, mix, shingle_hashes, small_batches, text_bytes, tidied, without, word_hashes, written
 from tessera.llm.components import components
 
 #: Cells of the count table for each document, and the least and largest number of cells; a byte each in a task and in the broadcast.
@@ -110,6 +110,7 @@ def _statistics(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray, int]:
     cells = min(MOST_CELLS, max(LEAST_CELLS, 1 << (CELLS_PER_DOCUMENT * docs.count()).bit_length()))
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker()
         counts = np.zeros(cells, np.uint8)
         for batch in batches:
             n, digests, bits = [], [], []
@@ -238,6 +239,7 @@ def candidate_edges(docs: DataFrame, k: int, find: Keys, threshold: Threshold) -
         )
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker()
         held, count = [], 0
         for batch in batches:
             for doc, own in zip(batch.column("id").to_pylist(), sets_of(batch, k), strict=True):
@@ -306,12 +308,14 @@ def _verified(source: DataFrame, pairs: DataFrame, k: int, threshold: Threshold)
     members = written(asked.groupBy("id").agg(F.collect_set("a").alias("groups")), "asked")
 
     def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker()
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([s.tobytes() for s in sets_of(batch, k)], pa.binary()), batch.column("groups")], ["id", "own", "groups"])
 
     sent = _with_text(source, members, "groups").mapInArrow(as_sets, "id long, own binary, groups array<long>").select("id", "own", F.explode("groups").alias("a"))
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker()
         now, centres = None, []
         for batch in batches:
             links = []
@@ -396,6 +400,7 @@ def _postings(source: DataFrame, members: DataFrame, k: int, find: Keys) -> Data
     """(key, id) of the members (id; written); written."""
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker()
         for batch in batches:
             found = [np.unique(find(own)) if len(own) else np.zeros(0, np.uint64) for own in sets_of(batch, k)]
             ids = np.repeat(batch.column("id").to_numpy(), [len(f) for f in found])
@@ -431,6 +436,7 @@ def _each_block(dealt: DataFrame, value: str, pairs_of: Callable[[list], list[tu
     """(a, b), written: what ``pairs_of`` gives for the rows [side, id, part, ``value``] of each block against a block."""
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker()
         now, held = None, []
 
         def out(pairs: list[tuple]) -> pa.RecordBatch:
@@ -460,6 +466,7 @@ def _in_families(source: DataFrame, members: DataFrame, k: int, threshold: Thres
     """(a, b): links that join all parts of a family (id, part, family) that links join."""
 
     def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker()
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _PLACE), pa.array([s.tobytes() for s in sets_of(batch, k)], pa.binary())], [*_PLACE, "own"])
 
