@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators import ranges
+
 
 def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last row of each key by ``order`` (descending, nulls last).
@@ -51,10 +53,24 @@ def without_tombstones(rows: DataFrame, tombstones: DataFrame, keys: list[str])
     return rows.join(tombstones.select(*keys).distinct(), keys, "left_anti")
 
 
-def spans(revisions: DataFrame, keys: list[str], number: str = "revision") -> DataFrame:
-    """Each revision with the numbers it is in force from and to (exclusive; null: still)."""
-    by_key = Window.partitionBy(*keys).orderBy(number)
-    return revisions.withColumn("valid_from", F.col(number)).withColumn("valid_to", F.lead(number).over(by_key))
+def spans(revisions: DataFrame, keys: list[str], number: str = "revision", in_task: int = ranges.IN_TASK) -> DataFrame:
+    """Each revision with the numbers it is in force from and to (exclusive; null: still).
+
+    Where a key has more than ``in_task`` revisions, ranges of its numbers are sorted apart, and the last row of a range
+    ends with the first number of the next.
+    """
+    out = revisions.withColumn("valid_from", F.col(number))
+    count = ranges.needed(revisions, keys, in_task)
+    if count == 1:
+        return out.withColumn("valid_to", F.lead(number).over(Window.partitionBy(*keys).orderBy(number)))
+    parts = ranges.ranged(out, keys, [number], count)
+    by_part = Window.partitionBy("_part", *keys).orderBy(number)
+    inside = parts.withColumn("_to", F.lead(number).over(by_part)).withColumn("_last", F.lead(F.lit(True)).over(by_part).isNull())
+    firsts = parts.groupBy("_part", *keys).agg(F.min(F.struct(number)).alias("_first"))
+    following = F.lead("_first").over(Window.partitionBy(*keys).orderBy("_part"))  # at most two rows a range
+    carried = ranges.edges(firsts, keys).select("_part", *keys, following[number].alias("_next"))
+    ends = F.when(F.col("_last"), F.col("_next")).otherwise(F.col("_to"))
+    return ranges.handed(inside, carried, keys).withColumn("valid_to", ends).drop("_part", "_to", "_last", "_next")
 
 
 def as_of(spanned: DataFrame, at: Column) -> DataFrame:

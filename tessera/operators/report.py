@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.times import typed_duration
+from tessera.operators import ranges
 from tessera.operators.load import numbered
 
 
@@ -32,6 +33,26 @@ def universes(**sums: tuple[DataFrame, Column]) -> DataFrame:
     return reduce(lambda a, b: a.crossJoin(b), rows)  # one row each
 
 
+def models(owner: str, *tables: tuple[DataFrame, dict[str, tuple[Column, Column]]]) -> DataFrame:
+    """The models of every owner and the global one: (model, owner, <universe>, n_<universe>), one row each.
+
+    Each table comes with its universes: name -> (owner, value); a row counts where its value isn't null. Universes stay
+    apart: each has its own sum, unknown (null) where no row counts. A value without owner counts in the global model
+    alone. Each table is read once, whatever its universes, and all models come from one grouping, combined before the shuffle.
+    """
+    names = [name for _, universes in tables for name in universes]
+    rows = []
+    for df, own in tables:
+        given = [F.struct(at.alias(owner), *((value if n == name else F.lit(None)).alias(n) for n in own)) for name, (at, value) in own.items()]
+        rows.append(df.select(F.inline(F.array(*given))).filter(F.coalesce(*own).isNotNull()))
+    # A row without owner and values: the global model is there even where no row counts.
+    rows.append(tables[0][0].sparkSession.range(1).select(F.lit(None).alias(owner)))
+    tagged = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
+    measures = [x for n in names for x in (F.sum(n).alias(n), F.count(n).alias(f"n_{n}"))]
+    out = tagged.groupingSets([[owner], []], owner).agg(F.grouping(owner).alias("_all"), *measures)
+    return out.filter((F.col("_all") == 1) | F.col(owner).isNotNull()).select(F.when(F.col("_all") == 1, "global").otherwise("project").alias("model"), owner, *(c for n in names for c in (n, f"n_{n}")))
+
+
 def by_owner(owners: DataFrame, owner: str, **measures: tuple[DataFrame, Column]) -> DataFrame:
     """Owners with the sum and number of each universe, aggregated before the join so that no fan-out multiplies."""
     out = owners
@@ -122,13 +143,37 @@ def publication(sections: dict[str, tuple[DataFrame, Column, Column, Column]]) -
     return reduce(lambda a, b: a.unionByName(b), rows)
 
 
-def versions(snapshots: DataFrame, scope: str, order: str, content: str) -> DataFrame:
-    """Snapshots that become versions: those whose content hash differs from the one before; A, B, A are three."""
-    by_scope = Window.partitionBy(scope).orderBy(order)
+def versions(snapshots: DataFrame, scope: str, order: str, content: str, in_task: int = ranges.IN_TASK) -> DataFrame:
+    """Snapshots that become versions: those whose content hash differs from the one before; A, B, A are three.
+
+    Adds content_hash, version and reused. Snapshots of the same order are taken by their hashes. Where a scope has more
+    than ``in_task`` snapshots, ranges of its order are sorted apart; each range gets the last hash of the one before and
+    the number of versions so far.
+    """
     hashed = snapshots.withColumn("content_hash", F.sha2(F.col(content), 256))
-    before = F.lag("content_hash").over(by_scope)
-    changed = hashed.withColumn("_new", ~before.eqNullSafe(F.col("content_hash")))
-    return changed.withColumn("version", F.sum(F.col("_new").cast("long")).over(by_scope)).withColumn("reused", ~F.col("_new")).drop("_new")
+    differs = lambda before: (~before.eqNullSafe(F.col("content_hash"))).cast("long")
+    count = ranges.needed(snapshots, [scope], in_task)
+    if count == 1:
+        by_scope = Window.partitionBy(scope).orderBy(order, "content_hash")
+        changed = hashed.withColumn("_new", differs(F.lag("content_hash").over(by_scope)))
+        return changed.withColumn("version", F.sum("_new").over(by_scope)).withColumn("reused", F.col("_new") == 0).drop("_new")
+    parts = ranges.ranged(hashed, [scope], [order, "content_hash"], count)
+    by_part = Window.partitionBy("_part", scope).orderBy(order, "content_hash")
+    first = F.row_number().over(by_part) == 1
+    inside = parts.withColumn("_is_first", first).withColumn("_new", F.when(F.col("_is_first"), F.lit(0)).otherwise(differs(F.lag("content_hash").over(by_part)))).withColumn("_run", F.sum("_new").over(by_part))
+    place = F.struct(order, "content_hash")
+    groups = inside.groupBy("_part", scope).agg(F.min(place)["content_hash"].alias("content_hash"), F.max(place)["content_hash"].alias("_last"), F.sum("_new").alias("_n"))
+    by_range = Window.partitionBy(scope).orderBy("_part")  # at most two rows a range
+    begins = ranges.edges(groups, [scope]).withColumn("_begins", differs(F.lag("_last").over(by_range)))
+    before = F.sum(F.col("_begins") + F.col("_n")).over(by_range.rowsBetween(Window.unboundedPreceding, -1))
+    carried = begins.select("_part", scope, "_begins", F.coalesce(before, F.lit(0)).alias("_before"))
+    out = ranges.handed(inside, carried, [scope])
+    # A scope inside one range begins there: its first snapshot is new unless it has no content.
+    alone = F.max(F.when(F.col("_is_first"), F.col("content_hash").isNotNull().cast("long"))).over(by_part)
+    out = out.withColumn("_begins", F.coalesce("_begins", alone))
+    version = F.coalesce("_before", F.lit(0)) + F.col("_begins") + F.col("_run")
+    reused = F.when(F.col("_is_first"), F.col("_begins") == 0).otherwise(F.col("_new") == 0)
+    return out.withColumn("version", version).withColumn("reused", reused).drop("_part", "_is_first", "_new", "_run", "_begins", "_before")
 
 
 def purge_boundary(by_key: DataFrame, by_content: DataFrame, scope: str, version: str) -> DataFrame:

@@ -38,6 +38,28 @@ def portfolio_scalars(spark, sf_dir):
     return report.by_owner(table(spark, sf_dir, "customer", "c_custkey"), "c_custkey", ordered=(orders, cents("o_totalprice")), spent=(events, cents("value")))
 
 
+@query(f"""
+WITH r AS (SELECT o_custkey AS owner, {cents_sql("o_totalprice")} AS ordered, NULL AS audited, NULL AS spent, NULL AS refunded FROM orders
+ UNION ALL SELECT CASE WHEN o_orderkey % 3 = 0 THEN o_custkey + 1 END, NULL, CASE WHEN o_orderstatus = 'F' THEN {cents_sql("o_totalprice")} END, NULL, NULL FROM orders
+ UNION ALL SELECT user_id, NULL, NULL, CASE WHEN event_type = 'purchase' THEN {cents_sql("value")} END, CASE WHEN event_type = 'error' THEN {cents_sql("value")} END FROM events),
+k AS (SELECT * FROM r WHERE coalesce(ordered, audited, spent, refunded) IS NOT NULL)
+SELECT CASE WHEN grouping(owner) = 1 THEN 'global' ELSE 'project' END AS model, owner, CAST(sum(ordered) AS BIGINT) AS ordered, count(ordered) AS n_ordered, CAST(sum(audited) AS BIGINT) AS audited, count(audited) AS n_audited,
+ CAST(sum(spent) AS BIGINT) AS spent, count(spent) AS n_spent, CAST(sum(refunded) AS BIGINT) AS refunded, count(refunded) AS n_refunded
+FROM k GROUP BY GROUPING SETS ((owner), ()) HAVING grouping(owner) = 1 OR owner IS NOT NULL
+""")
+def report_models(spark, sf_dir):
+    """Every owner's model and the global one: declared and audited orders, purchases and errors, each its own universe."""
+    orders = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    events = table(spark, sf_dir, "events", "user_id", "event_type", "value")
+    of = lambda kind: F.when(F.col("event_type") == kind, cents("value"))
+    audited = F.when(F.col("o_orderkey") % 3 == 0, F.col("o_custkey") + 1)
+    return report.models(
+        "owner",
+        (orders, {"ordered": (F.col("o_custkey"), cents("o_totalprice")), "audited": (audited, F.when(F.col("o_orderstatus") == "F", cents("o_totalprice")))}),
+        (events, {"spent": (F.col("user_id"), of("purchase")), "refunded": (F.col("user_id"), of("error"))}),
+    )
+
+
 @query("""
 WITH v AS (SELECT user_id, bool_or(event_type = 'purchase') AS published, max(event_id) FILTER (event_type = 'purchase') AS bought, max(event_id) AS last, bool_or(event_type = 'signup') AS ready FROM events GROUP BY 1),
 s AS (SELECT CASE WHEN published AND bought = last THEN 'published' WHEN published THEN 'stale' WHEN ready THEN 'ready' ELSE 'working' END AS status FROM customer LEFT JOIN v ON user_id = c_custkey)
@@ -164,6 +186,28 @@ def publication_versions(spark, sf_dir):
     return published(spark, sf_dir)
 
 
+@query("""
+WITH h AS (SELECT CASE WHEN event_id % 2 = 0 THEN -1 ELSE user_id END AS scope, event_id, sha256(event_type) AS content_hash FROM events), c AS (SELECT *, lag(content_hash) OVER (PARTITION BY scope ORDER BY event_id) IS DISTINCT FROM content_hash AS fresh FROM h)
+SELECT scope, event_id, content_hash, NOT fresh AS reused, CAST(sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY scope ORDER BY event_id) AS BIGINT) AS version FROM c
+""")
+def hot_versions(spark, sf_dir):
+    """Versions where one scope holds half of all snapshots: ranges of its order are sorted apart."""
+    events = table(spark, sf_dir, "events", "user_id", "event_id", "event_type")
+    hot = events.select(F.when(F.col("event_id") % 2 == 0, F.lit(-1)).otherwise(F.col("user_id")).alias("scope"), "event_id", "event_type")
+    return report.versions(hot, "scope", "event_id", "event_type", in_task=100).drop("event_type")
+
+
+@query("""
+WITH h AS (SELECT CASE WHEN event_id % 2 = 0 THEN -1 ELSE user_id END AS scope, event_id FROM events)
+SELECT scope, event_id AS valid_from, lead(event_id) OVER (PARTITION BY scope ORDER BY event_id) AS valid_to FROM h
+""")
+def hot_spans(spark, sf_dir):
+    """Spans where one key holds half of all revisions."""
+    events = table(spark, sf_dir, "events", "user_id", "event_id")
+    hot = events.select(F.when(F.col("event_id") % 2 == 0, F.lit(-1)).otherwise(F.col("user_id")).alias("scope"), "event_id")
+    return overlay.spans(hot, ["scope"], "event_id", in_task=100).select("scope", "valid_from", "valid_to")
+
+
 @query(VERSIONS + "SELECT user_id, min(version) AS first_purged FROM v WHERE event_id % 97 = 0 OR content_hash = sha256('error') GROUP BY 1")
 def purge_boundary(spark, sf_dir):
     found = published(spark, sf_dir)

@@ -15,6 +15,8 @@ LABELS = {
 }
 #: Least confidence of a word, and the lengths that one document may have.
 CONFIDENCE, MOST_PAGES, MOST_CHARS = 90, 20, 100_000
+#: A column begins after a gap of this many points and heights; lines are near within these at the left edge and below.
+COLUMN_GAP, GAP_HEIGHTS, EDGE, LINE_HEIGHTS = 24, 3, 12, 2.5
 
 
 def certain_lines(words: DataFrame) -> DataFrame:
@@ -25,6 +27,38 @@ def certain_lines(words: DataFrame) -> DataFrame:
     return lines.filter("_sure").select(*key, F.array_join(F.transform("_words", lambda w: w["t"]), " ").alias("text"))
 
 
+def page_texts(words: DataFrame) -> DataFrame:
+    """(doc, page, text) of recognised words (as for :func:`certain_lines`, with left, top, width and height): lines that belong together follow each other, all else is parted by an empty line.
+
+    A line with an uncertain or empty word isn't shown and parts its neighbours. Inside a line, a wide gap before a
+    word, or a word that begins well inside the one before, begins another column. A line follows the one before only
+    in the same paragraph, at about the same left edge and not far below. Words of a line and lines of a page are few,
+    so they are lists; no window. A page without words has no row.
+    """
+    key = ["doc", "page", "block", "par", "line"]
+    sure = F.bool_and((F.coalesce(F.nanvl("conf", F.lit(-1.0)), F.lit(-1.0)) >= CONFIDENCE) & (F.trim(F.coalesce("text", F.lit(""))) != ""))
+    lines = words.groupBy(*key).agg(sure.alias("sure"), F.array_sort(F.collect_list(F.struct("word", "left", "top", "width", "height", F.trim("text").alias("t")))).alias("_w"))
+
+    def with_gap(w, i):
+        before = F.get("_w", i - 1)
+        gap = w["left"] - before["left"] - before["width"]
+        apart = (gap > F.greatest(F.lit(COLUMN_GAP), w["height"] * GAP_HEIGHTS)) | (gap < -w["height"])
+        return F.concat(F.when(i == 0, "").when(apart, "\n\n").otherwise(" "), w["t"])
+
+    head = F.get("_w", F.lit(0))
+    shown = lines.select("doc", "page", F.struct("block", "par", "line", "sure", F.array_join(F.transform("_w", with_gap), "").alias("text"), *(head[c].alias(c) for c in ("left", "top", "height"))).alias("_line"))
+    pages = shown.groupBy("doc", "page").agg(F.array_sort(F.collect_list("_line")).alias("_l"))
+
+    def with_break(line, i):
+        before = F.get("_l", i - 1)
+        near = before["sure"] & (line["block"] == before["block"]) & (line["par"] == before["par"])
+        near = near & (F.abs(line["left"] - before["left"]) <= F.greatest(F.lit(EDGE), line["height"]))
+        near = near & (F.abs(line["top"] - before["top"]) <= F.greatest(line["height"], before["height"]) * LINE_HEIGHTS)
+        return F.when(~line["sure"], "\n\n").otherwise(F.concat(F.when(i == 0, "").when(near, "\n").otherwise("\n\n"), line["text"]))
+
+    return pages.select("doc", "page", F.array_join(F.transform("_l", with_break), "").alias("text"))
+
+
 def _value(field, raw):
     """A value in its canonical form, or null where it isn't safe."""
     raw = F.trim(raw)

@@ -1,6 +1,7 @@
 """Sources and sinks on small files."""
 
 import io
+import random
 import zipfile
 
 import pytest
@@ -127,6 +128,58 @@ def test_certain_lines(spark):
     assert [(r["line"], r["text"]) for r in got] == [(1, "Valor bruto")]
 
 
+WORDS = "doc int, page int, block int, par int, line int, word int, left double, top double, width double, height double, conf double, text string"
+
+
+def plain_page(words):
+    """A page's text by its definition, line after line."""
+    out, before, lines = "", None, {}
+    for w in sorted(words):
+        lines.setdefault(w[:3], []).append(w)
+    for key, line in lines.items():
+        if any(w[8] is None or w[8] != w[8] or w[8] < 90 or not (w[9] or "").strip() for w in line):
+            out, before = out + "\n\n", None
+            continue
+        text, end = "", line[0][4]
+        for *_, left, _, width, height, _, t in line:
+            gap = left - end
+            text += (("\n\n" if gap > max(24, 3 * height) or gap < -height else " ") if text else "") + t.strip()
+            end = left + width
+        _, _, _, _, left, top, _, height = line[0][:8]
+        near = before and before[0] == key[:2] and abs(left - before[1]) <= max(12, height) and abs(top - before[2]) <= max(height, before[3]) * 2.5
+        out += (("\n" if near else "\n\n") if out else "") + text
+        before = key[:2], left, top, height
+    return out
+
+
+def test_page_texts(spark):
+    one = lambda line, text, conf, word=1, left=0.0, block=1, top=None: (block, 1, line, word, left, line * 10.0 if top is None else top, 100.0, 10.0, conf, text)
+    cases = {
+        "uncertain": ([one(1, "Numero da NFS-e:", 96.0), one(2, "98/654321", 89.0), one(3, "123", 97.0)], "Numero da NFS-e:\n\n\n\n123"),
+        "near": ([one(1, "Numero da nota:", 96.0), one(2, "7", 97.0)], "Numero da nota:\n7"),
+        "column": ([one(1, "Numero", 96.0), one(1, "da", 96.0, 2, 130.0), one(1, "Valor", 96.0, 3, 261.0), one(1, "back", 96.0, 4, 340.0)], "Numero da\n\nValor\n\nback"),
+        "aside": ([one(1, "a", 96.0), one(2, "b", 96.0, left=13.0), one(3, "c", 96.0, left=13.0, top=46.0)], "a\n\nb\n\nc"),
+        "block": ([one(1, "a", 96.0), one(2, "b", 96.0, block=2)], "a\n\nb"),
+        "first": ([one(1, " ", 96.0), one(2, "b", None), one(3, "c", float("nan")), one(4, "d", 90.0)], "\n\n\n\n\n\n\n\nd"),
+    }
+    rng = random.Random(11)
+    for i in range(40):
+        words = [(rng.randrange(2), rng.randrange(2), line, w, w * 60.0 + rng.choice([0, 0, 30, -20]), line * rng.choice([10.0, 25.0]), 50.0, rng.choice([8.0, 12.0]), rng.choice([95.0, 95.0, 95.0, 95.0, 20.0]), rng.choice(["x", "yy", " z "])) for line in range(8) for w in range(3)]
+        words = [w for w in words if rng.random() < 0.9]
+        cases[i] = words, plain_page(words)
+    rows = [(n, 0, *w) for n, (words, _) in enumerate(cases.values()) for w in words]
+    rng.shuffle(rows)
+    got = {r["doc"]: r["text"] for r in pages.page_texts(spark.createDataFrame(rows, WORDS)).collect()}
+    for n, (name, (words, want)) in enumerate(cases.items()):
+        assert plain_page(words) == want and got[n] == want, name
+
+
+def test_values_beside_an_uncertain_line_are_not_suggested(spark):
+    rows = [(d, 0, 1, 1, i, 1, 0.0, i * 10.0, 100.0, 10.0, c, t) for d, conf in ((1, 89.0), (2, 95.0)) for i, c, t in ((1, 96.0, "Numero da NFS-e:"), (2, conf, "98/654321"), (3, 97.0, "123"))]
+    got = {(r["doc"], r["field"]): (r["value"], r["verdict"]) for r in pages.suggestions(pages.page_texts(spark.createDataFrame(rows, WORDS))).collect()}
+    assert got[1, "number"] == (None, "unsafe") and got[2, "number"] == ("98/654321", "suggested")
+
+
 def test_contract_csv(spark, tmp_path):
     import hashlib
 
