@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.load import ordered_ids
+from tessera.operators.load import numbered, ordered_ids
 from tessera.storage import written
 
 #: Children of a node.
@@ -22,11 +22,16 @@ def leaves(ids: DataFrame, column: str) -> DataFrame:
 
 
 def tree(ids: DataFrame, column: str, fan_out: int = FAN_OUT) -> DataFrame:
-    """All nodes: level by level, each the hash of its children in order. An empty set has no node.
+    """All nodes over the distinct ids in order. An empty set has no node."""
+    return grown(leaves(ids, column), fan_out)
+
+
+def grown(leaves: DataFrame, fan_out: int = FAN_OUT) -> DataFrame:
+    """All nodes over leaves with places from 0: level by level, each the hash of its children in order.
 
     A level is one grouping on the parent's place; its groups are at most ``fan_out`` rows, and levels shrink by it.
     """
-    level = written(leaves(ids, column), "leaves")
+    level = written(leaves, "leaves")
     nodes, depth, n = level, 0, level.count()
     while n > 1:
         depth += 1
@@ -39,6 +44,29 @@ def tree(ids: DataFrame, column: str, fan_out: int = FAN_OUT) -> DataFrame:
     return nodes
 
 
+def packed(*columns: str) -> Column:
+    """The values of a row as one text that tells them apart: ``-`` for null, else the number of UTF-8 bytes, ``:`` and the value."""
+    value = lambda c: F.concat(F.octet_length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string"))
+    return F.concat(*(F.coalesce(value(c), F.lit("-")) for c in columns))
+
+
+def ordered_tree(rows: DataFrame, order: list[str], fields: list[str], fan_out: int = FAN_OUT) -> DataFrame:
+    """All nodes over the rows of a list in ``order``: every row is a leaf over its ``fields``, repeated rows too.
+
+    Columns outside ``fields``, such as clocks of a transport, leave the tree alone. Rows of the same place are taken by
+    their fields, so the order of the frame never matters. Places are ranks inside ranges: no task or row holds the list.
+    """
+    held = rows.select(*(F.col(c).alias(f"_at_{i}") for i, c in enumerate(order)), packed(*fields).alias("_content"))
+    places = numbered(held, [*(f"_at_{i}" for i in range(len(order))), "_content"], "_place")
+    return grown(places.select(F.lit(0).alias("level"), (F.col("_place") - 1).cast("long").alias("place"), F.sha2(F.concat(F.lit("leaf:"), F.col("_content")), 256).alias("hash")), fan_out)
+
+
+def ordered_root(nodes: DataFrame, tag: str) -> DataFrame:
+    """One row (n, height, root_hash, commitment) of an ordered tree: the commitment is over ``tag``, the number of rows and the top hash."""
+    top = root(nodes).join(nodes.agg(F.count_if(F.col("level") == 0).alias("n")))  # one row each
+    return top.select("n", "height", F.col("hash").alias("root_hash"), F.sha2(F.concat_ws(":", F.lit(f"{tag}/root"), F.col("n").cast("string"), "hash"), 256).alias("commitment"))
+
+
 def root(nodes: DataFrame) -> DataFrame:
     """(hash, height): the node above all; of an empty set, the hash of the word ``empty`` and height 0."""
     top = nodes.agg(F.max_by("hash", "level").alias("hash"), F.max("level").alias("height"))

@@ -90,14 +90,42 @@ def request_replay(spark, sf_dir):
     return preview.settle_requests(requests, known).withColumnRenamed("request_id", "event_id")
 
 
-@query()
+#: Levels of a hash tree in SQL: enough for 64 ** 5 leaves. A level of one node is the root and stays as it is.
+LEVELS = range(1, 6)
+
+
+def tree_sql(leaves):
+    """Levels ``l0`` (place, hash) to ``l5`` over the leaves of a query, and ``t`` (hash, height)."""
+    level = "l{1} AS (SELECT place // 64 AS place, CASE WHEN (SELECT count(*) FROM l{0}) = 1 THEN min(hash) ELSE sha256('node:' || string_agg(hash, ':' ORDER BY place)) END AS hash FROM l{0} GROUP BY 1)"
+    height = " + ".join(f"CAST((SELECT count(*) FROM l{i - 1}) > 1 AS INTEGER)" for i in LEVELS)
+    return ", ".join([f"l0 AS ({leaves})", *(level.format(i - 1, i) for i in LEVELS), f"t AS (SELECT coalesce((SELECT hash FROM l{LEVELS[-1]}), sha256('empty')) AS hash, {height} AS height)"])
+
+
+@query(f"""
+WITH a AS (SELECT DISTINCT CAST(c_custkey AS VARCHAR) AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)), {tree_sql("SELECT row_number() OVER (ORDER BY id) - 1 AS place, sha256('leaf:' || id) AS hash FROM a")}
+SELECT hash, height FROM t
+""")
 def absence_commitment(spark, sf_dir):
-    """The hash that stands for all customers without orders (its tree has no SQL)."""
+    """The hash that stands for all customers without orders."""
     customer, orders = table(spark, sf_dir, "customer", "c_custkey"), table(spark, sf_dir, "orders", "o_custkey")
     absent = customer.join(orders, F.col("c_custkey") == F.col("o_custkey"), "left_anti")
     return commitment.root(commitment.tree(absent, "c_custkey"))
 
 
+LINE_FIELDS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"]
+PACKED_LINE = " || ".join(f"coalesce(CAST(octet_length(encode(CAST({c} AS VARCHAR))) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')" for c in LINE_FIELDS)
+
+
+@query(f"""
+WITH c AS (SELECT l_orderkey, l_linenumber, {PACKED_LINE} AS content FROM lineitem), {tree_sql("SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, content) - 1 AS place, sha256('leaf:' || content) AS hash FROM c")}
+SELECT (SELECT count(*) FROM l0) AS n, height, hash AS root_hash, sha256('lines/v1/root:' || (SELECT count(*) FROM l0) || ':' || hash) AS commitment FROM t
+""")
+def ordered_root(spark, sf_dir):
+    """All order lines as one ordered list under a hash; their dates are left out."""
+    lines = table(spark, sf_dir, "lineitem", *LINE_FIELDS)
+    return commitment.ordered_root(commitment.ordered_tree(lines, ["l_orderkey", "l_linenumber"], LINE_FIELDS), "lines/v1")
+
+
 @query()
 def absence_tree(spark, sf_dir):
     """The same set under a balanced binary tree, as one commitment (its tree has no SQL)."""

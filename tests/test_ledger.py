@@ -170,6 +170,29 @@ def test_balanced_commitment(spark, n):
     assert nodes.count() == n and (n < 11 or commitment.balanced_proof(nodes, 3).count() <= 4)
 
 
+@pytest.mark.parametrize("n", [0, 1, 3, 4, 5, 16, 17, 70])
+def test_ordered_tree(spark, n):
+    sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    rows = [(i // 2, "é" * (i % 3) if i % 5 else None, i % 4) for i in range(n)]
+    pack = lambda r: "".join("-" if v is None else f"{len(str(v).encode())}:{v}" for v in (r[1], r[2]))
+    level, height = [sha("leaf:" + c) for _, c in sorted((r[0], pack(r)) for r in rows)], 0
+    while len(level) > 1:
+        level, height = [sha("node:" + ":".join(level[i : i + 4])) for i in range(0, len(level), 4)], height + 1
+    top = level[0] if level else sha("empty")
+
+    def got(rows, parts):
+        df = spark.createDataFrame([(*r, random.random()) for r in rows], "at int, name string, v int, clock double").repartition(parts)
+        return commitment.ordered_root(commitment.ordered_tree(df, ["at"], ["name", "v"], 4), "t").first()
+
+    one, two = got(rows, 3), got(rows[::-1], 2)
+    assert tuple(one) == tuple(two) == (n, height, top, sha(f"t/root:{n}:{top}"))
+    if n > 2:
+        moved = [(10**6 if i == 0 else r[0], *r[1:]) for i, r in enumerate(rows)]
+        assert got(moved, 3)["commitment"] != one["commitment"]
+        # What is read as fields can't be read as others.
+        assert got([(0, "1:2", 3)], 1)["root_hash"] != got([(0, "1", 23)], 1)["root_hash"]
+
+
 def test_commitment(spark):
     ids = spark.range(300).select((F.col("id") * 7).alias("id"))
     nodes = commitment.tree(ids, "id", 8)
