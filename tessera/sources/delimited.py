@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 #: The delimiters of the contract.
 DELIMITERS = (",", ";", "\t", "|")
@@ -48,64 +46,83 @@ def checked_rows(rows: list[list[str]], budget: Budget) -> list[list[str]]:
     return rows
 
 
-def parse(content: bytes, delimiter: str, quote: bool, bom: bool, multiline: bool, budget: Budget) -> Iterator[tuple[str, list[str]]]:
-    """(locator, cells) of each record, the header first; the locator is the record's first physical line."""
-    if delimiter not in DELIMITERS:
-        raise Refused("CSV_OPTIONS_UNSUPPORTED")
-    if len(content) > min(budget.source_bytes, budget.expanded_bytes):
-        raise Refused("TABULAR_LIMIT_EXCEEDED")
-    if content.startswith(b"\xef\xbb\xbf") != bom:
-        raise Refused("CSV_OPTIONS_UNSUPPORTED")
-    try:
-        text = content.decode("utf-8-sig" if bom else "utf-8")
-    except UnicodeDecodeError:
-        raise Refused("CSV_OPTIONS_UNSUPPORTED") from None
-    if "\0" in text:
-        raise Refused("CSV_MALFORMED")
-    d = re.escape(delimiter)
-    end = rf"({d}|\r\n|\n|\r|\Z)"
-    # A cell is quoted as a whole or holds no quote at all; anything else has no match.
-    cell = re.compile(rf'(?:"((?:[^"]++|"")*+)"[^\S\r\n{d}]*+|([^"\r\n{d}]*+)){end}' if quote else rf"()([^\r\n{d}]*+){end}")
-    line, first, start, at, record = 1, 1, 0, 0, []
-    while at < len(text) or record:
-        found = cell.match(text, at)
-        if found is None:
-            raise Refused("CSV_MALFORMED")
-        inner, plain, stop = found.groups()
-        value = plain if plain is not None else inner.replace('""', '"')
-        if plain is None and ("\n" in value or "\r" in value):
-            if not multiline:
-                raise Refused("CSV_MALFORMED")
-            value = value.replace("\r\n", "\n")
-            line += value.count("\n") + value.count("\r")
-        record.append(value)
-        at = found.end()
-        if stop == delimiter:
-            continue
-        if len(text[start:at].encode()) > budget.record_bytes:
-            raise Refused("TABULAR_LIMIT_EXCEEDED")
-        yield f"row:{first}", record
-        line += 1
-        record, first, start = [], line, at
+#: What ends a physical line; the blanks that may follow a closing quote.
+END = r"(\r\n|\n|\r)"
+BLANKS = r"(?U)[\s\x1c-\x1f&&[^\r\n]]+\z"
+#: Marks of ends of records and cells: texts with NUL are refused, so none has them.
+RECORD, CELL = "\0R", "\0C"
 
 
-def read_strict(files: DataFrame, delimiter: str = ",", quote: bool = True, bom: bool = False, multiline: bool = False, budget: Budget = Budget()) -> DataFrame:
-    """Rows of ``files`` (path, content): row 0 is the header; a refused file is one row with its issue.
+def _cell(raw: Column, quote: bool, multiline: bool) -> Column:
+    """(value, breaks, bad) of a cell: quoted as a whole, or without any quote."""
+    if not quote:
+        return F.struct(raw.alias("value"), F.lit(0).alias("breaks"), F.lit(False).alias("bad"))
+    whole = F.regexp_replace(raw, BLANKS, "")
+    inner = F.substring(whole, F.lit(2), F.length(whole) - 2)
+    quoted = F.startswith(raw, F.lit('"'))
+    closed = (F.length(whole) >= 2) & F.endswith(whole, F.lit('"')) & ~F.contains(F.replace(inner, F.lit('""'), F.lit("")), F.lit('"'))
+    value = F.replace(F.replace(inner, F.lit('""'), F.lit('"')), F.lit("\r\n"), F.lit("\n"))
+    breaks = F.length(value) - F.length(F.translate(value, "\r\n", ""))
+    bad = F.when(quoted, ~closed | ((breaks > 0) & F.lit(not multiline))).otherwise(F.contains(raw, F.lit('"')))
+    return F.struct(F.when(quoted, value).otherwise(raw).alias("value"), F.when(quoted, breaks).otherwise(0).alias("breaks"), bad.alias("bad"))
+
 
-    ``files`` is ``spark.read.format("binaryFile")``: each file is one row and within the budget, so a task holds one at a time.
+def _records(text: Column, delimiter: str, quote: bool, multiline: bool) -> Column:
+    """The records of a text: (cells, breaks, bad, size in bytes).
+
+    Every other stretch between quotes is outside of them; only there do delimiters and line ends part cells and records.
     """
+    def marked(stretch, i):
+        parted = F.replace(F.regexp_replace(stretch, END, "$1" + RECORD), F.lit(delimiter), F.lit(CELL))
+        return F.when(i % 2 == 0, parted).otherwise(stretch)
+
+    stretches = F.split(text, '"', -1) if quote else F.array(text)
+    found = F.split(F.array_join(F.transform(stretches, marked), '"'), r"\x00R", -1)
+    found = F.when(F.element_at(found, -1) == "", F.slice(found, F.lit(1), F.size(found) - 1)).otherwise(found)
+
+    def record(raw):
+        cells = F.transform(F.split(F.regexp_replace(raw, END + r"\z", ""), r"\x00C", -1), lambda c: _cell(c, quote, multiline))
+        return F.struct(cells.alias("cells"), F.octet_length(raw).alias("size"))
 
-    def read(batches):
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                try:
-                    records = list(parse(bytes(content or b""), delimiter, quote, bom, multiline, budget))
-                    checked_rows([cells for _, cells in records], budget)
-                    if not records or any(not c.strip() for c in records[0][1]):
-                        raise Refused("CSV_MALFORMED")
-                    out = [(path, i, locator, cells, None) for i, (locator, cells) in enumerate(records)]
-                except Refused as refused:
-                    out = [(path, None, None, None, refused.code)]
-                yield pd.DataFrame(out, columns=["path", "row", "locator", "cells", "issue"]).astype({"row": "Int32"})
-
-    return files.select("path", "content").mapInPandas(read, SCHEMA)
+    def summed(r):
+        breaks = F.aggregate(r["cells"], F.lit(0), lambda n, c: n + c["breaks"])
+        return F.struct(F.transform(r["cells"], lambda c: c["value"]).alias("cells"), breaks.alias("breaks"), F.exists(r["cells"], lambda c: c["bad"]).alias("bad"), (r["size"] - F.size(r["cells"]) + 1).alias("size"))
+
+    return F.transform(F.transform(found, record), summed)
+
+
+def read_strict(files: DataFrame, delimiter: str = ",", quote: bool = True, bom: bool = False, multiline: bool = False, budget: Budget = Budget()) -> DataFrame:
+    """(path, row, locator, cells, issue): row 0 is the header; a refused file is one row with its issue.
+
+    ``files`` (path, content) is ``spark.read.format("binaryFile")``: each file is one row and within the budget. The
+    locator is a record's first physical line. All of it is column expressions over the file's row: no Python, no shuffle.
+    Null content is an empty file, and that is malformed, as it has no header. The first fault of a file counts.
+    """
+    content = F.coalesce("content", F.lit(b""))
+    mark = F.lit(b"\xef\xbb\xbf")
+    has_bom = F.substring(content, 1, 3) == mark
+    body = F.substring(content, F.lit(4), F.length(content)) if bom else content
+    text = body.cast("string")
+    early = (
+        F.when(F.lit(delimiter not in DELIMITERS), "CSV_OPTIONS_UNSUPPORTED")
+        .when(F.length(content) > min(budget.source_bytes, budget.expanded_bytes), "TABULAR_LIMIT_EXCEEDED")
+        .when(has_bom != F.lit(bom), "CSV_OPTIONS_UNSUPPORTED")
+        .when(~F.is_valid_utf8(text), "CSV_OPTIONS_UNSUPPORTED")
+        .when(F.contains(text, F.lit("\0")), "CSV_MALFORMED")
+    )
+    opened = files.select("path", early.alias("early"), F.when(early.isNull(), text).alias("text"))
+    records = opened.select("path", "early", _records(F.col("text"), delimiter, quote, multiline).alias("r"))
+    # Of a record that is both, the fault inside comes before the size at its end.
+    fault = lambda r: F.when(r["bad"], "CSV_MALFORMED").when(r["size"] > budget.record_bytes, "TABULAR_LIMIT_EXCEEDED")
+    first = F.get(F.filter(F.transform("r", fault), lambda f: f.isNotNull()), F.lit(0))
+    over = (F.size("r") > budget.rows + 1) | F.exists("r", lambda r: (F.size(r["cells"]) > budget.columns) | F.exists(r["cells"], lambda c: F.length(c) > budget.cell_chars))
+    headless = (F.size("r") == 0) | F.exists(F.get("r", F.lit(0))["cells"], lambda c: F.regexp_replace(c, r"(?U)[\s\x1c-\x1f]+", "") == "")
+    issue = F.coalesce("early", first, F.when(over, "TABULAR_LIMIT_EXCEEDED"), F.when(headless, "CSV_MALFORMED"))
+    judged = records.select("path", "r", issue.alias("issue"))
+    # The breaks inside the records before; a file has few records (its budget).
+    sums = F.aggregate("r", F.struct(F.array().cast("array<int>").alias("lines"), F.lit(1).alias("next")), lambda s, r: F.struct(F.concat(s["lines"], F.array(s["next"])).alias("lines"), (s["next"] + r["breaks"] + 1).alias("next")))["lines"]
+    lines = F.when(F.exists("r", lambda r: r["breaks"] > 0), sums).otherwise(F.sequence(F.lit(1), F.size("r")))
+    row = F.transform("r", lambda r, i: F.struct(i.alias("row"), F.concat(F.lit("row:"), F.get(lines, i).cast("string")).alias("locator"), r["cells"].alias("cells")))
+    refused = F.array(F.struct(F.lit(None).cast("int").alias("row"), F.lit(None).cast("string").alias("locator"), F.lit(None).cast("array<string>").alias("cells")))
+    shown = judged.select("path", "issue", F.explode(F.when(F.col("issue").isNull(), row).otherwise(refused)).alias("_r"))
+    return shown.select("path", "_r.row", "_r.locator", "_r.cells", "issue")

@@ -2,6 +2,7 @@
 
 import io
 import random
+import re
 import zipfile
 
 import pytest
@@ -128,6 +129,83 @@ def test_certain_lines(spark):
     assert [(r["line"], r["text"]) for r in got] == [(1, "Valor bruto")]
 
 
+def plain_csv(content: bytes, delimiter: str, quote: bool, bom: bool, multiline: bool, budget):
+    """(locator, cells) of each record, the header first; the locator is the record's first physical line."""
+    if delimiter not in delimited.DELIMITERS:
+        raise delimited.Refused("CSV_OPTIONS_UNSUPPORTED")
+    if len(content) > min(budget.source_bytes, budget.expanded_bytes):
+        raise delimited.Refused("TABULAR_LIMIT_EXCEEDED")
+    if content.startswith(b"\xef\xbb\xbf") != bom:
+        raise delimited.Refused("CSV_OPTIONS_UNSUPPORTED")
+    try:
+        text = content.decode("utf-8-sig" if bom else "utf-8")
+    except UnicodeDecodeError:
+        raise delimited.Refused("CSV_OPTIONS_UNSUPPORTED") from None
+    if "\0" in text:
+        raise delimited.Refused("CSV_MALFORMED")
+    d = re.escape(delimiter)
+    end = rf"({d}|\r\n|\n|\r|\Z)"
+    # A cell is quoted as a whole or holds no quote at all; anything else has no match.
+    cell = re.compile(rf'(?:"((?:[^"]++|"")*+)"[^\S\r\n{d}]*+|([^"\r\n{d}]*+)){end}' if quote else rf"()([^\r\n{d}]*+){end}")
+    line, first, start, at, record = 1, 1, 0, 0, []
+    while at < len(text) or record:
+        found = cell.match(text, at)
+        if found is None:
+            raise delimited.Refused("CSV_MALFORMED")
+        inner, plain, stop = found.groups()
+        value = plain if plain is not None else inner.replace('""', '"')
+        if plain is None and ("\n" in value or "\r" in value):
+            if not multiline:
+                raise delimited.Refused("CSV_MALFORMED")
+            value = value.replace("\r\n", "\n")
+            line += value.count("\n") + value.count("\r")
+        record.append(value)
+        at = found.end()
+        if stop == delimiter:
+            continue
+        if len(text[start:at].encode()) > budget.record_bytes:
+            raise delimited.Refused("TABULAR_LIMIT_EXCEEDED")
+        yield f"row:{first}", record
+        line += 1
+        record, first, start = [], line, at
+
+
+@pytest.mark.parametrize(("delimiter", "quote", "bom", "multiline"), [(",", True, False, True), (",", True, False, False), ("\t", True, True, True), ("|", False, False, False)])
+def test_strict_text_against_a_plain_parser(spark, delimiter, quote, bom, multiline):
+    rng = random.Random(delimiter)
+    pool = ["a", "é", " ", '"', '""', '"x"', '"p{d}q"', '"l\n"', '"l\r\nm"', "{d}", "\n", "\r\n", "\r", "\u2003", '"" '.strip(), "long long"]
+    contents = [None, b"", b"\xef\xbb\xbf", b"\xff\n", b"a\0", b"a\nb", b"a\n" + b"x" * 40, '"h"\n"é{d}1"\u2003\n'.replace("{d}", delimiter).encode()]
+    for _ in range(500):
+        text = "h" + "".join(rng.choice(pool if rng.random() < 0.5 else pool[:1] + pool[5:14]) for _ in range(rng.randrange(12))).replace("{d}", delimiter)
+        contents.append((b"\xef\xbb\xbf" if bom and rng.random() < 0.9 else b"") + text.encode())
+    # Cells joined by delimiters and lines: most of these are well formed.
+    good = ["a", "é ", '"x"', '"p{d}q"', '"a""b" ', '"l\n\rm"', '"l\r\nm"', "", "b"]
+    for _ in range(500):
+        lines = [delimiter.join(rng.choice(good).replace("{d}", delimiter) for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(1, 5))]
+        contents.append((b"\xef\xbb\xbf" if bom else b"") + rng.choice(["\n", "\r\n", "\r"]).join(["h", *lines]).encode())
+    budget = delimited.Budget(rows=6, cell_chars=8, columns=3, record_bytes=24)
+    want = {}
+    for i, content in enumerate(contents):
+        try:
+            records = list(plain_csv(content or b"", delimiter, quote, bom, multiline, budget))
+            delimited.checked_rows([c for _, c in records], budget)
+            if not records or any(not c.strip() for c in records[0][1]):
+                raise delimited.Refused("CSV_MALFORMED")
+            want[i] = [(n, *r) for n, r in enumerate(records)]
+        except delimited.Refused as refused:
+            want[i] = refused.code
+    got = {}
+    df = spark.createDataFrame(list(enumerate(contents)), "path int, content binary")
+    for r in delimited.read_strict(df, delimiter, quote, bom, multiline, budget).orderBy("path", "row").collect():
+        if r["issue"]:
+            got[r["path"]] = r["issue"]
+        else:
+            got.setdefault(r["path"], []).append((r["row"], r["locator"], r["cells"]))
+    assert {str(w) if isinstance(w, str) else "rows" for w in want.values()} == {"rows", "CSV_MALFORMED", "CSV_OPTIONS_UNSUPPORTED", "TABULAR_LIMIT_EXCEEDED"}
+    for i, content in enumerate(contents):
+        assert got[i] == want[i], content
+
+
 WORDS = "doc int, page int, block int, par int, line int, word int, left double, top double, width double, height double, conf double, text string"
 
 
