@@ -53,22 +53,25 @@ BLANKS = r"(?U)[\s\x1c-\x1f&&[^\r\n]]+\z"
 RECORD, CELL = "\0R", "\0C"
 
 
-def _cell(raw: Column, quote: bool, multiline: bool) -> Column:
-    """(value, breaks, bad) of a cell: quoted as a whole, or without any quote."""
+def _cells(raw: Column, quote: bool, multiline: bool) -> Column:
+    """(value, breaks, bad) of cells, each quoted as a whole or without any quote.
+
+    Step by step, as a lambda computes what it names anew at each use.
+    """
     if not quote:
-        return F.struct(raw.alias("value"), F.lit(0).alias("breaks"), F.lit(False).alias("bad"))
-    whole = F.regexp_replace(raw, BLANKS, "")
-    inner = F.substring(whole, F.lit(2), F.length(whole) - 2)
-    quoted = F.startswith(raw, F.lit('"'))
-    closed = (F.length(whole) >= 2) & F.endswith(whole, F.lit('"')) & ~F.contains(F.replace(inner, F.lit('""'), F.lit("")), F.lit('"'))
-    value = F.replace(F.replace(inner, F.lit('""'), F.lit('"')), F.lit("\r\n"), F.lit("\n"))
-    breaks = F.length(value) - F.length(F.translate(value, "\r\n", ""))
-    bad = F.when(quoted, ~closed | ((breaks > 0) & F.lit(not multiline))).otherwise(F.contains(raw, F.lit('"')))
-    return F.struct(F.when(quoted, value).otherwise(raw).alias("value"), F.when(quoted, breaks).otherwise(0).alias("breaks"), bad.alias("bad"))
+        return F.transform(raw, lambda c: F.struct(c.alias("value"), F.lit(0).alias("breaks"), F.lit(False).alias("bad")))
+    whole = F.transform(raw, lambda c: F.struct(c.alias("raw"), F.when(F.startswith(c, F.lit('"')), F.regexp_replace(c, BLANKS, "")).alias("whole")))
+    inner = F.transform(whole, lambda c: F.struct(c["raw"].alias("raw"), F.substring(c["whole"], F.lit(2), F.length(c["whole"]) - 2).alias("inner"), ((F.length(c["whole"]) >= 2) & F.endswith(c["whole"], F.lit('"'))).alias("closed")))
+    value = F.transform(inner, lambda c: F.struct(
+        F.when(c["inner"].isNull(), c["raw"]).otherwise(F.replace(F.replace(c["inner"], F.lit('""'), F.lit('"')), F.lit("\r\n"), F.lit("\n"))).alias("value"),
+        F.when(c["inner"].isNull(), F.contains(c["raw"], F.lit('"'))).otherwise(~c["closed"] | F.contains(F.replace(c["inner"], F.lit('""'), F.lit("")), F.lit('"'))).alias("bad"),
+    ))
+    broken = F.transform(value, lambda c: F.struct(c["value"].alias("value"), (F.length(c["value"]) - F.length(F.translate(c["value"], "\r\n", ""))).alias("breaks"), c["bad"].alias("bad")))
+    return broken if multiline else F.transform(broken, lambda c: F.struct(c["value"].alias("value"), c["breaks"].alias("breaks"), (c["bad"] | (c["breaks"] > 0)).alias("bad")))
 
 
-def _records(text: Column, delimiter: str, quote: bool, multiline: bool) -> Column:
-    """The records of a text: (cells, breaks, bad, size in bytes).
+def _records(opened: DataFrame, delimiter: str, quote: bool, multiline: bool) -> DataFrame:
+    """``opened`` (path, early, text) with the records ``r`` of each text: (cells, breaks, bad, size in bytes).
 
     Every other stretch between quotes is outside of them; only there do delimiters and line ends part cells and records.
     """
@@ -76,19 +79,20 @@ def _records(text: Column, delimiter: str, quote: bool, multiline: bool) -> Colu
         parted = F.replace(F.regexp_replace(stretch, END, "$1" + RECORD), F.lit(delimiter), F.lit(CELL))
         return F.when(i % 2 == 0, parted).otherwise(stretch)
 
-    stretches = F.split(text, '"', -1) if quote else F.array(text)
-    found = F.split(F.array_join(F.transform(stretches, marked), '"'), r"\x00R", -1)
-    found = F.when(F.element_at(found, -1) == "", F.slice(found, F.lit(1), F.size(found) - 1)).otherwise(found)
+    stretches = F.split("text", '"', -1) if quote else F.array("text")
+    parted = opened.select("path", "early", F.split(F.array_join(F.transform(stretches, marked), '"'), r"\x00R", -1).alias("_f"))
+    # Behind the last line end there is no record.
+    found = parted.select("path", "early", F.when(F.element_at("_f", -1) == "", F.slice("_f", F.lit(1), F.size("_f") - 1)).otherwise(F.col("_f")).alias("_f"))
 
     def record(raw):
-        cells = F.transform(F.split(F.regexp_replace(raw, END + r"\z", ""), r"\x00C", -1), lambda c: _cell(c, quote, multiline))
+        cells = _cells(F.split(F.regexp_replace(raw, END + r"\z", ""), r"\x00C", -1), quote, multiline)
         return F.struct(cells.alias("cells"), F.octet_length(raw).alias("size"))
 
     def summed(r):
         breaks = F.aggregate(r["cells"], F.lit(0), lambda n, c: n + c["breaks"])
         return F.struct(F.transform(r["cells"], lambda c: c["value"]).alias("cells"), breaks.alias("breaks"), F.exists(r["cells"], lambda c: c["bad"]).alias("bad"), (r["size"] - F.size(r["cells"]) + 1).alias("size"))
 
-    return F.transform(F.transform(found, record), summed)
+    return found.select("path", "early", F.transform(F.transform("_f", record), summed).alias("r"))
 
 
 def read_strict(files: DataFrame, delimiter: str = ",", quote: bool = True, bom: bool = False, multiline: bool = False, budget: Budget = Budget()) -> DataFrame:
@@ -111,7 +115,7 @@ def read_strict(files: DataFrame, delimiter: str = ",", quote: bool = True, bom:
         .when(F.contains(text, F.lit("\0")), "CSV_MALFORMED")
     )
     opened = files.select("path", early.alias("early"), F.when(early.isNull(), text).alias("text"))
-    records = opened.select("path", "early", _records(F.col("text"), delimiter, quote, multiline).alias("r"))
+    records = _records(opened, delimiter, quote, multiline)
     # Of a record that is both, the fault inside comes before the size at its end.
     fault = lambda r: F.when(r["bad"], "CSV_MALFORMED").when(r["size"] > budget.record_bytes, "TABULAR_LIMIT_EXCEEDED")
     first = F.get(F.filter(F.transform("r", fault), lambda f: f.isNotNull()), F.lit(0))
@@ -121,8 +125,9 @@ def read_strict(files: DataFrame, delimiter: str = ",", quote: bool = True, bom:
     judged = records.select("path", "r", issue.alias("issue"))
     # The breaks inside the records before; a file has few records (its budget).
     sums = F.aggregate("r", F.struct(F.array().cast("array<int>").alias("lines"), F.lit(1).alias("next")), lambda s, r: F.struct(F.concat(s["lines"], F.array(s["next"])).alias("lines"), (s["next"] + r["breaks"] + 1).alias("next")))["lines"]
-    lines = F.when(F.exists("r", lambda r: r["breaks"] > 0), sums).otherwise(F.sequence(F.lit(1), F.size("r")))
-    row = F.transform("r", lambda r, i: F.struct(i.alias("row"), F.concat(F.lit("row:"), F.get(lines, i).cast("string")).alias("locator"), r["cells"].alias("cells")))
+    lines = F.when(F.exists("r", lambda r: r["breaks"] > 0), sums).otherwise(F.transform("r", lambda _, i: i + 1))
+    numbered = judged.select("path", "issue", F.arrays_zip(F.transform("r", lambda r: r["cells"]).alias("cells"), lines.alias("line")).alias("_z"))
+    row = F.transform("_z", lambda z, i: F.struct(i.alias("row"), F.concat(F.lit("row:"), z["line"].cast("string")).alias("locator"), z["cells"].alias("cells")))
     refused = F.array(F.struct(F.lit(None).cast("int").alias("row"), F.lit(None).cast("string").alias("locator"), F.lit(None).cast("array<string>").alias("cells")))
-    shown = judged.select("path", "issue", F.explode(F.when(F.col("issue").isNull(), row).otherwise(refused)).alias("_r"))
+    shown = numbered.select("path", "issue", F.explode(F.when(F.col("issue").isNull(), row).otherwise(refused)).alias("_r"))
     return shown.select("path", "_r.row", "_r.locator", "_r.cells", "issue")
