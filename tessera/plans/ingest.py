@@ -1,11 +1,16 @@
 """Queries over files that the tables stand for, and over text lines."""
 
+import io
+import zipfile
+
+import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from tessera.functions import labels
 from tessera.operators import commitment, preview
 from tessera.plans.registry import query, table
-from tessera.sources import delimited, invoices, pages
+from tessera.sources import delimited, invoices, pages, sheets
 
 
 @query("""
@@ -42,6 +47,55 @@ def xml_note(spark, sf_dir):
     return notes.select(F.col("path").cast("long").alias("o_orderkey"), "number", "issued", "amount", "issue")
 
 
+@F.pandas_udf(BinaryType())
+def _archive(parts: pd.Series) -> pd.Series:
+    """Archives of files by name, to be read back."""
+    def packed(files):
+        buffer = io.BytesIO()
+        with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
+            for name, text in dict(files).items():
+                archive.writestr(name, text)
+        return buffer.getvalue()
+
+    return parts.map(packed)
+
+
+@query("""
+WITH c AS (SELECT o_orderkey, o_orderstatus, o_orderdate, o_orderkey // 400 AS f, o_totalprice,
+  row_number() OVER (PARTITION BY o_orderkey // 400, o_orderkey % 2 ORDER BY o_orderkey) AS n FROM orders)
+SELECT 'f' || f AS path, CAST(o_orderkey % 2 AS INTEGER) AS ordinal, CASE o_orderkey % 2 WHEN 0 THEN 'even' ELSE 'Aba 2' END AS sheet, o_orderkey % 2 = 0 AS visible, CAST(n AS INTEGER) AS row,
+ 'row:' || (3 + o_orderkey % 400) AS locator, CAST(o_orderkey AS VARCHAR) AS code, o_orderstatus AS status, strftime(o_orderdate, '%Y-%m-%d') AS day,
+ CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) END AS amount, CASE WHEN o_orderkey % 3 = 0 THEN 'true' ELSE 'false' END AS flag, CAST(NULL AS VARCHAR) AS issue
+FROM c WHERE f % 6 <> 1
+UNION ALL SELECT DISTINCT 'f' || f, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'WORKBOOK_UNSAFE' FROM c WHERE f % 6 = 1
+""")
+def workbook_rows(spark, sf_dir):
+    """Orders as workbooks of 400 lines on two sheets, with shared texts, serials as days, gaps and flags; every sixth has a formula."""
+    orders = table(spark, sf_dir, "orders", "o_orderkey", "o_orderstatus", "o_orderdate", "o_totalprice")
+    k, f = F.col("o_orderkey"), F.call_function("div", F.col("o_orderkey"), F.lit(400))
+    at = (k % 400 + 3).cast("string")
+    serial = F.date_diff(F.col("o_orderdate").cast("date"), F.lit("1899-12-30").cast("date")).cast("string")
+    place = F.instr(F.lit("FOP"), F.col("o_orderstatus")) - 1
+    cell = lambda column, more, body: F.concat(F.lit(f'<c r="{column}'), at, F.lit(f'"{more}>'), body, F.lit("</c>"))
+    held = lambda x: F.concat(F.lit("<v>"), x.cast("string"), F.lit("</v>"))
+    amount = F.when(k % 5 == 0, "").otherwise(cell("D", ' t="inlineStr"', F.concat(F.lit("<is><r><t>"), F.col("o_totalprice").cast("decimal(18,2)").cast("string"), F.lit("</t></r></is>"))))
+    line = F.concat(F.lit('<row r="'), at, F.lit('">'), cell("A", "", held(k)), cell("B", ' t="s"', held(place)), cell("C", ' s="1"', held(serial)), amount, cell("E", ' t="b"', held((k % 3 == 0).cast("int"))), F.lit("</row>"))
+    head = "".join(f'<c t="inlineStr"><is><t>{h}</t></is></c>' for h in ("code", "status", "day", "amount", "flag"))
+    formula = F.when(F.col("f") % 6 == 1, '<row r="500"><c r="A500"><f>1+1</f><v>2</v></c></row>').otherwise("")
+    sheet = lambda n: F.concat(F.lit(f'<worksheet><sheetData><row r="2">{head}</row>'), F.array_join(F.transform(F.filter("lines", lambda x: x["k"] % 2 == n), lambda x: x["line"]), ""), formula, F.lit("</sheetData></worksheet>"))
+    fixed = {
+        "xl/workbook.xml": '<workbook xmlns:r="r"><sheets><sheet name="even" r:id="a"/><sheet state="hidden" r:id="b"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": '<Relationships><Relationship Id="a" Target="worksheets/one.xml"/><Relationship Id="b" Target="xl/worksheets/two.xml"/></Relationships>',
+        "xl/sharedStrings.xml": "<sst><si><t>F</t></si><si><t>O</t></si><si><r><t>P</t></r></si></sst>",
+        "xl/styles.xml": '<styleSheet><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/></cellXfs></styleSheet>',
+    }
+    lines = orders.groupBy(f.alias("f")).agg(F.array_sort(F.collect_list(F.struct(k.alias("k"), line.alias("line")))).alias("lines"))  # 400 a file
+    parts = F.create_map(*(F.lit(x) for pair in fixed.items() for x in pair), F.lit("xl/worksheets/one.xml"), sheet(0), F.lit("xl/worksheets/two.xml"), sheet(1))
+    found = sheets.read_sheets(lines.select(F.concat(F.lit("f"), F.col("f").cast("string")).alias("path"), _archive(parts).alias("content")))
+    values = (F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(("code", "status", "day", "amount", "flag")))
+    return found.filter("row IS NULL OR row > 0").select("path", "ordinal", "sheet", "visible", "row", "locator", *values, "issue")
+
+
 @query("""
 WITH o AS (SELECT o_orderkey AS doc, CASE o_orderkey % 4 WHEN 0 THEN 'suggested' WHEN 1 THEN 'suggested' WHEN 2 THEN 'several_notes' ELSE 'unsafe' END AS v, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) AS amount FROM orders)
 SELECT doc, 'number' AS field, CASE v WHEN 'suggested' THEN CAST(doc AS VARCHAR) END AS value, CASE v WHEN 'unsafe' THEN 'absent' ELSE v END AS verdict FROM o

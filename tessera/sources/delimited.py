@@ -40,12 +40,6 @@ class Refused(ValueError):
 SCHEMA = "path string, row int, locator string, cells array<string>, issue string"
 
 
-def checked_rows(rows: list[list[str]], budget: Budget) -> list[list[str]]:
-    if len(rows) > budget.rows + 1 or any(len(r) > budget.columns or any(len(c) > budget.cell_chars for c in r) for r in rows):
-        raise Refused("TABULAR_LIMIT_EXCEEDED")
-    return rows
-
-
 #: What ends a physical line; the blanks that may follow a closing quote.
 END = r"(\r\n|\n|\r)"
 BLANKS = r"(?U)[\s\x1c-\x1f&&[^\r\n]]+\z"

@@ -2,94 +2,106 @@
 
 from __future__ import annotations
 
-import re
-from datetime import date
+from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from tessera.sources.delimited import Budget, Refused
-from tessera.sources.xmls import local, tree
+from tessera.sources.delimited import Budget
+from tessera.sources.xmls import elements
 
-SCHEMA = "path string, number string, issued string, amount string, format string, issue string"
-#: Namespaces, versions and states of the two families of formats.
+#: Namespaces, versions and states of the two families of formats, and what stands for a replaced note.
 CITY, NATION = "http://www.abrasf.org.br/nfse.xsd", "http://www.sped.fazenda.gov.br/nfse"
 CITY_VERSIONS, NATION_VERSIONS, NATION_STATES = ("2.03", "2.04"), ("1.00", "1.01"), ("100", "102", "103", "107")
+REPLACED, REPLACED_ALONE = "(?i)cancelamento|substituicao", "subst"
+#: The grammars of number, instant and amount.
+NUMBER = r"^[0-9]{1,15}\z"
+STAMP = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T(?:[01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9](?:\.[0-9]+)?(?:Z|[+-](?:0[0-9]|1[0-3]):[0-5][0-9]|[+-]14:00)?\z"
+AMOUNT = r"^[0-9]{1,15}(?:\.[0-9]{1,2})?\z"
 BUDGET = Budget(source_bytes=2 * 2**20, expanded_bytes=2 * 2**20, xml_nodes=10_000, xml_depth=32)
-STAMP = r"\d{4}-\d\d-\d\dT([01]\d|2[0-3]):[0-5]\d:[0-5]\d(\.\d+)?(Z|[+-](0\d|1[0-3]):[0-5]\d|[+-]14:00)?"
-
-
-def down(node, namespace: str, *path: str):
-    """The only child by each name in turn."""
-    for name in path:
-        found = [c for c in node if c.tag == f"{{{namespace}}}{name}"]
-        if len(found) != 1:
-            raise Refused("INVALID")
-        node = found[0]
-    return node
-
-
-def value(node, namespace: str, *path: str) -> str:
-    leaf = down(node, namespace, *path)
-    text = (leaf.text or "").strip()
-    if len(leaf) or not text:
-        raise Refused("INVALID")
-    return text
-
-
-def note(content: bytes) -> tuple[str, str, str, str]:
-    """(number, date, amount, format) of one note."""
-    if not content or len(content) > BUDGET.source_bytes:
-        raise Refused("TOO_LARGE")
-    try:
-        text = content.decode("utf-8-sig")
-    except UnicodeDecodeError:
-        raise Refused("INVALID") from None
-    declared = re.search(r"<\?xml[^?]*encoding\s*=\s*['\"]([^'\"]*)['\"]", text, re.IGNORECASE)
-    if re.search(r"[\x00-\x08\x0b\x0c\x0e-\x1f]", text) or declared and declared[1].lower() != "utf-8":
-        raise Refused("INVALID")
-    root = tree(content, BUDGET, "INVALID")
-    names = [local(n.tag) for n in root.iter()]
-    if any(re.search("cancelamento|substituicao", n, re.IGNORECASE) or n == "subst" for n in names):
-        raise Refused("CANCELLED_OR_REPLACED")
-    of = lambda namespace, name: sum(n.tag == f"{{{namespace}}}{name}" for n in root.iter())
-    if root.tag == f"{{{NATION}}}NFSe":
-        version, info = root.get("versao"), down(root, NATION, "infNFSe")
-        declaration = down(info, NATION, "DPS")
-        if version not in NATION_VERSIONS or declaration.get("versao") not in NATION_VERSIONS or of(NATION, "NFSe") != 1 or value(info, NATION, "cStat") not in NATION_STATES:
-            raise Refused("INVALID")
-        found = value(info, NATION, "nNFSe"), value(info, NATION, "dhProc"), value(declaration, NATION, "infDPS", "valores", "vServPrest", "vServ"), f"NFS-e nacional {version}"
-    else:
-        held = down(root, CITY, "Nfse") if root.tag == f"{{{CITY}}}CompNfse" else root
-        if held.tag != f"{{{CITY}}}Nfse" or held.get("versao") not in CITY_VERSIONS or of(CITY, "Nfse") != 1 or of(CITY, "InfNfse") != 1:
-            raise Refused("INVALID")
-        info = down(held, CITY, "InfNfse")
-        amount = value(info, CITY, "DeclaracaoPrestacaoServico", "InfDeclaracaoPrestacaoServico", "Servico", "Valores", "ValorServicos")
-        found = value(info, CITY, "Numero"), value(info, CITY, "DataEmissao"), amount, f"ABRASF {held.get('versao')}"
-    number, stamp, amount, form = found
-    if not (re.fullmatch(r"\d{1,15}", number, re.ASCII) and re.fullmatch(STAMP, stamp, re.ASCII) and re.fullmatch(r"\d{1,15}(\.\d{1,2})?", amount, re.ASCII)):
-        raise Refused("INVALID")
-    try:
-        day = date.fromisoformat(stamp[:10])
-    except ValueError:
-        raise Refused("INVALID") from None
-    if not 1900 <= day.year <= 2100:
-        raise Refused("INVALID")
-    whole, _, cents = amount.partition(".")
-    return number, day.isoformat(), f"{int(whole)}.{cents:<02}", form
+#: Blanks around a value.
+BLANKS = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z"
+
+
+@dataclass(frozen=True)
+class Form:
+    """One family: where its values are, the elements that must be there once, and what values of others must be."""
+
+    title: str
+    namespace: str
+    top: str
+    versions: tuple[str, ...]
+    once: tuple[str, ...]
+    leaves: dict[str, str]
+    states: dict[str, tuple[str, ...]]  # path of a leaf -> its values
+    attributes: dict[str, tuple[str, ...]]  # path -> values of its ``versao``
+
+    @property
+    def paths(self) -> list[str]:
+        """The elements to hold exactly once, each way down from the top included."""
+        ends = [*self.leaves.values(), *self.states, *self.attributes]
+        return sorted({"/".join(p.split("/")[: i + 1]) for p in ends for i in range(p.count("/") + 1)})
+
+
+#: The ways down to the values.
+FORMS = (
+    Form("ABRASF", CITY, "Nfse", CITY_VERSIONS, ("Nfse", "InfNfse"), {
+        "number": "Nfse/InfNfse/Numero",
+        "stamp": "Nfse/InfNfse/DataEmissao",
+        "amount": "Nfse/InfNfse/DeclaracaoPrestacaoServico/InfDeclaracaoPrestacaoServico/Servico/Valores/ValorServicos",
+    }, {}, {}),
+    Form("NFS-e nacional", NATION, "NFSe", NATION_VERSIONS, ("NFSe",), {
+        "number": "NFSe/infNFSe/nNFSe",
+        "stamp": "NFSe/infNFSe/dhProc",
+        "amount": "NFSe/infNFSe/DPS/infDPS/valores/vServPrest/vServ",
+    }, {"NFSe/infNFSe/cStat": NATION_STATES}, {"NFSe/infNFSe/DPS": NATION_VERSIONS}),
+)
+
+
+def _early(content: Column) -> Column:
+    """The issue of a file that isn't read as XML at all."""
+    text = content.cast("string")
+    declared = F.lower(F.regexp_extract(text, r"(?i)<\?xml[^?]*encoding\s*=\s*['\"]([^'\"]*)['\"]", 1))
+    return (
+        F.when(content.isNull() | ~F.octet_length(content).between(1, BUDGET.source_bytes), "TOO_LARGE")
+        .when(~F.is_valid_utf8(text), "INVALID")
+        .when(text.rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f]") | ~declared.isin("", "utf-8"), "INVALID")
+    )
+
+
+def _found(form: Form) -> Column:
+    """The form in the elements of a file, an aggregate: whether all is there as it must be, and the values at the ends."""
+    # The outer element of one family is optional.
+    way = F.regexp_replace(F.array_join("steps", "/"), "^CompNfse/", "")
+    at = lambda p: (way == p) & (F.col("spaces") == F.array(F.lit(form.namespace)))
+    value = F.when(F.col("children") == 0, F.regexp_replace("whole", BLANKS, ""))
+    version = F.col("attributes")["versao"]
+    single = [F.count_if(at(p)) == 1 for p in form.paths]
+    single += [F.count_if((F.col("name") == n) & (F.col("namespace") == form.namespace)) == 1 for n in form.once]
+    states = [F.max(F.when(at(p), value)).isin(*v) for p, v in form.states.items()]
+    versions = [F.max(F.when(at(p), version)).isin(*v) for p, v in ({form.top: form.versions} | form.attributes).items()]
+    whole = F.coalesce(reduce(and_, [*single, *states, *versions]), F.lit(False))
+    ends = [F.max(F.when(at(p), value)).alias(n) for n, p in form.leaves.items()]
+    return F.struct(whole.alias("whole"), F.concat_ws(" ", F.lit(form.title), F.max(F.when(at(form.top), version))).alias("format"), *ends).alias(form.title)
 
 
 def read_notes(files: DataFrame) -> DataFrame:
-    """One row for each of ``files`` (path, content): the note's fields, or the issue."""
-
-    def read(batches):
-        for batch in batches:
-            out = []
-            for path, content in zip(batch["path"], batch["content"]):
-                try:
-                    out.append((path, *note(bytes(content or b"")), None))
-                except Refused as refused:
-                    out.append((path, None, None, None, None, refused.code))
-            yield pd.DataFrame(out, columns=["path", "number", "issued", "amount", "format", "issue"])
-
-    return files.select("path", "content").mapInPandas(read, SCHEMA)
+    """(path, number, issued, amount, format, issue), one row for each of ``files`` (path, content): the note's fields, or the issue.
+
+    Files become elements, and the elements of a file are aggregated where they arise, so that one row a task and file is
+    shuffled. Null or empty content is ``TOO_LARGE``, as is a file beyond the budget; files of one path stay apart.
+    """
+    given = files.select(F.monotonically_increasing_id().alias("_file"), "path", F.when(_early(F.col("content")).isNull(), F.col("content")).alias("content"), _early(F.col("content")).alias("issue"))
+    replaced = F.bool_or(F.col("name").rlike(REPLACED) | (F.col("name") == REPLACED_ALONE)).alias("_replaced")
+    notes = elements(given, BUDGET, "INVALID").groupBy("_file", "path").agg(F.max("issue").alias("_issue"), replaced, *map(_found, FORMS))
+    held = F.coalesce(*(F.when(F.col(f"`{f.title}`")["whole"], F.col(f"`{f.title}`")) for f in FORMS))
+    # XML that broke off, or went beyond its budget, is no note whatever its first elements were.
+    first = F.coalesce("_issue", F.when(F.col("_replaced"), "CANCELLED_OR_REPLACED"))
+    read = notes.select("path", first.alias("_first"), held.alias("_n"))
+    day = F.substring(F.col("_n.stamp"), 1, 10).try_cast("date")
+    right = F.col("_n.number").rlike(NUMBER) & F.col("_n.stamp").rlike(STAMP) & F.col("_n.amount").rlike(AMOUNT) & F.year(day).between(1900, 2100)
+    issue = F.when(F.col("_first").isNotNull(), F.col("_first")).when(~F.coalesce(right, F.lit(False)), "INVALID")
+    judged = read.select("path", issue.alias("issue"), F.when(issue.isNull(), F.col("_n")).alias("_n"))
+    return judged.select("path", F.col("_n.number").alias("number"), F.substring("_n.stamp", 1, 10).alias("issued"), F.col("_n.amount").cast("decimal(17,2)").cast("string").alias("amount"), F.col("_n.format").alias("format"), "issue")

@@ -1,47 +1,118 @@
-"""XML within a budget, without document types or entities."""
+"""XML as a table of elements, within a budget and without document types or entities.
+
+A task only turns each file's markup into rows, one an element; what the elements mean is left to joins and column expressions.
+"""
 
 from __future__ import annotations
 
 import re
 import xml.etree.ElementTree as ET
+from collections.abc import Iterator
 from io import BytesIO
 
-from tessera.sources.delimited import Budget, Refused
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
+from tessera.sources.delimited import Budget
+
+#: node: the place in document order from 1; steps and places: names and nodes from the root down to the element itself;
+#: spaces: the distinct namespaces on that way; whole: text with that of all elements inside.
+ELEMENTS = "node int, name string, namespace string, steps array<string>, places array<int>, spaces array<string>, attributes map<string,string>, children int, whole string, issue string"
+#: Rows of one batch out of a task.
+BATCH = 4096
+
+
+def _local(name: str) -> str:
+    return name.rsplit("}", 1)[-1]
+
+
+def _space(name: str) -> str:
+    return name[1:].rsplit("}", 1)[0] if name.startswith("{") else ""
+
 
+def _attributes(node: ET.Element) -> dict[str, str | None]:
+    """Attributes by local name; a name that two of them share has no value."""
+    names = [_local(k) for k in node.attrib]
+    return {n: v if names.count(n) == 1 else None for n, v in zip(names, node.attrib.values())}
 
-def tree(content: bytes, budget: Budget, code: str = "WORKBOOK_UNSAFE") -> ET.Element:
-    """The root element; names carry their namespace as ``{namespace}local``."""
-    if re.search(rb"<!\s*(DOCTYPE|ENTITY)", content, re.IGNORECASE):
-        raise Refused(code)
-    depth = nodes = 0
-    root = None
+
+def _walk(content: bytes, budget: Budget, code: str, texts: tuple[str, ...]) -> Iterator[dict]:
+    """The elements of one file in the order in which they end; a fault is a last row with its issue."""
+    if re.search(rb"<!\s*(DOCTYPE|ENTITY)", content, re.IGNORECASE) or re.search(rb"[\x00-\x08\x0b\x0c\x0e-\x1f]", content):
+        yield {"issue": code}
+        return
+    path: list[tuple[int, ET.Element]] = []
+    count = held = 0
     try:
+        content.decode("utf-8")
         for event, node in ET.iterparse(BytesIO(content), ("start", "end")):
-            if event == "end":
-                depth -= 1
+            if event == "start":
+                count += 1
+                path.append((count, node))
+                held += _local(node.tag) in texts
+                if len(path) > budget.xml_depth or count > budget.xml_nodes or len(node.attrib) > budget.xml_attributes:
+                    yield {"issue": "TABULAR_LIMIT_EXCEEDED"}
+                    return
                 continue
-            root = node if root is None else root
-            depth, nodes = depth + 1, nodes + 1
-            if depth > budget.xml_depth or nodes > budget.xml_nodes or len(node.attrib) > budget.xml_attributes:
-                raise Refused("TABULAR_LIMIT_EXCEEDED")
+            tags = [n.tag for _, n in path]
+            name = _local(node.tag)
+            whole = "".join(node.itertext()) if name in texts or not len(node) else None
+            yield {"node": path[-1][0], "name": name, "namespace": _space(node.tag), "steps": [_local(t) for t in tags], "places": [at for at, _ in path], "spaces": sorted({_space(t) for t in tags}), "attributes": list(_attributes(node).items()), "children": len(node), "whole": whole}
+            path.pop()
+            held -= name in texts
+            if not held:
+                # Nothing above asks for its text, so the task keeps no more than an empty element of it.
+                node.clear()
     except (ET.ParseError, UnicodeDecodeError, LookupError):
-        raise Refused(code) from None
-    if root is None:
-        raise Refused(code)
-    return root
+        yield {"issue": code}
 
 
-def local(name: str) -> str:
-    return name.rsplit("}", 1)[-1]
+def elements(parts: DataFrame, budget: Budget = Budget(), code: str = "WORKBOOK_UNSAFE", texts: tuple[str, ...] = ()) -> DataFrame:
+    """The elements of ``parts`` (any columns, ``content`` and ``issue``): the other columns and those of :data:`ELEMENTS`.
+
+    ``whole`` is there for elements without children and for those named in ``texts``. A part that already has an issue is
+    handed on as one row, and one without content is empty XML. A part is read element by element and its rows leave the
+    task in batches, those before a fault too: whoever finds an issue for a part must drop its other rows.
+    """
+    keys = [f for f in parts.schema.fields if f.name not in ("content", "issue")]
+    schema = StructType([*keys, *StructType.fromDDL(ELEMENTS).fields])
+    arrow = to_arrow_schema(schema)
+    names = [f.name for f in keys]
+
+    def rows(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                part = batch.slice(i, 1).to_pylist()[0]
+                shared = {n: part[n] for n in names}
+                found = [{"issue": part["issue"]}] if part["issue"] else _walk(part["content"] or b"", budget, code, texts)
+                yield from (shared | row for row in found)
+
+    def read(batches):
+        out = []
+        for row in rows(batches):
+            out.append(row)
+            if len(out) == BATCH:
+                yield pa.RecordBatch.from_pylist(out, arrow)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_pylist(out, arrow)
+
+    return parts.select(*names, "content", "issue").mapInArrow(read, schema)
+
+
+def attribute(name: str) -> Column:
+    """The attribute of this local name, empty where there is none."""
+    return F.coalesce(F.col("attributes")[name], F.lit(""))
 
 
-def below(node: ET.Element, name: str) -> list[ET.Element]:
-    """All elements of this local name under a node."""
-    return [n for n in node.iter() if local(n.tag) == name]
+def ambiguous(*names: str) -> Column:
+    """Whether two attributes of different namespaces share one of these local names."""
+    return F.exists(F.array(*map(F.lit, names)), lambda n: F.map_contains_key("attributes", n) & F.col("attributes")[n].isNull())
 
 
-def attribute(node: ET.Element, name: str) -> str:
-    found = [v for k, v in node.attrib.items() if local(k) == name]
-    if len(found) > 1:
-        raise Refused("WORKBOOK_UNSAFE")
-    return found[0] if found else ""
+def above(name: str) -> Column:
+    """The node of the outermost element of this name on the way to an element, itself included; null where there is none."""
+    return F.get("places", F.array_position("steps", name).cast("int") - 1)

@@ -85,8 +85,93 @@ def test_workbooks(spark):
     assert (good[0]["sheet"], good[0]["visible"], good[0]["ordinal"]) == ("Resumo", True, 0)
     issues = {r["path"]: r["issue"] for r in got.filter("issue IS NOT NULL").collect()}
     assert issues == {"f1": "WORKBOOK_UNSAFE", "f2": "WORKBOOK_UNSAFE", "f3": "WORKBOOK_UNSAFE", "f4": "WORKBOOK_UNSAFE", "f5": "WORKBOOK_INVALID", "f6": "WORKBOOK_INVALID", "f7": "WORKBOOK_UNSAFE", "f8": "TABULAR_LIMIT_EXCEEDED", "f9": "XLS_BINARY_UNSUPPORTED"}
-    assert [sheets.serial_date(n, False) for n in (59, 60, 61)] == ["1900-02-28", None, "1900-03-01"]
-    assert sheets.serial_date(0, True) == "1904-01-01"
+    days = spark.createDataFrame([(59, False), (60, False), (61, False), (0, True), (2_958_466, True)], "n int, old boolean")
+    assert [r[0] for r in days.select(sheets.serial_date(F.col("n"), F.col("old"))).collect()] == ["1900-02-28", None, "1900-03-01", "1904-01-01", None]
+
+
+def packed(sheets_xml, shared="", styles="", base=""):
+    """An archive of (name, state, sheet XML)."""
+    names = "".join(f'<x:sheet name="{n}" state="{state}" r:id="r{i}"/>' for i, (n, state, _) in enumerate(sheets_xml))
+    parts = {
+        "xl/workbook.xml": f'<x:workbook xmlns:x="m" xmlns:r="r">{base}<x:sheets>{names}</x:sheets></x:workbook>',
+        "xl/_rels/workbook.xml.rels": "<Relationships>" + "".join(f'<Relationship Id="r{i}" Target="./worksheets/s{i}.xml"/>' for i in range(len(sheets_xml))) + "</Relationships>",
+        "xl/sharedStrings.xml": f"<sst>{shared}</sst>",
+        "xl/styles.xml": f"<styleSheet>{styles}</styleSheet>",
+    } | {f"xl/worksheets/s{i}.xml": f"<worksheet><sheetData>{x}</sheetData></worksheet>" for i, (_, _, x) in enumerate(sheets_xml)}
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, data in parts.items():
+            z.writestr(name, data)
+    return buffer.getvalue()
+
+
+def test_workbooks_of_random_cells_read_back(spark):
+    rng = random.Random(7)
+    letters = lambda n: ("" if n < 26 else chr(64 + n // 26)) + chr(65 + n % 26)
+    shared = ["plain", "rich text", ""]
+    shared_xml = "<si><t>plain</t></si><si><r><t>rich </t></r><r><t>text</t></r></si><si/>"
+    styles = '<numFmts><numFmt numFmtId="164" formatCode="0.00&quot;d&quot;"/><numFmt numFmtId="165" formatCode="[Red]d\\-m"/></numFmts><cellStyleXfs><xf numFmtId="14"/></cellStyleXfs><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="164"/><xf numFmtId="165"/></cellXfs>'
+    contents, want = [], {}
+    for b in range(25):
+        old, book_sheets = b % 2 == 1, []
+        for ordinal in range(rng.randint(1, 3)):
+            width = rng.choice([1, 3, 30])
+            rows, number, xml = [], 0, ""
+            for i in range(rng.randint(1, 5)):
+                skip = rng.choice([1, 1, 4])
+                number += skip
+                cells, at, inner = [""] * width, -1, ""
+                for c in range(width):
+                    if i and rng.random() < 0.4:
+                        continue
+                    kind = 0 if i == 0 else rng.randrange(7)
+                    style = rng.randrange(4)
+                    text, body, more = [
+                        (f"h{c}", f"<is><t>h{c}</t></is>", 't="inlineStr"'),
+                        (shared[k := rng.randrange(3)], f"<v>{k}</v>", 't="s"'),
+                        ("true", "<v>1</v>", 't="b"'),
+                        ("false", "<v>0</v>", 't="b"'),
+                        ("1.5", "<v>1.5</v>", f's="{style}"'),
+                        (("1904-03-01" if old else "60") if style in (1, 3) else "60", "<v>60</v>", f's="{style}" t="n"'),
+                        (("2028-08-23" if old else "2024-08-22") if style in (1, 3) else "45526.0", "<v>45526.0</v>", f's="{style}"'),
+                    ][kind]
+                    place = "" if at == c - 1 and rng.random() < 0.5 else f'r="{letters(c)}{number}"'
+                    inner, at, cells[c] = inner + f"<c {place} {more}>{body}</c>", c, text
+                xml += f"<row {'' if skip == 1 and rng.random() < 0.5 else f'r=\"{number}\"'}>{inner}</row>"
+                rows.append((f"row:{number}", cells))
+            name, state = rng.choice([("", "visible"), (f"S{ordinal}", "hidden")])
+            book_sheets.append((name, state, xml))
+            for i, (locator, cells) in enumerate(rows):
+                want[f"f{b}", ordinal, i] = (name or f"Aba {ordinal + 1}", state == "visible", locator, cells, None)
+        contents.append(packed(book_sheets, shared_xml, styles, '<x:workbookPr date1904="1"/>' if old else ""))
+    got = {(r["path"], r["ordinal"], r["row"]): (r["sheet"], r["visible"], r["locator"], r["cells"], r["issue"]) for r in sheets.read_sheets(source(spark, contents)).collect()}
+    assert got == want
+
+
+def test_faults_of_workbooks(spark):
+    row = lambda cells, number=2: f'<row r="{number}">{cells}</row>'
+    cases = [
+        (b"", "WORKBOOK_INVALID"), (None, "WORKBOOK_INVALID"), (b"PK\3\4", "WORKBOOK_UNSAFE"),
+        (book(HEADER + row('<c r="A2"/>', 1)), "WORKBOOK_INVALID"), (book(HEADER + row("", "x")), "WORKBOOK_INVALID"),
+        (book(HEADER + row('<c r="A3"/>')), "WORKBOOK_INVALID"), (book(HEADER + row('<c r="A2"/><c r="A2"/>')), "WORKBOOK_INVALID"),
+        (book(HEADER + row('<c r="IW2"><v>1</v></c>')), "TABULAR_LIMIT_EXCEEDED"), (book(HEADER + row('<c r="ABCDEFGHIJKL2"/>')), "TABULAR_LIMIT_EXCEEDED"),
+        # The first fault of a sheet counts.
+        (book(HEADER + row('<c r="IW2"/>') + row('<c r="A9"/>', 3)), "TABULAR_LIMIT_EXCEEDED"), (book(HEADER + row('<c r="A9"/>') + row('<c r="IW3"/>', 3)), "WORKBOOK_INVALID"),
+        (book(HEADER + row(f'<c r="A2" t="inlineStr"><is><t>{"x" * 10_001}</t></is></c>')), "TABULAR_LIMIT_EXCEEDED"),
+        (book(""), "WORKBOOK_INVALID"), (book(row('<c r="A2"/>')), "WORKBOOK_INVALID"), (book(HEADER, relation="worksheets/none.xml"), "WORKBOOK_INVALID"),
+        (book(HEADER + row('<c r="A2" n:r="B2" xmlns:n="n"/>')), "WORKBOOK_UNSAFE"), (book(HEADER, extra=[("xl/more.xml", b"<a>")]), "WORKBOOK_UNSAFE"),
+        (book(HEADER, extra=[("xl/more.xml", "<a/>".encode("utf-16"))]), "WORKBOOK_UNSAFE"), (book(HEADER, extra=[("xl/more.xml", b"<a>" * 65 + b"</a>" * 65)]), "TABULAR_LIMIT_EXCEEDED"),
+        (book(HEADER, extra=[("xl/more.rels", b'<Relationships><Relationship Id="a" Target="m.xml" TargetMode="External"/></Relationships>')]), "WORKBOOK_UNSAFE"),
+        (packed([("a", "", HEADER)] * 65, "<si><t>a</t></si>"), "TABULAR_LIMIT_EXCEEDED"),
+        (packed([("a", "", row('<c r="A2" t="inlineStr"><is><t>\u2003</t></is></c>'))]), "WORKBOOK_INVALID"),
+    ]
+    got = sheets.read_sheets(source(spark, [c for c, _ in cases]))
+    assert {r["path"]: r["issue"] for r in got.collect()} == {f"f{i}": code for i, (_, code) in enumerate(cases)}
+    assert {len(r["cells"] or []) for r in got.filter("issue IS NOT NULL").collect()} == {0}
+    # Files of one path stay apart, and a frame without files has no rows.
+    same = spark.createDataFrame([("p", bytearray(book(HEADER))), ("p", bytearray(book(HEADER))), (None, bytearray(b"x"))], "path string, content binary")
+    assert sorted((r["path"] or "", r["issue"] or "") for r in sheets.read_sheets(same).collect()) == [("", "WORKBOOK_INVALID"), ("p", ""), ("p", "")]
+    assert sheets.read_sheets(same.limit(0)).count() == 0
 
 
 def city(version="2.04", amount="1234.5", number="12", more="", prefix="", namespace=invoices.CITY):
@@ -105,6 +190,16 @@ def test_invoices(spark):
     got = {r["path"]: tuple(r)[1:] for r in invoices.read_notes(source(spark, contents)).collect()}
     assert got["f0"] == got["f1"] == ("12", "2024-08-22", "1234.50", "ABRASF 2.04", None)
     assert got["f2"] == ("9", "2024-02-29", "7.10", "NFS-e nacional 1.01", None)
+    more = [
+        (city().replace(b"<CompNfse", b"<?xml version='1.0' encoding='latin-1'?><CompNfse"), "INVALID"), (b"\xff", "INVALID"), (b"x" * (invoices.BUDGET.source_bytes + 1), "TOO_LARGE"),
+        (city().replace(b"<Numero>12</Numero>", b"<Numero>12</Numero><Numero>13</Numero>"), "INVALID"), (city().replace(b"<Numero>12</Numero>", b"<Numero><b>12</b></Numero>"), "INVALID"),
+        # A second way to a value, even one that leads nowhere.
+        (city().replace(b"<Servico>", b"<Servico/><Servico>"), "INVALID"), (city(more="<Nfse/>"), "INVALID"), (city(more="<x><subst/></x>"), "CANCELLED_OR_REPLACED"),
+        (city(more="<NfseCancelamento>"), "INVALID"), (city(more="<Numero xmlns='y'>1</Numero>"), None), (b"\xef\xbb\xbf" + city(number=" 0012\n"), None),
+        (nation().replace(b'DPS versao="1.00"', b'DPS versao="2.00"'), "INVALID"), (city().replace(b"2024-08-22", b"1899-12-31"), "INVALID"), (b"<a/>", "INVALID"),
+    ]
+    issues = {r["path"]: r["issue"] for r in invoices.read_notes(source(spark, [c for c, _ in more])).collect()}
+    assert issues == {f"f{i}": code for i, (_, code) in enumerate(more)}
     assert {p: v[-1] for p, v in got.items() if v[-1]} == {"f3": "INVALID", "f4": "INVALID", "f5": "INVALID", "f6": "CANCELLED_OR_REPLACED", "f7": "INVALID", "f8": "INVALID", "f9": "TOO_LARGE", "f10": "INVALID", "f11": "TOO_LARGE"}
 
 
@@ -188,7 +283,8 @@ def test_strict_text_against_a_plain_parser(spark, delimiter, quote, bom, multil
     for i, content in enumerate(contents):
         try:
             records = list(plain_csv(content or b"", delimiter, quote, bom, multiline, budget))
-            delimited.checked_rows([c for _, c in records], budget)
+            if len(records) > budget.rows + 1 or any(len(r) > budget.columns or any(len(c) > budget.cell_chars for c in r) for _, r in records):
+                raise delimited.Refused("TABULAR_LIMIT_EXCEEDED")
             if not records or any(not c.strip() for c in records[0][1]):
                 raise delimited.Refused("CSV_MALFORMED")
             want[i] = [(n, *r) for n, r in enumerate(records)]
