@@ -4,7 +4,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tessera.operators import chain, matching, reconcile, rederive, report
+from tessera.operators import chain, keytree, matching, reconcile, rederive, report
 from tessera.plans.registry import query, table
 from tessera.sources import commits
 from tessera.storage import shared_dir
@@ -370,3 +370,37 @@ def rederivation(spark, sf_dir):
     planted = F.when(F.col("line") % 997 == 3, F.lit("other")).otherwise(F.col("observation"))
     derived = rederive.derive(*evidence, ["customer", "day"], "batch")
     return rederive.differences(derived, whole.withColumn("observation", planted), diffs, absent, summary).select("kind", "key")
+
+
+@query("""
+WITH m AS (
+ SELECT 0 AS revision, md5(CAST(o_orderkey AS VARCHAR)) AS key, o_orderstatus AS content FROM orders WHERE o_orderkey % 3 = 0
+ UNION ALL SELECT 1, md5(CAST(o_orderkey AS VARCHAR)), o_orderstatus FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey % 30 <> 0 OR o_orderkey % 3 = 1 AND o_orderkey % 50 = 1
+ UNION ALL SELECT 2, md5(CAST(o_orderkey AS VARCHAR)), CASE WHEN o_orderkey % 9 = 0 THEN 'X' ELSE o_orderstatus END FROM orders
+  WHERE o_orderkey % 3 = 0 AND (o_orderkey % 30 <> 0 OR o_orderkey % 9 = 0) OR o_orderkey % 3 = 1 AND o_orderkey % 50 = 1),
+a AS (SELECT revision, min(key) AS after FROM m WHERE key >= '8' GROUP BY revision),
+n AS (SELECT revision, count(*) AS n FROM m GROUP BY revision),
+p AS (SELECT revision, key, content, row_number() OVER (PARTITION BY revision ORDER BY key) AS place, count(*) OVER (PARTITION BY revision) AS rest FROM m JOIN a USING (revision) WHERE key > after)
+SELECT revision, n, CAST(place AS INTEGER) AS place, key, sha256('leaf:' || key || ':' || content) AS leaf, rest > 100 AS has_more FROM p JOIN n USING (revision) WHERE place <= 100
+""")
+def member_pages(spark, sf_dir):
+    """A page of a hundred members under each of three revisions of a set of orders, read from its tree and held against the revision's root."""
+    orders = table(spark, sf_dir, "orders", "o_orderkey", "o_orderstatus")
+    k, status = F.col("o_orderkey"), F.col("o_orderstatus")
+    batches = [
+        orders.filter(k % 3 == 0).select(k, status.alias("content")),
+        orders.filter((k % 30 == 0) | (k % 3 == 1) & (k % 50 == 1)).select(k, F.when(k % 30 != 0, status).alias("content")),
+        orders.filter(k % 9 == 0).select(k, F.lit("X").alias("content")),
+    ]
+    nodes, out = None, []
+    for revision, batch in enumerate(batches):
+        changes = batch.select(F.md5(k.cast("string")).alias("key"), "content")
+        added = keytree.revised(nodes, changes, "key", "content", revision)
+        nodes = added if nodes is None else nodes.unionByName(added)
+    for revision in range(len(batches)):
+        top = keytree.root(nodes, revision).first()
+        # The first member from the middle on: what a page after none would begin with there.
+        middle = keytree.at_revision(nodes, revision).select(F.inline("children")).filter("n = 1 AND prefix >= '8'").agg(F.min("prefix")).first()[0]
+        found = keytree.page(nodes, top["hash"], middle, 100, revision)
+        out += [(revision, top["n"], i + 1, key, leaf, found.more) for i, (key, leaf) in enumerate(found.members)]
+    return spark.createDataFrame(out, "revision int, n long, place int, key string, leaf string, has_more boolean")  # a page a revision
