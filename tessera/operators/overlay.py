@@ -108,6 +108,22 @@ def reduce_projection(events: DataFrame, record: str = "record", order: tuple[st
     return last.join(pointer, record, "left").select(record, "_top.payload", "_top.state", "_top.version", F.col("_top.precedence").alias("layer"), "source_event", "adjustment_event", "decision_event", "n_events")
 
 
+def compacted(events: DataFrame, record: str = "record", order: tuple[str, ...] = ("instant", "precedence", "event_id")) -> DataFrame:
+    """The events that :func:`reduce_projection` can ever need again, whatever events come later, each with the number ``n`` of events it stands for.
+
+    Kept are the last source event, the first and the last decision, and adjustments before the first decision: a later
+    event can move the first decision only towards the begin. ``events`` may be compacted before (they have ``n`` then), and
+    compacting a union gives what compacting all its events would.
+    """
+    given = events if "n" in events.columns else events.withColumn("n", F.lit(1).cast("long"))
+    key = F.struct(*(F.col(c) for c in order))
+    layer = lambda p: F.when(F.col("precedence") == p, key)
+    ends = given.groupBy(record).agg(F.sum("n").alias("_n"), F.max(layer(1)).alias("_source"), F.min(layer(3)).alias("_decided"), F.max(layer(3)).alias("_last"), F.max(F.struct("precedence", key.alias("at"))).alias("_top"))
+    held = (key == F.col("_source")) | (key == F.col("_decided")) | (key == F.col("_last")) | (F.col("precedence") == 2) & (F.col("_decided").isNull() | (key < F.col("_decided")))
+    kept = given.join(ends, record).filter(held)
+    return kept.withColumn("n", F.when(F.struct("precedence", key.alias("at")) == F.col("_top"), F.col("_n")).otherwise(0)).select(given.columns)
+
+
 def resolve(pointers: DataFrame, events: DataFrame, record: str = "record") -> DataFrame:
     """The payload in force by pointers: decision before adjustment before source; ``broken`` where a pointer leads nowhere."""
     known = events.select(F.col("event_id").alias("_event"), F.col("payload").alias("_payload"))

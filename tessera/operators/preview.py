@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import money, texts
+from tessera.operators import commitment
 
 #: Columns that never take part, and names that can't identify a record.
 IGNORED = ("curso", "trilha")
@@ -101,6 +102,42 @@ def preview(rows: DataFrame, mapping: dict[int, str], schema: list[Field], width
     return out.withColumn("status", F.when(F.size("errors") == 0, "valid").otherwise("rejected"))
 
 
+#: Fixed value: days that a preview is kept for.
+KEPT_DAYS = 30
+#: What a row's result is, in the order in which it is hashed.
+RESULT = ("locator", "row_hash", "payload", "cells", "scales", "attributes", "status", "errors")
+
+
+def sealed(previewed: DataFrame, ordinal: str, source: dict[str, str], contract: str, transformation: str, prepared_at: Column) -> DataFrame:
+    """One row: the numbers of a preview's rows, the hashes that seal it, and when it expires.
+
+    row_result_hash is the commitment of a tree over the rows in the order of ``ordinal``, so no task or row holds them all;
+    content_hash is over the source's description (name to value) and both contract hashes with it; preview_hash is over
+    those, the numbers and the day of expiry. Times of preparing don't count for content_hash: the same file under the same
+    contract has the same one.
+    """
+    rows = previewed.select(ordinal, *(texts.canonical_map(F.col(c)).alias(c) if c in ("payload", "attributes") else F.to_json(F.struct(c)).alias(c) for c in RESULT))
+    tree = commitment.ordered_root(commitment.ordered_tree(rows, [ordinal], list(RESULT)), "preview/rows").select(F.col("commitment").alias("row_result_hash"))
+    counts = previewed.agg(F.count("*").alias("found"), F.count_if(F.col("status") == "valid").alias("valid"), F.count_if(F.size("errors") > 0).alias("with_error"), F.count_if(F.col("status") == "rejected").alias("rejected"))
+    described = [F.lit(part) for item in sorted(source.items()) for part in item]
+    one = counts.join(tree)  # one row each
+    content = F.sha2(_parts(F.lit("preview/content"), *described, F.lit(contract), F.lit(transformation), F.col("row_result_hash")), 256)
+    out = one.withColumns({"content_hash": content, "prepared_at": prepared_at.cast("timestamp"), "retain_until": prepared_at.cast("timestamp") + F.make_dt_interval(F.lit(KEPT_DAYS))})
+    numbers = (F.col(c).cast("string") for c in ("found", "valid", "with_error", "rejected"))
+    until = F.unix_micros("retain_until").cast("string")
+    return out.withColumn("preview_hash", F.sha2(_parts(F.lit("preview/manifest"), F.lit(contract), F.lit(transformation), F.col("row_result_hash"), F.col("content_hash"), *numbers, until), 256))
+
+
+def _parts(*values: Column) -> Column:
+    """Texts as one that tells them apart."""
+    return F.concat(*(F.concat(F.octet_length(v).cast("string"), F.lit(":"), v) for v in values))
+
+
+def retained(previews: DataFrame, now: Column) -> DataFrame:
+    """``previews`` (retain_until) with ``expired``: the day itself still counts as kept; without a day nothing is kept."""
+    return previews.withColumn("expired", F.coalesce(F.col("retain_until") < now, F.lit(True)))
+
+
 def settle_requests(requests: DataFrame, known: DataFrame) -> DataFrame:
     """(request_id, verdict) of requests (request_id, idempotency_key, fingerprint, expired) against known ones (idempotency_key, fingerprint).
 

@@ -51,12 +51,13 @@ def append_new(rows: DataFrame, path: str, keys: list[str]) -> DataFrame:
     return spark.read.parquet(batch)
 
 
-def write_snapshot(df: DataFrame, root: str, version: int) -> None:
+def write_snapshot(df: DataFrame, root: str, version: int, again: bool = False) -> None:
     """A table's state as one immutable version; a version that exists is an error, so one writer wins.
 
-    Readers take the highest version whose write was completed.
+    Readers take the highest version whose write was completed. An only writer that knows its version not to be completed
+    writes it ``again``.
     """
-    df.write.mode("errorifexists").parquet(f"{root}/version={version:012d}")
+    df.write.mode("overwrite" if again else "errorifexists").parquet(f"{root}/version={version:012d}")
 
 
 def read_snapshot(spark: SparkSession, root: str, version: int | None = None) -> tuple[DataFrame, int]:

@@ -237,3 +237,52 @@ def test_cursors(spark):
     assert [r["id"] for r in report.member_page(rows, "id", None, 2).collect()] == [0, 2]
     with pytest.raises(ValueError):
         report.member_page(rows, "id", F.lit(5), 3)
+
+
+def test_compacted_events_project_alike(spark, tmp_path):
+    """Events in any order of arrival, compacted batch after batch, add up to what all of them do."""
+    rng = random.Random(5)
+    schema = "record int, instant int, precedence int, event_id string, payload string, state string, version int"
+    rows = [(rng.randrange(12), rng.randrange(20), rng.choice([1, 1, 2, 2, 3]), f"e{i}", f"p{i}", "active", i) for i in range(240)]
+    events, kept = spark.createDataFrame(rows, schema), None
+    for begin in range(0, 240, 60):
+        fresh = events.filter(F.col("version").between(begin, begin + 59)).withColumn("n", F.lit(1).cast("long"))
+        whole = fresh if kept is None else fresh.unionByName(kept)
+        kept = spark.createDataFrame(overlay.compacted(whole).collect(), f"{schema}, n long")
+    want = {r["record"]: r for r in overlay.reduce_projection(events).collect()}
+    counts = {r["record"]: r["n"] for r in kept.groupBy("record").agg(F.sum("n").alias("n")).collect()}
+    got = {r["record"]: r for r in overlay.reduce_projection(kept).collect()}
+    for record, row in want.items():
+        assert row.asDict() | {"n_events": 0} == got[record].asDict() | {"n_events": 0} and counts[record] == row["n_events"]
+    assert len(got) == len(want) and kept.count() < 200
+    # As a stream: four batches, the last one interrupted before its snapshot was done.
+    for begin in range(0, 240, 60):
+        events.filter(F.col("version").between(begin, begin + 59)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    where = [str(tmp_path / n) for n in ("ledger", "state", "check")]
+    stream = ledger.event_stream(spark, str(tmp_path / "in"), events)
+    ledger.maintain_snapshot(stream, *where).awaitTermination()
+    (tmp_path / "state" / "version=000000000003" / "_SUCCESS").unlink()
+    for name in ("3", ".3.crc"):
+        (tmp_path / "check" / "commits" / name).unlink()
+    assert files.read_snapshot(spark, where[1])[1] == 2
+    ledger.maintain_snapshot(stream, *where).awaitTermination()
+    state, version = files.read_snapshot(spark, where[1])
+    columns = ["record", "payload", "layer", "source_event", "adjustment_event", "decision_event", "n_events"]
+    assert version == 3 and sorted(map(tuple, state.select(columns).collect())) == sorted(tuple(r[c] for c in columns) for r in want.values())
+
+
+def test_sealed_previews(spark):
+    rows = [(i, f"row:{i}", ["A", "2024-02-29", "1,20", "1:00"] if i % 3 else ["", "x", "", ""]) for i in range(2, 12)]
+    df = spark.createDataFrame(rows, "n int, locator string, cells array<string>")
+    seal = lambda d, at="2024-01-01 10:00:00", contract="c", **source: preview.sealed(preview.preview(d, {0: "codigo", 1: "data", 2: "valor", 3: "duracao"}, FIELDS, 4), "n", {"sha256": "s"} | source, contract, "t", F.lit(at)).first()
+    one = seal(df)
+    assert (one["found"], one["valid"], one["with_error"], one["rejected"]) == (10, 7, 3, 3)
+    assert (one["retain_until"] - one["prepared_at"]).days == 30
+    assert one == seal(df.repartition(3)) and one["content_hash"] == seal(df, "2024-01-02 10:00:00")["content_hash"]
+    assert one["preview_hash"] != seal(df, "2024-01-02 10:00:00")["preview_hash"]
+    others = [seal(df, contract="d"), seal(df, sheet="1"), seal(df.withColumn("n", -F.col("n"))), seal(df.withColumn("cells", F.when(F.col("n") == 4, F.array(F.lit("B"))).otherwise(F.col("cells"))))]
+    assert len({r["content_hash"] for r in [one, *others]}) == 5
+    assert len({r["row_result_hash"] for r in [one, *others]}) == 3
+    assert seal(df.limit(0))["found"] == 0
+    kept = spark.createDataFrame([("2024-01-31",), ("2024-01-30",), (None,)], "retain_until string").withColumn("retain_until", F.to_timestamp("retain_until"))
+    assert [r["expired"] for r in preview.retained(kept, F.lit("2024-01-31").cast("timestamp")).collect()] == [False, True, True]
