@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hmac
 import json
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -143,6 +145,49 @@ def publication(sections: dict[str, tuple[DataFrame, Column, Column, Column]]) -
     return reduce(lambda a, b: a.unionByName(b), rows)
 
 
+@dataclass(frozen=True)
+class Section:
+    """A section of a publication: its rows, their order, what numbers them, and the columns that it fills.
+
+    ``code`` is a prefix, such as ``EVD`` for EVD-001, or a column of codes that the rows have themselves.
+    """
+
+    name: str
+    rows: DataFrame
+    order: list[str]
+    code: str | Column
+    values: dict[str, Column]
+
+
+#: The columns of published tables, by the form of publication.
+PUBLISHED = {
+    "v1": ("publication_code", "section", "record_code", "group_code", "title", "type", "amount_cents", "currency", "display_amount", "origin", "relation", "payment", "status"),
+    "v4": ("publication_code", "section", "record_code", "group_code", "title", "effective_value", "source_value", "revision", "actor", "reason", "status"),
+}
+
+
+def published(code: str, form: str, sections: list[Section], redact: Callable[[Column], Column], plain: tuple[str, ...] = ()) -> DataFrame:
+    """The sections one after the other as one table of a form: (section_no, place, the form's columns).
+
+    A section's rows are numbered in parallel by their order, which must be total. Columns that it doesn't fill are null, and
+    one that the form lacks is an error. All values are texts and go through ``redact``, but for codes and those in ``plain``
+    (identifiers, digests, amounts). Sort by section_no and place, as :func:`tessera.sources.files.export_csv` does, to show it.
+    """
+    columns, out = PUBLISHED[form], []
+    for number, s in enumerate(sections):
+        if unknown := set(s.values) - set(columns[3:]):
+            raise ValueError(f"{form} has no {', '.join(sorted(unknown))}")
+        # Values are computed before the rows are numbered, so that columns of any name may be there.
+        held = {c: (v if c in plain else redact(v.cast("string"))).cast("string").alias(f"_v_{c}") for c, v in s.values.items()}
+        own = [] if isinstance(s.code, str) else [s.code.cast("string").alias("_code")]
+        rows = numbered(s.rows.select(*(F.col(c).alias(f"_o_{i}") for i, c in enumerate(s.order)), *own, *held.values()), [f"_o_{i}" for i in range(len(s.order))], "_place")
+        shown = F.when(F.col("_place") < 1000, F.lpad(F.col("_place").cast("string"), 3, "0")).otherwise(F.col("_place").cast("string"))
+        fixed = [F.lit(code), F.lit(s.name), F.concat(F.lit(f"{s.code}-"), shown) if isinstance(s.code, str) else F.col("_code")]
+        rest = [F.col(f"_v_{c}") if c in s.values else F.lit(None).cast("string") for c in columns[3:]]
+        out.append(rows.select(F.lit(number).alias("section_no"), F.col("_place").cast("long").alias("place"), *(v.alias(c) for c, v in zip(columns, [*fixed, *rest]))))
+    return reduce(DataFrame.unionByName, out)
+
+
 def versions(snapshots: DataFrame, scope: str, order: str, content: str, in_task: int = ranges.IN_TASK) -> DataFrame:
     """Snapshots that become versions: those whose content hash differs from the one before; A, B, A are three.
 

@@ -3,6 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tessera.functions import texts
 from tessera.operators import load, overlay, report
 from tessera.plans.registry import query, table
 
@@ -171,6 +172,28 @@ def publication_long(spark, sf_dir):
     })
 
 
+@query(f"""
+WITH s AS (
+ SELECT 0 AS section_no, 1 AS place, 'publication' AS section, 'PUB-7' AS record_code, NULL AS group_code, 'Orders' AS title, 'Versão 4' AS effective_value, NULL AS source_value, NULL AS revision, NULL AS status
+ UNION ALL SELECT 1, row_number() OVER (ORDER BY o_orderkey), 'activity', 'O' || o_orderkey, 'project_measurement', o_orderpriority, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR), NULL, '0', o_orderstatus FROM orders
+ UNION ALL SELECT 2, row_number() OVER (ORDER BY c_custkey), 'financial', 'C' || c_custkey, c_mktsegment, CASE WHEN c_custkey % 10 = 0 THEN 'contato {texts.OMITTED}' ELSE c_name END, CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS VARCHAR), CAST(CAST(c_acctbal AS DECIMAL(18,2)) + 1 AS VARCHAR), NULL, NULL FROM customer
+ UNION ALL SELECT 3, row_number() OVER (ORDER BY p_size DESC, p_partkey), 'evidence_metadata', 'EVD-' || CASE WHEN row_number() OVER (ORDER BY p_size DESC, p_partkey) < 1000 THEN lpad(CAST(row_number() OVER (ORDER BY p_size DESC, p_partkey) AS VARCHAR), 3, '0') ELSE CAST(row_number() OVER (ORDER BY p_size DESC, p_partkey) AS VARCHAR) END, NULL, p_brand, CAST(p_size AS VARCHAR), NULL, NULL, 'metadata' FROM part)
+SELECT CAST(section_no AS INTEGER) AS section_no, CAST(place AS BIGINT) AS place, 'PUB-7' AS publication_code, section, record_code, group_code, title, effective_value, source_value, revision, CAST(NULL AS VARCHAR) AS actor, CAST(NULL AS VARCHAR) AS reason, status FROM s
+""")
+def publication_sections(spark, sf_dir):
+    """A publication of the fourth form: its head, activities, entries and evidence, numbered by section and redacted."""
+    money = lambda c: F.col(c).cast("decimal(18,2)")
+    named = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
+    head = spark.range(1).withColumn("v", F.lit("Versão 4"))
+    name = F.when(F.col("c_custkey") % 10 == 0, "contato someone@example.org").otherwise(F.col("c_name"))
+    return report.published("PUB-7", "v4", [
+        report.Section("publication", head, ["id"], F.lit("PUB-7"), {"title": F.lit("Orders"), "effective_value": F.col("v")}),
+        report.Section("activity", table(spark, sf_dir, "orders", "o_orderkey", "o_orderpriority", "o_totalprice", "o_orderstatus"), ["o_orderkey"], named("O", "o_orderkey"), {"group_code": F.lit("project_measurement"), "title": F.col("o_orderpriority"), "effective_value": money("o_totalprice"), "revision": F.lit(0), "status": F.col("o_orderstatus")}),
+        report.Section("financial", table(spark, sf_dir, "customer", "c_custkey", "c_mktsegment", "c_name", "c_acctbal"), ["c_custkey"], named("C", "c_custkey"), {"group_code": F.col("c_mktsegment"), "title": name, "effective_value": money("c_acctbal"), "source_value": money("c_acctbal") + 1}),
+        report.Section("evidence_metadata", table(spark, sf_dir, "part", "p_partkey", "p_brand", "p_size").withColumn("down", -F.col("p_size")), ["down", "p_partkey"], "EVD", {"title": F.col("p_brand"), "effective_value": F.col("p_size"), "status": F.lit("metadata")}),
+    ], lambda c: texts.redact_places(texts.redact_personal(c)), plain=("group_code", "effective_value", "source_value", "revision"))
+
+
 VERSIONS = """
 WITH h AS (SELECT user_id, event_id, sha256(event_type) AS content_hash FROM events), c AS (SELECT *, lag(content_hash) OVER (PARTITION BY user_id ORDER BY event_id) IS DISTINCT FROM content_hash AS fresh FROM h),
 v AS (SELECT user_id, event_id, content_hash, NOT fresh AS reused, CAST(sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS version FROM c)
@@ -247,12 +270,16 @@ def invariant_checks(spark, sf_dir):
 SELECT l_orderkey, CAST(pos AS INTEGER) AS pos, l_partkey, quantity FROM (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, CAST(CAST(l_quantity AS DECIMAL(18,2)) AS VARCHAR)) - 1 AS pos, l_partkey, CAST(CAST(l_quantity AS DECIMAL(18,2)) AS VARCHAR) AS quantity FROM lineitem)
 """)
 def json_rows_explode(spark, sf_dir):
-    """Rows kept as a JSON array inside a row, read back with their places."""
+    """Rows kept as JSON arrays of bounded stretches, read back with their places in the whole."""
     lines = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
     item = F.struct("l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("decimal(18,2)").cast("string").alias("quantity"))
-    packed = lines.groupBy("l_orderkey").agg(F.to_json(F.array_sort(F.collect_list(item))).alias("rows"))
+    # No row holds a whole order: 64 line numbers make one stretch, and a stretch begins behind those before it.
+    stretch = F.call_function("div", F.col("l_linenumber"), F.lit(64))
+    packed = lines.groupBy("l_orderkey", stretch.alias("stretch")).agg(F.to_json(F.array_sort(F.collect_list(item))).alias("rows"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("l_orderkey").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1))
     schema = "array<struct<l_linenumber:int,l_partkey:bigint,l_suppkey:bigint,quantity:string>>"
-    return packed.select("l_orderkey", F.posexplode(F.from_json("rows", schema)).alias("pos", "r")).select("l_orderkey", "pos", "r.l_partkey", "r.quantity")
+    begun = packed.select("l_orderkey", "rows", F.coalesce(before, F.lit(0)).cast("int").alias("begin"))
+    return begun.select("l_orderkey", "begin", F.posexplode(F.from_json("rows", schema)).alias("at", "r")).select("l_orderkey", (F.col("begin") + F.col("at")).alias("pos"), "r.l_partkey", "r.quantity")
 
 
 @query("SELECT event_id, user_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events WHERE user_id % 7 = 0 OR CAST(json_extract(props, '$.k') AS INTEGER) % 10 = 3")

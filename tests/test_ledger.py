@@ -286,3 +286,16 @@ def test_sealed_previews(spark):
     assert seal(df.limit(0))["found"] == 0
     kept = spark.createDataFrame([("2024-01-31",), ("2024-01-30",), (None,)], "retain_until string").withColumn("retain_until", F.to_timestamp("retain_until"))
     assert [r["expired"] for r in preview.retained(kept, F.lit("2024-01-31").cast("timestamp")).collect()] == [False, True, True]
+
+
+def test_published_sections(spark):
+    rows = spark.createDataFrame([(i, f"n{i % 7}", None if i == 3 else "mail a@example.org") for i in range(1, 1002)], "_o_0 int, _v_title string, _code string")
+    section = report.Section("s", rows, ["_v_title", "_o_0"], "EVD", {"title": F.col("_code"), "status": F.col("_o_0")})
+    none = report.Section("none", rows.limit(0), ["_o_0"], F.col("_code"), {"title": F.col("_code")})
+    got = report.published("P", "v1", [none, section], lambda c: F.regexp_replace(c, "[a-z]+@[a-z.]+", "*"), plain=("status",))
+    assert got.columns == ["section_no", "place", *report.PUBLISHED["v1"]]
+    want = sorted(rows.collect(), key=lambda r: (r["_v_title"], r["_o_0"]))
+    out = got.orderBy("section_no", "place").collect()
+    assert [(r["record_code"], r["title"], r["status"]) for r in out] == [(f"EVD-{i:03}", None if w["_o_0"] == 3 else "mail *", str(w["_o_0"])) for i, w in enumerate(want, 1)]
+    with pytest.raises(ValueError):
+        report.published("P", "v4", [report.Section("s", rows, ["_o_0"], "X", {"amount_cents": F.lit(1)})], lambda c: c)
