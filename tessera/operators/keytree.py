@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.overlay import latest
-from tessera.storage import written
+from tessera.storage import tidied, written
 
 #: Digits that a step of the tree takes.
 STEP = 2
@@ -88,16 +88,18 @@ def revised(nodes: DataFrame | None, changes: DataFrame, key: str, content: str,
         # A set without keys has a root without children.
         empty = made.sparkSession.range(1).select(F.lit(revision).cast("long").alias("revision"), F.lit("").alias("prefix"), F.array().cast("array<struct<prefix:string,n:long,hash:string>>").alias("children"), F.lit(0).cast("long").alias("n"))
         return made if not put.isEmpty() else empty.withColumn("hash", node_hash(F.col("prefix"), F.col("children")))
-    ways = given.select(F.explode(F.sequence(F.lit(0), F.length("key") - STEP, F.lit(STEP))).alias("d"), "key").select(F.substring(F.col("key"), F.lit(1), F.col("d")).alias("prefix")).distinct()
-    passed = written(at_revision(nodes).join(ways, "prefix", "left_semi"), "passed")
-    # Beside the ways: what the nodes on them hold, but for these nodes and the changed keys themselves.
-    beside = passed.select(F.inline("children")).join(passed.select("prefix").unionByName(given.select(F.col("key").alias("prefix"))), "prefix", "left_anti")
-    tops = written(beside.unionByName(put), "tops")
-    new = _grown(tops, revision) if not tops.isEmpty() else revised(None, changes.limit(0), key, content, revision)
-    old = passed.select("prefix", F.col("hash").alias("_old"))
-    changed = new.join(old, "prefix", "left").filter(~F.col("hash").eqNullSafe(F.col("_old"))).select(new.columns)
-    gone = passed.join(new, "prefix", "left_anti").select(F.lit(revision).cast("long").alias("revision"), "prefix", F.lit(None).cast("array<struct<prefix:string,n:long,hash:string>>").alias("children"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("string").alias("hash"))
-    return written(changed.unionByName(gone), "revised")
+    # Tables on the way go once the revision is written.
+    with tidied() as keep:
+        ways = given.select(F.explode(F.sequence(F.lit(0), F.length("key") - STEP, F.lit(STEP))).alias("d"), "key").select(F.substring(F.col("key"), F.lit(1), F.col("d")).alias("prefix")).distinct()
+        passed = written(at_revision(nodes).join(ways, "prefix", "left_semi"), "passed")
+        # Beside the ways: what the nodes on them hold, but for these nodes and the changed keys themselves.
+        beside = passed.select(F.inline("children")).join(passed.select("prefix").unionByName(given.select(F.col("key").alias("prefix"))), "prefix", "left_anti")
+        tops = written(beside.unionByName(put), "tops")
+        new = _grown(tops, revision) if not tops.isEmpty() else revised(None, changes.limit(0), key, content, revision)
+        old = passed.select("prefix", F.col("hash").alias("_old"))
+        changed = new.join(old, "prefix", "left").filter(~F.col("hash").eqNullSafe(F.col("_old"))).select(new.columns)
+        gone = passed.join(new, "prefix", "left_anti").select(F.lit(revision).cast("long").alias("revision"), "prefix", F.lit(None).cast("array<struct<prefix:string,n:long,hash:string>>").alias("children"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("string").alias("hash"))
+        return keep(written(changed.unionByName(gone), "revised"))
 
 
 def root(nodes: DataFrame, revision: int | None = None) -> DataFrame:
