@@ -214,6 +214,34 @@ def test_leaks_of_exact_and_edited_items(spark):
     assert decontam.leaks(frame(spark, docs).limit(0), table).count() == 0
 
 
+def test_recall_of_heavily_edited_copies(spark):
+    """Copies whose alignment is just above the threshold: nine of ten are found from 0.5 to 0.6, all above."""
+    rng = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    items = [[rng.choice(vocabulary) for _ in range(rng.randint(25, 50))] for _ in range(40)]
+    docs, want = [], {}
+    for d in range(1500):
+        i, share = rng.randrange(len(items)), rng.uniform(0.1, 0.4)
+        copy = []
+        for word in items[i]:
+            edit = rng.random()
+            if edit > share:
+                copy.append(word)
+            elif edit > share / 2:
+                copy.append(rng.choice(vocabulary))
+            if rng.random() < share / 4:
+                copy.append(rng.choice(vocabulary))
+        docs.append(" ".join([*rng.choices(vocabulary, k=20), *copy, *rng.choices(vocabulary, k=20)]))
+        ids = {w: n for n, w in enumerate({*items[i], *docs[-1].split()})}
+        want[d, i] = decontam.align(np.array([ids[w] for w in items[i]]), np.array([ids[w] for w in docs[-1].split()]))[0]
+    table = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.leaks(frame(spark, docs), table).collect()}
+    low, high = {k for k, v in want.items() if 0.5 <= v < 0.6}, {k for k, v in want.items() if v >= 0.6}
+    assert len(low) > 150 and len(low & got) >= 0.9 * len(low)
+    assert len(high) > 500 and high <= got
+    assert not {k for k, v in want.items() if v < 0.5} & got
+
+
 def contexts_of(texts, depth):
     data, offsets = common.text_bytes(pa.array(texts))
     symbols, at = ctw._symbols(data, offsets, depth)
