@@ -267,62 +267,106 @@ def _in_tasks(state: DataFrame, due: DataFrame) -> DataFrame:
     return rows.mapInArrow(folded, decided)
 
 
-def _in_rounds(state: DataFrame, due: DataFrame, held: DataFrame) -> DataFrame:
-    """Versions of the lines of ``state`` under all decisions of ``due`` (line, outcome, record, revision), buckets apart from each other advancing together.
+def _played(rows: list[tuple]) -> Iterator[tuple]:
+    """(revision, category, conflict, target, outcome, decided_at, left, joined) of every version of one line, as its buckets' clocks say.
 
-    A decision has two events: at time 2r it is held against its line's conflict and the line leaves its bucket, at 2r + 1 the
-    line joins a bucket (``link``, ``keep``). An event waits only for earlier ones on its bucket: joins before a line of the
-    bucket is judged or leaves, departures and joins before a line joins. Events of one time on one bucket are of one
-    kind and have no order. So rounds are at most twice the longest chain of decisions on common buckets.
+    ``rows``: (revision, outcome, record, state of the record, category, conflict, target, clash, next); the line first, with revision 0.
     """
-    state = written(state, "fold")
-    wait = written(due.select("line", "revision", "outcome", "record").withColumn("_phase", F.lit(0)), "wait")
-    fields = state.columns
-    moving, versions = "moving", []
-    while not wait.isEmpty():
-        head = wait.groupBy("line").agg(F.min_by(F.struct("revision", "outcome", "record", "_phase"), "revision").alias("_d"), F.min(F.when(F.col("outcome") == "keep", F.col("revision"))).alias("_keep"))
-        s = state.join(head, "line", "left")
-        link = F.col("_d.outcome") == "link"
-        first = F.col("_d._phase") == 0
-        links = wait.filter("outcome = 'link'").groupBy(F.col("record").alias("_b")).agg(F.min("revision").alias("_join"))
-        keeps = s.filter("_keep IS NOT NULL AND target IS NOT NULL").groupBy(F.col("target").alias("_b")).agg(F.min("_keep").alias("_join"))
-        leaves = s.filter(first & F.col("target").isNotNull()).groupBy(F.col("target").alias("_b")).agg(F.min("_d.revision").alias("_leave"))
-        none = lambda c: F.lit(None).cast("int").alias(c)
-        events = links.select("_b", "_join", none("_leave")).unionByName(keeps.select("_b", "_join", none("_leave"))).unionByName(leaves.select("_b", none("_join"), "_leave"))
-        clock = events.groupBy("_b").agg(F.min("_join").alias("_join"), F.min("_leave").alias("_leave"))
-        goal = F.when(~first & link, F.col("_d.record")).otherwise(F.col("target"))
-        s = s.withColumn("_goal", goal).join(clock, F.col("_goal") == F.col("_b"), "left")
-        r = F.col("_d.revision")
-        judged = F.coalesce(first & (F.col("_join").isNull() | (F.col("_join") >= r)), F.lit(False))
-        joins = F.coalesce(~first & (F.col("_join").isNull() | (F.col("_join") >= r)) & (F.col("_leave").isNull() | (F.col("_leave") > r)), F.lit(False))
-        s = s.withColumns({"_judged": judged, "_joins": joins, "_fits": _allowed(F.col("conflict"), F.col("_d.outcome"))})
-        s = s.join(held.withColumnRenamed("target", "_record"), (F.col("_d.record") == F.col("_record")) & link & F.col("_joins"), "left")
-        hit = F.col("_judged") & F.col("_fits")
-        own = F.col("_d.outcome")
-        linked = F.when(F.col("_state") == "active", "updated").otherwise("conflict")
-        broken = F.when(F.col("_state").isNull(), "NO_CANDIDATE").when(F.col("_state") == "disregarded", "DISREGARDED")
-        s = s.withColumns({
-            "category": F.when(hit, F.when(own == "reject", "rejected").when(own == "create", "created").otherwise(moving)).when(F.col("_joins"), F.when(link, linked).otherwise("kept")).otherwise(F.col("category")),
-            "conflict": F.when(hit, None).when(F.col("_joins") & link, broken).otherwise(F.col("conflict")),
-            "target": F.when(hit & own.isin("link", "create"), None).when(F.col("_joins") & link, F.col("_d.record")).otherwise(F.col("target")),
-            "outcome": F.when(hit, own).otherwise(F.col("outcome")), "decided_at": F.when(hit, r).otherwise(F.col("decided_at")),
-            "_done": F.when(F.col("_judged"), ~F.col("_fits") | own.isin("reject", "create")).otherwise(F.col("_joins")), "_moves": hit & own.isin("link", "keep"), "_r": r,
-        })
-        after = written(s.select(*fields, "_done", "_moves", "_joins", (F.col("_fits") | F.col("_joins")).alias("_fits"), "_r"), "fold")
-        member = (F.col("category").isin("unchanged", "updated", "kept") | (F.col("conflict") == "DUPLICATE_TARGET")) & F.col("target").isNotNull()
-        # All that join a bucket in one round are of one revision.
-        twice = after.filter(member).groupBy("target").agg(F.count("*").alias("_n"), F.max(F.when(F.col("_joins"), F.col("_r"))).alias("_at")).filter("_n > 1")
-        clash = member & F.col("_n").isNotNull()
-        out = after.join(twice, "target", "left").withColumns({"_turns": clash & ~F.col("category").eqNullSafe("conflict"), "conflict": F.when(clash, "DUPLICATE_TARGET").otherwise(F.col("conflict")), "category": F.when(clash, "conflict").otherwise(F.col("category"))})
-        ends = F.coalesce(F.col("_done") & F.col("_fits"), F.lit(False))
-        versions.append(written(out.filter(ends | F.col("_turns")).select(F.when(ends, F.col("_r")).otherwise(F.col("_at")).cast("int").alias("revision"), "line", *DECIDED), "versions"))
-        left = wait.join(after.filter("_done OR _moves").select("line", F.col("_r").alias("revision"), "_done"), ["line", "revision"], "left").filter("NOT coalesce(_done, false)")
-        before = state, wait
-        wait = written(left.select("line", "revision", "outcome", "record", F.when(F.col("_done").isNotNull(), 1).otherwise(F.col("_phase")).alias("_phase")), "wait")
-        state = written(out.select(*fields), "fold")
-        for table in (*before, after):
-            drop_written(table)
-    return reduce(DataFrame.unionByName, versions)
+    _, outcome, _, _, category, conflict, target, _, turn = rows[0]
+    at, member = 0, target is not None and (category in ("unchanged", "updated", "kept") or conflict == "DUPLICATE_TARGET")
+    turn = turn if member and conflict is None else None
+    for revision, own, record, there, _, _, _, clash, following in rows[1:]:
+        if turn is not None and turn < revision:
+            category, conflict = "conflict", "DUPLICATE_TARGET"
+            yield turn, category, conflict, target, outcome, at, None, None
+            turn = None
+        if own not in ALLOWED.get(conflict, ()):
+            continue
+        left, outcome, at = target if member else None, own, revision
+        target = record if own == "link" else None if own == "create" else target
+        category = {"reject": "rejected", "keep": "kept", "create": "created"}.get(own) or ("updated" if there == "active" else "conflict")
+        conflict = None if own != "link" or there == "active" else "NO_CANDIDATE" if there is None else "DISREGARDED" if there == "disregarded" else None
+        member = target is not None and category in ("updated", "kept")
+        if member and clash:
+            category, conflict = "conflict", "DUPLICATE_TARGET"
+        turn = following if member and not clash else None
+        yield revision, category, conflict, target, outcome, at, left, target if member else None
+    if turn is not None:
+        yield turn, "conflict", "DUPLICATE_TARGET", target, outcome, at, None, None
+
+
+def _clock(events: DataFrame) -> DataFrame:
+    """(_bucket, revision, _clash, _next) of events (_bucket, revision, _joined, _left): whether lines that join then meet others, and when the next ones join.
+
+    A bucket has a row a revision at most, whatever its lines.
+    """
+    each = events.groupBy("_bucket", "revision").agg(F.sum("_joined").alias("_joined"), F.sum("_left").alias("_left"))
+    forward, back = Window.partitionBy("_bucket").orderBy("revision"), Window.partitionBy("_bucket").orderBy(F.col("revision").desc())
+    there = F.sum(F.col("_joined") - F.col("_left")).over(forward.rowsBetween(Window.unboundedPreceding, 0))
+    following = F.min(F.when(F.col("_joined") > 0, F.col("revision"))).over(back.rowsBetween(Window.unboundedPreceding, -1))
+    return each.select("_bucket", "revision", (there > 1).alias("_clash"), following.alias("_next"))
+
+
+def _in_rounds(state: DataFrame, due: DataFrame) -> DataFrame:
+    """Versions of the lines of ``state`` under all decisions of ``due`` (line, outcome, record, revision, _there), however many share a bucket.
+
+    A line asks its buckets only two things: whether others are there when it joins, and when the next ones join. With these
+    clocks given, each line is played by itself; what the lines then do gives the clocks anew, until they stay as they are. What
+    happens at a revision depends on earlier ones alone (and on departures of the same one, which do too), so clocks that
+    stay are the only ones, and a round settles at least one more revision: there are at most as many rounds as the longest
+    chain of decisions that really change one another's outcome, and one more to see it.
+    """
+    state = written(state.select("line", *DECIDED), "fold")
+    none = lambda kind, c: F.lit(None).cast(kind).alias(c)
+    record, target = due.schema["record"].dataType, state.schema["target"].dataType
+    goal = F.when((F.col("outcome") == "link") & (F.col("_there") == "active"), F.col("record")).when((F.col("outcome") == "keep") & (F.col("_conflict") == "PROTECTED_LAYER"), F.col("_from"))
+    steps = due.join(state.select("line", F.col("conflict").alias("_conflict"), F.col("target").alias("_from")), "line")
+    steps = steps.select("line", "revision", "outcome", "record", "_there", none("string", "category"), none("string", "conflict"), none(target, "target"), goal.alias("_bucket"))
+    member = (F.col("category").isin("unchanged", "updated", "kept") | (F.col("conflict") == "DUPLICATE_TARGET")) & F.col("target").isNotNull()
+    lone = F.coalesce(member & F.col("conflict").isNull(), F.lit(False))
+    decided = due.select("line").distinct().withColumn("_due", F.lit(True))
+    # Lines without decisions only turn, if they are alone in their bucket.
+    begin = state.join(decided, "line", "left").filter(F.coalesce("_due", F.lit(False)) | lone)
+    begin = begin.select("line", F.lit(0).alias("revision"), "outcome", none(record, "record"), none("string", "_there"), "category", "conflict", "target", F.when(lone, F.col("target")).alias("_bucket"))
+    plan = written(begin.unionByName(steps), "plan")
+    event = lambda df, bucket, joined, left: df.select(F.col(bucket).alias("_bucket"), "revision", joined.cast("long").alias("_joined"), left.cast("long").alias("_left"))
+    one, zero = F.lit(1), F.lit(0)
+    asked = plan.filter("_bucket IS NOT NULL AND revision > 0").select("_bucket", "revision").distinct()
+    asked = written(asked, "clock")
+    there = state.filter(member).groupBy(F.col("target").alias("_bucket")).agg(F.count("*").alias("_n")).join(asked.select("_bucket"), "_bucket", "left_semi")
+    fixed = written(event(asked, "_bucket", zero, zero).unionByName(event(there.withColumn("revision", zero), "_bucket", F.col("_n"), zero)), "clock")
+    # At first all are thought to join that might.
+    clock = written(_clock(fixed.unionByName(event(plan.filter("_bucket IS NOT NULL AND revision > 0"), "_bucket", one, zero))), "clock")
+    made = StructType([StructField("revision", IntegerType()), *(state.schema[c] for c in ("line", *DECIDED)), StructField("_left", target), StructField("_joined", target)])
+    types = [to_arrow_type(f.dataType) for f in made.fields]
+
+    def played(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        shown = lambda out: pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(types)], names=made.names)
+        for batch in batches:
+            out = []
+            for line, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if line != now:
+                    out += ((v[0], now, *v[1:]) for v in (_played(held) if held else ()))
+                    now, held = line, []
+                held.append(tuple(row))
+            yield shown(out)
+        yield shown([(v[0], now, *v[1:]) for v in (_played(held) if held else ())])
+
+    while True:
+        # Steps that ask no bucket don't meet the clocks, so that they don't meet in one task.
+        timed = plan.filter("_bucket IS NOT NULL").join(clock, ["_bucket", "revision"], "left").unionByName(plan.filter("_bucket IS NULL"), allowMissingColumns=True)
+        rows = timed.select("line", "revision", "outcome", "record", "_there", "category", "conflict", "target", "_clash", "_next").repartition("line").sortWithinPartitions("line", "revision")
+        versions = written(rows.mapInArrow(played, made), "versions")
+        moves = event(versions.filter("_joined IS NOT NULL"), "_joined", one, zero).unionByName(event(versions.filter("_left IS NOT NULL"), "_left", zero, one))
+        after = written(_clock(fixed.unionByName(moves.join(asked.select("_bucket"), "_bucket", "left_semi"))), "clock")
+        old = clock.select("_bucket", "revision", F.struct("_clash", "_next").alias("_old"))
+        same = after.join(old, ["_bucket", "revision"], "full").join(fixed.select("_bucket", "revision"), ["_bucket", "revision"], "left_semi").filter(~F.struct("_clash", "_next").eqNullSafe(F.col("_old"))).isEmpty()
+        drop_written(clock)
+        if same:
+            return versions.drop("_left", "_joined")
+        clock = after
+        drop_written(versions)
 
 
 def decision_versions(lines: DataFrame, decisions: DataFrame, records: DataFrame, matches: DataFrame, last: int, in_task: int = IN_TASK) -> DataFrame:
@@ -333,7 +377,7 @@ def decision_versions(lines: DataFrame, decisions: DataFrame, records: DataFrame
 
     Lines act on each other only through records that they share, so the lines are parted by the records that their
     targets and links connect. A part of up to ``in_task`` lines and decisions is folded inside a task, whatever its number of
-    revisions; larger ones advance by :func:`_in_rounds`, bucket by bucket.
+    revisions; larger ones are played line by line by :func:`_in_rounds`, which needs of a bucket only its clock.
     """
     with tidied() as keep:
         return keep(_versions(lines, decisions, records, matches, last, in_task))
@@ -356,7 +400,12 @@ def _versions(lines: DataFrame, decisions: DataFrame, records: DataFrame, matche
     start = written(classify(lines, matches, records).withColumn("decided_at", F.lit(0)), "fold")
     first = start.select(F.lit(0).alias("revision"), *start.columns)
     due = decisions.filter(F.col("revision").between(1, last)).groupBy("line", F.col("revision").cast("int").alias("revision")).agg(F.max_by(F.struct("outcome", "record"), "decision_id").alias("_d"))
-    due = written(due.select("line", "revision", "_d.outcome", "_d.record").join(start.select("line", F.col("target").alias("_from")), "line"), "due")
+    due = written(due.select("line", "revision", "_d.outcome", "_d.record").join(start.select("line", F.col("target").alias("_from"), F.col("conflict").alias("_conflict")), "line"), "due")
+    # A line without conflict waits for no decision unless another can join its bucket; its decisions change nothing.
+    goal = F.when(F.col("outcome") == "link", F.col("record")).when((F.col("outcome") == "keep") & (F.col("_conflict") == "PROTECTED_LAYER"), F.col("_from"))
+    goals = due.select(goal.alias("_from")).filter("_from IS NOT NULL").distinct()
+    waits = due.filter("_conflict IS NOT NULL").unionByName(due.filter("_conflict IS NULL AND _from IS NOT NULL").join(goals, "_from", "left_semi"))
+    due = written(waits.drop("_conflict"), "due")
     if due.isEmpty():
         return first
     reach = due.select("line", F.explode(F.array_compact(F.array("_from", F.when(F.col("outcome") == "link", F.col("record"))))).alias("_r")).distinct()
@@ -365,17 +414,17 @@ def _versions(lines: DataFrame, decisions: DataFrame, records: DataFrame, matche
     of_record = reach.select("_r").distinct().join(root, F.col("_r") == F.col("node"), "left").select("_r", F.concat(F.lit("record "), F.coalesce("root", "_r").cast("string")).alias("_part"))
     of_line = due.select("line").distinct().join(low, "line", "left").join(of_record, F.col("_low") == F.col("_r"), "left")
     of_line = written(of_line.select("line", F.coalesce("_part", F.concat(F.lit("line "), F.col("line").cast("string"))).alias("_own")), "own")
-    parts = start.join(of_record, F.col("target") == F.col("_r"), "left").join(of_line, "line", "left").select(*start.columns, F.coalesce("_own", "_part").alias("_part"))
-    parts = written(parts, "parts")
+    parts = start.select("line", *DECIDED).join(of_record, F.col("target") == F.col("_r"), "left").join(of_line, "line", "left").select("line", *DECIDED, F.coalesce("_own", "_part").alias("_part"))
+    parts = written(parts.filter("_part IS NOT NULL"), "parts")
     held = records.select(F.col("record").alias("target"), F.col("state").alias("_state"))
     due = due.join(of_line, "line").withColumnRenamed("_own", "_part").join(held.withColumnRenamed("target", "_t"), (F.col("record") == F.col("_t")) & (F.col("outcome") == "link"), "left")
     due = written(due.select("_part", "line", "outcome", "record", "revision", F.col("_state").alias("_there")), "due")
-    sizes = parts.select("_part").unionByName(due.select("_part")).filter("_part IS NOT NULL").groupBy("_part").agg(F.count("*").alias("_n"))
+    sizes = parts.select("_part").unionByName(due.select("_part")).groupBy("_part").agg(F.count("*").alias("_n"))
     large = written(sizes.filter(F.col("_n") > in_task).select("_part"), "large")
     small_due, small_state = due.join(large, "_part", "left_anti"), parts.join(large, "_part", "left_anti")
     changes = _in_tasks(small_state.join(small_due.select("_part").distinct(), "_part", "left_semi"), small_due)
     if not large.isEmpty():
-        changes = changes.unionByName(_in_rounds(parts.join(large, "_part", "left_semi").select(*start.columns), due.join(large, "_part", "left_semi"), held))
+        changes = changes.unionByName(_in_rounds(parts.join(large, "_part", "left_semi"), due.join(large, "_part", "left_semi")))
     # Of what lines are before any decision, later versions repeat only their names.
     return first.unionByName(written(changes, "versions"), allowMissingColumns=True)
 

@@ -299,3 +299,19 @@ def test_published_sections(spark):
     assert [(r["record_code"], r["title"], r["status"]) for r in out] == [(f"EVD-{i:03}", None if w["_o_0"] == 3 else "mail *", str(w["_o_0"])) for i, w in enumerate(want, 1)]
     with pytest.raises(ValueError):
         report.published("P", "v4", [report.Section("s", rows, ["_o_0"], "X", {"amount_cents": F.lit(1)})], lambda c: c)
+
+
+def test_hot_part_takes_few_rounds(spark, monkeypatch):
+    """Many revisions on two records: the rounds follow the decisions that change each other, not all that meet in a bucket."""
+    last, n = 80, 480
+    payload, none = F.create_map(F.lit("a"), F.lit("x")), F.lit(None).cast("map<string,string>").alias("provenance")
+    lines = spark.range(n).select(F.col("id").alias("line"), payload.alias("payload"), none)
+    matches = lines.select("line", F.when(F.col("line") % 3 == 0, "unique").otherwise("none").alias("match"), F.when(F.col("line") % 3 == 0, F.col("line") % 2).alias("record"))
+    records = spark.range(2).select(F.col("id").alias("record"), payload.alias("payload"), none, F.lit(1).alias("layer"), F.lit("active").alias("state"))
+    decisions = spark.range(2 * n).select(F.col("id").alias("decision_id"), F.expr("id * 7 % 480").alias("line"), F.expr("if(id % 5 = 4, 'reject', 'link')").alias("outcome"), F.expr("if(id % 5 = 4, null, id % 2)").alias("record"), F.expr(f"cast(1 + id % {last} AS int)").alias("revision"))
+    made, plain = [], reconcile.written
+    monkeypatch.setattr(reconcile, "written", lambda df, name: made.append(name) or plain(df, name))
+    hot = reconcile.fold_decisions(lines, decisions, records, matches, last, 0)
+    assert len(made) < 60
+    key = lambda df: sorted(map(tuple, df.select("line", *reconcile.DECIDED).collect()))
+    assert key(hot) == key(reconcile.fold_decisions(lines, decisions, records, matches, last))
