@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessera.operators import chain, keytree, matching, reconcile, rederive, report
 from tessera.plans.registry import query, table
 from tessera.sources import commits
-from tessera.storage import shared_dir
+from tessera.storage import shared_dir, written
 
 PAYLOAD = "map('status', o_orderstatus, 'priority', o_orderpriority, 'total', cast(cast(o_totalprice AS decimal(18,2)) AS string))"
 
@@ -334,7 +334,7 @@ def revision_chain(spark, sf_dir):
 @query(classified_sql(NO_DECISIONS) + """SELECT md5('batch:' || line || ':source') AS event_id, line, CASE WHEN line % 2 = 0 THEN 1 ELSE 2 END AS version FROM c WHERE category <> 'conflict' AND category <> 'rejected'""")
 def applied_batches(spark, sf_dir):
     """Events of a ledger by the version that added them: two batches, the first sent again on a base that has moved on, the second with events of the first."""
-    lines = classified(spark, sf_dir, False)[1].filter("category != 'conflict'")
+    lines = written(classified(spark, sf_dir, False)[1].filter("category != 'conflict'"), "classified")
     made, root = reconcile.events(lines, "batch"), f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
     even, odd = lines.filter("line % 2 = 0"), lines.filter("line % 2 = 1")
     first = commits.apply(root, "even", 0, even, made.filter("line % 2 = 0"))

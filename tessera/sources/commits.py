@@ -117,7 +117,8 @@ def apply(root: str, request: str, base: int, classified: DataFrame, events: Dat
 
     Raises :class:`Refused` with the gates that don't hold: lines that wait, targets taken twice, a base that isn't the last
     version (also if another writer comes first). A request that was applied gets the same answer again,
-    whatever its base; another batch under its name is refused (``request``).
+    whatever its base; another batch under its name is refused (``request``). The batch is computed twice here, for its
+    fingerprint and to freeze it, and once more where ``events`` derive from it: pass a written table if it costs much.
     """
     spark = classified.sparkSession
     print_ = backup_catalog(lines=classified.select(*sorted(classified.columns))).first()
@@ -133,14 +134,17 @@ def apply(root: str, request: str, base: int, classified: DataFrame, events: Dat
 
     if (known := repeated()) is not None:
         return known
-    gates = [r["gate"] for r in reconcile.apply_gates(classified, base, version(spark, root)).collect() if not r["holds"]]
+    # The lines are frozen first, so that the gates read them and don't compute them once more each.
+    data = uuid.uuid4().hex
+    classified.write.parquet(f"{root}/data/{data}/lines")
+    held = spark.read.schema(classified.schema).parquet(f"{root}/data/{data}/lines")
+    gates = [r["gate"] for r in reconcile.apply_gates(held, base, version(spark, root)).collect() if not r["holds"]]
     if gates:
+        _drop(spark, f"{root}/data/{data}")
         raise Refused(gates)
-    data = uuid.uuid4().hex
     ledger = read_events(spark, root, base)
     fresh = events.dropDuplicates(["event_id"]) if ledger is None else reconcile.append_events(ledger, events)
     fresh.write.parquet(f"{root}/data/{data}/events")
-    classified.write.parquet(f"{root}/data/{data}/lines")
     added = backup_catalog(events=spark.read.schema(fresh.schema).parquet(f"{root}/data/{data}/events")).first()
     made = Applied(base + 1, request, fingerprint, base, print_["n_rows"], added["n_rows"], added["content_hash"], data)
     if put_if_absent(spark, f"{root}/log/{made.version:012d}.json", json.dumps({k: v for k, v in made.__dict__.items() if k != "reused"})):

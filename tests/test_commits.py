@@ -87,3 +87,21 @@ def test_a_rename_that_overwrites_nothing(spark, tmp_path):
     assert commits.put_if_absent(spark, path, '{"a": 1}') and not commits.put_if_absent(spark, path, '{"a": 2}')
     assert (tmp_path / "log/1.json").read_text() == '{"a": 1}'
     assert [f.name for f in (tmp_path / "log").iterdir() if not f.name.endswith(".crc")] == ["1.json"]
+
+
+def test_a_batch_is_computed_for_its_fingerprint_and_once_to_freeze_it(spark, tmp_path):
+    computed = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            computed.add(len(batch))
+            yield batch
+
+    lines = spark.range(10).selectExpr("id AS line", "id AS target", "'updated' AS category")
+    counted = lines.mapInPandas(seen, lines.schema)
+    events = lines.selectExpr("cast(line AS string) AS event_id", "line")
+    assert commits.apply(f"file://{tmp_path}/counted", "r", 0, counted, events).n_lines == 10
+    assert computed.value == 20
+    with pytest.raises(commits.Refused):
+        commits.apply(f"file://{tmp_path}/counted", "late", 0, lines.filter("line < 5"), events)
+    assert commits.unnamed(spark, f"file://{tmp_path}/counted") == []
