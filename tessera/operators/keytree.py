@@ -37,25 +37,31 @@ def leaf(key: Column, content: Column) -> Column:
     return F.struct(key.alias("prefix"), F.lit(1).cast("long").alias("n"), F.sha2(F.concat(F.lit("leaf:"), key, F.lit(":"), content), 256).alias("hash"))
 
 
-def _depths(tops: DataFrame) -> list[int]:
-    """The lengths of prefixes that two neighbours in order share, deepest first, down to 0.
+def _placed(tops: DataFrame) -> DataFrame:
+    """``tops`` with ``_depth``: the longest prefix that each shares with a neighbour in order, which is where it meets others first.
 
     Neighbours are looked for under their first four digits; where these differ, so do all longer prefixes.
     """
-    before = F.lag("prefix").over(Window.partitionBy(F.substring("prefix", 1, 2 * STEP)).orderBy("prefix"))
-    lengths = F.filter(F.sequence(F.lit(STEP), F.greatest(F.length("prefix"), F.lit(STEP)), F.lit(STEP)), lambda d: F.substring(F.col("prefix"), F.lit(1), d) == F.substring(before, F.lit(1), d))
-    deepest = tops.select(F.size(lengths).alias("_s")).agg(F.max("_s")).first()[0] or 0
-    return list(range(STEP * max(1, deepest), -1, -STEP))
+    order = Window.partitionBy(F.substring("prefix", 1, 2 * STEP)).orderBy("prefix")
+    steps = F.sequence(F.lit(STEP), F.greatest(F.length("prefix"), F.lit(STEP)), F.lit(STEP))
+    shared = lambda other: F.size(F.filter(steps, lambda d: F.substring(F.col("prefix"), F.lit(1), d) == F.substring(other, F.lit(1), d)))
+    near = tops.withColumns({"_before": F.lag("prefix").over(order), "_after": F.lead("prefix").over(order)})
+    return near.select("prefix", "n", "hash", (STEP * F.greatest(F.lit(1), shared(F.col("_before")), shared(F.col("_after")))).alias("_depth"))
 
 
 def _grown(tops: DataFrame, revision: int) -> DataFrame:
     """The nodes over ``tops`` (prefix, n, hash: keys, and nodes that are done), the root's included.
 
-    One grouping a length of prefix, from the deepest shared one up; a group is at most 256 rows. What is alone under a
-    prefix is handed on as it is.
+    One grouping a length of prefix, from the deepest shared one up; a group is at most 256 rows. A top comes in at the
+    length that it shares with a neighbour, so each is grouped once but for those that share two digits at most. What is
+    alone under a prefix is handed on as it is.
     """
-    nodes, rest = [], tops
-    for depth in _depths(tops):
+    placed = written(_placed(tops), "placed")
+    deepest = placed.agg(F.max("_depth")).first()[0] or STEP
+    nodes, rest = [], None
+    for depth in range(deepest, -1, -STEP):
+        own = placed.filter(F.col("_depth") == depth).drop("_depth")
+        rest = own if rest is None else rest.unionByName(own)
         at = F.substring("prefix", 1, depth) if depth else F.lit("")
         # What already stands for a shorter prefix waits for its turn.
         groups = rest.groupBy(F.when(F.length("prefix") > depth, at).otherwise(F.col("prefix")).alias("at")).agg(F.array_sort(F.collect_list(F.struct("prefix", "n", "hash"))).alias("children"))

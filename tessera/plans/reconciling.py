@@ -399,8 +399,10 @@ def member_pages(spark, sf_dir):
         nodes = added if nodes is None else nodes.unionByName(added)
     for revision in range(len(batches)):
         top = keytree.root(nodes, revision).first()
+    # Of each node only the first such member goes to its latest revision.
+    firsts = nodes.select("revision", "prefix", "hash", F.array_min(F.transform(F.filter("children", lambda c: (c["n"] == 1) & (c["prefix"] >= "8")), lambda c: c["prefix"])).alias("first"))
         # The first member from the middle on: what a page after none would begin with there.
-        middle = keytree.at_revision(nodes, revision).select(F.inline("children")).filter("n = 1 AND prefix >= '8'").agg(F.min("prefix")).first()[0]
+        middle = keytree.at_revision(firsts, revision).agg(F.min("first")).first()[0]
         found = keytree.page(nodes, top["hash"], middle, 100, revision)
         out += [(revision, top["n"], i + 1, key, leaf, found.more) for i, (key, leaf) in enumerate(found.members)]
     return spark.createDataFrame(out, "revision int, n long, place int, key string, leaf string, has_more boolean")  # a page a revision

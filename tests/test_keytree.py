@@ -103,3 +103,15 @@ def test_empty_sets_and_null_keys(spark):
     assert (found.members, found.more) == ([], False)
     nodes = nodes.unionByName(keytree.revised(nodes, changed(spark, {"AA-bb": "x"}), "key", "content", 1))
     assert tuple(keytree.root(nodes).first()) == plain({"aabb": "x"})[:2]
+
+
+def test_each_key_is_grouped_where_it_parts_from_others(spark, monkeypatch):
+    """Not once a length of prefix: keys that share four digits or more with a neighbour come in once."""
+    made, plain = [], keytree.written
+    monkeypatch.setattr(keytree, "written", lambda df, name: made.append((name, plain(df, name))) or made[-1][1])
+    n = 5000
+    keys = spark.range(n).selectExpr("concat(lpad(hex(id % 50), 4, '0'), md5(cast(id AS string))) AS key", "'x' AS content").withColumn("key", F.lower("key"))
+    nodes = keytree.revised(None, keys, "key", "content", 0)
+    grouped = sum(df.filter("NOT made").count() for name, df in made if name == "keytree")
+    assert keytree.root(nodes).first()["n"] == n
+    assert grouped < n / 10
