@@ -350,10 +350,12 @@ def submitted(spark, sf_dir):
     records, lines, _ = batch(spark, sf_dir)
     orders = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate")
     keys = lambda name: orders.select(F.col("o_orderkey").alias(name), F.col("o_custkey").alias("customer"), F.to_date("o_orderdate").cast("string").alias("day"))
-    records, lines = records.drop("amount").join(keys("record"), "record"), lines.drop("amount").join(keys("line"), "line")
+    # Each is read many times on the way to the differences, so each is computed once.
+    records, lines = written(records.drop("amount").join(keys("record"), "record"), "records"), written(lines.drop("amount").join(keys("line"), "line"), "lines")
     decisions = batch_decisions(spark, sf_dir)
-    matches = matching.identity_match(lines, records, "line", "record", ["customer", "day"])
+    matches = written(matching.identity_match(lines, records, "line", "record", ["customer", "day"]).select("line", "match", "n_candidates", "record"), "matches")
     found = reconcile.classify(lines.select("line", "payload", "provenance"), matches.select("line", "match", "record"), records, reconcile.resolve_decisions(decisions))
+    found = written(found.select("line", "match", "target", "conflict", "category"), "classified")
     ids = F.md5(F.concat(F.lit("batch:"), F.col("line").cast("string")))
     whole = found.join(matches.select("line", "n_candidates"), "line").withColumn("observation", ids).select("line", "observation", "match", "n_candidates", "target", "conflict", "category")
     held = records.select(F.col("record").alias("target"), F.col("payload").alias("before"), F.lit(True).alias("_there"))
@@ -397,10 +399,10 @@ def member_pages(spark, sf_dir):
         changes = batch.select(F.md5(k.cast("string")).alias("key"), "content")
         added = keytree.revised(nodes, changes, "key", "content", revision)
         nodes = added if nodes is None else nodes.unionByName(added)
-    for revision in range(len(batches)):
-        top = keytree.root(nodes, revision).first()
     # Of each node only the first such member goes to its latest revision.
     firsts = nodes.select("revision", "prefix", "hash", F.array_min(F.transform(F.filter("children", lambda c: (c["n"] == 1) & (c["prefix"] >= "8")), lambda c: c["prefix"])).alias("first"))
+    for revision in range(len(batches)):
+        top = keytree.root(nodes, revision).first()
         # The first member from the middle on: what a page after none would begin with there.
         middle = keytree.at_revision(firsts, revision).agg(F.min("first")).first()[0]
         found = keytree.page(nodes, top["hash"], middle, 100, revision)

@@ -44,3 +44,9 @@ def test_planted_faults(both, kind):
     else:
         summary, want = summary.withColumn("n_updated", F.col("n_updated") + 1), {("summary", "n_updated")}
     assert kinds(derived, (whole, diffs, absent, summary)) == want
+
+
+def test_a_submitted_batch_is_computed_once(spark):
+    (lines, records, _), (whole, diffs, absent, summary) = reconciling.submitted(spark, SF)
+    for frame in (lines, records, whole, diffs, absent, summary):
+        assert not [f for f in frame.inputFiles() if "orders.parquet" in f]
