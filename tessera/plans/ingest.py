@@ -37,7 +37,7 @@ SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE CAST(o_orderkey
 """)
 def xml_note(spark, sf_dir):
     """Orders as invoices in XML; every eleventh is cancelled and therefore refused."""
-    orders = table(spark, sf_dir, "orders", "o_orderkey", "o_orderdate", "o_totalprice")
+    orders = dealt(table(spark, sf_dir, "orders", "o_orderkey", "o_orderdate", "o_totalprice"), F.col("o_orderkey"))
     text = F.concat(
         F.lit(f'<n:Nfse xmlns:n="{invoices.CITY}" versao="2.04"><n:InfNfse><n:Numero>'), F.col("o_orderkey").cast("string"), F.lit("</n:Numero><n:DataEmissao>"), F.date_format("o_orderdate", "yyyy-MM-dd"),
         F.lit("T10:00:00Z</n:DataEmissao><n:DeclaracaoPrestacaoServico><n:InfDeclaracaoPrestacaoServico><n:Servico><n:Valores><n:ValorServicos>"), F.col("o_totalprice").cast("decimal(18,2)").cast("string"),
@@ -47,6 +47,11 @@ def xml_note(spark, sf_dir):
     return notes.select(F.col("path").cast("long").alias("o_orderkey"), "number", "issued", "amount", "issue")
 
 
+def dealt(rows, key):
+    """Rows dealt by a key to as many tasks as the session shuffles to: files are small beside what they are read into, so their bytes don't say how many fit a task."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 @F.pandas_udf(BinaryType())
 def _archive(parts: pd.Series) -> pd.Series:
     """Archives of files by name, to be read back."""
@@ -89,7 +94,7 @@ def workbook_rows(spark, sf_dir):
         "xl/sharedStrings.xml": "<sst><si><t>F</t></si><si><t>O</t></si><si><r><t>P</t></r></si></sst>",
         "xl/styles.xml": '<styleSheet><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/></cellXfs></styleSheet>',
     }
-    lines = orders.groupBy(f.alias("f")).agg(F.array_sort(F.collect_list(F.struct(k.alias("k"), line.alias("line")))).alias("lines"))  # 400 a file
+    lines = dealt(orders.withColumn("f", f), F.col("f")).groupBy("f").agg(F.array_sort(F.collect_list(F.struct(k.alias("k"), line.alias("line")))).alias("lines"))  # 400 a file
     parts = F.create_map(*(F.lit(x) for pair in fixed.items() for x in pair), F.lit("xl/worksheets/one.xml"), sheet(0), F.lit("xl/worksheets/two.xml"), sheet(1))
     found = sheets.read_sheets(lines.select(F.concat(F.lit("f"), F.col("f").cast("string")).alias("path"), _archive(parts).alias("content")))
     values = (F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(("code", "status", "day", "amount", "flag")))

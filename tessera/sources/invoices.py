@@ -73,11 +73,9 @@ def _early(content: Column) -> Column:
 
 def _found(form: Form) -> Column:
     """The form in the elements of a file, an aggregate: whether all is there as it must be, and the values at the ends."""
-    # The outer element of one family is optional.
-    way = F.regexp_replace(F.array_join("steps", "/"), "^CompNfse/", "")
-    at = lambda p: (way == p) & (F.col("spaces") == F.array(F.lit(form.namespace)))
+    at = lambda p: (F.col("_way") == p) & (F.col("_space") == form.namespace)
     value = F.when(F.col("children") == 0, F.regexp_replace("whole", BLANKS, ""))
-    version = F.col("attributes")["versao"]
+    version = F.col("_version")
     single = [F.count_if(at(p)) == 1 for p in form.paths]
     single += [F.count_if((F.col("name") == n) & (F.col("namespace") == form.namespace)) == 1 for n in form.once]
     states = [F.max(F.when(at(p), value)).isin(*v) for p, v in form.states.items()]
@@ -95,7 +93,11 @@ def read_notes(files: DataFrame) -> DataFrame:
     """
     given = files.select(F.monotonically_increasing_id().alias("_file"), "path", F.when(_early(F.col("content")).isNull(), F.col("content")).alias("content"), _early(F.col("content")).alias("issue"))
     replaced = F.bool_or(F.col("name").rlike(REPLACED) | (F.col("name") == REPLACED_ALONE)).alias("_replaced")
-    notes = elements(given, BUDGET, "INVALID").groupBy("_file", "path").agg(F.max("issue").alias("_issue"), replaced, *map(_found, FORMS))
+    # The outer element of one family is optional. The way, and the only namespace on it, are found once an element.
+    way = F.regexp_replace(F.array_join("steps", "/"), "^CompNfse/", "").alias("_way")
+    space = F.when(F.size("spaces") == 1, F.col("spaces")[0]).alias("_space")
+    found = elements(given, BUDGET, "INVALID").select("_file", "path", "name", "namespace", "children", "whole", "issue", way, space, F.col("attributes")["versao"].alias("_version"))
+    notes = found.groupBy("_file", "path").agg(F.max("issue").alias("_issue"), replaced, *map(_found, FORMS))
     held = F.coalesce(*(F.when(F.col(f"`{f.title}`")["whole"], F.col(f"`{f.title}`")) for f in FORMS))
     # XML that broke off, or went beyond its budget, is no note whatever its first elements were.
     first = F.coalesce("_issue", F.when(F.col("_replaced"), "CANCELLED_OR_REPLACED"))

@@ -395,3 +395,23 @@ def test_verified_and_catalog(spark):
     reserved = spark.createDataFrame([("x", 1), ("y", 9), ("z", 1)], "object_key string, expires_at int")
     objects = spark.createDataFrame([("z",), ("w",)], "object_key string")
     assert {(r[0], r[1]) for r in files.catalog_issues(reserved, objects, F.lit(5)).collect()} == {("x", "expired"), ("w", "orphan")}
+
+
+def test_cells_hold_their_texts(spark):
+    """An outermost cell is one row with the first texts inside it; values are no rows of their own, formulas are."""
+    from tessera.sources import xmls
+
+    text = b"<s><row><c r='A1'><f>1</f><v>a</v><v>b</v><is><r><t>x</t></r><t>y</t></is><c><v>z</v></c></c><c/></row><v>out</v></s>"
+    found = xmls.elements(spark.createDataFrame([("p", bytearray(text), None)], "part string, content binary, issue string"), texts=("c", "v", "is"), whole_of="c")
+    rows = [(r["name"], r["whole"], r["inner"]) for r in found.collect()]
+    assert [r for r in rows if r[0] == "c"] == [("c", "1abxyz", {"v": "a", "is": "xy", "c": "z"}), ("c", "", {})]
+    assert [r[1] for r in rows if r[0] == "v"] == ["out"]
+    assert [r[0] for r in rows if r[0] == "f"] == ["f"]
+
+
+def test_files_are_dealt_to_all_tasks(spark):
+    """Whatever their bytes: adaptive execution doesn't put them together."""
+    from tessera.plans import ingest
+
+    dealt = ingest.dealt(spark.range(100), F.col("id")).withColumn("at", F.spark_partition_id())
+    assert dealt.select("at").distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
