@@ -123,10 +123,9 @@ def _rows(inside: DataFrame) -> DataFrame:
 
 def _cells(found: DataFrame, inside: DataFrame, rows: DataFrame, budget: Budget) -> DataFrame:
     """(file, part, row_node, node, at, value, fault) of the cells of sheets; at counts columns from 0."""
-    # A cell's elements meet by the cell: its first value, its first text inline, or all its text.
-    of = lambda c, n: F.min_by(F.when(F.col("name") == n, F.col(c)), F.when(F.col("name") == n, F.col("node")))
-    cell = inside.filter(F.col("name").isin("c", "v", "is")).select("*", above("row").alias("row_node"), above("c").alias("cell")).filter("row_node IS NOT NULL AND cell > row_node")
-    whole = cell.groupBy("file", "part", "row_node", F.col("cell").alias("node")).agg(of("attributes", "c").alias("attributes"), of("whole", "c").alias("_c"), of("whole", "v").alias("_v"), of("whole", "is").alias("_is"))
+    # An outermost cell holds its first value and its first text inline, or all its text.
+    cell = inside.filter("name = 'c'").select("*", above("row").alias("row_node")).filter((F.col("node") == above("c")) & (F.col("node") > F.col("row_node")))
+    whole = cell.select("file", "part", "row_node", "node", "attributes", F.col("whole").alias("_c"), F.col("inner")["v"].alias("_v"), F.col("inner")["is"].alias("_is"))
     kind, place = attribute("t"), attribute("r")
     raw = F.coalesce(F.when(kind == "inlineStr", F.col("_is")).otherwise(F.col("_v")), F.col("_c"))
     letters, digits = F.regexp_extract("_place", PLACE, 1), F.regexp_extract("_place", PLACE, 2)
@@ -141,7 +140,7 @@ def _cells(found: DataFrame, inside: DataFrame, rows: DataFrame, budget: Budget)
     strings = strings.select("file", (F.row_number().over(Window.partitionBy("file").orderBy("node")) - 1).alias("_string"), F.col("whole").alias("_shared"))
     string = F.when((F.col("kind") == "s") & F.col("raw").rlike("^[0-9]{1,9}$"), F.col("raw").cast("int"))
     old = found.filter((F.col("part") == BOOK) & (F.col("name") == "workbookPr") & attribute("date1904").isin("1", "true")).select("file").distinct().withColumn("_1904", F.lit(True))
-    joined = placed.withColumn("_string", string).join(strings, ["file", "_string"], "left").join(_date_styles(found).withColumn("_date", F.lit(True)), ["file", "style"], "left").join(old, "file", "left")
+    joined = placed.withColumn("_string", string).join(strings, ["file", "_string"], "left").join(_date_styles(found).withColumn("_date", F.lit(True)).join(old, "file", "left"), ["file", "style"], "left")
     serial = F.when(F.col("raw").rlike(r"^[0-9]{1,9}(\.0+)?$"), F.substring_index("raw", ".", 1).cast("int"))
     day = F.when(F.col("_date") & F.col("kind").isin("", "n"), serial_date(serial, F.coalesce("_1904", F.lit(False))))
     value = F.when(F.col("kind") == "s", F.col("_shared")).when(F.col("kind") == "b", F.when(F.col("raw") == "1", "true").otherwise("false")).otherwise(F.coalesce(day, "raw"))
@@ -192,7 +191,7 @@ def read_sheets(files: DataFrame, budget: Budget = Budget()) -> DataFrame:
     first fault counts: of the archive, of its XML, of the workbook, then of its sheets in their order. Null or empty content
     is no workbook. Files of one path stay apart; the frame reads a table in the shared folder, which stays for it.
     """
-    found = written(elements(unzipped(files, budget), budget, texts=("c", "v", "is", "si")), "elements")
+    found = written(elements(unzipped(files, budget), budget, texts=("c", "v", "is", "si"), whole_of="c"), "elements")
     sheets = written(_sheet_list(found), "sheets")
     inside = found.join(sheets.filter("part IS NOT NULL").select("file", "part").distinct(), ["file", "part"], "left_semi")
     rows = _rows(inside)
