@@ -12,14 +12,14 @@ from tessera.storage import shared_dir, written
 PAYLOAD = "map('status', o_orderstatus, 'priority', o_orderpriority, 'total', cast(cast(o_totalprice AS decimal(18,2)) AS string))"
 
 
-def batch(spark, sf_dir):
-    """Orders read as records, as an incoming batch of lines, and as their matches."""
-    orders = table(spark, sf_dir, "orders", "o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice")
+def batch(spark, sf_dir, more=None):
+    """Orders read as records, as an incoming batch of lines, and as their matches; ``more``: columns that records and lines have besides."""
+    orders, more = table(spark, sf_dir, "orders"), [column.alias(name) for name, column in (more or {}).items()]
     k = F.col("o_orderkey")
     proof = F.when(k % 6 == 0, F.create_map(F.lit("total"), F.lit("sheet"))).when(k % 6 == 1, F.create_map().cast("map<string,string>"))
-    records = orders.filter(k % 29 != 0).select(k.alias("record"), F.expr(PAYLOAD).alias("payload"), proof.alias("provenance"), F.when(k % 9 == 0, 3).when(k % 9 == 1, 2).otherwise(1).alias("layer"), F.when(k % 23 == 0, "disregarded").otherwise("active").alias("state"), F.col("o_totalprice").cast("decimal(18,2)").alias("amount"))
+    records = orders.filter(k % 29 != 0).select(k.alias("record"), F.expr(PAYLOAD).alias("payload"), proof.alias("provenance"), F.when(k % 9 == 0, 3).when(k % 9 == 1, 2).otherwise(1).alias("layer"), F.when(k % 23 == 0, "disregarded").otherwise("active").alias("state"), F.col("o_totalprice").cast("decimal(18,2)").alias("amount"), *more)
     changed = F.expr(PAYLOAD.replace("o_orderstatus", "if(o_orderkey % 11 = 0, 'X', o_orderstatus)"))
-    lines = orders.filter(k % 5 != 0).select(k.alias("line"), changed.alias("payload"), F.when(k % 12 == 7, None).otherwise(proof).alias("provenance"), (F.col("o_totalprice").cast("decimal(18,2)") + F.when(k % 11 == 0, 1).otherwise(0).cast("decimal(18,2)")).cast("decimal(18,2)").alias("amount"))
+    lines = orders.filter(k % 5 != 0).select(k.alias("line"), changed.alias("payload"), F.when(k % 12 == 7, None).otherwise(proof).alias("provenance"), (F.col("o_totalprice").cast("decimal(18,2)") + F.when(k % 11 == 0, 1).otherwise(0).cast("decimal(18,2)")).cast("decimal(18,2)").alias("amount"), *more)
     target = F.when(k % 13 == 0, k + 1).otherwise(k)
     match = F.when(k % 29 == 0, "none").when(k % 31 == 0, "multiple").otherwise("unique")
     matches = orders.filter(k % 5 != 0).select(k.alias("line"), match.alias("match"), F.when(match == "unique", target).alias("record"))
@@ -347,21 +347,21 @@ def applied_batches(spark, sf_dir):
 
 def submitted(spark, sf_dir):
     """Orders as lines that match records by customer and date, classified; with what was submitted, some of it wrong by line."""
-    records, lines, _ = batch(spark, sf_dir)
-    orders = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate")
-    keys = lambda name: orders.select(F.col("o_orderkey").alias(name), F.col("o_custkey").alias("customer"), F.to_date("o_orderdate").cast("string").alias("day"))
-    # Each is read many times on the way to the differences, so each is computed once.
-    records, lines = written(records.drop("amount").join(keys("record"), "record"), "records"), written(lines.drop("amount").join(keys("line"), "line"), "lines")
+    records, lines, _ = batch(spark, sf_dir, {"customer": F.col("o_custkey"), "day": F.to_date("o_orderdate").cast("string")})
+    # Each is read many times on the way to the differences, so each is computed once. All grow with the batch; by the sizes
+    # of their files Spark would broadcast them long after they have outgrown the driver, so they are merged.
+    once = lambda df, name: written(df, name).hint("merge")
+    records, lines = once(records.drop("amount"), "records"), once(lines.drop("amount"), "lines")
     decisions = batch_decisions(spark, sf_dir)
-    matches = written(matching.identity_match(lines, records, "line", "record", ["customer", "day"]).select("line", "match", "n_candidates", "record"), "matches")
-    found = reconcile.classify(lines.select("line", "payload", "provenance"), matches.select("line", "match", "record"), records, reconcile.resolve_decisions(decisions))
-    found = written(found.select("line", "match", "target", "conflict", "category"), "classified")
+    matches = once(matching.identity_match(lines, records, "line", "record", ["customer", "day"]).select("line", "match", "n_candidates", "record"), "matches")
+    found = reconcile.classify(lines.select("line", "payload", "provenance"), matches.select("line", "match", "record"), records, reconcile.resolve_decisions(decisions).hint("merge"))
+    found = once(found.select("line", "match", "target", "conflict", "category"), "classified")
     ids = F.md5(F.concat(F.lit("batch:"), F.col("line").cast("string")))
     whole = found.join(matches.select("line", "n_candidates"), "line").withColumn("observation", ids).select("line", "observation", "match", "n_candidates", "target", "conflict", "category")
     held = records.select(F.col("record").alias("target"), F.col("payload").alias("before"), F.lit(True).alias("_there"))
-    pairs = whole.select("line", "target").join(lines.select("line", F.col("payload").alias("after")), "line").join(held, "target")
+    pairs = found.filter("target IS NOT NULL").select("line", "target").join(lines.select("line", F.col("payload").alias("after")), "line").join(held, "target")
     diffs = reconcile.field_diffs(pairs, "line", "before", "after").filter("field != '*'")
-    absent = reconcile.absences(records, found)
+    absent = written(reconcile.absences(records, found), "absences")
     return (lines, records, decisions), (whole, diffs, absent, reconcile.summary(found, absent))
 
 
